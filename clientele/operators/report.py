@@ -72,7 +72,8 @@ def recency_sanity(cust: DataFrame, tx: DataFrame, date_col: str = "tx_date", sl
     """Q3: the largest recency against the data span (+ slack) in one row."""
     span = tx.agg((F.datediff(F.max(date_col), F.min(date_col)) + 1).cast("long").alias("span_days"))
     top = cust.agg(F.max("recency_days").alias("max_recency"))
-    return (top.crossJoin(span)  # two 1-row aggregates
+    one = F.lit(1).alias("_k")
+    return (top.select("*", one).join(span.select("*", one), "_k").drop("_k")  # two 1-row aggregates
                .withColumn("too_high", F.col("max_recency") > F.col("span_days") + slack_days))
 
 

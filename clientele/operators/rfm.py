@@ -147,4 +147,4 @@ def segment_counts(scored: DataFrame, segment_col: str = "rfm_class") -> DataFra
     from pyspark.sql import Window
     counts = scored.groupBy(segment_col).agg(F.count(F.lit(1)).alias("n_customers"))
     total = F.sum("n_customers").over(Window.partitionBy())
-    return counts.withColumn("percent", F.round(F.col("n_customers") * 100.0 / total, 6))
+    return counts.withColumn("percent", F.col("n_customers") * 100.0 / total)

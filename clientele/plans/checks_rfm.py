@@ -137,13 +137,13 @@ def j02_segment_lookup(spark, d):
 
 
 @register("a08_segment_counts", rfm_sql() + """SELECT rfm_class, count(*) AS n_customers,
-    round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS percent FROM rfm GROUP BY 1""")
+    count(*) * 100.0 / sum(count(*)) OVER () AS percent FROM rfm GROUP BY 1""")
 def a08_segment_counts(spark, d):
     return R.segment_counts(_visits_rfm(spark, d))
 
 
 @register("p13_segment_share_members", rfm_sql() + """SELECT rfm_class, count(*) AS n_customers,
-    round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS percent FROM rfm
+    count(*) * 100.0 / sum(count(*)) OVER () AS percent FROM rfm
     WHERE status = 'Member' GROUP BY 1""")
 def p13_segment_share_members(spark, d):
     """P13 + F13: segment share among members only (status filter first)."""

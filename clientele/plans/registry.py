@@ -59,3 +59,8 @@ def queries() -> dict[str, QueryFn]:
 def oracle_sql() -> dict[str, str]:
     load_all()
     return dict(_SQL)
+
+
+def name_key_nan_sql(x: str) -> str:
+    """SQL twin of ``text.name_key_nan``."""
+    return f"lower({strip_sql(f'coalesce(CAST({x} AS VARCHAR), {chr(39)}nan{chr(39)})')})"
