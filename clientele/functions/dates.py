@@ -14,9 +14,6 @@ from clientele.functions.text import strip_ws
 # The century pivots used by the reference.
 BIRTHDATE_TEXT_PIVOT = 30      # normalize_dmy: yy > 30 -> 19yy, else 20yy
 BIRTHDATE_PARSE_PIVOT = 30     # parse_date:   yy < 30 -> 20yy, else 19yy
-# Multi-format transaction dates, tried in this order.
-ISO_PATTERNS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd"]
-DAY_FIRST_PATTERNS = ["d/M/yyyy", "d-M-yyyy", "d.M.yyyy"]
 TWO_DIGIT_YEAR = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{2})$"
 
 
@@ -34,7 +31,7 @@ def century(yy: Column, pivot: int, pivot_goes_old: bool) -> Column:
     ``pivot_goes_old=True``: yy > pivot -> 19yy else 20yy (text normaliser);
     ``False``: yy < pivot -> 20yy else 19yy (birth-date parser).
     """
-    y = yy.cast("int")
+    y = yy.try_cast("int")
     if pivot_goes_old:
         return F.when(y > pivot, y + 1900).otherwise(y + 2000)
     return F.when(y < pivot, y + 2000).otherwise(y + 1900)
@@ -44,7 +41,7 @@ def normalize_dmy(c, pivot: int = BIRTHDATE_TEXT_PIVOT) -> Column:
     """Birth-date text -> 'DD-MM-YYYY' (zero padded); not 3 parts -> ''."""
     s = strip_ws(_col(c).cast("string"))
     parts = F.split(s, "[-/]")
-    d, m, y = parts.getItem(0), parts.getItem(1), parts.getItem(2)
+    d, m, y = F.get(parts, 0), F.get(parts, 1), F.get(parts, 2)
     y2 = F.when((F.length(y) == 2) & y.rlike(r"^\d+$"),
                 century(y, pivot, True).cast("string")).otherwise(y)
     out = F.concat_ws("-", _zfill2(d), _zfill2(m), y2)
@@ -53,7 +50,7 @@ def normalize_dmy(c, pivot: int = BIRTHDATE_TEXT_PIVOT) -> Column:
 
 def reformat_dmy(c) -> Column:
     """Strict day-first reformat to 'dd-MM-yyyy'; unparseable -> null."""
-    return F.date_format(F.try_to_date(_col(c), F.lit("d-M-yyyy")), "dd-MM-yyyy")
+    return F.date_format(F.try_to_date(_col(c), "d-M-yyyy"), "dd-MM-yyyy")
 
 
 def parse_birth_date(c, pivot: int = BIRTHDATE_PARSE_PIVOT) -> Column:
@@ -64,9 +61,9 @@ def parse_birth_date(c, pivot: int = BIRTHDATE_PARSE_PIVOT) -> Column:
     """
     s = _col(c).cast("string")
     parts = F.split(s, "-")
-    d = parts.getItem(0).try_cast("int")
-    m = parts.getItem(1).try_cast("int")
-    yp = parts.getItem(2)
+    d = F.get(parts, 0).try_cast("int")
+    m = F.get(parts, 1).try_cast("int")
+    yp = F.get(parts, 2)
     suffix = F.substring(yp, 2, 2).try_cast("int")
     three = (F.when(F.substring(yp, 1, 1) == "1", suffix + 1900)
               .when(F.substring(yp, 1, 1).isin("2", "0"), suffix + 2000))
@@ -76,31 +73,48 @@ def parse_birth_date(c, pivot: int = BIRTHDATE_PARSE_PIVOT) -> Column:
              .when(F.length(yp) == 4, yp.try_cast("int")))
     text = F.format_string("%04d-%02d-%02d", year, m, d)
     ok = (F.size(parts) == 3) & year.isNotNull() & d.isNotNull() & m.isNotNull() & (year > 0)
-    return F.when(ok, F.try_to_date(text, F.lit("yyyy-MM-dd")))
+    return F.when(ok, F.try_to_date(text, "yyyy-MM-dd"))
 
 
-def _first_parse(s: Column, patterns) -> Column:
-    return F.coalesce(*[F.try_to_date(s, F.lit(p)) for p in patterns])
+ISO_RE = r"^(\d{4})-(\d{1,2})-(\d{1,2})([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?$"
+DAY_FIRST_RE = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$"
+
+
+def _ymd(y: Column, m: Column, d: Column) -> Column:
+    """DATE from numeric parts; an impossible calendar date gives null."""
+    yi, mi, di = y.try_cast("int"), m.try_cast("int"), d.try_cast("int")
+    return F.when(yi.isNotNull() & mi.isNotNull() & di.isNotNull() & (yi > 0),
+                  F.try_to_date(F.format_string("%04d-%02d-%02d", yi, mi, di), "yyyy-MM-dd"))
+
+
+def _iso(s: Column) -> Column:
+    return F.when(s.rlike(ISO_RE), _ymd(F.regexp_extract(s, ISO_RE, 1), F.regexp_extract(s, ISO_RE, 2),
+                                        F.regexp_extract(s, ISO_RE, 3)))
+
+
+def _day_first(s: Column) -> Column:
+    return F.when(s.rlike(DAY_FIRST_RE), _ymd(F.regexp_extract(s, DAY_FIRST_RE, 3),
+                                              F.regexp_extract(s, DAY_FIRST_RE, 2),
+                                              F.regexp_extract(s, DAY_FIRST_RE, 1)))
 
 
 def two_digit_year_date(s: Column, pivot: int = BIRTHDATE_PARSE_PIVOT) -> Column:
-    d = F.regexp_extract(s, TWO_DIGIT_YEAR, 1)
-    m = F.regexp_extract(s, TWO_DIGIT_YEAR, 2)
     y = century(F.regexp_extract(s, TWO_DIGIT_YEAR, 3), pivot, False)
-    text = F.format_string("%04d-%s-%s", y, _zfill2(m), _zfill2(d))
-    return F.when(s.rlike(TWO_DIGIT_YEAR), F.try_to_date(text, F.lit("yyyy-MM-dd")))
+    return F.when(s.rlike(TWO_DIGIT_YEAR), _ymd(y, F.regexp_extract(s, TWO_DIGIT_YEAR, 2),
+                                                F.regexp_extract(s, TWO_DIGIT_YEAR, 1)))
 
 
 def parse_date_steps(c, pivot: int = BIRTHDATE_PARSE_PIVOT) -> Column:
     """X17 + Q1: struct(date, step) — which rule parsed each value.
 
-    Per row: ISO date or timestamp, then day-first with a 4-digit year, then a
-    two-digit year through the century pivot.  DATE-typed input passes as is.
+    Per row (C16): ISO date or timestamp (time part dropped), then day-first
+    ``d/m/yyyy`` (separators / - .), then a two-digit year through the
+    century pivot.  Parts are matched by pattern and assembled, so both the
+    accepted shapes and the calendar check are explicit.
     """
-    raw = _col(c)
-    s = strip_ws(raw.cast("string"))
-    iso = _first_parse(s, ISO_PATTERNS)
-    dayfirst = _first_parse(s, DAY_FIRST_PATTERNS)
+    s = strip_ws(_col(c).cast("string"))
+    iso = _iso(s)
+    dayfirst = _day_first(s)
     yy = two_digit_year_date(s, pivot)
     date = F.coalesce(iso, dayfirst, yy)
     step = (F.when(iso.isNotNull(), F.lit("iso"))

@@ -60,10 +60,15 @@ def service_key(c) -> Column:
     return strip_ws(s)
 
 
-def month_label_spacing(c) -> Column:
-    """lower/strip the label and put a space before a glued 24/25."""
+# The two-digit years whose glued labels get a space.
+LABEL_YEARS = ("24", "25")
+
+
+def month_label_spacing(c, years=LABEL_YEARS) -> Column:
+    """lower/strip the label and put a space before a glued year suffix
+    (reference: 24 and 25)."""
     s = F.lower(strip_ws(_col(c)))
-    return F.regexp_replace(s, r"^(|.*\S)(24|25)$", "$1 $2")
+    return F.regexp_replace(s, r"^(|.*\S)(" + "|".join(years) + r")$", "$1 $2")
 
 
 def _month_map() -> Column:
@@ -88,9 +93,9 @@ def expand_month(c) -> Column:
     return F.when(s.rlike(pat), expanded).otherwise(s)
 
 
-def clean_month_label(c) -> Column:
+def clean_month_label(c, years=LABEL_YEARS) -> Column:
     """X4 then X5."""
-    return expand_month(month_label_spacing(c))
+    return expand_month(month_label_spacing(c, years))
 
 
 def vip_level(c) -> Column:

@@ -156,10 +156,121 @@ def sheets(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumn("sheet", sheet)
 
 
+def _customer_geo(spark, d):
+    c = read_table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal")
+    n = read_table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    r = read_table(spark, d, "region").select("r_regionkey", "r_name")
+    return c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+
+
+def _birth(k):
+    return F.date_add(F.lit("1950-01-01").cast("date"), (k * 37 % 20000).cast("int"))
+
+
+def member_raw(spark: SparkSession, d: str) -> DataFrame:
+    """Raw member export: two lines per member (line order in ``line_no``).
+    The second line may carry a birthplace and, in the first column, an
+    ``*address: ...`` continuation of the address."""
+    g = _customer_geo(spark, d)
+    k = F.col("c_custkey")
+    bdate = _birth(k)
+    top = g.select((k * 2).alias("line_no"), k.cast("string").alias("no"),
+                   F.col("c_name").alias("name"),
+                   F.col("n_name").alias("birthplace"),
+                   F.when(k % 2 == 0, F.date_format(bdate, "d/M/yyyy"))
+                    .otherwise(F.date_format(bdate, "d-M-yy")).alias("birth_date"),
+                   F.when(k % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("Jl. "), F.col("c_name"))).alias("address"))
+    bot = g.select((k * 2 + 1).alias("line_no"),
+                   F.when(k % 2 == 0, F.concat(F.lit(" *Address: "), F.col("r_name"), F.lit(" : ok")))
+                    .when(k % 5 == 1, F.lit("*address"))
+                    .alias("no"),
+                   F.lit(None).cast("string").alias("name"),
+                   F.when(k % 4 != 0, F.concat(F.lit("City "), F.col("r_name"))).alias("birthplace"),
+                   F.lit(None).cast("string").alias("birth_date"),
+                   F.lit(None).cast("string").alias("address"))
+    return top.unionByName(bot)
+
+
+def bracket_names(spark: SparkSession, d: str) -> DataFrame:
+    """Member names carrying '(VIP n)' and other bracketed notes."""
+    c = read_table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    k = F.col("c_custkey")
+    name = (F.when(k % 4 == 0, F.concat(F.col("c_name"), F.lit(" (VIP "), (k % 5).cast("string"), F.lit(")")))
+             .when(k % 4 == 1, F.concat(F.col("c_name"), F.lit(" (vip"), (k % 3).cast("string"),
+                                        F.lit(") (note "), F.col("c_mktsegment"), F.lit(")")))
+             .when(k % 4 == 2, F.concat(F.col("c_name"), F.lit(" (") , F.col("c_mktsegment"), F.lit(")")))
+             .otherwise(F.col("c_name")))
+    return c.select(k.alias("member_no"), name.alias("name"))
+
+
+def birth_text(spark: SparkSession, d: str) -> DataFrame:
+    """Birth dates written in several text forms (2-, 3- and 4-digit years, junk)."""
+    c = read_table(spark, d, "customer").select("c_custkey")
+    k = F.col("c_custkey")
+    b = _birth(k)
+    txt = (F.when(k % 5 == 0, F.date_format(b, "d/M/yyyy"))
+            .when(k % 5 == 1, F.date_format(b, "d-M-yy"))
+            .when(k % 5 == 2, F.date_format(b, "dd-MM-yyyy"))
+            .when(k % 5 == 3, F.concat(F.date_format(b, "d-M-"), F.lit("1"), F.date_format(b, "yy")))
+            .otherwise(F.lit("n/a")))
+    return c.select(k.alias("member_no"), txt.alias("birth_text"), b.alias("true_date"))
+
+
+def member_records(spark: SparkSession, d: str) -> DataFrame:
+    """Member records with repeated names: one per order, birth date and
+    address sometimes missing, sometimes conflicting; yes/no flags."""
+    o = read_table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
+    c = read_table(spark, d, "customer").select("c_custkey", "c_name")
+    k = F.col("o_orderkey")
+    j = o.join(c, o.o_custkey == c.c_custkey)
+    return j.select(
+        k.alias("no"), F.col("c_name").alias("name"),
+        F.when(k % 4 == 0, F.lit(None)).when(k % 4 == 1, F.lit("01-01-1970"))
+         .when(k % 4 == 2, F.lit("   ")).otherwise(F.lit("02-02-1980")).alias("birth_date"),
+        F.when(k % 3 == 0, F.lit(None)).when(k % 3 == 1, F.concat(F.col("o_orderpriority"), F.lit(" ")))
+         .otherwise(F.upper("o_orderpriority")).alias("address"),
+        F.when(F.col("o_orderstatus") == "F", "YES").when(F.col("o_orderstatus") == "O", "no").alias("delivery"),
+        F.when(k % 7 == 0, F.lit("nan")).otherwise(F.col("o_orderpriority")).alias("hobby"),
+    )
+
+
+def district_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Address -> district table (replaces the web geocoder)."""
+    g = _customer_geo(spark, d).select("n_nationkey", "n_name", "r_name").distinct()
+    return g.where(F.col("n_nationkey") % 6 != 5).select(
+        F.lower(F.col("n_name")).alias("address"), F.concat(F.lit("Kecamatan "), F.col("r_name")).alias("district"))
+
+
+def geocode_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Stored geocoder replies (JSON text) per address."""
+    n = read_table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    r = read_table(spark, d, "region").select("r_regionkey", "r_name")
+    j = n.join(r, n.n_regionkey == r.r_regionkey)
+    k = F.col("n_nationkey")
+    ok = F.concat(F.lit('{"status":"OK","results":[{"address_components":['
+                        '{"long_name":"'), F.col("n_name"), F.lit('","types":["locality","political"]},'
+                        '{"long_name":"'), F.col("r_name"), F.lit('","types":["'),
+                  F.when(k % 4 == 3, F.lit("administrative_area_level_2")).otherwise(F.lit("administrative_area_level_3")),
+                  F.lit('","political"]}]}]}'))
+    reply = F.when(k % 5 == 4, F.lit('{"status":"ZERO_RESULTS","results":[]}')).otherwise(ok)
+    return j.select(F.col("n_name").alias("address"), reply.alias("reply"))
+
+
+def money_text(spark: SparkSession, d: str) -> DataFrame:
+    """Order totals as text, some of them unparseable."""
+    o = read_table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    k = F.col("o_orderkey")
+    txt = F.when(k % 7 == 0, F.lit("n/a")).otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
+    return o.select(k.alias("row_id"), txt.alias("amount_text"))
+
+
 VIEWS = {
     "tx": tx, "visits": visits, "dirty_tx": dirty_tx, "events_tx": events_tx,
     "members": members, "member_profile": member_profile, "pricelist": pricelist,
     "area_dictionary": area_dictionary, "text_dates": text_dates, "sheets": sheets,
+    "member_raw": member_raw, "bracket_names": bracket_names, "birth_text": birth_text,
+    "member_records": member_records, "district_lookup": district_lookup,
+    "geocode_replies": geocode_replies, "money_text": money_text,
 }
 
 # ---------------------------------------------------------------- SQL side
@@ -207,6 +318,47 @@ SQL = {
 # Views a view's SQL refers to, so that ``with_views`` can pull them in first.
 _DEPENDS = {"dirty_tx": ["tx"], "sheets": ["tx"]}
 
+SQL.update({
+    "customer_geo": """SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey
+      JOIN region ON n_regionkey = r_regionkey""",
+    "member_raw": """SELECT c_custkey * 2 AS line_no, CAST(c_custkey AS VARCHAR) AS no, c_name AS name,
+        n_name AS birthplace,
+        CASE WHEN c_custkey % 2 = 0 THEN strftime(DATE '1950-01-01' + CAST(c_custkey * 37 % 20000 AS INTEGER), '%-d/%-m/%Y')
+             ELSE strftime(DATE '1950-01-01' + CAST(c_custkey * 37 % 20000 AS INTEGER), '%-d-%-m-%y') END AS birth_date,
+        CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'Jl. ' || c_name END AS address FROM customer_geo
+      UNION ALL
+      SELECT c_custkey * 2 + 1, CASE WHEN c_custkey % 2 = 0 THEN ' *Address: ' || r_name || ' : ok'
+             WHEN c_custkey % 5 = 1 THEN '*address' END,
+        NULL, CASE WHEN c_custkey % 4 <> 0 THEN 'City ' || r_name END, NULL, NULL FROM customer_geo""",
+    "bracket_names": """SELECT c_custkey AS member_no, CASE c_custkey % 4
+        WHEN 0 THEN c_name || ' (VIP ' || CAST(c_custkey % 5 AS VARCHAR) || ')'
+        WHEN 1 THEN c_name || ' (vip' || CAST(c_custkey % 3 AS VARCHAR) || ') (note ' || c_mktsegment || ')'
+        WHEN 2 THEN c_name || ' (' || c_mktsegment || ')' ELSE c_name END AS name FROM customer""",
+    "birth_text": """SELECT c_custkey AS member_no, CASE c_custkey % 5
+        WHEN 0 THEN strftime(b, '%-d/%-m/%Y') WHEN 1 THEN strftime(b, '%-d-%-m-%y')
+        WHEN 2 THEN strftime(b, '%d-%m-%Y') WHEN 3 THEN strftime(b, '%-d-%-m-') || '1' || strftime(b, '%y')
+        ELSE 'n/a' END AS birth_text, b AS true_date
+      FROM (SELECT c_custkey, DATE '1950-01-01' + CAST(c_custkey * 37 % 20000 AS INTEGER) AS b FROM customer)""",
+    "member_records": """SELECT o_orderkey AS no, c_name AS name,
+        CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '01-01-1970' WHEN 2 THEN '   ' ELSE '02-02-1980' END AS birth_date,
+        CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN o_orderpriority || ' ' ELSE upper(o_orderpriority) END AS address,
+        CASE o_orderstatus WHEN 'F' THEN 'YES' WHEN 'O' THEN 'no' END AS delivery,
+        CASE WHEN o_orderkey % 7 = 0 THEN 'nan' ELSE o_orderpriority END AS hobby
+      FROM orders JOIN customer ON o_custkey = c_custkey""",
+    "district_lookup": """SELECT DISTINCT lower(n_name) AS address, 'Kecamatan ' || r_name AS district
+      FROM customer_geo WHERE n_nationkey % 6 <> 5""",
+    "geocode_replies": """SELECT n_name AS address, CASE WHEN n_nationkey % 5 = 4
+        THEN '{"status":"ZERO_RESULTS","results":[]}'
+        ELSE '{"status":"OK","results":[{"address_components":[{"long_name":"' || n_name
+          || '","types":["locality","political"]},{"long_name":"' || r_name || '","types":["'
+          || CASE WHEN n_nationkey % 4 = 3 THEN 'administrative_area_level_2' ELSE 'administrative_area_level_3' END
+          || '","political"]}]}]}' END AS reply
+      FROM nation JOIN region ON n_regionkey = r_regionkey""",
+    "money_text": """SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 7 = 0 THEN 'n/a'
+        ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END AS amount_text FROM orders""",
+})
+_DEPENDS.update({"member_raw": ["customer_geo"], "district_lookup": ["customer_geo"]})
+
 
 def with_views(*names: str) -> str:
     """``WITH a AS (...), b AS (...) `` for the named views and their inputs."""
