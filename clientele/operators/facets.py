@@ -49,14 +49,15 @@ def value_counts(df: DataFrame, col: str, out: str = "n") -> DataFrame:
 def kpi_row(df: DataFrame, key="cust_norm", spend="total_spent", recency="recency_days",
             frequency="frequency") -> DataFrame:
     """Distinct customers, total spend and the three averages in one
-    aggregate.  Averages are exact sums divided once (order-independent)."""
+    aggregate.  Averages are exact sums divided once, so they do not depend
+    on the order partial sums arrive in."""
     n = F.count(F.lit(1))
     return df.agg(
         F.countDistinct(key).alias("n_customers"),
         F.sum(spend).cast("decimal(38,2)").alias("total_spent"),
-        F.round(F.sum(recency).cast("double") / n, 6).alias("avg_recency"),
-        F.round(F.sum(frequency).cast("double") / n, 6).alias("avg_frequency"),
-        F.round(F.sum(spend).cast("double") / n, 6).alias("avg_monetary"))
+        (F.sum(recency).cast("double") / n).alias("avg_recency"),
+        (F.sum(frequency).cast("double") / n).alias("avg_frequency"),
+        (F.sum(spend).cast("double") / n).alias("avg_monetary"))
 
 
 def group_stats(df: DataFrame, by: list[str], spend="total_spent", key="cust_norm") -> DataFrame:
@@ -65,7 +66,7 @@ def group_stats(df: DataFrame, by: list[str], spend="total_spent", key="cust_nor
     return df.groupBy(*by).agg(
         n.alias("n_rows"),
         F.sum(spend).cast("decimal(38,2)").alias("sum_spent"),
-        F.round(F.sum(spend).cast("double") / n, 6).alias("avg_spent"),
+        (F.sum(spend).cast("double") / n).alias("avg_spent"),
         F.countDistinct(key).alias("n_distinct"))
 
 
