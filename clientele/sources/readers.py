@@ -31,8 +31,10 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
     return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
 
 
-def read_any(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """Choose the reader by file extension; other extensions are rejected."""
+def read_any(spark: SparkSession, path: str, schema: StructType | str | None = None,
+             json_multiline: bool = False) -> DataFrame:
+    """Choose the reader by file extension; other extensions are rejected.
+    JSON is read as JSON lines unless ``json_multiline`` (one document)."""
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
     if ext == ".parquet" or (ext == "" and os.path.isdir(path)):
         r = spark.read if schema is None else spark.read.schema(schema)
@@ -42,26 +44,20 @@ def read_any(spark: SparkSession, path: str, schema: StructType | str | None = N
             raise ValueError("CSV input needs a declared schema")
         return read_csv(spark, path, schema)
     if ext == ".json":
-        r = spark.read.option("multiLine", True)
+        r = spark.read.option("multiLine", json_multiline)
         return (r if schema is None else r.schema(schema)).json(path)
     raise ValueError(f"Unsupported file format: {path}")
 
 
-def read_partitions(spark: SparkSession, paths: list[str], suffix: str = "24",
-                    tag: str = "Month", schema: StructType | str | None = None) -> DataFrame:
-    """S3: read many same-shaped files as one frame, keep those whose stripped
-    stem ends in ``suffix`` and tag each row with its (unstripped) stem.
-
-    One multi-path read; the tag comes from the file metadata column, so no
-    driver-side loop over files touches data.
-    """
-    keep = [p for p in paths if os.path.splitext(os.path.basename(p.rstrip("/")))[0].strip().endswith(suffix)]
-    if not keep:
-        raise ValueError("no partition matches")
+def read_partitions(spark: SparkSession, root: str, tag: str = "Month", suffix: str = "24",
+                    schema: StructType | str | None = None) -> DataFrame:
+    """S3: many same-shaped parts stored as ``<root>/<tag>=<name>/``: keep
+    the parts whose stripped name ends in ``suffix``; each row carries its
+    part name in ``tag``.  The filter is on the partition column, so Spark
+    prunes whole folders before reading any file."""
     r = spark.read if schema is None else spark.read.schema(schema)
-    df = r.parquet(*keep)
-    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.parquet$", "")
-    return df.withColumn(tag, stem)
+    df = r.parquet(root)
+    return df.where(F.trim(F.col(tag)).endswith(suffix))
 
 
 def union_by_name(frames: list[DataFrame]) -> DataFrame:
