@@ -70,7 +70,8 @@ def lgamma_np(z):
     w = z + 7.0
     shift = np.log(z * (z + 1) * (z + 2) * (z + 3) * (z + 4) * (z + 5) * (z + 6))
     st = ((w - 0.5) * np.log(w) - w + HALF_LOG_2PI + 1 / (12 * w) - 1 / (360 * w ** 3)
-          + 1 / (1260 * w ** 5) - 1 / (1680 * w ** 7))
+          + 1 / (1260 * w ** 5) - 1 / (1680 * w ** 7) + 1 / (1188 * w ** 9) - 691 / (360360 * w ** 11)
+          + 1 / (156 * w ** 13))
     return st - shift
 
 
