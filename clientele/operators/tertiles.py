@@ -39,7 +39,7 @@ def value_tertiles(df: DataFrame, col: str, out: str, labels=LOW_MED_HIGH) -> Da
                    F.count_distinct(col).alias("nd")).first()
     if stats["nd"] is None or stats["nd"] <= 1:
         return df.withColumn(out, F.lit(labels[1]))
-    q1, q2 = exact_quantiles(df, col, [1 / 3, 2 / 3])
+    q1, q2 = exact_quantiles(df, col, [1 / 3, 2 / 3], n_distinct=stats["nd"])
     edges = [stats["mn"], q1, q2, stats["mx"]]
     if len(set(edges)) < 4:
         q1, q2 = equal_width_edges(stats["mn"], stats["mx"])
@@ -54,11 +54,11 @@ def rank_tertiles(df: DataFrame, col: str, tie_cols: list[str], out: str,
     else third — the integer form of quantile edges on ranks.  One distinct
     value -> middle label.
     """
-    nd = df.agg(F.count_distinct(col).alias("nd")).first()["nd"]
-    if nd is None or nd <= 1:
+    st = df.agg(F.count_distinct(col).alias("nd"), F.count(F.lit(1)).alias("n")).first()
+    if st["nd"] is None or st["nd"] <= 1:
         return df.withColumn(out, F.lit(labels[1]))
-    ranked = ordered_offsets(df, [col] + list(tie_cols))
-    total = ranked.agg(F.sum("_w")).first()[0]
+    ranked = ordered_offsets(df, [col] + list(tie_cols), n_rows=st["n"])
+    total = st["n"]
     k1 = F.col("_before")  # k - 1
     lab = (F.when(3 * k1 < total - 1, labels[0]).when(3 * k1 < 2 * (total - 1), labels[1])
             .otherwise(labels[2]))
@@ -71,8 +71,8 @@ def fair_tertiles(df: DataFrame, col: str, out: str, labels=LOW_MED_HIGH) -> Dat
     index i of the value among d sorted distinct values: first iff
     3i <= d-1, second iff 3i <= 2(d-1), else third (exact edges, C7)."""
     distinct = df.select(F.col(col).alias("_v")).where(F.col("_v").isNotNull()).distinct()
-    idx = ordered_offsets(distinct, ["_v"])
-    d = idx.agg(F.sum("_w")).first()[0] or 0
+    d = distinct.count()
+    idx = ordered_offsets(distinct, ["_v"], n_rows=d)
     i = F.col("_before")
     if d == 1:
         lab = F.lit(labels[0])
@@ -88,8 +88,8 @@ def fair_tertiles(df: DataFrame, col: str, out: str, labels=LOW_MED_HIGH) -> Dat
 def index_split_labels(df: DataFrame, col: str, out: str, labels=LOW_MED_HIGH) -> DataFrame:
     """Label ``min(floor(3 i / d), 2)`` for the i-th of d distinct values."""
     distinct = df.select(F.col(col).alias("_v")).where(F.col("_v").isNotNull()).distinct()
-    idx = ordered_offsets(distinct, ["_v"])
-    d = idx.agg(F.sum("_w")).first()[0] or 1
+    d = distinct.count() or 1
+    idx = ordered_offsets(distinct, ["_v"], n_rows=d)
     pos = F.least(F.floor(F.col("_before") * 3 / d), F.lit(2))
     lab = F.element_at(F.array(*[F.lit(x) for x in labels]), (pos + 1).cast("int"))
     table = idx.select("_v", lab.alias(out))

@@ -206,6 +206,7 @@ def w15_entity_resolution(spark, d):
 
 @register("a07_merge_persons")
 def a07_merge_persons(spark, d):
-    """One merged record per person (A5 for text columns, A6 for yes/no)."""
+    """A7 + U5: one merged record per person (A5 for text columns, A6 for
+    yes/no); the per-column plan is built from the schema on the driver."""
     r = U.resolve_persons(V.member_records(spark, d))
     return U.merge_persons(r, yes_no=["delivery"])

@@ -165,7 +165,7 @@ def f09_positive_values(spark, d):
 @register("p01_select_rename_drop", rfm_sql() + """SELECT customer AS "NAMA CUSTOMER", monetary_value AS total_spent,
     status, recency_days, frequency FROM rfm""")
 def p01_select_rename_drop(spark, d):
-    """Column selection and order, renames (names with spaces), drops."""
+    """Column selection and order, renames (names with spaces), drops."""
     r = _rfm(spark, d).drop("item_summary", "no_such_column")
     r = r.withColumnRenamed("customer", "NAMA CUSTOMER").withColumnRenamed("monetary_value", "total_spent")
     return r.select("NAMA CUSTOMER", "total_spent", "status", "recency_days", "frequency")
@@ -222,3 +222,108 @@ def s04_pruned_read(spark, d):
     """A one-column read; the Parquet scan reads only that column."""
     o = IO.read_table(spark, d, "orders").select(F.to_date("o_orderdate").alias("d"))
     return o.agg(F.min("d").alias("min_date"), F.max("d").alias("max_date"))
+
+
+@register("s10_segment_table_join", rfm_sql() + """SELECT rfm_class AS classification, count(*) AS n_customers
+  FROM rfm GROUP BY 1""")
+def s10_segment_table_join(spark, d):
+    """S10 + J2: the 27-row constant segment table joined (broadcast, fixed
+    size) to the scored customers on (R, F, M)."""
+    from clientele.functions.scores import segment_table_df
+    seg = F.broadcast(segment_table_df(spark))
+    r = _rfm(spark, d)
+    j = r.join(seg, (r.r_score == seg.R) & (r.f_score == seg.F) & (r.m_score == seg.M), "left")
+    return j.groupBy(F.coalesce(F.col("Classification"), F.lit("Undefined")).alias("classification")).agg(
+        F.count(F.lit(1)).alias("n_customers"))
+
+
+@register("p08_null_fill", V.with_views("members", "visits").rstrip() + ",\n" + __import__(
+    "clientele.plans.checks_rfm", fromlist=["rfm_ctes"]).rfm_ctes("visits", V.SNAPSHOT_BEFORE) + """,
+mem AS (SELECT member_no, name, """ + __import__("clientele.plans.registry", fromlist=["name_key_sql"]).name_key_sql("name") + """ AS cust_norm FROM members)
+SELECT member_no, name, CAST(coalesce(monetary_value, 0) AS DECIMAL(38,2)) AS monetary_value,
+    CAST(coalesce(recency_days, 0) AS BIGINT) AS recency_days, coalesce(rfm_class, 'Undefined') AS rfm_class
+  FROM mem LEFT JOIN rfm USING (cust_norm)""")
+def p08_null_fill(spark, d):
+    """P8 + J3: every member with the earlier snapshot's metrics; members
+    without purchases by then get 0 / 'Undefined'."""
+    from clientele.functions.text import name_key
+    mem = V.members(spark, d).withColumn("cust_norm", name_key("name"))
+    r = R.rfm(V.visits(spark, d), V.SNAPSHOT_BEFORE, V.members(spark, d))
+    j = mem.join(r.select("cust_norm", "monetary_value", "recency_days", "rfm_class"), "cust_norm", "left")
+    return j.select("member_no", "name",
+                    F.coalesce("monetary_value", F.lit(0).cast("decimal(38,2)")).cast("decimal(38,2)").alias("monetary_value"),
+                    F.coalesce("recency_days", F.lit(0)).cast("long").alias("recency_days"),
+                    F.coalesce("rfm_class", F.lit("Undefined")).alias("rfm_class"))
+
+
+@register("j08_scores_to_profile", rfm_sql() + """, sc AS (SELECT cust_norm,
+    CASE WHEN frequency > 1 THEN CAST(1 AS DOUBLE) / frequency ELSE CAST(1 AS DOUBLE) END AS score FROM rfm
+    WHERE status = 'Member')
+SELECT r.cust_norm, r.rfm_class, coalesce(sc.score, CAST(0 AS DOUBLE)) AS score
+  FROM rfm r LEFT JOIN sc USING (cust_norm)""")
+def j08_scores_to_profile(spark, d):
+    """Per-customer predictions left-joined to the profile, a
+    customer without one gets 0 (scores here: 1 / visits, members only)."""
+    r = _rfm(spark, d)
+    sc = (r.where(F.col("status") == "Member")
+           .select("cust_norm", F.when(F.col("frequency") > 1, 1.0 / F.col("frequency")).otherwise(1.0).alias("score")))
+    return r.select("cust_norm", "rfm_class").join(sc, "cust_norm", "left").fillna(0.0, subset=["score"])
+
+
+@register("t01_sorted_report", rfm_sql() + """SELECT cust_norm, monetary_value, recency_days FROM rfm
+  ORDER BY monetary_value DESC, recency_days, cust_norm""")
+def t01_sorted_report(spark, d):
+    """The report sorted by several keys (a global sort: range-partitioned
+    by Spark, not gathered into one task)."""
+    r = _rfm(spark, d)
+    return r.orderBy(F.col("monetary_value").desc(), "recency_days", "cust_norm").select(
+        "cust_norm", "monetary_value", "recency_days")
+
+
+@register("t02_restore_order", V.with_views("visits") + """SELECT row_id, customer,
+    CASE WHEN total_price > 200000 THEN 'large' ELSE 'small' END AS part FROM visits ORDER BY row_id""")
+def t02_restore_order(spark, d):
+    """Two enriched halves put back in input order (by row_id)."""
+    v = V.visits(spark, d)
+    big = v.where(F.col("total_price") > 200000).withColumn("part", F.lit("large"))
+    small = v.where(~(F.col("total_price") > 200000)).withColumn("part", F.lit("small"))
+    return big.unionByName(small).orderBy("row_id").select("row_id", "customer", "part")
+
+
+@register("x23_score_order", rfm_sql() + """SELECT r_score,
+    CASE r_score WHEN 'Low' THEN 1 WHEN 'Medium' THEN 2 WHEN 'High' THEN 3 END AS r_rank,
+    count(*) AS n_customers FROM rfm GROUP BY 1, 2""")
+def x23_score_order(spark, d):
+    """Low < Medium < High as 1, 2, 3."""
+    from clientele.functions.scores import score_rank
+    r = _rfm(spark, d)
+    return r.groupBy("r_score", score_rank("r_score").alias("r_rank")).agg(F.count(F.lit(1)).alias("n_customers"))
+
+
+@register("x29_rounding", rfm_sql() + """SELECT cust_norm,
+    CAST(round(monetary_value, 1) AS DECIMAL(38,1)) AS spent_1dp,
+    CAST(round(monetary_value, -3) AS DECIMAL(38,0)) AS spent_thousands FROM rfm""")
+def x29_rounding(spark, d):
+    """Decimal rounding of money (half up on exact decimals)."""
+    r = _rfm(spark, d)
+    return r.select("cust_norm", F.round("monetary_value", 1).cast("decimal(38,1)").alias("spent_1dp"),
+                    F.round("monetary_value", -3).cast("decimal(38,0)").alias("spent_thousands"))
+
+
+@register("q04_all_null_columns", V.with_views("member_records") + """SELECT count(birth_date) = 0 AS birth_date_all_null,
+    count(address) = 0 AS address_all_null, count(delivery) = 0 AS delivery_all_null FROM member_records""")
+def q04_all_null_columns(spark, d):
+    """Q4: required columns present (raises otherwise) and all-null flags."""
+    from clientele.sources.schemas import all_null_columns, require_columns
+    r = V.member_records(spark, d)
+    require_columns(r, ["no", "name", "birth_date", "address"])
+    return all_null_columns(r, ["birth_date", "address", "delivery"])
+
+
+@register("q06_scatter_rows", rfm_sql() + """SELECT cust_norm, recency_days, frequency FROM rfm
+  WHERE status = 'Member' AND (SELECT count(*) FROM rfm WHERE status = 'Member') BETWEEN 2 AND 4999""")
+def q06_scatter_rows(spark, d):
+    """Q6: scatter rows only when 1 < n < 5000 (bounded count via limit)."""
+    from clientele.operators.quality import scatter_rows
+    r = _rfm(spark, d).where(F.col("status") == "Member").select("cust_norm", "recency_days", "frequency")
+    return scatter_rows(r, 5000)

@@ -48,6 +48,7 @@ SELECT old_category, new_category, n_customers,
     {pct_label_sql('n_customers', 'sum(n_customers) OVER (PARTITION BY old_category)')} AS label
   FROM l""")
 def x25_flow_links(spark, d):
+    """X25 + P14: link shares and the 'n (p%)' label."""
     b, a = _two(spark, d)
     return W.flow_links(W.flow_edges(b, a))
 

@@ -78,6 +78,7 @@ def j11_churn_labels(spark, d):
 
 @register("m05_churn_training_set", CHURN_SQL + "SELECT * FROM ts")
 def m05_churn_training_set(spark, d):
+    """M5 + J9: labels left-joined to the features, a missing feature is 0."""
     return _ts(spark, d)
 
 

@@ -142,3 +142,12 @@ def test_segment_counts_one_segment_per_customer(spark):
     assert sum(r.n_customers for r in counts) == 17
     assert abs(sum(r.percent for r in counts) - 100) < 1e-9
     assert scored.where(F.col("rfm_class").isNull()).count() == 0
+
+
+def test_small_path_equals_range_path(spark):
+    random.seed(2)
+    vals = [(f"c{i:04d}", random.choice([0, 0, 1, 2, 7])) for i in range(300)]
+    df = spark.createDataFrame(vals, "k string, v long")
+    a = {r.k: r.rank for r in K.global_rank(df, ["v", "k"]).collect()}
+    b = {r.k: r.rank for r in K.global_rank(df, ["v", "k"], n_rows=300).collect()}
+    assert a == b
