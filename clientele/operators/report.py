@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 from clientele.functions import scores as S
 from clientele.operators import rfm as R
@@ -27,19 +28,31 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def customer_table(tx: DataFrame, *, customer="customer", date_col="tx_date", money="total_price",
-                   item="item", row_id="row_id") -> DataFrame:
-    """J3 as one plan: base metrics + item summary per customer, recency to
+                   item="item", row_id="row_id", materialized: bool = True) -> DataFrame:
+    """Base metrics + item summary per customer, recency to
     ``max(date) + 1`` (C1 report form: minimum recency 1).  Rows without a
-    parseable date are dropped first."""
+    parseable date are dropped first.
+
+    The table is materialised with the last purchase per customer; the
+    global last date is then the maximum of those (a pass over the small
+    customer table, not a second pass over the transactions)."""
     t = tx.where(F.col(date_col).isNotNull())
-    last = t.agg(F.max(date_col).alias("m"))
-    ref_day = F.date_add(F.to_date(F.lit(last.first()["m"])), 1)
-    base = R.rfm_base(t, ref_day, customer=customer, date_col=date_col, money=money, row_id=row_id)
+    base = R.rfm_base(t, None, customer=customer, date_col=date_col, money=money, row_id=row_id)
     items = R.item_summary(t, customer=customer, item=item).drop("items")
-    return (base.join(items, "cust_norm", "left")
+    cust = (base.join(items, "cust_norm", "left")
                 .withColumn("total_items", F.coalesce("total_items", F.lit(0).cast("long")))
                 .withColumn("item_summary", F.coalesce("item_summary", F.lit("")))
                 .withColumnRenamed("monetary_value", "total_spent"))
+    if materialized:
+        cust = materialize(cust)
+    last = cust.agg(F.max("last_date")).first()[0]
+    ref_day = F.date_add(F.lit(None if last is None else str(last)[:10]).cast("date"), 1)
+    if isinstance(t.schema[date_col].dataType, DateType):
+        recency = F.datediff(ref_day, F.col("last_date"))
+    else:
+        recency = R.recency_days(F.col("last_date"), F.to_timestamp_ntz(ref_day.cast("string")))
+    cols = [c if c != "last_date" else recency.cast("long").alias("recency_days") for c in cust.columns]
+    return cust.select(*cols)
 
 
 def score_report(cust: DataFrame) -> DataFrame:
@@ -53,7 +66,7 @@ def score_report(cust: DataFrame) -> DataFrame:
 
 def rfm_report(tx: DataFrame, members: DataFrame | None = None, **cols) -> DataFrame:
     """The full summary report: one row per customer, REPORT_COLUMNS."""
-    cust = materialize(customer_table(tx, **cols))
+    cust = customer_table(tx, **cols)
     scored = score_report(cust)
     return R.member_flag(scored, members).select(*REPORT_COLUMNS)
 

@@ -50,14 +50,18 @@ def recency_days(last, reference) -> Column:
     return F.timestamp_diff("DAY", last, reference).cast("long")
 
 
-def rfm_base(tx: DataFrame, reference_day: Column, *, customer="customer", date_col="tx_date",
+def rfm_base(tx: DataFrame, reference_day: Column | None, *, customer="customer", date_col="tx_date",
              money="total_price", row_id="row_id") -> DataFrame:
     """A1 + A4: recency, distinct-date frequency, money and first display name.
 
-    ``reference_day`` is the DATE recency is measured to.  Money becomes
+    ``reference_day`` is the DATE recency is measured to; with None the
+    last purchase itself is returned as ``last_date`` (for a reference that
+    depends on the whole table, applied later).  Money becomes
     DECIMAL(38,2); unparseable money counts as 0 (P7).
     """
-    if isinstance(tx.schema[date_col].dataType, DateType):
+    if reference_day is None:
+        recency = F.max(date_col).alias("last_date")
+    elif isinstance(tx.schema[date_col].dataType, DateType):
         recency = F.datediff(reference_day, F.max(date_col)).cast("long")
     else:
         recency = recency_days(F.max(date_col), F.to_timestamp_ntz(reference_day.cast("string")))
@@ -65,7 +69,7 @@ def rfm_base(tx: DataFrame, reference_day: Column, *, customer="customer", date_
     named = F.when(F.col(customer).isNotNull(), F.col(row_id))
     return (tx.withColumn("cust_norm", name_key(customer))
               .groupBy("cust_norm")
-              .agg(recency.alias("recency_days"),
+              .agg(recency if reference_day is None else recency.alias("recency_days"),
                    F.countDistinct(date_col).alias("frequency"),
                    F.sum(m).cast(MONEY).alias("monetary_value"),
                    F.min_by(customer, named).alias("customer")))

@@ -72,7 +72,7 @@ report AS (SELECT cust_norm, customer, total_spent,
 
 
 def _cust(spark, d, view=V.visits):
-    return P.materialize(P.customer_table(view(spark, d)))
+    return P.customer_table(view(spark, d))
 
 
 @register("w07_global_rank", cust_sql() + """SELECT cust_norm, total_spent,
