@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from clientele.functions.dates import month_display, month_key
 from clientele.functions.text import name_key_nan
+from clientele.session import ensure_checkpoint_dir
 
 
 def cohort_rows(tx: DataFrame, customer: str = "customer", date_col: str = "tx_date") -> DataFrame:
@@ -26,11 +27,18 @@ def cohort_rows(tx: DataFrame, customer: str = "customer", date_col: str = "tx_d
     return j.select("cust", "month", "cohort", idx.cast("int").alias("cohort_index"))
 
 
-def cohort_counts(rows: DataFrame) -> DataFrame:
-    """Distinct customers per (cohort month, index); month as 'yyyy-MM'."""
-    return (rows.groupBy("cohort", "cohort_index")
-                .agg(F.countDistinct("cust").alias("n_customers"))
-                .select(month_key("cohort").alias("cohort_month"), "cohort_index", "n_customers"))
+def cohort_counts(rows: DataFrame, materialized: bool = False) -> DataFrame:
+    """Distinct customers per (cohort month, index); month as 'yyyy-MM'.
+
+    ``materialized``: checkpoint the result (at most months x months rows) when
+    several actions read it, so the transactions are aggregated once."""
+    out = (rows.groupBy("cohort", "cohort_index")
+               .agg(F.countDistinct("cust").alias("n_customers"))
+               .select(month_key("cohort").alias("cohort_month"), "cohort_index", "n_customers"))
+    if materialized:
+        ensure_checkpoint_dir(out.sparkSession)
+        out = out.checkpoint(eager=True)
+    return out
 
 
 def cohort_dense(counts: DataFrame) -> DataFrame:

@@ -39,21 +39,31 @@ MIN_CUSTOMERS = 10
 
 
 # ------------------------------------------------------------------ M1
-def repeat_summary(tx: DataFrame, obs_end, customer: str = "customer", date_col: str = "tx_date",
+def repeat_summary(tx: DataFrame, obs_end=None, customer: str = "customer", date_col: str = "tx_date",
                    money: str = "total_price") -> DataFrame:
     """M1 (C19): per customer at day grain — frequency = repeat days,
     recency = last - first day, T = observation end - first day,
     monetary_value = mean daily total over the days after the first (0 if
-    none).  Rows after ``obs_end`` are excluded."""
-    end = F.lit(str(obs_end)[:10]).cast("date")
-    days = (tx.where(F.col(date_col).isNotNull() & (F.to_date(date_col) <= end))
-              .groupBy(name_key_nan(customer).alias("cust"), F.to_date(date_col).alias("d"))
+    none).  Rows after ``obs_end`` are excluded.
+
+    ``obs_end=None`` means the last purchase date in the data: the
+    per-customer table is materialised and the end is the maximum of its
+    last days, so the transactions are not scanned a second time."""
+    t = tx.where(F.col(date_col).isNotNull())
+    if obs_end is not None:
+        t = t.where(F.to_date(date_col) <= F.lit(str(obs_end)[:10]).cast("date"))
+    days = (t.groupBy(name_key_nan(customer).alias("cust"), F.to_date(date_col).alias("d"))
               .agg(F.sum(money).cast("decimal(38,2)").alias("day_total")))
     first = F.min("d")
     agg = days.groupBy("cust").agg(
         first.alias("first_day"), F.max("d").alias("last_day"), F.count(F.lit(1)).alias("n_days"),
         F.sum("day_total").alias("all_total"),
         F.min_by("day_total", "d").alias("first_total"))
+    if obs_end is None:
+        agg = _materialize(agg)
+        last = agg.agg(F.max("last_day")).first()[0]
+        obs_end = str(last)[:10] if last is not None else "1970-01-01"
+    end = F.lit(str(obs_end)[:10]).cast("date")
     freq = (F.col("n_days") - 1).cast("long")
     return agg.select(
         "cust", freq.alias("frequency"),
@@ -116,12 +126,16 @@ def nelder_mead(f_batch, x0, max_iter: int = 400, tol: float = 1e-7):
     return pts[i], vals[i]
 
 
-def _materialize(df: DataFrame, rows_per_partition: int = 200_000) -> DataFrame:
-    """Checkpoint a small sufficient-statistics table, with partitions sized
-    to its row count (each optimiser step is one job over it)."""
+def _materialize(df: DataFrame, rows_per_partition: int | None = None) -> DataFrame:
+    """Checkpoint ``df`` (computed once); with ``rows_per_partition`` the
+    checkpointed rows are then coalesced to partitions of about that size
+    (each optimiser step is one job over them)."""
     ensure_checkpoint_dir(df.sparkSession)
-    n = df.count()
-    return df.repartition(max(1, -(-n // rows_per_partition))).checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if rows_per_partition:
+        n = out.count()
+        out = out.coalesce(max(1, -(-n // rows_per_partition)))
+    return out
 
 
 def _batch(grouped: DataFrame, cols: list[str], ll_np, n_total: int, penalizer: float):
@@ -155,7 +169,7 @@ def bgnbd_fit(summary: DataFrame, penalizer: float = PENALIZER, max_iter: int =
     """M2: BG/NBD parameters (r, alpha, a, b) from (frequency, recency, T)."""
     t_max = summary.agg(F.max("T")).first()[0]
     scale = 10.0 / float(t_max) if t_max else 1.0
-    grouped = _materialize(summary.groupBy("frequency", "recency", "T").agg(F.count(F.lit(1)).alias("w")))
+    grouped = _materialize(summary.groupBy("frequency", "recency", "T").agg(F.count(F.lit(1)).alias("w")), 200_000)
     n_total = grouped.agg(F.sum("w")).first()[0]
 
     def ll_np(x, rec, T, r, alpha, a, b):
@@ -178,7 +192,7 @@ def gamma_gamma_fit(summary: DataFrame, penalizer: float = PENALIZER, max_iter:
     """M3: Gamma-Gamma spend parameters (p, q, v) on repeat buyers with a
     positive mean spend."""
     rep = summary.where((F.col("frequency") > 0) & (F.col("monetary_value") > 0))
-    grouped = _materialize(rep.groupBy("frequency", "monetary_value").agg(F.count(F.lit(1)).alias("w")))
+    grouped = _materialize(rep.groupBy("frequency", "monetary_value").agg(F.count(F.lit(1)).alias("w")), 200_000)
     n_total = grouped.agg(F.sum("w")).first()[0]
 
     def ll_np(x, m, p, q, v):

@@ -32,9 +32,8 @@ pos AS (SELECT * FROM tx WHERE total_price > 0),
 
 
 def _clv_summary(spark, d):
-    t = V.tx(spark, d).where(F.col("total_price") > 0)
-    end = t.agg(F.max("tx_date")).first()[0]
-    return M.repeat_summary(t, end)
+    """Rows with a positive price; observation end = their last date."""
+    return M.repeat_summary(V.tx(spark, d).where(F.col("total_price") > 0))
 
 
 @register("m01_repeat_summary", CLV_SQL + "SELECT * FROM rs")
