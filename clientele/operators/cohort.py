@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from clientele.functions.dates import month_display, month_key
 from clientele.functions.text import name_key_nan
-from clientele.session import ensure_checkpoint_dir
+from clientele.session import checkpoint_once
 
 
 def cohort_rows(tx: DataFrame, customer: str = "customer", date_col: str = "tx_date") -> DataFrame:
@@ -36,8 +36,7 @@ def cohort_counts(rows: DataFrame, materialized: bool = False) -> DataFrame:
                .agg(F.countDistinct("cust").alias("n_customers"))
                .select(month_key("cohort").alias("cohort_month"), "cohort_index", "n_customers"))
     if materialized:
-        ensure_checkpoint_dir(out.sparkSession)
-        out = out.checkpoint(eager=True)
+        out = checkpoint_once(out)
     return out
 
 

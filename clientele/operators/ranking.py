@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from clientele.session import ensure_checkpoint_dir
+from clientele.session import checkpoint_once
 
 
 def _running_sum(batches):
@@ -59,7 +59,6 @@ def ordered_offsets(df: DataFrame, order_cols: list[str], weight: str | None = N
         return (df.withColumn("_w", w)
                   .withColumn("_before", F.coalesce(F.sum("_w").over(win), F.lit(0)).cast("long")))
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     w = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
     ranged = (df.withColumn("_w", w)
@@ -67,7 +66,7 @@ def ordered_offsets(df: DataFrame, order_cols: list[str], weight: str | None = N
                 .sortWithinPartitions(*order_cols)
                 .withColumn("_pid", F.spark_partition_id()))
     schema = StructType(ranged.schema.fields + [StructField("_local", LongType(), False)])
-    local = ranged.mapInPandas(_running_sum, schema).checkpoint(eager=True)
+    local = checkpoint_once(ranged.mapInPandas(_running_sum, schema))
     totals = local.groupBy("_pid").agg(F.sum("_w").alias("_tot"))
     prior = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", F.coalesce(F.sum("_tot").over(prior), F.lit(0)).cast("long").alias("_off"))

@@ -15,7 +15,7 @@ from pyspark.sql.types import DateType
 from clientele.functions import scores as S
 from clientele.operators import rfm as R
 from clientele.operators import tertiles as T
-from clientele.session import ensure_checkpoint_dir
+from clientele.session import checkpoint_once
 
 REPORT_COLUMNS = ["cust_norm", "customer", "total_spent", "status", "recency_days", "frequency",
                   "total_items", "r_score", "f_score", "m_score", "rfm_class", "item_summary"]
@@ -23,8 +23,7 @@ REPORT_COLUMNS = ["cust_norm", "customer", "total_spent", "status", "recency_day
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return checkpoint_once(df)
 
 
 def customer_table(tx: DataFrame, *, customer="customer", date_col="tx_date", money="total_price",

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from clientele.functions.text import name_key_nan
-from clientele.session import ensure_checkpoint_dir
+from clientele.session import checkpoint_once
 
 HALF_LOG_2PI = 0.5 * math.log(2 * math.pi)
 # The dashboard's model settings.
@@ -130,8 +130,7 @@ def _materialize(df: DataFrame, rows_per_partition: int | None = None) -> DataFr
     """Checkpoint ``df`` (computed once); with ``rows_per_partition`` the
     checkpointed rows are then coalesced to partitions of about that size
     (each optimiser step is one job over them)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
+    out = checkpoint_once(df)
     if rows_per_partition:
         n = out.count()
         out = out.coalesce(max(1, -(-n // rows_per_partition)))

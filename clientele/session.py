@@ -54,3 +54,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="clientele-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
+
+
+def checkpoint_once(df):
+    """Reliable checkpoint computed once.
+
+    An eager ``checkpoint()`` of an unpersisted frame runs its plan twice
+    (once to materialise, once to write the files); persisting for the
+    duration avoids that.  The result reads from the shared checkpoint
+    folder, so lineage is cut and executor loss re-reads files."""
+    from pyspark import StorageLevel
+    ensure_checkpoint_dir(df.sparkSession)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
