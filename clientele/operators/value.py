@@ -1,15 +1,14 @@
 """Customer value models.
 
 M1 is two grouped aggregates.  The model fits (M2, M3) keep only their 3-4
-parameters on the driver: every likelihood evaluation of the optimiser is one
-Spark aggregate over the *pre-grouped* sufficient statistics (distinct
-(x, t_x, T) or (x, m) with a count), materialised once in the checkpoint
-folder.  M4 scores customers with an Arrow-batched pandas UDF (the
-hypergeometric series has no native Spark form); parameters are literals.
-
-Each evaluation is one single-stage ``mapInPandas`` job (NumPy over Arrow
-batches, one partial sum per partition and candidate), so the optimiser
-neither shuffles nor regenerates code per step.
+parameters on the driver: each optimiser step is one Spark job over the
+*pre-grouped* sufficient statistics (distinct (x, t_x, T) or (x, m) with a
+count), materialised once in the checkpoint folder.  The job is a single
+``mapInPandas`` stage (NumPy over Arrow batches) returning one partial
+log-likelihood sum per partition and candidate, so a step neither shuffles
+nor regenerates code.  M4 scores customers with an Arrow-batched pandas UDF
+(the hypergeometric series has no native Spark form); parameters are
+closure constants.
 
 Model semantics follow the published BG/NBD (Fader, Hardie & Lee 2005) and
 Gamma-Gamma (Fader & Hardie 2013) likelihoods with an L2 penalty on the

@@ -158,7 +158,7 @@ def _fits(spark, d):
 
 @register("m02_bgnbd_fit")
 def m02_bgnbd_fit(spark, d):
-    """M2: BG/NBD parameters (one row); the likelihood is a Spark aggregate."""
+    """M2: BG/NBD parameters (one row); each likelihood step is summed by Spark tasks."""
     summary = _clv_summary(spark, d)
     bg = M.bgnbd_fit(summary)
     return summary.agg(*[F.lit(bg[k]).alias(k) for k in ("r", "alpha", "a", "b", "neg_ll")])
