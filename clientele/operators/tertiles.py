@@ -1,8 +1,8 @@
 """Three-label scores from the data's own distribution.
 
-All three scorers label rows through native expressions; the only driver
-work is reading two cut points (value tertiles) or nothing at all (rank and
-fair tertiles use the distributed global order of ``ranking``).
+All scorers label rows through native expressions.  The driver reads only
+scalars: two cut points and min/max (value tertiles) or a row / distinct
+count (rank and fair tertiles, which use the global order of ``ranking``).
 """
 
 from __future__ import annotations
