@@ -61,8 +61,13 @@ def flow_nodes(edges: DataFrame) -> DataFrame:
 
 
 def with_stage(df: DataFrame, items: str = "total_items", cap: int = STAGE_CAP) -> DataFrame:
-    """F-stage = item count top-coded at ``cap`` (null stays null)."""
-    return df.withColumn("fstage", F.least(F.col(items), F.lit(cap)))
+    """F-stage = item count top-coded at ``cap`` (null stays null;
+    Spark's ``least`` alone would turn a null into the cap)."""
+    return df.withColumn("fstage", _capped(F.col(items), cap))
+
+
+def _capped(c: Column, cap: int = STAGE_CAP) -> Column:
+    return F.when(c.isNotNull(), F.least(c, F.lit(cap)))
 
 
 def stage_mix(scored: DataFrame) -> DataFrame:
@@ -101,6 +106,50 @@ def movement(before: DataFrame, after: DataFrame, key: str = "cust_norm") -> Dat
     return j.withColumn("merge", merge).withColumn("movement", cls).drop("_in_before", "_in_after")
 
 
+def side_by_side(both: DataFrame, before, after, key: str = "cust_norm",
+                 cols=("rfm_class", "total_items", "r_score")) -> DataFrame:
+    """One row per customer with ``<col>_before`` / ``<col>_after`` and
+    presence flags, from a multi-snapshot RFM table (``rfm_snapshots``).
+
+    A single ``groupBy(customer)`` with conditional aggregates replaces the
+    two filtered branches and their join, so the transactions behind
+    ``both`` are scanned once and nothing is materialised."""
+    b = F.lit(str(before)[:10]).cast("date")
+    a = F.lit(str(after)[:10]).cast("date")
+    snap = F.col("snapshot")
+    aggs = [F.max(F.when(snap == b, True)).alias("_in_before"), F.max(F.when(snap == a, True)).alias("_in_after")]
+    for c in cols:
+        aggs += [F.max(F.when(snap == b, F.col(c))).alias(f"{c}_before"),
+                 F.max(F.when(snap == a, F.col(c))).alias(f"{c}_after")]
+    return both.where(snap.isin(b, a)).groupBy(key).agg(*aggs)
+
+
+def flow_edges_one_pass(both: DataFrame, before, after, key: str = "cust_norm") -> DataFrame:
+    """J6 from a multi-snapshot table: customers present at ``after``; old
+    category 'New Customer' when absent at ``before``."""
+    sbs = side_by_side(both, before, after, key, cols=("rfm_class",))
+    return (sbs.where(F.col("_in_after"))
+               .select(key, F.coalesce(F.col("rfm_class_before"), F.lit(NEW_CUSTOMER)).alias("old_category"),
+                       F.col("rfm_class_after").alias("new_category")))
+
+
+def movement_one_pass(both: DataFrame, before, after, key: str = "cust_norm") -> DataFrame:
+    """J7 + X24 from a multi-snapshot table: the same classes as ``movement``."""
+    sbs = side_by_side(both, before, after, key, cols=("total_items", "r_score"))
+    ib, ia = F.coalesce("_in_before", F.lit(False)), F.coalesce("_in_after", F.lit(False))
+    sb = _capped(F.col("total_items_before"))
+    sa = _capped(F.col("total_items_after"))
+    rb, ra = score_rank("r_score_before"), score_rank("r_score_after")
+    both_sides = ib & ia
+    cls = (F.when(ia & ~ib, "New")
+            .when(both_sides & (sa == sb) & (F.col("r_score_after") == F.col("r_score_before")), "Stay")
+            .when(both_sides & (sa == sb) & (rb > ra), "Downgrade")
+            .when(both_sides & ((sa > sb) | ((sa == sb) & (ra > rb))), "Upgrade"))
+    merge = F.when(ib & ia, "both").when(ia, "left_only").otherwise("right_only")
+    return sbs.select(key, sb.alias("fstage_before"), F.col("r_score_before"), sa.alias("fstage_after"),
+                      F.col("r_score_after"), merge.alias("merge"), cls.alias("movement"))
+
+
 def movement_counts(moves: DataFrame) -> DataFrame:
     """X24 summary: the four classes with their counts (0 included), from one
     conditional aggregate unpivoted with ``stack``."""

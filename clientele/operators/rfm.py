@@ -142,6 +142,53 @@ def rfm(tx: DataFrame, snapshot, members: DataFrame | None = None, *,
                       "rfm_class", "item_summary")
 
 
+def rfm_snapshots(tx: DataFrame, snapshots: list, members: DataFrame | None = None, *,
+                  include_next_day: bool = True, recency_offset: int = 2,
+                  cutoffs: S.RuleCutoffs = S.DEFAULT_CUTOFFS, customer="customer", date_col="tx_date",
+                  money="total_price", item="item", row_id="row_id", member_name="name") -> DataFrame:
+    """``rfm`` at several snapshot dates in one pass over the transactions.
+
+    Each row is tagged with every snapshot whose cut it falls under
+    (``explode`` over a short literal array — no join), then all metrics are
+    grouped by (snapshot, customer).  The fan-out is bounded by the number of
+    snapshots given.  Output: ``rfm``'s columns plus ``snapshot`` (DATE).
+    """
+    if not isinstance(tx.schema[date_col].dataType, DateType):
+        raise ValueError("rfm_snapshots needs a DATE column; cut timestamps with to_date first")
+    snaps = F.array(*[_as_date(s) for s in snapshots])
+    shift = 1 if include_next_day else 0
+    d = F.col(date_col)
+    tagged = (tx.where(d.isNotNull())
+                .withColumn("snapshot", F.explode(F.filter(snaps, lambda s: d <= F.date_add(s, shift)))))
+    m = F.coalesce(F.col(money).try_cast(MONEY), F.lit(0).cast(MONEY))
+    named = F.when(F.col(customer).isNotNull(), F.col(row_id))
+    keyed = tagged.withColumn("cust_norm", name_key(customer))
+    base = keyed.groupBy("snapshot", "cust_norm").agg(
+        F.datediff(F.date_add(F.col("snapshot"), recency_offset), F.max(date_col)).cast("long").alias("recency_days"),
+        F.countDistinct(date_col).alias("frequency"),
+        F.sum(m).cast(MONEY).alias("monetary_value"),
+        F.min_by(customer, named).alias("customer"))
+    per_item = (keyed.withColumn("item_norm", name_key(item)).where(F.col("item_norm") != "")
+                     .groupBy("snapshot", "cust_norm", "item_norm").agg(F.count(F.lit(1)).alias("n")))
+    arr = F.array_sort(F.collect_list(F.struct(F.col("item_norm").alias("item"), F.col("n"))))
+    items = (per_item.groupBy("snapshot", "cust_norm")
+                     .agg(F.sum("n").cast("long").alias("total_items"), arr.alias("items"))
+                     .withColumn("item_summary", F.array_join(
+                         F.transform("items", lambda x: F.concat(x["item"], F.lit(" ("), x["n"].cast("string"),
+                                                                  F.lit(")"))), ", "))
+                     .drop("items"))
+    out = (base.join(items, ["snapshot", "cust_norm"], "left")
+               .withColumn("total_items", F.coalesce("total_items", F.lit(0).cast("long")))
+               .withColumn("item_summary", F.coalesce("item_summary", F.lit(""))))
+    out = (out.withColumn("r_score", S.r_rule("recency_days", cutoffs))
+              .withColumn("f_score", S.f_rule("total_items", cutoffs))
+              .withColumn("m_score", S.m_rule("monetary_value", cutoffs)))
+    out = out.withColumn("rfm_class", S.segment("r_score", "f_score", "m_score"))
+    out = member_flag(out, members, member_name)
+    return out.select("snapshot", "cust_norm", "customer", "monetary_value", "status", "recency_days",
+                      "frequency", "total_items", "r_score", "f_score", "m_score", "rfm_class", "item_summary")
+
+
 def segment_counts(scored: DataFrame, segment_col: str = "rfm_class") -> DataFrame:
     """A8 + P13: customers per segment and percent share of the total.
 

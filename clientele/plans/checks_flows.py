@@ -123,3 +123,20 @@ def f13_flow_drilldown(spark, d):
     b, a = _two(spark, d)
     links = W.flow_links(W.flow_edges(b, a))
     return links.where(F.col("old_category") == W.NEW_CUSTOMER).select("old_category", "new_category", "n_customers")
+
+
+def _both(spark, d):
+    return R.rfm_snapshots(V.visits(spark, d), [B, A], V.members(spark, d))
+
+
+@register("j06_segment_flow_one_pass", two_snapshots_sql() + EDGES + "SELECT cust_norm, old_category, new_category FROM edges")
+def j06_segment_flow_one_pass(spark, d):
+    """J6 from ``rfm_snapshots``: both snapshots from one scan (rows tagged by
+    explode, fan-out bounded by the snapshot count), then one groupBy."""
+    return W.flow_edges_one_pass(_both(spark, d), B, A)
+
+
+@register("j07_snapshot_compare_one_pass", two_snapshots_sql() + MOVES + "SELECT * FROM mv")
+def j07_snapshot_compare_one_pass(spark, d):
+    """J7 + X24 from ``rfm_snapshots`` (one scan, one groupBy per customer)."""
+    return W.movement_one_pass(_both(spark, d), B, A)

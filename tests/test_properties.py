@@ -67,3 +67,17 @@ def test_fair_tertiles_equal_values_share_a_label(spark, values):
     order = {"Low": 0, "Medium": 1, "High": 2}
     ranked = sorted((v, order[next(iter(s))]) for v, s in labels.items())
     assert all(a[1] <= b[1] for a, b in zip(ranked, ranked[1:]))  # monotone in the value
+
+
+def test_rfm_snapshots_equals_single_snapshots(spark):
+    v, m = V.visits(spark, SF_SMALL), V.members(spark, SF_SMALL)
+    both = R.rfm_snapshots(v, [V.SNAPSHOT_BEFORE, V.SNAPSHOT_AFTER], m)
+    for s in (V.SNAPSHOT_BEFORE, V.SNAPSHOT_AFTER):
+        one = sorted(map(tuple, R.rfm(v, s, m).collect()))
+        got = sorted(map(tuple, both.where(F.col("snapshot") == F.lit(s).cast("date")).drop("snapshot").collect()))
+        assert one == got
+
+
+def test_stage_cap_keeps_null(spark):
+    df = spark.createDataFrame([(None,), (30,), (5,)], "total_items long")
+    assert [r.fstage for r in W.with_stage(df).collect()] == [None, 24, 5]
