@@ -82,15 +82,17 @@ def global_rank(df: DataFrame, order_cols: list[str], out: str = "rank", n_rows:
             .withColumn(out, F.col("_before") + 1).drop("_before", "_w"))
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], n_distinct: int | None = None) -> list[float | None]:
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], n_distinct: int | None = None,
+                    n_values: int | None = None) -> list[float | None]:
     """Exact linear-interpolated quantiles (NumPy 'linear', DuckDB
     ``quantile_cont``).  Values are pre-aggregated to (value, count) first, so
     a heavily repeated value is one row; only the <= 2 order statistics per
-    probability reach the driver."""
+    probability reach the driver.  ``n_distinct`` / ``n_values``: counts the
+    caller already measured (distinct and non-null values)."""
     vals = (df.select(F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
               .groupBy("_v").agg(F.count(F.lit(1)).alias("_cnt")))
     off = ordered_offsets(vals, ["_v"], "_cnt", n_rows=n_distinct)
-    total = off.agg(F.sum("_w")).first()[0]
+    total = n_values if n_values is not None else off.agg(F.sum("_w")).first()[0]
     if not total:
         return [None for _ in probs]
     positions = set()

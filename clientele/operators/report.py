@@ -56,10 +56,15 @@ def customer_table(tx: DataFrame, *, customer="customer", date_col="tx_date", mo
 
 def score_report(cust: DataFrame) -> DataFrame:
     """W8 on recency (High/Medium/Low), W9 on money ranks, W10 on frequency;
-    segment miss -> 'Undefined'."""
-    out = T.value_tertiles(cust, "recency_days", "r_score", T.HIGH_MED_LOW)
-    out = T.rank_tertiles(out, "total_spent", ["cust_norm"], "m_score", T.LOW_MED_HIGH)
-    out = T.fair_tertiles(out, "frequency", "f_score", T.LOW_MED_HIGH)
+    segment miss -> 'Undefined'.  The statistics all three scorers need come
+    from one aggregate over the customer table."""
+    row = cust.agg(*T.value_stats("recency_days", "r_"), F.count_distinct("total_spent").alias("m_nd"),
+                   F.count(F.lit(1)).alias("rows"), F.count_distinct("frequency").alias("f_nd")).first()
+    r_stats = {k[2:]: row[k] for k in ("r_mn", "r_mx", "r_nd", "r_n")}
+    out = T.value_tertiles(cust, "recency_days", "r_score", T.HIGH_MED_LOW, stats=r_stats)
+    out = T.rank_tertiles(out, "total_spent", ["cust_norm"], "m_score", T.LOW_MED_HIGH,
+                          stats={"nd": row["m_nd"], "rows": row["rows"]})
+    out = T.fair_tertiles(out, "frequency", "f_score", T.LOW_MED_HIGH, n_distinct=row["f_nd"])
     return out.withColumn("rfm_class", S.segment("r_score", "f_score", "m_score"))
 
 

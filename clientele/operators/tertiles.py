@@ -27,7 +27,7 @@ def equal_width_edges(mn: float, mx: float) -> tuple[float, float]:
     return 1 * step + mn, 2 * step + mn
 
 
-def value_tertiles(df: DataFrame, col: str, out: str, labels=LOW_MED_HIGH) -> DataFrame:
+def value_tertiles(df: DataFrame, col: str, out: str, labels=LOW_MED_HIGH, stats: dict | None = None) -> DataFrame:
     """W8 (+W11 fallback): right-closed tertiles of the values.
 
     Edges are the exact 1/3 and 2/3 quantiles (C7: a value exactly on an edge
@@ -35,43 +35,50 @@ def value_tertiles(df: DataFrame, col: str, out: str, labels=LOW_MED_HIGH) -> Da
     label; duplicated edges (min = q1, q1 = q2 or q2 = max) fall back to
     equal-width bins over [min, max], as the reference's exception path does.
     """
-    stats = df.agg(F.min(col).cast("double").alias("mn"), F.max(col).cast("double").alias("mx"),
-                   F.count_distinct(col).alias("nd")).first()
+    if stats is None:
+        stats = df.agg(*value_stats(col)).first().asDict()
     if stats["nd"] is None or stats["nd"] <= 1:
         return df.withColumn(out, F.lit(labels[1]))
-    q1, q2 = exact_quantiles(df, col, [1 / 3, 2 / 3], n_distinct=stats["nd"])
+    q1, q2 = exact_quantiles(df, col, [1 / 3, 2 / 3], n_distinct=stats["nd"], n_values=stats["n"])
     edges = [stats["mn"], q1, q2, stats["mx"]]
     if len(set(edges)) < 4:
         q1, q2 = equal_width_edges(stats["mn"], stats["mx"])
     return df.withColumn(out, _label(F.col(col).cast("double"), q1, q2, labels))
 
 
+def value_stats(col: str, prefix: str = ""):
+    """Aggregate expressions a scorer needs about ``col`` (min, max, distinct
+    and non-null counts), so a caller can compute several in one pass."""
+    return [F.min(col).cast("double").alias(prefix + "mn"), F.max(col).cast("double").alias(prefix + "mx"),
+            F.count_distinct(col).alias(prefix + "nd"), F.count(col).alias(prefix + "n")]
+
+
 def rank_tertiles(df: DataFrame, col: str, tie_cols: list[str], out: str,
-                  labels=LOW_MED_HIGH) -> DataFrame:
+                  labels=LOW_MED_HIGH, stats: dict | None = None) -> DataFrame:
     """Tertiles of the rank (ties in row order given by ``tie_cols``).
 
     For rank k of n: first label iff 3(k-1) < n-1, second iff 3(k-1) < 2(n-1),
     else third — the integer form of quantile edges on ranks.  One distinct
     value -> middle label.
     """
-    st = df.agg(F.count_distinct(col).alias("nd"), F.count(F.lit(1)).alias("n")).first()
+    st = stats or df.agg(F.count_distinct(col).alias("nd"), F.count(F.lit(1)).alias("rows")).first().asDict()
     if st["nd"] is None or st["nd"] <= 1:
         return df.withColumn(out, F.lit(labels[1]))
-    ranked = ordered_offsets(df, [col] + list(tie_cols), n_rows=st["n"])
-    total = st["n"]
+    total = st["rows"]
+    ranked = ordered_offsets(df, [col] + list(tie_cols), n_rows=total)
     k1 = F.col("_before")  # k - 1
     lab = (F.when(3 * k1 < total - 1, labels[0]).when(3 * k1 < 2 * (total - 1), labels[1])
             .otherwise(labels[2]))
     return ranked.withColumn(out, lab).drop("_before", "_w")
 
 
-def fair_tertiles(df: DataFrame, col: str, out: str, labels=LOW_MED_HIGH) -> DataFrame:
+def fair_tertiles(df: DataFrame, col: str, out: str, labels=LOW_MED_HIGH, n_distinct: int | None = None) -> DataFrame:
     """W10 (+W12): tertiles over the *distinct* values so equal values share
     a label.  1 distinct value -> first label; 2 -> first, second; more ->
     index i of the value among d sorted distinct values: first iff
     3i <= d-1, second iff 3i <= 2(d-1), else third (exact edges, C7)."""
     distinct = df.select(F.col(col).alias("_v")).where(F.col("_v").isNotNull()).distinct()
-    d = distinct.count()
+    d = n_distinct if n_distinct is not None else distinct.count()
     idx = ordered_offsets(distinct, ["_v"], n_rows=d)
     i = F.col("_before")
     if d == 1:
