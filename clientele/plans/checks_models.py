@@ -201,3 +201,24 @@ def m11_feature_importances(spark, d):
     split = C.stratified_split(_ts(spark, d))
     model = C.train_forest(split.where(F.col("split") == "train"))
     return C.feature_importances(model, spark)
+
+
+@register("a24_clv_histogram")
+def a24_clv_histogram(spark, d):
+    """A24 on the value model: 50 equal-width bins of positive predicted CLV."""
+    from clientele.operators.series import histogram
+    summary, bg, gg = _fits(spark, d)
+    scored = M.clv(summary, bg, gg, 365).where(F.col("predicted_clv") > 0)
+    return histogram(scored, "predicted_clv", 50)
+
+
+@register("m10_forest_metrics")
+def m10_forest_metrics(spark, d):
+    """M9 + M10 on the forest's test-split probabilities: AUC with the class
+    report rows (one row per class)."""
+    split = C.stratified_split(_ts(spark, d))
+    model = C.train_forest(split.where(F.col("split") == "train"))
+    pred = C.predict_scores(model, split.where(F.col("split") == "test")).select("churned", "score")
+    auc = C.auc(pred).select("auc")
+    one = F.lit(1).alias("_k")
+    return (C.class_report(pred).select("*", one).join(auc.select("*", one), "_k").drop("_k"))

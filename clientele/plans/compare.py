@@ -10,7 +10,8 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 # Keys checked rows-only: model fits, order-dependent folds and their consumers.
 ROWS_ONLY = {"w15_entity_resolution", "a07_merge_persons", "m02_bgnbd_fit", "m03_gamma_gamma_fit",
-             "m04_clv", "t08_top_clv", "m08_forest_scores", "m11_feature_importances"}
+             "m04_clv", "t08_top_clv", "m08_forest_scores", "m11_feature_importances",
+             "a24_clv_histogram", "m10_forest_metrics"}
 
 
 def norm(v):
