@@ -80,6 +80,19 @@ def resolve_persons(df: DataFrame, *, name: str = "name", no: str = "no", birth_
     return keyed.select(*cols).unionByName(nulls.select(*cols))
 
 
+def fold_bounds(df: DataFrame, *, name: str = "name", birth_date: str = "birth_date",
+                address: str = "address") -> DataFrame:
+    """The size the fold works on: names, and for the largest name its
+    records and distinct signatures (the array the fold walks).  One row."""
+    bd = blank_to_null(F.col(birth_date).cast("string"))
+    ad = F.lower(strip_ws(blank_to_null(F.col(address).cast("string"))))
+    per_name = (df.where(F.col(name).isNotNull())
+                  .groupBy(name).agg(F.count(F.lit(1)).alias("records"),
+                                     F.count_distinct(F.struct(bd.alias("b"), ad.alias("a"))).alias("signatures")))
+    return per_name.agg(F.count(F.lit(1)).alias("n_names"), F.max("records").alias("max_records"),
+                        F.max("signatures").alias("max_signatures"))
+
+
 def first_valid(c: str, order: Column) -> Column:
     """A5: first non-blank value in order, else first non-null, else null."""
     v = F.col(c)

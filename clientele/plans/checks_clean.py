@@ -210,3 +210,15 @@ def a07_merge_persons(spark, d):
     yes/no); the per-column plan is built from the schema on the driver."""
     r = U.resolve_persons(V.member_records(spark, d))
     return U.merge_persons(r, yes_no=["delivery"])
+
+
+@register("w15_fold_bounds", V.with_views("member_records") + f"""SELECT count(*) AS n_names, max(records) AS max_records,
+    max(signatures) AS max_signatures FROM (
+  SELECT name, count(*) AS records, count(DISTINCT (bd, ad)) AS signatures FROM (
+    SELECT name, CASE WHEN regexp_matches(birth_date, '^\\s*$') THEN NULL ELSE birth_date END AS bd,
+      lower({strip_sql("CASE WHEN regexp_matches(address, '^\\s*$') THEN NULL ELSE address END")}) AS ad
+    FROM member_records WHERE name IS NOT NULL) GROUP BY name)""")
+def w15_fold_bounds(spark, d):
+    """W15 diagnostics: records and distinct signatures of the largest name
+    (the fold's array size is the signature count)."""
+    return U.fold_bounds(V.member_records(spark, d))
