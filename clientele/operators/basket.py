@@ -3,9 +3,9 @@ X12, X13).
 
 Pair expansion (X27) runs on *distinct* (basket, item) rows: however many
 rows a hot basket holds, it expands to at most d·(d-1)/2 pairs for its d
-distinct items, and the expansion is a sort-merge self-join on the basket
-key, so AQE's skew-join handling splits a large basket across tasks
-instead of expanding it inside one row.
+distinct items (bounded by the catalogue, not by rows), and the expansion is
+a sort-merge self-join on the basket key, so AQE's skew-join handling splits
+a large basket across tasks instead of expanding it inside one row.
 """
 
 from __future__ import annotations
@@ -36,16 +36,21 @@ def multi_item(b: DataFrame) -> DataFrame:
 
 def pair_counts(tx: DataFrame, keys=("customer", "tx_date", "ticket"), item: str = "item") -> DataFrame:
     """For every unordered pair of distinct items, the number of
-    baskets (with > 1 item row) containing both; pairs satisfy a < b."""
+    baskets (with > 1 item row) containing both; pairs satisfy a < b.
+
+    Rows are first reduced to (basket, item) counts; the basket's row total
+    is a window partitioned by the basket over those (at most one row per
+    distinct item of a basket); the self-join then runs on that same
+    partitioning, and the pairs are counted in one final aggregate."""
     present = [k for k in keys if k in tx.columns]
     t = tx.where(F.col(item).isNotNull())
     for k in present:
         t = t.where(F.col(k).isNotNull())
     if "customer" in present:
         t = t.withColumn("customer", name_key_nan("customer"))
-    rows = t.groupBy(*present).agg(F.count(F.lit(1)).alias("_rows"))
-    eligible = rows.where(F.col("_rows") > 1).select(*present)
-    bi = t.select(*present, F.col(item).alias("it")).distinct().join(eligible, present, "left_semi")
+    bi = t.groupBy(*present, F.col(item).alias("it")).agg(F.count(F.lit(1)).alias("_c"))
+    bi = (bi.withColumn("_rows", F.sum("_c").over(Window.partitionBy(*present)))
+            .where(F.col("_rows") > 1).select(*present, "it"))
     a = bi.select(*present, F.col("it").alias("item_a"))
     b = bi.select(*present, F.col("it").alias("item_b"))
     pairs = a.join(b, present).where(F.col("item_a") < F.col("item_b"))
