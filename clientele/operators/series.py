@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clientele.functions.dates import month_key
 from clientele.functions.text import name_key_nan
+from clientele.session import checkpoint_once
 
 MONEY = "decimal(38,2)"
 
@@ -44,7 +45,9 @@ def decompose(series: DataFrame, order_col: str, value_col: str, period: int | N
     construction; the trend numerator is an exact decimal sum.
     """
     w = Window.orderBy(order_col)
-    s = series.withColumn("_t", (F.row_number().over(w) - 1).cast("int"))
+    # the series is materialised once (one row per month): counting it and
+    # decomposing it then read the same small table, not the transactions twice
+    s = checkpoint_once(series.withColumn("_t", (F.row_number().over(w) - 1).cast("int")))
     n = s.count()
     p = period or decomposition_period(n)
     if not p:
