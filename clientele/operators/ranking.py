@@ -58,12 +58,13 @@ def ordered_offsets(df: DataFrame, order_cols: list[str], weight: str | None = N
         win = Window.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
         return (df.withColumn("_w", w)
                   .withColumn("_before", F.coalesce(F.sum("_w").over(win), F.lit(0)).cast("long")))
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     w = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
-    ranged = (df.withColumn("_w", w)
-                .repartitionByRange(n, *order_cols)
-                .sortWithinPartitions(*order_cols)
+    weighted = df.withColumn("_w", w)
+    # Without an explicit count AQE sizes the ranges to the data; coalesced
+    # partitions are contiguous ranges, so partition ids still follow the order.
+    ranged = (weighted.repartitionByRange(*order_cols) if num_partitions is None
+              else weighted.repartitionByRange(num_partitions, *order_cols))
+    ranged = (ranged.sortWithinPartitions(*order_cols)
                 .withColumn("_pid", F.spark_partition_id()))
     schema = StructType(ranged.schema.fields + [StructField("_local", LongType(), False)])
     local = checkpoint_once(ranged.mapInPandas(_running_sum, schema))
