@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clientele.llm import exact_dedup, mixing, packing, quality, sharding, toxicity
+from clientele.llm import exact_dedup, jaccard_join, mixing, packing, quality, sharding, toxicity
 from clientele.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_quality_classifier, op4_exact_dedup, op6_mixing,
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_quality_classifier, op4_exact_dedup, op5_jaccard_join, op6_mixing,
                                    op10_packing)}
 ORACLE_SQL = {"op4_exact_dedup": exact_dedup.ORACLE, "op6_mixing": mixing.ORACLE}
