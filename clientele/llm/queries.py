@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clientele.llm import exact_dedup, jaccard_join, mixing, packing, quality, sharding, toxicity
+from clientele.llm import (backoff_lm, exact_dedup, jaccard_join, line_templates, mixing, nearest, packing, quality,
+                           sharding, toxicity)
 from clientele.llm.common import table
 
 
-def _tokenizer() -> str:
+def word_tokenizer() -> str:
+    """Path of the tokenizer that op10 packs for."""
     import public_tokenizers
     return public_tokenizers.path("word_bpe_49k.json")
 
@@ -37,10 +40,26 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.backoff_scores(table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped, and the CRC-32 of the text that stays (a null text: null)."""
+    kept = line_templates.drop_recurring_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped",
+                       F.crc32(F.col("text").cast("binary")).alias("kept_crc32"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer())
+    return packing.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_quality_classifier, op4_exact_dedup, op5_jaccard_join, op6_mixing,
-                                   op10_packing)}
+QUERIES = {f.__name__: f for f in (
+    op1_toxicity, op2_sharding, op3_quality_classifier, op4_exact_dedup, op5_jaccard_join, op6_mixing,
+    op7_nearest_neighbours, op8_lm_scoring, op9_line_dedup, op10_packing)}
 ORACLE_SQL = {"op4_exact_dedup": exact_dedup.ORACLE, "op6_mixing": mixing.ORACLE}
