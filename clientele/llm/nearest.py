@@ -29,7 +29,7 @@ from clientele.llm.common import materialize
 
 TOP = 20
 #: Vectors a list should hold, lists at most, sampled vectors for the centres at most, share of the lists that a query probes.
-LIST_SIZE, MOST_LISTS, SAMPLE, PROBED = 1024, 1024, 16_384, 0.5
+LIST_SIZE, MOST_LISTS, SAMPLE, PROBED = 1024, 1024, 16_384, 0.75
 #: Rows of a piece of a list, queries of a block, components of a column block, confidence of the test (in standard errors).
 PIECE, QUERIES, COLUMNS, CONFIDENCE = 4096, 512, 16, 2.1
 
