@@ -26,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clientele.llm import textops
@@ -109,10 +109,11 @@ def _document_table(docs: DataFrame, id_col: str, text_col: str, shingle: int, p
         run, f"id {kind}, words long, fp_a long, fp_b long, n long, low array<bigint>"))
 
 
-def _frequent_tokens(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _frequent_tokens(nodes: DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the frequent tokens, sorted, and the place of each in the
     order of the frequent ones (rarest first)."""
-    rows = (nodes.select(F.explode("low").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    size = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + _common("n", percent)
+    rows = (nodes.select(F.explode(F.slice("low", F.lit(1), size.cast("int"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
             .filter(F.col("df") > FREQUENT).orderBy(F.desc("df"), "token").limit(MOST).toArrow())
     token = rows.column("token").to_numpy().view(np.uint64)
     df = rows.column("df").to_numpy()
@@ -138,11 +139,10 @@ def _prefix(tokens: np.ndarray, n: int, percent: int, frequent: np.ndarray, rank
 
 
 def _prefix_rows(ids: pa.Array, sizes: list[int], prefixes: list[np.ndarray | None]) -> pa.RecordBatch:
-    """A row for each prefix token; a row without token for a set that is still to be read."""
-    parts = [p if p is not None else np.zeros(1, np.uint64) for p in prefixes]
+    """A row for each prefix token; none for a set that is still to be read."""
+    parts = [p if p is not None else np.zeros(0, np.uint64) for p in prefixes]
     at = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    token = pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64),
-                     mask=np.array([p is None for p in prefixes], bool)[at])
+    token = pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64))
     return pa.RecordBatch.from_arrays(
         [ids.take(pa.array(at)), pa.array(np.array(sizes, np.int64)[at]), token], names=["node", "n", "token"])
 
@@ -157,20 +157,26 @@ def _texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Da
 
 def _shared_prefixes(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle: int,
                      percent: int) -> DataFrame:
-    """(token, node, n): prefix tokens that at least two nodes have, written."""
+    """(token, node, n, df): prefix tokens that at least two nodes have, written."""
     kind = nodes.schema["id"].dataType.simpleString()
     schema = f"node {kind}, n long, token long"
-    shared = docs.sparkSession.sparkContext.broadcast(_frequent_tokens(nodes))  # MOST entries at most
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent_tokens(nodes, percent))  # MOST entries at most
+
+    def prefixes(batch):
+        low = batch.column(2)
+        ends = np.cumsum([0, *pc.list_value_length(low).to_pylist()])
+        flat = low.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        sizes = batch.column(1).to_pylist()
+        return sizes, [_prefix(flat[a:b], n, percent, *shared.value)
+                       for a, b, n in zip(ends[:-1].tolist(), ends[1:].tolist(), sizes, strict=True)]
 
     def from_low(batches):
         for batch in batches:
-            low = batch.column(2)
-            ends = np.cumsum([0, *pc.list_value_length(low).to_pylist()])
-            flat = low.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            sizes = batch.column(1).to_pylist()
-            yield _prefix_rows(batch.column(0), sizes, [
-                _prefix(flat[a:b], n, percent, *shared.value)
-                for a, b, n in zip(ends[:-1].tolist(), ends[1:].tolist(), sizes, strict=True)])
+            yield _prefix_rows(batch.column(0), *prefixes(batch))
+
+    def unread(batches):
+        for batch in batches:
+            yield batch.select([0]).filter(pa.array([p is None for p in prefixes(batch)[1]], pa.bool_()))
 
     def from_text(batches):
         for batch in batches:
@@ -179,47 +185,35 @@ def _shared_prefixes(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: s
                 yield _prefix_rows(batch.column(0).slice(lo, len(sets)), [len(s) for s in sets],
                                    [_prefix(s, len(s), percent, *shared.value) for s in sets])
 
-    rows = materialize(nodes.select("id", "n", "low").mapInArrow(from_low, schema))
-    unread = rows.filter("token IS NULL").select(F.col("node").alias("id")).distinct()
-    more = _texts_of(docs, unread, id_col, text_col).mapInArrow(from_text, schema)
-    every = rows.filter("token IS NOT NULL").unionByName(more).select("token", "node", "n")
-
-    def keep_shared(batches):
-        # rows come in the order of tokens: a token is shared if a neighbour has it
-        held, before = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            token = batch.column(0).to_numpy()
-            same = token[1:] == token[:-1]
-            keep = np.concatenate([[token[0] == before if before is not None else False], same])
-            keep[:-1] |= same
-            before = token[-2] if len(token) > 1 else before
-            held = batch.slice(len(token) - 1)
-            yield batch.slice(0, len(token) - 1).filter(pa.array(keep[:-1]))
-        if held is not None and before is not None and held.column(0)[0].as_py() == before:
-            yield held
-
-    return materialize(every.repartition("token").sortWithinPartitions("token")
-                       .mapInArrow(keep_shared, f"token long, node {kind}, n long"))
+    low = nodes.select("id", "n", "low")
+    again = materialize(low.mapInArrow(unread, f"id {kind}").distinct())
+    every = (low.mapInArrow(from_low, schema)
+             .unionByName(_texts_of(docs, again, id_col, text_col).mapInArrow(from_text, schema)))
+    holders = every.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token")))
+    return materialize(holders.filter("df > 1"))
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough, written."""
+    """The pairs (a, b) whose whole sets are similar enough, written.
+
+    The set of ``a`` travels to that of ``b`` once a pair; both come straight
+    from the texts, whose ids are found as in _texts_of."""
     kind = pairs.schema["a"].dataType.simpleString()
-    ids = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    pairs = materialize(pairs.select("a", "b").distinct())
+    few = pairs.count() <= BROADCAST_ROWS
+    texts = docs.select(F.col(id_col).alias("a"), F.col(text_col).alias("text"))
+    asking = texts.join(F.broadcast(pairs) if few else pairs, "a").select("a", "b", "text")
+    asked = _texts_of(docs, pairs.select(F.col("b").alias("id")).distinct(), id_col, text_col)
 
     def read(batches):
         for batch in batches:
-            for lo, data, bounds in textops.chunks(batch.column(1)):
+            text = batch.column(batch.num_columns - 1)
+            for lo, data, bounds in textops.chunks(text):
                 sets = _sets(data, bounds, shingle)[0]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["id", "tokens"])
-
-    sets = materialize(_texts_of(docs, ids, id_col, text_col).mapInArrow(read, f"id {kind}, tokens binary"))
+                    [*(c.slice(lo, len(sets)) for c in batch.columns[:-1]),
+                     pa.array([s.tobytes() for s in sets], pa.binary())],
+                    names=[*batch.schema.names[:-1], "tokens"])
 
     def compare(batches):
         for batch in batches:
@@ -228,14 +222,14 @@ def _verify(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shing
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 if len(x) > len(y):
                     x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
+                at = np.minimum(np.searchsorted(y, x), max(0, len(y) - 1))
+                both = int((y[at] == x).sum()) if len(y) else 0
+                good.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    of_a = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
-    of_b = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
-    return materialize(pairs.select("a", "b").join(of_a, "a").join(of_b, "b").select("a", "b", "x", "y")
+    left = asking.mapInArrow(read, f"a {kind}, b {kind}, tokens binary").withColumnRenamed("tokens", "x")
+    right = asked.mapInArrow(read, f"id {kind}, tokens binary").select(F.col("id").alias("b"), F.col("tokens").alias("y"))
+    return materialize(left.join(right, "b").select("a", "b", "x", "y")
                        .mapInArrow(compare, f"a {kind}, b {kind}").distinct())
 
 
@@ -246,8 +240,7 @@ def _fits(n: str, low: str, high: str, percent: int) -> Column:
 
 def _pivot_pairs(shared: DataFrame, percent: int) -> DataFrame:
     """(a, b): each node and the pivot with which it shares most tokens."""
-    df = shared.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    popular = (shared.join(df, "token").groupBy("node").agg(F.sum("df").alias("popularity")))
+    popular = shared.groupBy("node").agg(F.sum("df").alias("popularity"))
     pivots = (shared.join(popular, "node").groupBy("token")
               .agg(F.max(F.struct("popularity", "node", "n")).alias("p"))
               .select("token", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")))
@@ -298,9 +291,14 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     same = ["fp_a", "fp_b", "words"]
     texts = materialize(table.filter("n > 0").groupBy(*same)
                         .agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("rows")).filter("node IS NOT NULL"))
-    nodes = table.join(texts.select(F.col("node").alias("id"), *same), ["id", *same], "left_semi")
-    shared = _shared_prefixes(docs, materialize(nodes.dropDuplicates(["id", *same]).select("id", "n", "low")),
-                              id_col, text_col, shingle, percent)
+    # rows of a text that is another row's node go; they are few, or else both sides are shuffled
+    first = texts.select(*same, "node")
+    copies = materialize(table.select("id", *same).filter("id IS NOT NULL").join(first, same)
+                         .filter("id <> node").select("id", *same).distinct())
+    few = copies.count() <= BROADCAST_ROWS
+    nodes = (table.filter("n > 0 AND id IS NOT NULL").join(F.broadcast(copies) if few else copies, ["id", *same],
+                                                           "left_anti"))
+    shared = _shared_prefixes(docs, nodes, id_col, text_col, shingle, percent)
     links = _verify(docs, _pivot_pairs(shared, percent), id_col, text_col, shingle, percent)
     more = _verify(docs, _opened_pairs(_grouped(shared, links), percent), id_col, text_col, shingle, percent)
     components = connected_components(links.unionByName(more))
