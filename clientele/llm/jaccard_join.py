@@ -8,15 +8,16 @@ Documents link when 100 * |intersection| >= percent * |union|.
    least ``OVERLAP`` tokens of their prefixes (the first n - ceil(t n) +
    OVERLAP tokens), so only prefix tokens that two nodes share are kept.  Any
    order is exact; the table of frequent tokens only steers the cost.
-3. Similar nodes are partitioned into groups: every node is compared with one
-   pivot - among the most popular holders of its tokens, the one it shares
-   most tokens with - and nodes that link form a group.  That is one
-   comparison a node, however large a group of near copies is.
+3. Similar nodes are partitioned into groups: nodes that agree on a band of
+   min-hashes are each compared with one pivot of theirs, another one for
+   every band, and nodes that link form a group.  That is at most ``BANDS``
+   comparisons a node, however large a group of near copies is.
 4. The token-group matrix holds the union of each group's prefix tokens, with
    the smallest and largest set size.  A node's prefix tokens found in the
-   matrix bound its overlap with any member; only groups with enough common
-   tokens and a fitting size are opened, and only their members that share
-   enough tokens with the node are compared.  Pairs within a group are linked
+   matrix bound its overlap with any member: beyond them the two sets share at
+   most what lies behind a prefix.  Only groups with enough common tokens and
+   a fitting size are opened, and only those members are compared that share
+   enough tokens with the node themselves.  Pairs within a group are linked
    already and never listed.
 5. Links of both steps give the components.
 """
@@ -36,6 +37,8 @@ from clientele.llm.components import connected_components
 SHINGLE, PERCENT = 4, 85
 #: Prefix tokens that a linked pair shares at least (one for sets of one token).
 OVERLAP = 2
+#: Bands of min-hashes, and min-hashes in each.
+BANDS, BAND_ROWS = 8, 3
 #: A token counts as frequent in more than FREQUENT nodes; the table of frequent tokens has MOST entries (8 MB) at most.
 FREQUENT, MOST = 16, 1 << 20
 #: A join side is broadcast up to so many narrow rows, and shuffled beyond.
@@ -59,6 +62,31 @@ def _common(n: str, percent: int) -> Column:
     return F.least(F.lit(OVERLAP), F.floor((F.col(n) * percent + 99) / 100))
 
 
+def _common_of_pair(n: str, m: Column, percent: int) -> Column:
+    """Prefix tokens that sets of n and m tokens share at least if they link:
+    their whole overlap less what can lie behind the prefix of either."""
+    behind = lambda x: F.floor((x * percent + 99) / 100) - F.least(
+        F.lit(OVERLAP), F.floor((x * percent + 99) / 100))
+    overlap = F.floor(((F.col(n) + m) * percent + 99 + percent) / (100 + percent))
+    return F.greatest(F.lit(1), overlap - F.greatest(behind(F.col(n)), behind(m)))
+
+
+def _min_hash_bands(sets: list[np.ndarray]) -> np.ndarray:
+    """A hash for each set and band; sets without tokens get 0."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    out = np.zeros((len(sets), BANDS), np.uint64)
+    full = sizes > 0
+    if full.any():
+        flat = np.concatenate(sets)
+        at = (np.cumsum(sizes) - sizes)[full]
+        odd = textops.mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+        with np.errstate(over="ignore"):
+            for k, factor in enumerate(odd):
+                low = np.minimum.reduceat(flat * factor, at)
+                out[full, k // BAND_ROWS] = textops.mix(out[full, k // BAND_ROWS] * np.uint64(31) + low)
+    return out
+
+
 def _sets(data: np.ndarray, bounds: np.ndarray, shingle: int):
     """Sorted distinct shingles of each text, and two order-sensitive hashes of its words."""
     hashes, first = textops.words(data, bounds)
@@ -90,7 +118,7 @@ def _list_array(parts: list[np.ndarray]) -> pa.Array:
 
 
 def _document_table(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """(id, words, fp_a, fp_b, n, low): low = the lowest shingle hashes, about one and a half prefixes."""
+    """(id, words, fp_a, fp_b, n, low, bands): low = the lowest shingle hashes, about one and a half prefixes."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -102,11 +130,12 @@ def _document_table(docs: DataFrame, id_col: str, text_col: str, shingle: int, p
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, len(n)), pa.array(counts.astype(np.int64)), pa.array(a.view(np.int64)),
                      pa.array(b.view(np.int64)), pa.array(n),
-                     _list_array([s[:r] for s, r in zip(sets, reach.tolist(), strict=True)])],
-                    names=["id", "words", "fp_a", "fp_b", "n", "low"])
+                     _list_array([s[:r] for s, r in zip(sets, reach.tolist(), strict=True)]),
+                     _list_array(list(_min_hash_bands(sets)))],
+                    names=["id", "words", "fp_a", "fp_b", "n", "low", "bands"])
 
     return materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, words long, fp_a long, fp_b long, n long, low array<bigint>"))
+        run, f"id {kind}, words long, fp_a long, fp_b long, n long, low array<bigint>, bands array<bigint>"))
 
 
 def _frequent_tokens(nodes: DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +186,7 @@ def _texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Da
 
 def _shared_prefixes(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle: int,
                      percent: int) -> DataFrame:
-    """(token, node, n, df): prefix tokens that at least two nodes have, written."""
+    """(token, node, n): prefix tokens that at least two nodes have, written."""
     kind = nodes.schema["id"].dataType.simpleString()
     schema = f"node {kind}, n long, token long"
     shared = docs.sparkSession.sparkContext.broadcast(_frequent_tokens(nodes, percent))  # MOST entries at most
@@ -190,7 +219,7 @@ def _shared_prefixes(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: s
     every = (low.mapInArrow(from_low, schema)
              .unionByName(_texts_of(docs, again, id_col, text_col).mapInArrow(from_text, schema)))
     holders = every.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token")))
-    return materialize(holders.filter("df > 1"))
+    return materialize(holders.filter("df > 1").drop("df"))
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
@@ -238,16 +267,14 @@ def _fits(n: str, low: str, high: str, percent: int) -> Column:
     return (F.col(high) * 100 >= F.col(n) * percent) & (F.col(low) * percent <= F.col(n) * 100)
 
 
-def _pivot_pairs(shared: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each node and the pivot with which it shares most tokens."""
-    popular = shared.groupBy("node").agg(F.sum("df").alias("popularity"))
-    pivots = (shared.join(popular, "node").groupBy("token")
-              .agg(F.max(F.struct("popularity", "node", "n")).alias("p"))
-              .select("token", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")))
-    return (shared.join(pivots, "token").filter("node <> pivot").filter(_fits("n", "pivot_n", "pivot_n", percent))
-            .groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("common"))
-            .groupBy("node").agg(F.max(F.struct("common", "pivot")).alias("best"))
-            .select(F.col("node").alias("a"), F.col("best.pivot").alias("b")))
+def _pivot_pairs(nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each node and, for each band, a pivot of the nodes that agree with it there."""
+    held = nodes.select(F.col("id").alias("a"), "n", F.posexplode("bands").alias("band", "value"))
+    pivots = (held.groupBy("band", "value")
+              .agg(F.min(F.struct(F.xxhash64("a", "band").alias("draw"), "a", "n")).alias("p"), F.count(F.lit(1)).alias("c"))
+              .filter("c > 1").select("band", "value", F.col("p.a").alias("b"), F.col("p.n").alias("b_n")))
+    return (held.join(pivots, ["band", "value"]).filter("a <> b").filter(_fits("n", "b_n", "b_n", percent))
+            .select("a", "b"))
 
 
 def _grouped(shared: DataFrame, links: DataFrame) -> DataFrame:
@@ -262,16 +289,22 @@ def _opened_pairs(grouped: DataFrame, percent: int) -> DataFrame:
     its bound opens.  A pair of groups is looked at from the larger one only."""
     matrix = (grouped.groupBy("token", "grp").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
               .withColumnRenamed("grp", "other"))
+    # the sizes within the group's that can link: the bound is lowest at one of their ends, but for rounding
+    lowest = F.greatest("least_n", F.floor((F.col("n") * percent + 99) / 100))
+    highest = F.least("most_n", F.floor(F.col("n") * 100 / percent))
     bounds = (grouped.join(matrix, "token").filter("other < grp").filter(_fits("n", "least_n", "most_n", percent))
-              .groupBy("node", "n", "other").agg(F.count(F.lit(1)).alias("common"))
-              .filter(F.col("common") >= _common("n", percent)))
+              .groupBy("node", "n", "other")
+              .agg(F.count(F.lit(1)).alias("common"), F.min("least_n").alias("least_n"), F.max("most_n").alias("most_n"))
+              .filter(F.col("common") >= _common("n", percent))
+              .filter(F.col("common") + 1 >= F.least(_common_of_pair("n", lowest, percent),
+                                                     _common_of_pair("n", highest, percent))))
     opened = materialize(bounds.select("node", "other"))
     members = grouped.select("token", F.col("grp").alias("other"), F.col("node").alias("b"), F.col("n").alias("b_n"))
     asking = grouped.select("token", F.col("node").alias("a"), "n").join(
         opened.withColumnRenamed("node", "a"), "a")
     return (asking.join(members, ["token", "other"]).filter(_fits("n", "b_n", "b_n", percent))
-            .groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("common"))
-            .filter(F.col("common") >= _common("n", percent)).select("a", "b"))
+            .groupBy("a", "b", "n", "b_n").agg(F.count(F.lit(1)).alias("common"))
+            .filter(F.col("common") >= _common_of_pair("n", F.col("b_n"), percent)).select("a", "b"))
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -299,7 +332,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = (table.filter("n > 0 AND id IS NOT NULL").join(F.broadcast(copies) if few else copies, ["id", *same],
                                                            "left_anti"))
     shared = _shared_prefixes(docs, nodes, id_col, text_col, shingle, percent)
-    links = _verify(docs, _pivot_pairs(shared, percent), id_col, text_col, shingle, percent)
+    links = _verify(docs, _pivot_pairs(nodes, percent), id_col, text_col, shingle, percent)
     more = _verify(docs, _opened_pairs(_grouped(shared, links), percent), id_col, text_col, shingle, percent)
     components = connected_components(links.unionByName(more))
 
