@@ -70,9 +70,30 @@ def _search(blocks: Blocks, shards: int, divisible: bool, low: int, high: int) -
     return low
 
 
-def _block_sums(groups: DataFrame, block) -> list[tuple[int, int]]:
-    rows = (groups.withColumn("block", block).filter(F.col("block").isNotNull())
-            .groupBy("block").agg(F.min("begin").alias("begin"), F.count(F.lit(1)).alias("n")).collect())
+def _block_sums(groups: DataFrame, starts: list[int], ends: list[int], steps: list[int]) -> list[tuple[int, int]]:
+    """First byte and number of groups of the pieces of ``steps`` bytes into
+    which the spans from ``starts`` to ``ends`` are split."""
+    spans = [np.array(x, np.int64) for x in (starts, ends, steps)]  # a bounded number, see BLOCKS and PIECES
+
+    def run(batches):
+        first, last, step = spans
+        for batch in batches:
+            begin = np.asarray(batch.column(0))
+            at = np.searchsorted(first, begin, "right") - 1
+            inside = (at >= 0) & (begin < last[at])
+            begin, at = begin[inside], at[inside]
+            order = np.lexsort((begin, at))
+            begin, at = begin[order], at[order]
+            piece = (begin - first[at]) // step[at]
+            new = np.ones(len(begin), bool)
+            new[1:] = (at[1:] != at[:-1]) | (piece[1:] != piece[:-1])
+            f = np.flatnonzero(new)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at[f]), pa.array(piece[f]), pa.array(begin[f]), pa.array(np.diff(np.append(f, len(begin))))],
+                names=["span", "piece", "begin", "n"])
+
+    rows = (groups.select("begin").mapInArrow(run, "span long, piece long, begin long, n long")
+            .groupBy("span", "piece").agg(F.min("begin").alias("begin"), F.sum("n").alias("n")).collect())
     return sorted((r["begin"], r["n"]) for r in rows)
 
 
@@ -85,7 +106,7 @@ def minimax_cuts(groups: DataFrame, total: int, shards: int) -> tuple[int, list[
     if total == 0:
         return 0, [0] * (shards - 1)
     width = -(-total // BLOCKS)
-    found = _block_sums(groups, F.floor(F.col("begin") / F.lit(width)))
+    found = _block_sums(groups, [0], [total], [width])
     blocks = Blocks([b for b, _ in found], [n for _, n in found], total)
     low, high = -(-total // shards), total
     while True:
@@ -102,28 +123,14 @@ def minimax_cuts(groups: DataFrame, total: int, shards: int) -> tuple[int, list[
         if low == high or not open_blocks:
             break
         spans = [(blocks.starts[i], blocks.end(i)) for i in sorted(open_blocks)]
-        starts = F.array(*[F.lit(a).cast("long") for a, _ in spans])
-        steps = F.array(*[F.lit(max(1, -(-(b - a) // PIECES))).cast("long") for a, b in spans])
-        ends = F.array(*[F.lit(b).cast("long") for _, b in spans])
-        finer = dict(_block_sums(groups, _piece_of(starts, steps, ends, len(spans))))
+        finer = dict(_block_sums(groups, [a for a, _ in spans], [b for _, b in spans],
+                                 [max(1, -(-(b - a) // PIECES)) for a, b in spans]))
         kept = {s: n for i, (s, n) in enumerate(zip(blocks.starts, blocks.counts, strict=True)) if i not in open_blocks}
         merged = sorted((kept | finer).items())
         blocks = Blocks([s for s, _ in merged], [n for _, n in merged], total)
     return high, _near_equal(blocks, high, shards)
 
 
-def _piece_of(starts, steps, ends, n: int):
-    """Piece number of a group inside the open spans, null outside."""
-    pick = lambda a, i: F.element_at(a, i.cast("int"))
-    # number of spans that begin at or before the group: the spans are few thousand literals
-    at = F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.lit(0),
-                     lambda acc, i: F.when(pick(starts, i) <= F.col("begin"), i).otherwise(acc))
-    inside = (at > 0) & (F.col("begin") < pick(ends, F.greatest(at, F.lit(1))))
-    at1 = F.greatest(at, F.lit(1))
-    return F.when(inside, at1.cast("long") * (PIECES * 2)
-                  + F.floor((F.col("begin") - pick(starts, at1)) / pick(steps, at1)))
-
-
 def _near_equal(blocks: Blocks, capacity: int, shards: int) -> list[int]:
     """Inner cuts under ``capacity``, each as near to an equal share of what
     is left as the shards after it allow."""
