@@ -4,8 +4,9 @@ The n-gram counts of the whole corpus are tables partitioned by the hash of
 the n-gram; the n-grams of the texts are joined to them, and the scores are
 summed per document.  To keep the shuffle small, n-grams travel as blocks:
 a row holds the distinct n-grams of a block of texts that fall into one hash
-partition, as sorted 64-bit hashes with their counts, and the answer holds the
-corpus counts in the same order.
+partition, as sorted 64-bit hashes (their steps, in 6 bytes where they fit)
+with their counts, and the answer holds the corpus counts in the same order.
+The texts of a block travel compressed.
 
     S(w_i | context) = c(context w_i) / c(context)      if c(context w_i) >= min_count
                      = ALPHA * S(w_i | shorter context)  otherwise
@@ -28,7 +29,36 @@ from clientele.llm.common import materialize
 
 ORDER, MIN_COUNT, ALPHA = 2, 2, 0.4
 #: Text bytes of a block; n-grams that a hash partition should hold.
-BLOCK_BYTES, PARTITION_GRAMS = 4 << 20, 4_000_000
+BLOCK_BYTES, PARTITION_GRAMS = 8 << 20, 2_000_000
+
+
+def _packed(values: np.ndarray, base: int) -> bytes:
+    """Ascending 64-bit values as steps from ``base``, of 6 bytes if all fit."""
+    steps = np.diff(values, prepend=np.uint64(base)).astype("<u8")
+    raw = steps.view(np.uint8).reshape(-1, 8)
+    return raw[:, :6].tobytes() if not raw[:, 6:].any() else raw.tobytes()
+
+
+def _unpacked(data: bytes, n: int, base: int) -> np.ndarray:
+    raw = np.zeros((n, 8), np.uint8)
+    if n:
+        width = len(data) // n
+        raw[:, :width] = np.frombuffer(data, np.uint8).reshape(n, width)
+    return np.cumsum(raw.view("<u8").ravel(), dtype=np.uint64) + np.uint64(base)
+
+
+def _compressed(texts: pa.Array) -> bytes:
+    """Lengths and bytes of the texts."""
+    sizes = np.asarray(pc.binary_length(texts)).astype("<i8")
+    body = sizes.tobytes() + "".join(texts.to_pylist()).encode()
+    return len(body).to_bytes(8, "little") + len(sizes).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True)
+
+
+def _texts(data: bytes) -> pa.Array:
+    size, n = (int.from_bytes(data[i:i + 8], "little") for i in (0, 8))
+    body = pa.decompress(data[16:], size, "zstd", asbytes=True)
+    ends = np.concatenate([[0], np.cumsum(np.frombuffer(body[:8 * n], "<i8"))]).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(ends), pa.py_buffer(body[8 * n:]))
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -49,12 +79,12 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([(part << 32) + n], pa.int64()),
                      pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), batch.column(0).slice(lo, hi - lo)),
-                     pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), own.cast(pa.string())),
-                     pa.array([words], pa.int64())], names=["block", "ids", "texts", "words"])
+                     pa.array([_compressed(own)], pa.binary()), pa.array([words], pa.int64())],
+                    names=["block", "ids", "texts", "words"])
                 lo, n = hi, n + 1
 
     return materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"block long, ids array<{kind}>, texts array<string>, words long"))
+        run, f"block long, ids array<{kind}>, texts binary, words long"))
 
 
 def _grams(texts: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -105,20 +135,22 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COU
     def ask(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                grams, _ = _grams(batch.column(1)[i].values, order)
+                grams, _ = _grams(_texts(batch.column(1)[i].as_py()), order)
                 seen, counts = _distinct(grams)
                 cut = np.append(np.searchsorted(seen, bounds), len(seen))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(len(bounds), dtype=np.int32)),
                      pa.array(np.full(len(bounds), batch.column(0)[i].as_py(), np.int64)),
-                     pa.array([seen[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
+                     pa.array([_packed(seen[a:b], base) for a, b, base in zip(
+                         cut[:-1], cut[1:], bounds.tolist(), strict=True)], pa.binary()),
                      pa.array([counts[a:b].astype(np.uint32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)],
                               pa.binary())], names=["part", "block", "grams", "counts"])
 
     def answer(rows: pa.Table) -> pa.Table:
         """Corpus counts of a hash partition, joined back to the blocks that asked."""
-        asked = [np.frombuffer(g.as_buffer(), np.uint64) for g in rows.column("grams")]
         counts = [np.frombuffer(c.as_buffer(), np.uint32) for c in rows.column("counts")]
+        asked = [_unpacked(g.as_py(), len(c), bounds.tolist()[p]) for g, c, p in zip(
+            rows.column("grams"), counts, rows.column("part").to_pylist(), strict=True)]
         every = np.concatenate([*asked, np.zeros(0, np.uint64)])
         order_ = np.argsort(every, kind="stable")
         ordered = every[order_]
@@ -142,7 +174,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COU
     def score(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, texts = batch.column(0)[i].values, batch.column(1)[i].values
+                ids, texts = batch.column(0)[i].values, _texts(batch.column(1)[i].as_py())
                 grams, lengths = _grams(texts, order)
                 seen, _ = _distinct(grams)
                 parts = batch.column(2)[i].values.field("found")
