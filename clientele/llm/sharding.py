@@ -30,9 +30,11 @@ BLOCKS, PIECES = 4096, 64
 
 @dataclass
 class Blocks:
-    """Consecutive blocks of groups: first byte, number of groups."""
+    """Consecutive blocks of groups: where the first group begins, how many
+    there are, and where the last one begins."""
     starts: list[int]
     counts: list[int]
+    lasts: list[int]
     total: int
 
     def at(self, byte: int) -> int:
@@ -70,8 +72,8 @@ def _search(blocks: Blocks, shards: int, divisible: bool, low: int, high: int) -
     return low
 
 
-def _block_sums(groups: DataFrame, starts: list[int], ends: list[int], steps: list[int]) -> list[tuple[int, int]]:
-    """First byte and number of groups of the pieces of ``steps`` bytes into
+def _block_sums(groups: DataFrame, starts: list[int], ends: list[int], steps: list[int]) -> list[tuple[int, int, int]]:
+    """Where the first group begins, number of groups and where the last one begins, of the pieces of ``steps`` bytes into
     which the spans from ``starts`` to ``ends`` are split."""
     spans = [np.array(x, np.int64) for x in (starts, ends, steps)]  # a bounded number, see BLOCKS and PIECES
 
@@ -88,13 +90,15 @@ def _block_sums(groups: DataFrame, starts: list[int], ends: list[int], steps: li
             new = np.ones(len(begin), bool)
             new[1:] = (at[1:] != at[:-1]) | (piece[1:] != piece[:-1])
             f = np.flatnonzero(new)
+            n = np.diff(np.append(f, len(begin)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(at[f]), pa.array(piece[f]), pa.array(begin[f]), pa.array(np.diff(np.append(f, len(begin))))],
-                names=["span", "piece", "begin", "n"])
+                [pa.array(at[f]), pa.array(piece[f]), pa.array(begin[f]), pa.array(n), pa.array(begin[f + n - 1])],
+                names=["span", "piece", "begin", "n", "last"])
 
-    rows = (groups.select("begin").mapInArrow(run, "span long, piece long, begin long, n long")
-            .groupBy("span", "piece").agg(F.min("begin").alias("begin"), F.sum("n").alias("n")).collect())
-    return sorted((r["begin"], r["n"]) for r in rows)
+    rows = (groups.select("begin").mapInArrow(run, "span long, piece long, begin long, n long, last long")
+            .groupBy("span", "piece").agg(F.min("begin").alias("begin"), F.sum("n").alias("n"),
+                                          F.max("last").alias("last")).collect())
+    return sorted((r["begin"], r["n"], r["last"]) for r in rows)
 
 
 def minimax_cuts(groups: DataFrame, total: int, shards: int) -> tuple[int, list[int]]:
@@ -107,7 +111,7 @@ def minimax_cuts(groups: DataFrame, total: int, shards: int) -> tuple[int, list[
         return 0, [0] * (shards - 1)
     width = -(-total // BLOCKS)
     found = _block_sums(groups, [0], [total], [width])
-    blocks = Blocks([b for b, _ in found], [n for _, n in found], total)
+    blocks = Blocks(*map(list, zip(*found, strict=True)), total)
     low, high = -(-total // shards), total
     while True:
         high = _search(blocks, shards, False, low, high)
@@ -122,12 +126,13 @@ def minimax_cuts(groups: DataFrame, total: int, shards: int) -> tuple[int, list[
                                if blocks.counts[i] > 1)
         if low == high or not open_blocks:
             break
-        spans = [(blocks.starts[i], blocks.end(i)) for i in sorted(open_blocks)]
-        finer = dict(_block_sums(groups, [a for a, _ in spans], [b for _, b in spans],
-                                 [max(1, -(-(b - a) // PIECES)) for a, b in spans]))
-        kept = {s: n for i, (s, n) in enumerate(zip(blocks.starts, blocks.counts, strict=True)) if i not in open_blocks}
-        merged = sorted((kept | finer).items())
-        blocks = Blocks([s for s, _ in merged], [n for _, n in merged], total)
+        # from the first to the last group, so that those two part in every round
+        spans = [(blocks.starts[i], blocks.lasts[i] + 1) for i in sorted(open_blocks)]
+        finer = _block_sums(groups, [a for a, _ in spans], [b for _, b in spans],
+                            [-(-(b - a) // PIECES) for a, b in spans])
+        kept = [x for i, x in enumerate(zip(blocks.starts, blocks.counts, blocks.lasts, strict=True))
+                if i not in open_blocks]
+        blocks = Blocks(*map(list, zip(*sorted(kept + finer), strict=True)), total)
     return high, _near_equal(blocks, high, shards)
 
 
