@@ -206,9 +206,10 @@ def _pack_partition(capacity: int, slack: int, carry: int):
     def pack(batches):
         from pyspark import TaskContext
         part = TaskContext.get().partitionId()
-        items = pa.Table.from_batches(list(batches))
-        if not items.num_rows:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:  # a partition that no item fell into
             return
+        items = pa.Table.from_batches(batches)
         items = items.combine_chunks()
         bins = best_fit(items.column("fill").to_pylist(), capacity)
         order = pa.array(np.concatenate([np.array(b, np.int64) for b in bins]))
