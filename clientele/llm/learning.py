@@ -20,7 +20,7 @@ from clientele.llm.common import materialize
 #: Labelled rows used for fitting at most: those first in the order of a hash of the id.
 MAX_ROWS = 8192
 #: Features of a model at most: the most frequent of the sample; each in MIN_DOCS sample documents at least.
-MAX_FEATURES, MIN_DOCS = 1 << 18, 3
+MAX_FEATURES, MIN_DOCS = 1 << 16, 3
 #: Partitions that learn side by side.
 LEARNERS = 4
 
@@ -132,7 +132,7 @@ def mixing_round(rows: DataFrame, state: list[np.ndarray], seed: int,
                 names=["n", "state"])
 
     got = rows.select("y", "at", "values").mapInArrow(run, "n long, state array<binary>").collect()
-    shared.unpersist()
+    shared.destroy()
     if not got:
         return state
     total = sum(r["n"] for r in got)

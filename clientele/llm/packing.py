@@ -63,7 +63,7 @@ class WordIds:
     Any other word is a unit that goes through the whole tokenizer.  The table
     of units is bounded and starts anew when full."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 400_000):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
