@@ -15,7 +15,19 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch at most: rows hold whole texts or sets, so the default of 10,000 would be large.
+BATCH_ROWS = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small, so that a task's memory does not follow the number of rows."""
+    if not 0 < int(spark.conf.get(_BATCH_CONF, "10000")) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -23,6 +35,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and read
     it back: lineage is cut, the plan runs once, later readers prune columns,
     and a lost executor costs only a re-read of files."""
+    bound_batches(df.sparkSession)
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

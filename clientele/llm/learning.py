@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clientele.llm import textops
-from clientele.llm.common import materialize
+from clientele.llm.common import bound_batches, materialize
 
 #: Labelled rows used for fitting at most: those first in the order of a hash of the id.
 MAX_ROWS = 8192
@@ -144,6 +144,7 @@ def mixing_round(rows: DataFrame, state: list[np.ndarray], seed: int,
 def score_documents(docs: DataFrame, model: dict, score: Callable[[dict, np.ndarray, np.ndarray], np.ndarray],
                     text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with the score of every whole text; nothing is shuffled."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES features
     at = docs.columns.index(text_col)
 
