@@ -177,7 +177,8 @@ def bgnbd_fit(summary: DataFrame, penalizer: float = PENALIZER, max_iter: int =
         a3 = -(x + r) * np.log(T + alpha)
         with np.errstate(divide="ignore", invalid="ignore"):
             a4 = np.log(a) - np.log(np.maximum(x + b - 1, 1e-300)) - (x + r) * np.log(tx + alpha)
-            return a1 + a2 + np.log(np.exp(a3) + np.where(x > 0, np.exp(a4), 0.0))
+            # the sum of both terms by their logs: neither underflows for a customer of many purchases
+            return a1 + a2 + np.logaddexp(a3, np.where(x > 0, a4, -np.inf))
 
     best, val = nelder_mead(_batch(grouped, ["frequency", "recency", "T"], ll_np, n_total, penalizer),
                             np.zeros(4), max_iter)
@@ -231,7 +232,7 @@ def clv(summary: DataFrame, bg: dict, gg: dict, horizon_days: int = 365,
     """M4 (C21): discounted value over ``horizon_days`` (months = days/30.44,
     monthly steps of 30 days) for repeat buyers with positive spend.  The
     computed value is returned (the reference's display zeroes it)."""
-    months = int(np.floor(horizon_days / DAYS_PER_MONTH))
+    months = int(np.ceil(horizon_days / DAYS_PER_MONTH))  # a begun month counts: 12 steps for 365 days
     r, alpha, a, b = bg["r"], bg["alpha"], bg["a"], bg["b"]
     p, q, v = gg["p"], gg["q"], gg["v"]
 
