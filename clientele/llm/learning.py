@@ -1,8 +1,10 @@
 """Fitting sparse hashed models with Spark: a bounded labelled sample, its
-features as a written table, and rounds of training in which every partition
+features as a written table, and rounds of training in which every learner
 learns from its own rows and the changes are averaged (iterative parameter
-mixing).  The driver holds the model, at most ``MAX_FEATURES`` features, and
-nothing that grows with the corpus."""
+mixing).  A hash of its id deals a row to one of ``LEARNERS`` learners, however
+many partitions there are.  The driver holds ``LEARNERS`` copies of the model,
+each of at most ``MAX_FEATURES`` features, and nothing that grows with the
+corpus."""
 
 from __future__ import annotations
 
@@ -21,7 +23,7 @@ from clientele.llm.common import bound_batches, materialize
 MAX_ROWS = 8192
 #: Features of a model at most: the most frequent of the sample; each in MIN_DOCS sample documents at least.
 MAX_FEATURES, MIN_DOCS = 1 << 16, 3
-#: Partitions that learn side by side.
+#: Shares of the sample that are learned side by side.
 LEARNERS = 4
 
 #: A feature extractor: (bytes, text bounds) -> text number, feature, value of each feature of each text.
@@ -94,7 +96,7 @@ def _ragged(column: pa.ListArray, dtype) -> list[np.ndarray]:
 
 
 def indexed(sample: DataFrame, keys: np.ndarray) -> DataFrame:
-    """(id, y, at, values) with the places in ``keys`` of the known features, dealt out to LEARNERS partitions."""
+    """(learner, id, y, at, values) with the places in ``keys`` of the known features, the rows of a learner together."""
     shared = sample.sparkSession.sparkContext.broadcast(keys)  # at most MAX_FEATURES hashes
 
     def run(batches):
@@ -110,35 +112,46 @@ def indexed(sample: DataFrame, keys: np.ndarray) -> DataFrame:
     kind = sample.schema["id"].dataType.simpleString()
     rows = sample.select("id", "y", "features", "values").mapInArrow(
         run, f"id {kind}, y int, at array<bigint>, values array<float>")
-    return materialize(rows.repartition(LEARNERS, F.xxhash64("id")).sortWithinPartitions("id"))
+    learner = F.pmod(F.hash(F.xxhash64("id")), F.lit(LEARNERS))
+    return materialize(rows.select(learner.alias("learner"), "*")
+                       .repartitionByRange(LEARNERS, "learner").sortWithinPartitions("learner", "id"))
 
 
 def mixing_round(rows: DataFrame, state: list[np.ndarray], seed: int,
                  learn: Callable[[list[np.ndarray], int, np.ndarray, np.ndarray], None]) -> list[np.ndarray]:
-    """One round: every partition runs ``learn(state, y, at, values)`` over its
+    """One round: every learner runs ``learn(state, y, at, values)`` over its
     rows in a seeded order, changing its copy of ``state`` in place; returns
-    the mean of the copies, weighed by rows."""
+    the mean of the copies, weighed by rows.  At most LEARNERS copies reach the
+    driver, or one more for each file of a learner that is read in two tasks."""
     shared = rows.sparkSession.sparkContext.broadcast(state)  # the model: at most MAX_FEATURES features
 
     def run(batches):
-        own = [x.copy() for x in shared.value]
-        mine = [r for b in batches for r in zip(b.column(0).to_pylist(), _ragged(b.column(1), np.int64),
-                                                _ragged(b.column(2), np.float32), strict=True)]
-        for i in np.random.default_rng(seed).permutation(len(mine)):
-            learn(own, *mine[i])
-        if mine:
+        mine = {}
+        for b in batches:
+            for learner, *row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _ragged(b.column(2), np.int64),
+                                     _ragged(b.column(3), np.float32), strict=True):
+                mine.setdefault(learner, []).append(row)
+        for own_rows in mine.values():
+            own = [x.copy() for x in shared.value]
+            for i in np.random.default_rng(seed).permutation(len(own_rows)):
+                learn(own, *own_rows[i])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([len(mine)], pa.int64()), pa.array([[x.tobytes() for x in own]], pa.list_(pa.binary()))],
+                [pa.array([len(own_rows)], pa.int64()), pa.array([[x.tobytes() for x in own]], pa.list_(pa.binary()))],
                 names=["n", "state"])
 
-    got = rows.select("y", "at", "values").mapInArrow(run, "n long, state array<binary>").collect()
+    got = rows.select("learner", "y", "at", "values").mapInArrow(run, "n long, state array<binary>").toArrow()
     shared.destroy()
-    if not got:
+    if not got.num_rows:
         return state
-    total = sum(r["n"] for r in got)
-    got.sort(key=lambda r: bytes(r["state"][0]))  # so that sums do not depend on the order of arrival
-    return [sum(np.frombuffer(r["state"][i], x.dtype).reshape(x.shape) * (r["n"] / total) for r in got).astype(x.dtype)
-            for i, x in enumerate(state)]
+    parts = [(n, [np.frombuffer(v.as_buffer(), x.dtype).reshape(x.shape) for v, x in zip(copy.values, state, strict=True)])
+             for n, copy in zip(got.column(0).to_pylist(), got.column(1), strict=True)]
+    parts.sort(key=lambda part: part[1][0].tobytes())  # so that sums do not depend on the order of arrival
+    total = sum(n for n, _ in parts)
+    mean = [np.zeros_like(x) for x in state]
+    for n, copy in parts:
+        for out, x in zip(mean, copy, strict=True):
+            out += x * (n / total)
+    return mean
 
 
 def score_documents(docs: DataFrame, model: dict, score: Callable[[dict, np.ndarray, np.ndarray], np.ndarray],

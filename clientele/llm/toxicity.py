@@ -55,13 +55,14 @@ def _weights(z, n):
 
 def _learner(with_factors: bool):
     def learn(state, y, at, values):
-        z, n, v, sq = state
+        z, n = state[:2]
         at = np.append(at, len(z) - 1)  # the intercept, which has no vector
         w = _weights(z[at], n[at])
         total = w.sum()
-        on = at[:-1][w[:-1] != 0]
-        own = v[on]
         if with_factors:
+            v, sq = state[2:]
+            on = at[:-1][w[:-1] != 0]
+            own = v[on]
             summed = own.sum(0)
             total += 0.5 * float((summed * summed - (own * own).sum(0)).sum())
         g = 1.0 / (1.0 + np.exp(-np.clip(total, -35, 35))) - y
@@ -90,7 +91,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rounds: int =
     start = np.random.default_rng(5).normal(0.0, SPREAD, (size, FACTORS))
     state = [np.zeros(size), np.zeros(size), start, np.full((size, FACTORS), 0.1)]
     for i in range(rounds):
-        state = learning.mixing_round(rows, state, i, _learner(i >= LINEAR_ROUNDS))
+        if i < LINEAR_ROUNDS:  # the vectors stay as they are and need not travel
+            state[:2] = learning.mixing_round(rows, state[:2], i, _learner(False))
+        else:
+            state = learning.mixing_round(rows, state, i, _learner(True))
     z, n, v, _ = state
     w = _weights(z, n)
     used = np.flatnonzero(w[:-1])
