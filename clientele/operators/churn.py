@@ -49,11 +49,11 @@ def training_set(tx: DataFrame, obs_end: str, window_start: str, **cols) -> Data
 
 
 def scaler_stats(df: DataFrame, features=FEATURES) -> DataFrame:
-    """M6: mean and sample standard deviation per feature (one aggregate,
+    """M6: mean and population standard deviation per feature (one aggregate,
     unpivoted; rounded to 4 decimals for display)."""
     aggs = []
     for f in features:
-        aggs += [F.avg(f).alias(f"{f}__mean"), F.stddev_samp(f).alias(f"{f}__std")]
+        aggs += [F.avg(f).alias(f"{f}__mean"), F.stddev_pop(f).alias(f"{f}__std")]
     wide = df.agg(*aggs)
     parts = ", ".join(f"'{f}', round(`{f}__mean`, 4), round(`{f}__std`, 4)" for f in features)
     return wide.selectExpr(f"stack({len(features)}, {parts}) AS (feature, mean, std)")
@@ -62,7 +62,7 @@ def scaler_stats(df: DataFrame, features=FEATURES) -> DataFrame:
 def standardize(df: DataFrame, features=FEATURES) -> DataFrame:
     """M6: (x - mean) / std per feature with the fitted statistics."""
     st = df.agg(*[F.avg(f).alias(f"{f}__m") for f in features],
-                *[F.stddev_samp(f).alias(f"{f}__s") for f in features]).first()
+                *[F.stddev_pop(f).alias(f"{f}__s") for f in features]).first()
     out = df
     for f in features:
         s = st[f"{f}__s"] or 1.0

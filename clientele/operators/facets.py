@@ -49,24 +49,23 @@ def value_counts(df: DataFrame, col: str, out: str = "n") -> DataFrame:
 def kpi_row(df: DataFrame, key="cust_norm", spend="total_spent", recency="recency_days",
             frequency="frequency") -> DataFrame:
     """Distinct customers, total spend and the three averages in one
-    aggregate.  Averages are exact sums divided once, so they do not depend
-    on the order partial sums arrive in."""
-    n = F.count(F.lit(1))
+    aggregate.  Averages skip nulls (null where no value is there) and are
+    exact sums divided once, so they do not depend on the order partial sums
+    arrive in."""
     return df.agg(
         F.countDistinct(key).alias("n_customers"),
         F.sum(spend).cast("decimal(38,2)").alias("total_spent"),
-        (F.sum(recency).cast("double") / n).alias("avg_recency"),
-        (F.sum(frequency).cast("double") / n).alias("avg_frequency"),
-        (F.sum(spend).cast("double") / n).alias("avg_monetary"))
+        (F.sum(recency).cast("double") / F.count(recency)).alias("avg_recency"),
+        (F.sum(frequency).cast("double") / F.count(frequency)).alias("avg_frequency"),
+        (F.sum(spend).cast("double") / F.count(spend)).alias("avg_monetary"))
 
 
 def group_stats(df: DataFrame, by: list[str], spend="total_spent", key="cust_norm") -> DataFrame:
-    """Count, sum, mean and distinct count per group in one pass."""
-    n = F.count(F.lit(1))
+    """Count, sum, mean (nulls skipped) and distinct count per group in one pass."""
     return df.groupBy(*by).agg(
-        n.alias("n_rows"),
+        F.count(F.lit(1)).alias("n_rows"),
         F.sum(spend).cast("decimal(38,2)").alias("sum_spent"),
-        (F.sum(spend).cast("double") / n).alias("avg_spent"),
+        (F.sum(spend).cast("double") / F.count(spend)).alias("avg_spent"),
         F.countDistinct(key).alias("n_distinct"))
 
 

@@ -52,8 +52,7 @@ def stage_counts(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.select("*", one).join(a.select("*", one), "_k").drop("_k")
 
 
-def scatter_rows(df: DataFrame, max_rows: int = 5000) -> DataFrame:
-    """Q6: the rows for a scatter plot only when 1 < n < max_rows, else none.
-    The count is bounded by ``max_rows`` (limit first), not a full count."""
-    n = df.limit(max_rows).count()
-    return df if 1 < n < max_rows else df.limit(0)
+def scatter_rows(df: DataFrame, key: str = "cust_norm", x: str = "recency_days", y: str = "frequency") -> DataFrame:
+    """Q6: the rows of a scatter plot, all of them; how many a screen can
+    show is the caller's concern."""
+    return df.select(key, x, y)

@@ -13,9 +13,7 @@ task.  Here the global order is built the way a distributed sort does it:
 4. per-range totals (P rows) -> prefix offsets -> broadcast join back.
    The broadcast side has exactly P rows: its size bound is the partition count.
 
-When the caller has measured the input at no more than ``SMALL_ROWS`` rows
-(distinct recency days, distinct frequencies, a small customer table), a
-single ordered window is used instead: the bound is checked, not assumed.
+The same path runs at every size.
 """
 
 from __future__ import annotations
@@ -39,25 +37,11 @@ def _running_sum(batches):
         yield pdf
 
 
-# Row-count bound under which one ordered window is used (size checked by
-# the caller's own aggregate); above it the distributed range path runs.
-SMALL_ROWS = 200_000
-
-
 def ordered_offsets(df: DataFrame, order_cols: list[str], weight: str | None = None,
-                    num_partitions: int | None = None, n_rows: int | None = None) -> DataFrame:
+                    num_partitions: int | None = None) -> DataFrame:
     """Add ``_before``: total weight of all rows strictly before each row in
     the global order of ``order_cols`` (which must be unique per row), and
-    ``_w``: the row's own weight (1 when ``weight`` is None).
-
-    ``n_rows``: the caller's measured row count.  At most ``SMALL_ROWS``
-    rows take one ordered window (a single task holding a bounded number of
-    rows, no checkpoint); otherwise, or when unknown, the range path."""
-    if n_rows is not None and n_rows <= SMALL_ROWS:
-        w = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
-        win = Window.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
-        return (df.withColumn("_w", w)
-                  .withColumn("_before", F.coalesce(F.sum("_w").over(win), F.lit(0)).cast("long")))
+    ``_w``: the row's own weight (1 when ``weight`` is None)."""
     w = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
     weighted = df.withColumn("_w", w)
     # Without an explicit count AQE sizes the ranges to the data; coalesced
@@ -76,23 +60,23 @@ def ordered_offsets(df: DataFrame, order_cols: list[str], weight: str | None = N
                  .drop("_pid", "_local", "_off"))
 
 
-def global_rank(df: DataFrame, order_cols: list[str], out: str = "rank", n_rows: int | None = None) -> DataFrame:
+def global_rank(df: DataFrame, order_cols: list[str], out: str = "rank") -> DataFrame:
     """1-based row number in the global order (ties broken by the
     trailing order columns, which must make the key unique)."""
-    return (ordered_offsets(df, order_cols, n_rows=n_rows)
+    return (ordered_offsets(df, order_cols)
             .withColumn(out, F.col("_before") + 1).drop("_before", "_w"))
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], n_distinct: int | None = None,
+def exact_quantiles(df: DataFrame, col: str, probs: list[float],
                     n_values: int | None = None) -> list[float | None]:
     """Exact linear-interpolated quantiles (NumPy 'linear', DuckDB
     ``quantile_cont``).  Values are pre-aggregated to (value, count) first, so
     a heavily repeated value is one row; only the <= 2 order statistics per
-    probability reach the driver.  ``n_distinct`` / ``n_values``: counts the
-    caller already measured (distinct and non-null values)."""
+    probability reach the driver.  ``n_values``: the count of non-null
+    values, where the caller has already measured it."""
     vals = (df.select(F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
               .groupBy("_v").agg(F.count(F.lit(1)).alias("_cnt")))
-    off = ordered_offsets(vals, ["_v"], "_cnt", n_rows=n_distinct)
+    off = ordered_offsets(vals, ["_v"], "_cnt")
     total = n_values if n_values is not None else off.agg(F.sum("_w")).first()[0]
     if not total:
         return [None for _ in probs]

@@ -39,7 +39,7 @@ def value_tertiles(df: DataFrame, col: str, out: str, labels=LOW_MED_HIGH, stats
         stats = df.agg(*value_stats(col)).first().asDict()
     if stats["nd"] is None or stats["nd"] <= 1:
         return df.withColumn(out, F.lit(labels[1]))
-    q1, q2 = exact_quantiles(df, col, [1 / 3, 2 / 3], n_distinct=stats["nd"], n_values=stats["n"])
+    q1, q2 = exact_quantiles(df, col, [1 / 3, 2 / 3], n_values=stats["n"])
     edges = [stats["mn"], q1, q2, stats["mx"]]
     if len(set(edges)) < 4:
         q1, q2 = equal_width_edges(stats["mn"], stats["mx"])
@@ -65,7 +65,7 @@ def rank_tertiles(df: DataFrame, col: str, tie_cols: list[str], out: str,
     if st["nd"] is None or st["nd"] <= 1:
         return df.withColumn(out, F.lit(labels[1]))
     total = st["rows"]
-    ranked = ordered_offsets(df, [col] + list(tie_cols), n_rows=total)
+    ranked = ordered_offsets(df, [col] + list(tie_cols))
     k1 = F.col("_before")  # k - 1
     lab = (F.when(3 * k1 < total - 1, labels[0]).when(3 * k1 < 2 * (total - 1), labels[1])
             .otherwise(labels[2]))
@@ -79,7 +79,7 @@ def fair_tertiles(df: DataFrame, col: str, out: str, labels=LOW_MED_HIGH, n_dist
     3i <= d-1, second iff 3i <= 2(d-1), else third (exact edges, C7)."""
     distinct = df.select(F.col(col).alias("_v")).where(F.col("_v").isNotNull()).distinct()
     d = n_distinct if n_distinct is not None else distinct.count()
-    idx = ordered_offsets(distinct, ["_v"], n_rows=d)
+    idx = ordered_offsets(distinct, ["_v"])
     i = F.col("_before")
     if d == 1:
         lab = F.lit(labels[0])
@@ -96,7 +96,7 @@ def index_split_labels(df: DataFrame, col: str, out: str, labels=LOW_MED_HIGH) -
     """Label ``min(floor(3 i / d), 2)`` for the i-th of d distinct values."""
     distinct = df.select(F.col(col).alias("_v")).where(F.col("_v").isNotNull()).distinct()
     d = distinct.count() or 1
-    idx = ordered_offsets(distinct, ["_v"], n_rows=d)
+    idx = ordered_offsets(distinct, ["_v"])
     pos = F.least(F.floor(F.col("_before") * 3 / d), F.lit(2))
     lab = F.element_at(F.array(*[F.lit(x) for x in labels]), (pos + 1).cast("int"))
     table = idx.select("_v", lab.alias(out))

@@ -82,10 +82,10 @@ def m05_churn_training_set(spark, d):
 
 
 @register("m06_scaler_stats", CHURN_SQL + """SELECT * FROM (
-  SELECT 'frequency' AS feature, round(avg(frequency), 4) AS mean, round(stddev_samp(frequency), 4) AS std FROM ts
-  UNION ALL SELECT 'recency', round(avg(recency), 4), round(stddev_samp(recency), 4) FROM ts
-  UNION ALL SELECT 'T', round(avg(T), 4), round(stddev_samp(T), 4) FROM ts
-  UNION ALL SELECT 'monetary_value', round(avg(monetary_value), 4), round(stddev_samp(monetary_value), 4) FROM ts)""")
+  SELECT 'frequency' AS feature, round(avg(frequency), 4) AS mean, round(stddev_pop(frequency), 4) AS std FROM ts
+  UNION ALL SELECT 'recency', round(avg(recency), 4), round(stddev_pop(recency), 4) FROM ts
+  UNION ALL SELECT 'T', round(avg(T), 4), round(stddev_pop(T), 4) FROM ts
+  UNION ALL SELECT 'monetary_value', round(avg(monetary_value), 4), round(stddev_pop(monetary_value), 4) FROM ts)""")
 def m06_scaler_stats(spark, d):
     """M6: the standardisation table (mean, sample std) of the features."""
     return C.scaler_stats(_ts(spark, d))
@@ -143,17 +143,10 @@ def m12_churn_guard(spark, d):
 
 
 # ----------------------------------------------------------- rows-only fits
-_FIT_CACHE: dict = {}
-
-
 def _fits(spark, d):
-    """Both fits once per (application, folder): the scoring queries share them."""
+    """The summary and both fits to it."""
     summary = _clv_summary(spark, d)
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _FIT_CACHE:
-        _FIT_CACHE[key] = (M.bgnbd_fit(summary), M.gamma_gamma_fit(summary))
-    bg, gg = _FIT_CACHE[key]
-    return summary, bg, gg
+    return summary, M.bgnbd_fit(summary), M.gamma_gamma_fit(summary)
 
 
 @register("m02_bgnbd_fit")

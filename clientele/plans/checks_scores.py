@@ -78,12 +78,9 @@ def _cust(spark, d, view=V.visits):
 @register("w07_global_rank", cust_sql() + """SELECT cust_norm, total_spent,
     row_number() OVER (ORDER BY total_spent, cust_norm) AS rank FROM cust""")
 def w07_global_rank(spark, d):
-    """Rank by money, ties in key order.  The customer table is
-    materialised, so its row count is measured cheaply and picks the path:
-    one ordered window up to ``SMALL_ROWS`` rows, the distributed range path
-    above (both exercised in tests/)."""
+    """Rank by money, ties in key order."""
     cust = _cust(spark, d).select("cust_norm", "total_spent")
-    return K.global_rank(cust, ["total_spent", "cust_norm"], n_rows=cust.count())
+    return K.global_rank(cust, ["total_spent", "cust_norm"])
 
 
 @register("a21_quantile_cuts", cust_sql() + """SELECT quantile_cont(recency_days, 1/3) AS q1,

@@ -4,20 +4,18 @@ New monthly parts landing in a folder are cleaned (F1, month labels,
 dates) and priced (stream-static left join against the price list reduced
 to one row per service key) and appended to an output table.  The job is
 stateless, so exactly-once output comes from the file sink plus the
-checkpoint folder; ``availableNow`` processes what is there and stops,
+stream checkpoint, which lives in the sink's own folder: a restarted
+application finds it again, and two sinks never share one; ``availableNow`` processes what is there and stops,
 ``processingTime`` keeps it running.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from clientele.operators.clean import clean_transactions
 from clientele.operators.pricing import price_lookup
-from clientele.session import ensure_checkpoint_dir
 
 
 def cleaned_stream(spark: SparkSession, source: str, schema: StructType | str, pricelist: DataFrame,
@@ -31,10 +29,10 @@ def cleaned_stream(spark: SparkSession, source: str, schema: StructType | str, p
 def run_ingest(spark: SparkSession, source: str, schema: StructType | str, pricelist: DataFrame,
                sink: str, label: str = "Month", years=("24", "25"), available_now: bool = True,
                checkpoint: str | None = None):
-    """Start the job writing Parquet to ``sink``; the stream checkpoint lives
-    under the shared checkpoint folder unless one is given.  With
+    """Start the job writing Parquet to ``sink``; the stream checkpoint is the
+    folder ``_stream_checkpoint`` in it (which readers skip) unless one is given.  With
     ``available_now`` the call returns after the backlog is processed."""
-    ckpt = checkpoint or os.path.join(ensure_checkpoint_dir(spark), "streams", os.path.basename(sink.rstrip("/")))
+    ckpt = checkpoint or sink.rstrip("/") + "/_stream_checkpoint"
     q = (cleaned_stream(spark, source, schema, pricelist, label, years).writeStream
          .format("parquet").option("path", sink).option("checkpointLocation", ckpt).outputMode("append"))
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="1 minute")

@@ -61,3 +61,36 @@ def test_export_filtered_skips_empty_and_keeps_schema(spark):
     empty = K.write_table(df.where(F.col("id") > 5), os.path.join(base, "empty"))
     back = spark.read.parquet(empty)
     assert back.count() == 0 and back.columns == ["id", "s"]
+
+
+def test_stream_restart_keeps_every_row_once(spark):
+    from clientele.streaming import ingest
+    base = tempfile.mkdtemp(prefix="clientele-stream-")
+    src, sinks = os.path.join(base, "src"), [os.path.join(base, x, "out") for x in ("a", "b")]
+    schema = "Month string, customer string, tx_date date, item string, qty decimal(18,2)"
+    prices = spark.sql("SELECT 1L AS row_id, 'wash' AS service, CAST(5 AS DECIMAL(18,2)) AS price")
+    part = lambda names: (spark.createDataFrame([(n,) for n in names], "customer string")
+                          .selectExpr("'jan24' Month", "customer", "date'2024-01-02' tx_date", "'wash' item",
+                                      "cast(1 as decimal(18,2)) qty").write.mode("append").parquet(src))
+    part(["ann", "bob"])
+    for sink in sinks:  # two sinks of one base name
+        ingest.run_ingest(spark, src, schema, prices, sink)
+    part(["cid"])
+    before = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(os.path.join(base, "ckpt"))  # as a restarted application has
+    try:
+        for sink in sinks:
+            ingest.run_ingest(spark, src, schema, prices, sink)
+            assert spark.read.parquet(sink).count() == 3
+    finally:
+        if before:
+            spark.sparkContext.setCheckpointDir(os.path.dirname(before.removeprefix("file:")))
+
+
+def test_means_skip_nulls(spark):
+    from clientele.operators import facets
+    df = spark.createDataFrame([("a", 1.0, 1, 4), ("b", None, None, None)],
+                               "cust_norm string, total_spent double, recency_days int, frequency int")
+    row = facets.kpi_row(df).first()
+    assert (row.avg_recency, row.avg_frequency, row.avg_monetary) == (1.0, 4.0, 1.0)
+    assert facets.group_stats(df, ["cust_norm"]).where("cust_norm = 'b'").first().avg_spent is None
