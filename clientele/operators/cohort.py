@@ -1,14 +1,16 @@
 """Cohort retention.
 
-The cohort month is ``min(date)`` per customer computed as an aggregate and
-joined back (key-to-key, both sides partitioned on the customer), not a
-per-customer window: a customer holding a third of the rows is reduced
-map-side instead of sorted in one task.
+Counts and retention first reduce the transactions to distinct (customer,
+month) cells, map-side before the shuffle, and take the cohort month over a
+customer's cells: a customer holding a third of the rows meets the window with
+at most one row for each month of the calendar, and the transactions are read
+once.  Only ``cohort_rows``, which returns every transaction, joins the cohort
+month back to them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clientele.functions.dates import month_display, month_key
@@ -16,19 +18,34 @@ from clientele.functions.text import name_key_nan
 from clientele.session import checkpoint_once
 
 
+def _dated(tx: DataFrame, customer: str, date_col: str) -> DataFrame:
+    return (tx.where(F.col(date_col).isNotNull())
+              .select(name_key_nan(customer).alias("cust"), F.trunc(F.col(date_col), "month").alias("month")))
+
+
+def _cohort_index() -> Column:
+    idx = (F.year("month") - F.year("cohort")) * 12 + (F.month("month") - F.month("cohort"))
+    return idx.cast("int").alias("cohort_index")
+
+
 def cohort_rows(tx: DataFrame, customer: str = "customer", date_col: str = "tx_date") -> DataFrame:
     """W1 + W2: each row with its customer's cohort month and the whole
     months since it (cohort index)."""
-    t = (tx.where(F.col(date_col).isNotNull())
-           .select(name_key_nan(customer).alias("cust"), F.trunc(F.col(date_col), "month").alias("month")))
+    t = _dated(tx, customer, date_col)
     first = t.groupBy("cust").agg(F.min("month").alias("cohort"))
-    j = t.join(first, "cust")
-    idx = ((F.year("month") - F.year("cohort")) * 12 + (F.month("month") - F.month("cohort")))
-    return j.select("cust", "month", "cohort", idx.cast("int").alias("cohort_index"))
+    return t.join(first, "cust").select("cust", "month", "cohort", _cohort_index())
+
+
+def cohort_months(tx: DataFrame, customer: str = "customer", date_col: str = "tx_date") -> DataFrame:
+    """The distinct rows of ``cohort_rows``: one for each month in which a customer bought."""
+    cells = _dated(tx, customer, date_col).distinct()
+    cohort = F.min("month").over(Window.partitionBy("cust"))
+    return cells.withColumn("cohort", cohort).select("cust", "month", "cohort", _cohort_index())
 
 
 def cohort_counts(rows: DataFrame, materialized: bool = False) -> DataFrame:
     """Distinct customers per (cohort month, index); month as 'yyyy-MM'.
+    ``rows``: ``cohort_months`` (or ``cohort_rows``, with the same result).
 
     ``materialized``: checkpoint the result (at most months x months rows) when
     several actions read it, so the transactions are aggregated once."""

@@ -34,13 +34,13 @@ def w01_cohort_rows(spark, d):
 
 @register("a18_cohort_counts", COHORT_SQL + "SELECT * FROM counts")
 def a18_cohort_counts(spark, d):
-    return C.cohort_counts(C.cohort_rows(V.tx(spark, d)))
+    return C.cohort_counts(C.cohort_months(V.tx(spark, d)))
 
 
 @register("a19_cohort_pivot_cells", COHORT_SQL + "SELECT * FROM dense")
 def a19_cohort_pivot_cells(spark, d):
     """The cells of the cohort x index pivot, absent cells 0."""
-    return C.cohort_dense(C.cohort_counts(C.cohort_rows(V.tx(spark, d)), materialized=True))
+    return C.cohort_dense(C.cohort_counts(C.cohort_months(V.tx(spark, d)), materialized=True))
 
 
 @register("w06_retention", COHORT_SQL + """, size AS (SELECT cohort_month, n_customers AS cohort_size
@@ -50,7 +50,7 @@ SELECT cohort_month, cohort_index, n_customers, cohort_size,
     strftime(CAST(cohort_month || '-01' AS DATE), '%b %Y') || ' (N=' || CAST(cohort_size AS VARCHAR) || ')' AS cohort_label
   FROM dense JOIN size USING (cohort_month)""")
 def w06_retention(spark, d):
-    return C.retention(C.cohort_counts(C.cohort_rows(V.tx(spark, d)), materialized=True))
+    return C.retention(C.cohort_counts(C.cohort_months(V.tx(spark, d)), materialized=True))
 
 
 @register("a14_monthly_revenue", V.with_views("tx") + """SELECT strftime(tx_date, '%Y-%m') AS month,
