@@ -275,6 +275,21 @@ def test_learned_scores_on_held_out_rows(spark):
         assert np.mean([r[1] == r[2] for r in rows]) >= least
 
 
+def test_learners_do_not_follow_the_partitions(spark):
+    from clientele.llm import learning, quality
+    sample = spark.createDataFrame([(i, i % 2, [i % 5, 7], [1.0, 0.5]) for i in range(60)],
+                                   "id long, y int, features array<bigint>, values array<float>")
+    rows = learning.indexed(sample, np.array([0, 1, 2, 3, 4, 7], np.uint64))
+    state = [np.zeros(7), np.zeros(7)]
+    few = learning.mixing_round(rows, state, 3, quality._learn)
+    many = learning.mixing_round(rows.repartitionByRange(23, "learner").sortWithinPartitions("learner", "id"),
+                                 state, 3, quality._learn)
+    one = learning.mixing_round(rows.coalesce(1).sortWithinPartitions("learner", "id"), state, 3, quality._learn)
+    assert all((a == b).all() and (a == c).all() for a, b, c in zip(few, many, one, strict=True))
+    assert not (few[1] == 0).all()
+    assert rows.select("learner").distinct().count() <= learning.LEARNERS
+
+
 def test_scores_of_odd_rows(docs, empty, spark):
     from clientele.llm import quality, toxicity
     labels = spark.createDataFrame([(0, 1, 1), (5, 1, 0), (8, 0, None), (99, 0, 1), (None, 1, 1)],
