@@ -33,10 +33,11 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
 
 def read_any(spark: SparkSession, path: str, schema: StructType | str | None = None,
              json_multiline: bool = False) -> DataFrame:
-    """Choose the reader by file extension; other extensions are rejected.
+    """Choose the reader by file extension; a path without one is a Parquet
+    folder (on any file system Spark reads); other extensions are rejected.
     JSON is read as JSON lines unless ``json_multiline`` (one document)."""
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
-    if ext == ".parquet" or (ext == "" and os.path.isdir(path)):
+    if ext in (".parquet", ""):
         r = spark.read if schema is None else spark.read.schema(schema)
         return r.parquet(path)
     if ext == ".csv":

@@ -18,6 +18,8 @@ def test_read_any_dispatch_and_reject(spark):
     df.write.option("header", True).csv(os.path.join(base, "t.csv"))
     df.write.json(os.path.join(base, "t.json"))
     assert IO.read_any(spark, os.path.join(base, "t.parquet")).count() == 1
+    df.write.parquet(os.path.join(base, "folder"))
+    assert IO.read_any(spark, "file:" + os.path.join(base, "folder")).count() == 1
     assert IO.read_any(spark, os.path.join(base, "t.csv"), "id long, s string").first().s == "a"
     assert IO.read_any(spark, os.path.join(base, "t.json"), "id long, s string").first().id == 1
     with pytest.raises(ValueError):
