@@ -3,10 +3,11 @@
 Lines are parsed by a tree of fixed depth: the first level is the number of
 tokens, the next ``DEPTH`` levels are the leading tokens, with any token that
 holds a digit generalised to ``<*>``.  A leaf keeps one template: at each
-position the token that most of its lines have there, or ``<*>`` if no token
-has half of them.  A line belongs to its leaf's template if it agrees with at
-least ``SIMILAR`` of the positions, and is otherwise a template of its own.
-Templates of at least ``min_docs`` documents recur; their lines are dropped.
+position the token that more than half of its lines have there, or ``<*>`` if
+none has.  A line belongs to its leaf's template if it agrees with at least
+``SIMILAR`` of the positions, and is otherwise a template of its own.
+Templates recur from ``min_docs`` documents on, those of more than
+``LONG_TOKENS`` tokens from ``long_docs`` on; their lines are dropped.
 
 Only distinct generalised lines of leaves that several documents reach are
 taken apart, each with the number of its lines, so a line that most documents
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from clientele.llm.common import SPACES, WORD, materialize, plain_text
 
 DEPTH, MIN_DOCS, SIMILAR = 4, 8, 0.6
+#: A line of more tokens is a passage: it is no chance that it stands in two documents.
+LONG_TOKENS, LONG_DOCS = 20, 2
 ANY = "<*>"
 #: A template is hot with more than 1 / HOT of all lines; there are fewer than HOT such.
 HOT = 1024
@@ -43,17 +46,23 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             .withColumn("leaf", F.xxhash64("tokens", lead)))
 
 
-def recurring_lines(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def needed_docs(min_docs: int, long_docs: int) -> Column:
+    """Documents from which on a line of ``tokens`` tokens recurs."""
+    return F.when(F.col("tokens") > LONG_TOKENS, min(min_docs, long_docs)).otherwise(min_docs)
+
+
+def recurring_lines(lines: DataFrame, min_docs: int = MIN_DOCS, long_docs: int = LONG_DOCS) -> DataFrame:
     """(leaf, line): hashes of the generalised lines whose template recurs.
 
     ``lines``: id, leaf, line (hash of the generalised line), general, tokens."""
     holders = lines.groupBy("leaf", "line", "id").agg(F.count(F.lit(1)).alias("n"), F.first("tokens").alias("tokens"))
     counts = materialize(holders.groupBy("leaf", "line").agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"), F.first("tokens").alias("tokens")))
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"), F.first("tokens").alias("tokens"))
+        .withColumn("needed", needed_docs(min_docs, long_docs)))
     # leaves in which several lines may meet in a template; a line that recurs by itself needs no generalising
     shared = (counts.groupBy("leaf").agg(F.sum("docs").alias("reach"), F.count(F.lit(1)).alias("kinds"),
-                                         F.min("docs").alias("least"))
-              .filter((F.col("kinds") > 1) & (F.col("reach") >= min_docs) & (F.col("least") < min_docs)).select("leaf"))
+                                         F.min("docs").alias("least"), F.first("needed").alias("needed"))
+              .filter("kinds > 1 and reach >= needed and least < needed").select("leaf"))
     open_counts = materialize(counts.join(shared, "leaf"))
     bodies = (lines.select("leaf", "line", "general").join(open_counts.select("leaf", "line"), ["leaf", "line"], "left_semi")
               .groupBy("leaf", "line").agg(F.min("general").alias("general")))
@@ -64,19 +73,20 @@ def recurring_lines(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     votes = words.groupBy("leaf", "pos", "word").agg(F.sum("n").alias("votes"))
     template = (votes.groupBy("leaf", "pos")
                 .agg(F.max(F.struct("votes", "word")).alias("best"), F.sum("votes").alias("all"))
-                .select("leaf", "pos", F.when(F.col("best.votes") * 2 >= F.col("all"), F.col("best.word")).alias("kept")))
+                .select("leaf", "pos", F.when(F.col("best.votes") * 2 > F.col("all"), F.col("best.word")).alias("kept")))
     members = (words.join(template, ["leaf", "pos"]).groupBy("leaf", "line", "tokens")
                .agg(F.sum((F.col("word") == F.col("kept")).cast("int")).alias("agree"))
                .filter(F.coalesce("agree", F.lit(0)) >= F.col("tokens") * SIMILAR).select("leaf", "line"))
     together = (lines.select("leaf", "line", "id").join(members, ["leaf", "line"], "left_semi")
                 .groupBy("leaf", "id").agg(F.lit(1).alias("one"))
-                .groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs))
-    alone = counts.filter(F.col("docs") >= min_docs).select("leaf", "line")
+                .groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"))
+                .join(counts.groupBy("leaf").agg(F.first("needed").alias("needed")), "leaf").filter("docs >= needed"))
+    alone = counts.filter("docs >= needed").select("leaf", "line")
     return alone.unionByName(members.join(together.select("leaf"), "leaf", "left_semi")).distinct()
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id",
-                         text_col: str = "text") -> DataFrame:
+                         text_col: str = "text", long_docs: int = LONG_DOCS) -> DataFrame:
     """``docs`` with ``text_col`` without the lines of recurring templates, and
     two more columns: n_lines and n_dropped.
 
@@ -88,7 +98,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str
     replaced)."""
     lines = materialize(line_table(docs, id_col, text_col).select(
         "id", "version", "line_no", "tokens", "leaf", "general", F.xxhash64("general").alias("line")))
-    recurring = materialize(recurring_lines(lines, min_docs))
+    recurring = materialize(recurring_lines(lines, min_docs, long_docs))
     n_lines = lines.count()
     # a hot line is broadcast, so its holders don't meet in one task; there are fewer than HOT of them
     sizes = lines.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * HOT > n_lines)
