@@ -2,12 +2,16 @@
 
 Lines are parsed by a tree of fixed depth: the first level is the number of
 tokens, the next ``DEPTH`` levels are the leading tokens, with any token that
-holds a digit generalised to ``<*>``.  A leaf keeps one template: at each
-position the token that more than half of its lines have there, or ``<*>`` if
-none has.  A line belongs to its leaf's template if it agrees with at least
-``SIMILAR`` of the positions, and is otherwise a template of its own.
-Templates recur from ``min_docs`` documents on, those of more than
-``LONG_TOKENS`` tokens from ``long_docs`` on; their lines are dropped.
+holds a digit generalised to ``<*>``.  The lines of a leaf are parted into
+groups.  A group's template holds at each position the token that more than
+half of its lines have there, or ``<*>`` if none has; lines that agree with at
+least ``SIMILAR`` of the positions are taken by it.  Those left over are parted
+by the most common of their tokens that stand in at most half of them, and each
+part votes again, until none is left.  Every template of a leaf, and every line
+that none has taken, then draws all lines of the leaf that agree with it, so a
+family parted by chance is whole again.  Templates recur from ``min_docs``
+documents on, those of more than ``LONG_TOKENS`` tokens from ``long_docs`` on;
+the lines they draw are dropped.
 
 Only distinct generalised lines of leaves that several documents reach are
 taken apart, each with the number of its lines, so a line that most documents
@@ -16,6 +20,8 @@ hold is one row of that step.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +31,8 @@ DEPTH, MIN_DOCS, SIMILAR = 4, 8, 0.6
 #: A line of more tokens is a passage: it is no chance that it stands in two documents.
 LONG_TOKENS, LONG_DOCS = 20, 2
 ANY = "<*>"
+#: Leaves of at most so many lines compare each line with each template.
+FEW = 64
 #: A template is hot with more than 1 / HOT of all lines; there are fewer than HOT such.
 HOT = 1024
 
@@ -65,24 +73,94 @@ def recurring_lines(lines: DataFrame, min_docs: int = MIN_DOCS, long_docs: int =
               .filter("kinds > 1 and reach >= needed and least < needed").select("leaf"))
     open_counts = materialize(counts.join(shared, "leaf"))
     bodies = (lines.select("leaf", "line", "general").join(open_counts.select("leaf", "line"), ["leaf", "line"], "left_semi")
-              .groupBy("leaf", "line").agg(F.min("general").alias("general")))
-    words = (bodies.join(open_counts, ["leaf", "line"])
-             .select("leaf", "line", "n", "tokens",
-                     F.posexplode(F.regexp_extract_all("general", F.lit(WORD), F.lit(0))).alias("pos", "word")))
-    words = materialize(words)
-    votes = words.groupBy("leaf", "pos", "word").agg(F.sum("n").alias("votes"))
-    template = (votes.groupBy("leaf", "pos")
-                .agg(F.max(F.struct("votes", "word")).alias("best"), F.sum("votes").alias("all"))
-                .select("leaf", "pos", F.when(F.col("best.votes") * 2 > F.col("all"), F.col("best.word")).alias("kept")))
-    members = (words.join(template, ["leaf", "pos"]).groupBy("leaf", "line", "tokens")
-               .agg(F.sum((F.col("word") == F.col("kept")).cast("int")).alias("agree"))
-               .filter(F.coalesce("agree", F.lit(0)) >= F.col("tokens") * SIMILAR).select("leaf", "line"))
-    together = (lines.select("leaf", "line", "id").join(members, ["leaf", "line"], "left_semi")
-                .groupBy("leaf", "id").agg(F.lit(1).alias("one"))
-                .groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"))
-                .join(counts.groupBy("leaf").agg(F.first("needed").alias("needed")), "leaf").filter("docs >= needed"))
+              .groupBy("leaf", "line").agg(F.min("general").alias("general"))
+              .select("leaf", "line", F.regexp_extract_all("general", F.lit(WORD), F.lit(0)).alias("body")))
+    bodies = materialize(bodies.join(open_counts, ["leaf", "line"]))
+    drawn = materialize(drawn_lines(bodies, leaf_templates(bodies)))
+    # a template with a line that recurs by itself recurs; the others' lines are held by few documents each
+    sums = drawn.groupBy("leaf", "template").agg(F.max(F.col("docs") >= F.col("needed")).alias("sure"),
+                                                 F.sum("docs").alias("reach"), F.first("needed").alias("needed"))
+    open_templates = sums.filter("not sure and reach >= needed").select("leaf", "template")
+    together = (lines.select("leaf", "line", "id")
+                .join(drawn.join(open_templates, ["leaf", "template"]).select("leaf", "line", "template", "needed"),
+                      ["leaf", "line"])
+                .groupBy("leaf", "template", "id").agg(F.first("needed").alias("needed"))
+                .groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"), F.first("needed").alias("needed"))
+                .filter("docs >= needed"))
+    found = sums.filter("sure").select("leaf", "template").unionByName(together.select("leaf", "template"))
     alone = counts.filter("docs >= needed").select("leaf", "line")
-    return alone.unionByName(members.join(together.select("leaf"), "leaf", "left_semi")).distinct()
+    return alone.unionByName(drawn.join(found, ["leaf", "template"], "left_semi").select("leaf", "line")).distinct()
+
+
+def leaf_templates(bodies: DataFrame) -> DataFrame:
+    """(leaf, template, kept) of every leaf: ``kept`` is an array of (pos, word).
+
+    ``bodies``: leaf, line, n, tokens, body (the tokens of the line).  Each
+    round lets every part of a leaf vote and parts the lines left over by the
+    most common of their tokens that at most half of them hold, so a part halves
+    at least: the rounds follow the logarithm of a leaf's lines."""
+    whole = F.transform("body", lambda w, i: F.struct(i.alias("pos"), w.alias("word")))
+    left = bodies.select("leaf", F.col("leaf").alias("part"), "line", "n", "tokens", "body")
+    done, rounds = [], 0
+    while True:
+        votes = (left.select("part", "n", F.posexplode("body").alias("pos", "word"))
+                 .groupBy("part", "pos", "word").agg(F.sum("n").alias("votes")))
+        kept = materialize(
+            votes.groupBy("part", "pos").agg(F.max(F.struct("votes", "word")).alias("best"), F.sum("votes").alias("all"))
+            .filter(F.col("best.votes") * 2 > F.col("all"))
+            .groupBy("part").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("best.word").alias("word")))).alias("kept")))
+        voted = materialize(left.join(kept, "part", "left").withColumn(
+            "taken", F.coalesce(agreeing("kept") >= F.col("tokens") * SIMILAR, F.lit(False))).drop("kept"))
+        winners = voted.filter("taken").select("leaf", "part").distinct()
+        done.append(kept.join(winners, "part").select("leaf", F.xxhash64("part", F.lit(rounds)).alias("template"), "kept"))
+        rest = voted.filter("not taken")
+        sizes = rest.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+        rest = materialize(rest.join(sizes, "part").drop("taken"))
+        done.append(rest.filter("size <= 2").select("leaf", F.xxhash64("line", F.lit("alone")).alias("template"),
+                                                    whole.alias("kept")))
+        rest = rest.filter("size > 2")
+        if rest.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        words = rest.select("part", "line", "size", F.posexplode("body").alias("pos", "word"))
+        common = (words.groupBy("part", "pos", "word").agg(F.count(F.lit(1)).alias("lines"), F.first("size").alias("size"))
+                  .filter("lines * 2 <= size").drop("size"))
+        pivots = (words.drop("size").join(common, ["part", "pos", "word"]).groupBy("part", "line")
+                  .agg(F.max(F.struct("lines", "pos", "word")).alias("pivot")))
+        left = materialize(rest.join(pivots, ["part", "line"], "left").select(
+            "leaf", F.xxhash64("part", "pivot.pos", "pivot.word").alias("part"), "line", "n", "tokens", "body"))
+        rounds += 1
+
+
+def agreeing(kept: str) -> Column:
+    """Number of positions at which ``body`` has the template's token."""
+    return F.size(F.filter(kept, lambda k: F.get(F.col("body"), k["pos"]) == k["word"]))
+
+
+def drawn_lines(bodies: DataFrame, templates: DataFrame) -> DataFrame:
+    """(leaf, line, template, docs, needed): the lines that agree with each
+    template of their leaf in at least ``SIMILAR`` of the positions.
+
+    Leaves of at most ``FEW`` lines compare all.  In larger ones, a line that
+    agrees holds one of any k - m + 1 of a template's k tokens, m being the least
+    number that must agree; the rarest in the leaf find the candidates."""
+    sizes = materialize(bodies.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"),
+                                                   F.ceil(F.first("tokens") * SIMILAR).cast("int").alias("least")))
+    few = sizes.filter(F.col("kinds") <= FEW).select("leaf")
+    many = sizes.filter(F.col("kinds") > FEW).select("leaf", "least")
+    words = bodies.join(many, "leaf", "left_semi").select("leaf", "line", F.posexplode("body").alias("pos", "word"))
+    votes = words.groupBy("leaf", "pos", "word").agg(F.count(F.lit(1)).alias("lines"))
+    rarest = (templates.join(many, "leaf").select("leaf", "template", "least", F.explode("kept").alias("k"))
+              .select("leaf", "template", "least", "k.pos", "k.word").join(votes, ["leaf", "pos", "word"])
+              .groupBy("leaf", "template").agg(F.array_sort(F.collect_list(F.struct("lines", "pos", "word"))).alias("all"),
+                                               F.first("least").alias("least")))
+    probes = rarest.select("leaf", "template", F.explode(F.slice(
+        "all", 1, F.greatest(F.size("all") - F.col("least") + 1, F.lit(0)))).alias("p")).select(
+        "leaf", "template", "p.pos", "p.word")
+    pairs = words.join(probes, ["leaf", "pos", "word"]).select("leaf", "line", "template").distinct()
+    compared = (bodies.join(few, "leaf", "left_semi").join(templates, "leaf")
+                .unionByName(pairs.join(templates, ["leaf", "template"]).join(bodies, ["leaf", "line"])))
+    return (compared.filter(agreeing("kept") >= F.col("tokens") * SIMILAR)
+            .select("leaf", "line", "template", "docs", "needed"))
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id",
