@@ -2,12 +2,13 @@
 
 Terms are the lower-cased words of a text and their leading 4 and 6 bytes (so
 that inflected forms share terms); a term is present or not.  The score adds
-linear weights and pairwise interactions: each term has a vector, and a pair
-of present terms adds the product of their vectors, so that two terms can
-mean more together than apart.  Linear weights are trained by
-follow-the-regularised-leader updates, whose L1 term keeps most at zero; a
-term has a vector only while its weight is not zero, so terms that carry
-nothing add no noise to long texts.  Vectors are trained by AdaGrad.
+linear weights and pairwise interactions: each known term has a vector, and a
+pair of present terms adds the product of their vectors, so that two terms can
+mean more together than apart, also if each alone means nothing.  Linear
+weights are trained by follow-the-regularised-leader updates, whose L1 term
+keeps most at zero.  The pairs' sum is divided by the number of known terms of
+the text, so that the many pairs of a long text add no noise.  Vectors are
+trained by AdaGrad.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 2.0, 0.1
 #: Weight of a toxic row in training: toxic rows are the rarer kind.
 POSITIVE = 2.0
 #: AdaGrad step and L2 strength of the vectors, and the size of their first values.
-STEP, DECAY, SPREAD = 0.02, 0.1, 0.02
+STEP, DECAY, SPREAD = 0.3, 0.01, 0.1
 THRESHOLD = 0.5
 PREFIXES = (4, 6)
 
@@ -61,10 +62,11 @@ def _learner(with_factors: bool):
         total = w.sum()
         if with_factors:
             v, sq = state[2:]
-            on = at[:-1][w[:-1] != 0]
-            own = v[on]
+            on = at[:-1]
+            own = v[on].astype(np.float64)
             summed = own.sum(0)
-            total += 0.5 * float((summed * summed - (own * own).sum(0)).sum())
+            share = 1.0 / max(len(on), 1)
+            total += 0.5 * share * float((summed * summed - (own * own).sum(0)).sum())
         g = 1.0 / (1.0 + np.exp(-np.clip(total, -35, 35))) - y
         g *= POSITIVE if y else 1.0
         n_at = n[at]
@@ -72,7 +74,7 @@ def _learner(with_factors: bool):
         z[at] += g - sigma * w
         n[at] = n_at + g * g
         if with_factors and len(on):
-            gv = g * (summed - own) + DECAY * own
+            gv = share * (g * (summed - own) + DECAY * own)
             sq[on] += gv * gv
             v[on] = own - STEP * gv / np.sqrt(sq[on] + 1e-8)
     return learn
@@ -80,16 +82,16 @@ def _learner(with_factors: bool):
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rounds: int = ROUNDS,
         max_rows: int = learning.MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> dict:
-    """Model: sorted term hashes, weights and vectors (of the terms whose
-    weight is not zero), intercept.  Learns from at most ``max_rows`` labelled
+    """Model: sorted term hashes, weights and vectors of the known terms,
+    intercept.  Learns from at most ``max_rows`` labelled
     rows; ``labels`` must hold only rows that may teach.  Without any the
     model gives 0.5 to every text."""
     sample = learning.sample_features(docs, labels, label, features, max_rows, id_col, text_col)
     keys = learning.active_features(sample)
     rows = learning.indexed(sample, keys)
     size = len(keys) + 1
-    start = np.random.default_rng(5).normal(0.0, SPREAD, (size, FACTORS))
-    state = [np.zeros(size), np.zeros(size), start, np.full((size, FACTORS), 0.1)]
+    start = np.random.default_rng(5).normal(0.0, SPREAD, (size, FACTORS)).astype(np.float32)
+    state = [np.zeros(size), np.zeros(size), start, np.full((size, FACTORS), 0.1, np.float32)]
     for i in range(rounds):
         if i < LINEAR_ROUNDS:  # the vectors stay as they are and need not travel
             state[:2] = learning.mixing_round(rows, state[:2], i, _learner(False))
@@ -97,8 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rounds: int =
             state = learning.mixing_round(rows, state, i, _learner(True))
     z, n, v, _ = state
     w = _weights(z, n)
-    used = np.flatnonzero(w[:-1])
-    return {"keys": keys[used], "weights": w[used], "vectors": v[used], "intercept": float(w[-1])}
+    return {"keys": keys, "weights": w[:-1], "vectors": v[:-1], "intercept": float(w[-1])}
 
 
 def _score(model, data, bounds):
@@ -107,9 +108,10 @@ def _score(model, data, bounds):
     text, at, _ = learning.grouped(text[known], at[known])
     n = len(bounds) - 1
     total = np.bincount(text, weights=model["weights"][at] if len(text) else None, minlength=n).astype(np.float64)
+    share = 1.0 / np.maximum(np.bincount(text, minlength=n), 1)
     for column in model["vectors"].T if len(text) else ():
-        x = column[at]
-        total += 0.5 * (np.bincount(text, weights=x, minlength=n) ** 2 - np.bincount(text, weights=x * x, minlength=n))
+        x = column[at].astype(np.float64)
+        total += 0.5 * share * (np.bincount(text, weights=x, minlength=n) ** 2 - np.bincount(text, weights=x * x, minlength=n))
     return 1.0 / (1.0 + np.exp(-np.clip(total + model["intercept"], -35, 35)))
 
 
