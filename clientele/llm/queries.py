@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientele.llm import (backoff_lm, exact_dedup, jaccard_join, line_templates, mixing, nearest, packing, quality,
-                           sharding, toxicity)
+                           ranked_search, sharding, spelling, toxicity, warc)
 from clientele.llm.common import table
 
 
@@ -59,7 +59,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_sharding, op3_quality_classifier, op4_exact_dedup, op5_jaccard_join, op6_mixing,
-    op7_nearest_neighbours, op8_lm_scoring, op9_line_dedup, op10_packing)}
-ORACLE_SQL = {"op4_exact_dedup": exact_dedup.ORACLE, "op6_mixing": mixing.ORACLE}
+    op7_nearest_neighbours, op8_lm_scoring, op9_line_dedup, op10_packing, op11_warc,
+    op12_spelling_variants, op13_ranked_search)}
+ORACLE_SQL = {"op4_exact_dedup": exact_dedup.ORACLE, "op6_mixing": mixing.ORACLE, "op11_warc": warc.ORACLE,
+              "op13_ranked_search": ranked_search.ORACLE}
