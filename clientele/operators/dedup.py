@@ -1,89 +1,194 @@
 """Same-person merge of member records.
 
 C11: within one name, records in (No., row) order join the first open
-cluster whose accumulated birth date and address do not conflict (null is
-compatible); a cluster adopts the fields it was missing.  That greedy scan
-is a left fold, written here as Spark's ``aggregate`` over an array.
-
-Scale: records with the same (birth date, address key) signature always end
-in the same cluster (cluster fields only go from null to a value, so a
-cluster that rejected a signature keeps rejecting it), so the fold runs over
-*distinct signatures* of a name, not over its rows: a name held by a third
-of all rows that are copies of a few records folds a few elements.  Records
-get their person id back by a key join on (name, signature).  Null names
-never match (each is its own person).
+cluster whose birth date and address do not conflict (null is compatible); a
+cluster adopts the fields it was missing.
+
+Records with the same *signature* (birth date, address) always end in the same
+cluster, so the work is on distinct signatures.  Most of them need no scan:
+
+* A signature without either field fits every cluster, so it belongs to the
+  first one of its name.
+* A full signature fits its own cluster or an open one of its date or of its
+  address, which only a *half* signature (one field missing) can have opened.
+* If a name has halves of one kind only, a half belongs to the earliest full
+  signature of its field: a ``groupBy`` on (name, field), at any size.
+* If it has both kinds, a half without address can also take the earliest open
+  cluster without date, and the other way round.  Only this is a sequence.  Its
+  events are the halves, one for each distinct field, and the full signatures
+  that can close one (the earliest of a half's field); they stream through a
+  sorted partition, and the state of a name is its open halves.
+* Every other full signature joins the pair of halves with its two fields, or is
+  a person of its own: one join.
+
+Rows without a name are persons of their own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clientele.functions.text import blank_to_null, strip_ws
+from clientele.session import checkpoint_once
 
 YES_NO_COLUMNS = ["delivery", "donasi", "reward", "reward_deposit", "jual_atas_nama_sendiri",
                   "jual_bawah_harga", "officer_check"]
 
 
-def _compatible(c: Column, s: Column) -> Column:
-    """X26 on a cluster state and a signature (null is compatible)."""
-    bd_ok = c["bd"].isNull() | s["bd"].isNull() | (c["bd"] == s["bd"])
-    ad_ok = c["ad"].isNull() | s["ad"].isNull() | (c["ad"] == s["ad"])
-    return bd_ok & ad_ok
-
-
-def _first_fit(sigs: Column) -> Column:
-    """Fold: returns array<int> cluster number (1-based) per signature."""
-    init = F.struct(F.array().cast("array<struct<bd: string, ad: string>>").alias("clusters"),
-                    F.array().cast("array<int>").alias("assign"))
-
-    def step(acc, s):
-        fits = F.transform(acc["clusters"], lambda c: _compatible(c, s))
-        pos = F.array_position(fits, True).cast("int")
-        grown = F.concat(acc["clusters"], F.array(F.struct(s["bd"].alias("bd"), s["ad"].alias("ad"))))
-        merged = F.transform(acc["clusters"], lambda c, i: F.when(
-            i + 1 == pos, F.struct(F.coalesce(c["bd"], s["bd"]).alias("bd"),
-                                   F.coalesce(c["ad"], s["ad"]).alias("ad"))).otherwise(c))
-        new_pos = F.when(pos == 0, F.size(acc["clusters"]) + 1).otherwise(pos)
-        return F.struct(F.when(pos == 0, grown).otherwise(merged).alias("clusters"),
-                        F.concat(acc["assign"], F.array(new_pos.cast("int"))).alias("assign"))
-
-    return F.aggregate(sigs, init, step)["assign"]
+def record_order(no: str, row_id: str) -> Column:
+    """File order within a name: by number, rows without one last, then by row."""
+    return F.struct(F.col(no).isNull().alias("missing"), F.col(no).alias("no"), F.col(row_id).alias("row"))
+
+
+def _signatures(named: DataFrame) -> DataFrame:
+    """(name, bd, ad, t, key): the distinct signatures, the place of the first
+    record of each, and that record's row id."""
+    return checkpoint_once(named.groupBy(F.col("_name").alias("name"), F.col("_bd").alias("bd"), F.col("_ad").alias("ad"))
+                           .agg(F.min("_ord").alias("t")).withColumn("key", F.col("t.row")))
+
+
+def _half_matches(halves: DataFrame, full: DataFrame, field: str) -> DataFrame:
+    """(key, root) for names with halves of one kind: a half and the earliest
+    full signature of its field are one person."""
+    first = full.groupBy("name", field).agg(F.min("t").alias("t"))
+    both = halves.select("name", field, F.col("t").alias("half")).join(first, ["name", field])
+    root = F.least("half", "t")["row"]
+    return (both.select(F.col("half.row").alias("key"), root.alias("root"))
+            .unionByName(both.select(F.col("t.row").alias("key"), root.alias("root"))))
+
+
+class _Name:
+    """The open clusters of one name, in the order in which they began."""
+
+    def __init__(self):
+        self.open: dict[str, dict[str, tuple[int, object]]] = {"bd": {}, "ad": {}}  # field -> value -> (place, root)
+        self.first: dict[str, dict[str, tuple[int, object]]] = {"bd": {}, "ad": {}}  # earliest cluster of a closed field
+        self.pair: dict[tuple[str, str], object] = {}  # (bd, ad) of two halves that met -> root
+        self.n = 0
+
+    def half(self, field: str, value: str, key) -> object:
+        """Place a half signature that has ``field``; returns its root."""
+        other = "ad" if field == "bd" else "bd"
+        known = self.first[field].pop(value, None)
+        waiting = next(iter(self.open[other].items()), None)  # the earliest open cluster without this field
+        if waiting and (known is None or waiting[1][0] < known[0]):
+            del self.open[other][waiting[0]]
+            self.pair[(value, waiting[0]) if field == "bd" else (waiting[0], value)] = waiting[1][1]
+            return waiting[1][1]
+        if known:
+            return known[1]
+        self.n += 1
+        self.open[field][value] = (self.n, key)
+        return key
+
+    def full(self, bd: str, ad: str, key) -> object:
+        """Place a full signature; returns its root."""
+        found = self.open["bd"].pop(bd, None) or self.open["ad"].pop(ad, None)
+        if found is None and (bd, ad) in self.pair:
+            return self.pair[bd, ad]
+        if found is None:
+            self.n += 1
+            found = (self.n, key)
+        for field, value in (("bd", bd), ("ad", ad)):
+            self.first[field][value] = min(found, self.first[field].get(value, found), key=lambda x: x[0])
+        return found[1]
+
+
+def _fold(events: DataFrame) -> DataFrame:
+    """(name, bd, ad, key, root, met): the roots of the signatures of names with
+    both kinds of halves; ``met`` tells that two halves met in (bd, ad)."""
+    schema = events.select("name", "bd", "ad", "key", F.col("key").alias("root")).schema
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", met boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, state = None, _Name()
+        for batch in batches:
+            keys = batch.column(3)
+            out: list[tuple] = []
+            for nm, bd, ad, key in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
+                if nm != name:
+                    name, state = nm, _Name()
+                if bd is None or ad is None:
+                    pairs = len(state.pair)
+                    root = state.half("ad" if bd is None else "bd", ad if bd is None else bd, key)
+                    if len(state.pair) > pairs:
+                        out.append((nm, *next(reversed(state.pair)), None, root, True))
+                else:
+                    root = state.full(bd, ad, key)
+                out.append((nm, bd, ad, key, root, False))
+            types = [pa.string(), pa.string(), pa.string(), keys.type, keys.type, pa.bool_()]
+            columns = zip(*out, strict=True) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)],
+                                             names=["name", "bd", "ad", "key", "root", "met"])
+
+    return (events.select("name", "bd", "ad", "key", "t").repartition("name").sortWithinPartitions("name", "t")
+            .select("name", "bd", "ad", "key").mapInArrow(run, ddl))
+
+
+def _roots(sig: DataFrame) -> DataFrame:
+    """(key, root) of every signature with a field."""
+    full = sig.where(F.col("bd").isNotNull() & F.col("ad").isNotNull())
+    halves = {"bd": sig.where(F.col("bd").isNotNull() & F.col("ad").isNull()),
+              "ad": sig.where(F.col("bd").isNull() & F.col("ad").isNotNull())}
+    mixed = halves["bd"].select("name").distinct().join(halves["ad"].select("name").distinct(), "name")
+    mixed = checkpoint_once(mixed)
+    alone = [_half_matches(h.join(mixed, "name", "left_anti"), full, field) for field, h in halves.items()]
+
+    # full signatures that can close a half: the earliest of its field
+    closing = [full.join(h.select("name", field), ["name", field], "left_semi").groupBy("name", field)
+               .agg(F.min(F.struct("t", "bd", "ad", "key")).alias("e")).select("name", "e.bd", "e.ad", "e.key", "e.t")
+               for field, h in halves.items()]
+    cols = ["name", "bd", "ad", "key", "t"]
+    events = (closing[0].select(cols).unionByName(closing[1].select(cols)).distinct()
+              .unionByName(halves["bd"].select(cols)).unionByName(halves["ad"].select(cols)))
+    folded = checkpoint_once(_fold(events.join(mixed, "name", "left_semi")))
+    known = alone[0].unionByName(alone[1]).unionByName(folded.where("NOT met").select("key", "root"))
+    met = folded.where("met").select("name", "bd", "ad", F.col("root").alias("pair"))
+    return (sig.where(F.col("bd").isNotNull() | F.col("ad").isNotNull())
+            .join(known, "key", "left").join(met, ["name", "bd", "ad"], "left")
+            .select("key", F.coalesce("root", "pair", "key").alias("root")))
 
 
 def resolve_persons(df: DataFrame, *, name: str = "name", no: str = "no", birth_date: str = "birth_date",
                     address: str = "address", row_id: str | None = None) -> DataFrame:
-    """Add ``person_id`` (a string key: name + cluster number; null
-    names get a key of their own record)."""
-    order = F.col(no) if row_id is None else F.struct(F.col(no), F.col(row_id))
+    """Add ``person_id``, the row id of the person's earliest record that
+    holds a birth date or an address (of the earliest record if none does).
+
+    ``row_id`` names a unique column; without one rows are numbered first, and
+    the frame is checkpointed so that the numbers hold.  Rows without a name
+    are persons of their own."""
+    recs = df
+    if row_id is None:
+        row_id = "_row"
+        recs = checkpoint_once(df.withColumn(row_id, F.monotonically_increasing_id()))
     bd = blank_to_null(F.col(birth_date).cast("string"))
     ad = F.lower(strip_ws(blank_to_null(F.col(address).cast("string"))))
-    recs = df.withColumn("_bd", bd).withColumn("_ad", ad).withColumn("_ord", order)
-    named = recs.where(F.col(name).isNotNull())
-    sig = (named.groupBy(name, "_bd", "_ad").agg(F.min("_ord").alias("_first")))
-    per_name = (sig.groupBy(name)
-                   .agg(F.array_sort(F.collect_list(F.struct(F.col("_first").alias("o"),
-                                                             F.col("_bd").alias("bd"),
-                                                             F.col("_ad").alias("ad")))).alias("_sigs")))
-    per_name = per_name.withColumn("_assign", _first_fit(F.col("_sigs")))
-    sig_ids = per_name.select(name, F.explode(F.arrays_zip("_sigs", "_assign")).alias("z")).select(
-        name, F.col("z._sigs.bd").alias("_bd"), F.col("z._sigs.ad").alias("_ad"),
-        F.col("z._assign").alias("_cluster"))
-    s2 = sig_ids.select(F.col(name).alias("_n2"), F.col("_bd").alias("_bd2"), F.col("_ad").alias("_ad2"), "_cluster")
-    on = ((named[name] == s2["_n2"]) & named["_bd"].eqNullSafe(s2["_bd2"])
-          & named["_ad"].eqNullSafe(s2["_ad2"]))  # null-safe keys: null fields are part of a signature
-    keyed = named.join(s2, on, "left")
-    keyed = keyed.withColumn("person_id", F.concat_ws("#", F.col(name), F.col("_cluster").cast("string")))
-    nulls = recs.where(F.col(name).isNull()).withColumn(
-        "person_id", F.concat(F.lit("\u0000null#"), F.col("_ord").cast("string")))
-    cols = df.columns + ["person_id"]
-    return keyed.select(*cols).unionByName(nulls.select(*cols))
+    recs = (recs.withColumn("_name", F.col(name).cast("string")).withColumn("_bd", bd).withColumn("_ad", ad)
+                .withColumn("_ord", record_order(no, row_id)))
+    named, unnamed = recs.where(F.col("_name").isNotNull()), recs.where(F.col("_name").isNull())
+    sig = _signatures(named)
+    placed = sig.join(_roots(sig), "key", "left")  # a signature without a field has no root yet
+    has_field = F.col("bd").isNotNull() | F.col("ad").isNotNull()
+    first = sig.where(has_field).groupBy("name").agg(F.min("t").alias("first"))
+    bare = (sig.where(~has_field).join(first, "name", "left")
+            .select("key", F.coalesce("first.row", "key").alias("of_bare")))
+    persons = (placed.join(bare, "key", "left")
+               .select(F.col("name").alias("_name"), F.coalesce("bd", F.lit("")).alias("_b"),
+                       F.coalesce("ad", F.lit("")).alias("_a"), F.coalesce("root", "of_bare").alias("person_id")))
+    # blank fields are null, so '' stands for null here; a hot signature is one row on the other side
+    keyed = (named.withColumn("_b", F.coalesce("_bd", F.lit(""))).withColumn("_a", F.coalesce("_ad", F.lit("")))
+             .join(persons, ["_name", "_b", "_a"]))
+    cols = [*df.columns, "person_id"]
+    return keyed.select(*cols).unionByName(unnamed.withColumn("person_id", F.col(row_id)).select(*cols))
 
 
 def fold_bounds(df: DataFrame, *, name: str = "name", birth_date: str = "birth_date",
                 address: str = "address") -> DataFrame:
-    """The size the fold works on: names, and for the largest name its
-    records and distinct signatures (the array the fold walks).  One row."""
+    """Names, and for the largest name its records and distinct signatures.  One row."""
     bd = blank_to_null(F.col(birth_date).cast("string"))
     ad = F.lower(strip_ws(blank_to_null(F.col(address).cast("string"))))
     per_name = (df.where(F.col(name).isNotNull())
@@ -94,10 +199,12 @@ def fold_bounds(df: DataFrame, *, name: str = "name", birth_date: str = "birth_d
 
 
 def first_valid(c: str, order: Column) -> Column:
-    """A5: first non-blank value in order, else first non-null, else null."""
+    """A5: first non-blank value in order, else first non-null, else null.  A row
+    whose order is null comes last, it is not left out."""
     v = F.col(c)
-    nonblank = F.when(v.isNotNull() & (strip_ws(v.cast("string")) != ""), order)
-    nonnull = F.when(v.isNotNull(), order)
+    place = F.struct(order.isNull().alias("missing"), order.alias("order"))
+    nonblank = F.when(v.isNotNull() & (strip_ws(v.cast("string")) != ""), place)
+    nonnull = F.when(v.isNotNull(), place)
     return F.coalesce(F.min_by(v, nonblank), F.min_by(v, nonnull))
 
 
@@ -108,15 +215,17 @@ def merge_yes_no(c: str) -> Column:
              .when(F.max(F.when(v == "YES", 1)) == 1, F.lit("Yes")).otherwise(F.lit("No")))
 
 
-def merge_persons(resolved: DataFrame, *, no: str = "no", yes_no: list[str] | None = None) -> DataFrame:
-    """One row per person; yes/no columns merged by A6, every other
-    column by A5 in (No.) order; sorted columns keep the input order."""
+def merge_persons(resolved: DataFrame, *, no: str = "no", row_id: str | None = None,
+                  yes_no: list[str] | None = None) -> DataFrame:
+    """One row per person; yes/no columns merged by A6, every other column
+    by A5 in (No., row) order; columns keep the input order.  ``row_id`` decides
+    between records of one number; without it the values themselves do."""
     yn = [c for c in (yes_no if yes_no is not None else YES_NO_COLUMNS) if c in resolved.columns]
-    order = F.col(no)
     aggs = []
     for c in resolved.columns:
         if c == "person_id":
             continue
+        order = record_order(no, row_id or c)
         aggs.append((merge_yes_no(c) if c in yn else first_valid(c, order)).alias(c))
     cols = [c for c in resolved.columns if c != "person_id"]
     return resolved.groupBy("person_id").agg(*aggs).select("person_id", *cols)

@@ -196,20 +196,80 @@ def a05_first_valid_per_name(spark, d):
                                  U.merge_yes_no("delivery").alias("delivery"))
 
 
-@register("w15_entity_resolution")
+def person_ctes(records: str) -> str:
+    """CTE text ``persons`` (no, name, person_id and the other columns) over a
+    table of records numbered by ``no`` and ``row_id``: the scan as a recursion
+    over the signatures of a name, the open clusters in lists."""
+    blank = lambda c: f"CASE WHEN regexp_matches({c}, '^\\s*$') THEN NULL ELSE {c} END"
+    return f""",
+rec AS (SELECT *, {blank('birth_date')} AS bd, lower({strip_sql(blank('address'))}) AS ad,
+    row_number() OVER (ORDER BY no IS NULL, no, row_id) AS place FROM {records}),
+sig AS (SELECT name, bd, ad, min(place) AS first, row_number() OVER (PARTITION BY name ORDER BY min(place)) AS rn,
+    count(*) OVER (PARTITION BY name) AS n FROM rec WHERE name IS NOT NULL GROUP BY name, bd, ad),
+fold AS (SELECT DISTINCT name, 0::BIGINT AS k, n, []::VARCHAR[] AS bds, []::VARCHAR[] AS ads, []::BIGINT[] AS assigned FROM sig
+  UNION ALL
+  SELECT name, k + 1, n, CASE WHEN pos = 0 THEN list_append(bds, bd)
+      ELSE list_transform(range(1, len(bds) + 1), lambda i: CASE WHEN i = pos THEN coalesce(bds[i], bd) ELSE bds[i] END) END,
+    CASE WHEN pos = 0 THEN list_append(ads, ad)
+      ELSE list_transform(range(1, len(ads) + 1), lambda i: CASE WHEN i = pos THEN coalesce(ads[i], ad) ELSE ads[i] END) END,
+    list_append(assigned, CASE WHEN pos = 0 THEN len(bds) + 1 ELSE pos END)
+  FROM (SELECT fold.*, sig.bd, sig.ad, coalesce(list_min(list_filter(range(1, len(bds) + 1), lambda i:
+      (bds[i] IS NULL OR sig.bd IS NULL OR bds[i] = sig.bd) AND (ads[i] IS NULL OR sig.ad IS NULL OR ads[i] = sig.ad))), 0) AS pos
+    FROM fold JOIN sig ON fold.name = sig.name AND sig.rn = fold.k + 1)),
+cluster AS (SELECT sig.name, bd, ad, first, assigned[rn] AS c FROM sig JOIN fold ON sig.name = fold.name AND fold.k = fold.n),
+label AS (SELECT name, c, coalesce(min(first) FILTER (WHERE bd IS NOT NULL OR ad IS NOT NULL), min(first)) AS first
+  FROM cluster GROUP BY 1, 2),
+persons AS (SELECT rec.*, CASE WHEN rec.name IS NULL THEN rec.row_id ELSE head.row_id END AS person_id FROM rec
+  LEFT JOIN cluster ON rec.name = cluster.name AND rec.bd IS NOT DISTINCT FROM cluster.bd AND rec.ad IS NOT DISTINCT FROM cluster.ad
+  LEFT JOIN label ON cluster.name = label.name AND cluster.c = label.c
+  LEFT JOIN rec AS head ON head.place = label.first)
+"""
+
+
+def _valid_sql(c: str) -> str:
+    return (f"coalesce(arg_min({c}, place) FILTER (WHERE {c} IS NOT NULL AND {strip_sql(f'CAST({c} AS VARCHAR)')} <> ''), "
+            f"arg_min({c}, place) FILTER (WHERE {c} IS NOT NULL)) AS {c}")
+
+
+YES_SQL = f"""CASE WHEN count(delivery) = 0 THEN NULL
+    WHEN max(CASE WHEN upper({strip_sql('delivery')}) = 'YES' THEN 1 END) = 1 THEN 'Yes' ELSE 'No' END AS delivery"""
+_MERGED = "SELECT person_id, " + ", ".join(
+    [*map(_valid_sql, ["no", "name", "birth_date", "address"]), YES_SQL, *map(_valid_sql, ["hobby", "row_id"])]) + " FROM persons GROUP BY 1"
+_RECURSIVE = (V.with_views("member_records").replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+              + ", numbered AS (SELECT *, no AS row_id FROM member_records)")
+_MESSY = (V.with_views("messy_members").replace("WITH ", "WITH RECURSIVE ", 1).rstrip())
+
+
+def _numbered(spark, d):
+    return V.member_records(spark, d).withColumn("row_id", F.col("no"))
+
+
+@register("w15_entity_resolution", _RECURSIVE + person_ctes("numbered") + "SELECT no, name, person_id FROM persons")
 def w15_entity_resolution(spark, d):
-    """W15 + X26: same-person ids within a name (first-fit fold).  Checked
-    rows-only here and against a brute-force scan in tests/."""
-    r = U.resolve_persons(V.member_records(spark, d))
-    return r.select("no", "name", "person_id")
+    """W15 + X26: same-person ids within a name (first fit in file order)."""
+    return U.resolve_persons(_numbered(spark, d), row_id="row_id").select("no", "name", "person_id")
 
 
-@register("a07_merge_persons")
+@register("a07_merge_persons", _RECURSIVE + person_ctes("numbered") + _MERGED)
 def a07_merge_persons(spark, d):
     """A7 + U5: one merged record per person (A5 for text columns, A6 for
     yes/no); the per-column plan is built from the schema on the driver."""
-    r = U.resolve_persons(V.member_records(spark, d))
-    return U.merge_persons(r, yes_no=["delivery"])
+    r = U.resolve_persons(_numbered(spark, d), row_id="row_id")
+    return U.merge_persons(r, row_id="row_id", yes_no=["delivery"])
+
+
+@register("w15_messy_members", _MESSY + person_ctes("messy_members") + "SELECT row_id, no, name, person_id FROM persons")
+def w15_messy_members(spark, d):
+    """W15 on records with missing names and numbers and one name that holds a third of them."""
+    r = U.resolve_persons(V.messy_members(spark, d), row_id="row_id")
+    return r.select("row_id", "no", "name", "person_id")
+
+
+@register("a07_merge_messy_members", _MESSY + person_ctes("messy_members") + _MERGED)
+def a07_merge_messy_members(spark, d):
+    """A7 on the same records: unnamed rows stay apart, rows without a number count."""
+    r = U.resolve_persons(V.messy_members(spark, d), row_id="row_id")
+    return U.merge_persons(r, row_id="row_id", yes_no=["delivery"])
 
 
 @register("w15_fold_bounds", V.with_views("member_records") + f"""SELECT count(*) AS n_names, max(records) AS max_records,

@@ -8,8 +8,8 @@ import hashlib
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
-# Keys checked rows-only: model fits, order-dependent folds and their consumers.
-ROWS_ONLY = {"w15_entity_resolution", "a07_merge_persons", "m02_bgnbd_fit", "m03_gamma_gamma_fit",
+# Keys checked rows-only: model fits and their consumers.
+ROWS_ONLY = {"m02_bgnbd_fit", "m03_gamma_gamma_fit",
              "m04_clv", "t08_top_clv", "m08_forest_scores", "m11_feature_importances",
              "a24_clv_histogram", "m10_forest_metrics"}
 

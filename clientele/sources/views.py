@@ -234,6 +234,21 @@ def member_records(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def messy_members(spark: SparkSession, d: str) -> DataFrame:
+    """``member_records`` with a row id, some of them without number or name,
+    and a third of them under one name with varied dates and addresses."""
+    r = member_records(spark, d)
+    k = F.col("no")
+    odd = (k % 13 < 4).cast("int")
+    return (r.withColumn("row_id", k)
+             .withColumn("name", F.when(k % 11 == 5, F.lit(None)).when(k % 3 == 1, F.lit("-")).otherwise(F.col("name")))
+             .withColumn("birth_date", F.when(k % 3 == 1, F.when(odd == 1, F.lit(None)).otherwise((k % 40).cast("string")))
+                         .otherwise(F.col("birth_date")))
+             .withColumn("address", F.when(k % 3 == 1, F.when(k % 5 == 0, F.lit(None)).otherwise((k % 37).cast("string")))
+                         .otherwise(F.col("address")))
+             .withColumn("no", F.when(k % 10 == 7, F.lit(None)).otherwise(k)))
+
+
 def district_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Address -> district table (replaces the web geocoder)."""
     g = _customer_geo(spark, d).select("n_nationkey", "n_name", "r_name").distinct()
@@ -269,7 +284,7 @@ VIEWS = {
     "members": members, "member_profile": member_profile, "pricelist": pricelist,
     "area_dictionary": area_dictionary, "text_dates": text_dates, "sheets": sheets,
     "member_raw": member_raw, "bracket_names": bracket_names, "birth_text": birth_text,
-    "member_records": member_records, "district_lookup": district_lookup,
+    "member_records": member_records, "messy_members": messy_members, "district_lookup": district_lookup,
     "geocode_replies": geocode_replies, "money_text": money_text,
 }
 
@@ -345,6 +360,11 @@ SQL.update({
         CASE o_orderstatus WHEN 'F' THEN 'YES' WHEN 'O' THEN 'no' END AS delivery,
         CASE WHEN o_orderkey % 7 = 0 THEN 'nan' ELSE o_orderpriority END AS hobby
       FROM orders JOIN customer ON o_custkey = c_custkey""",
+    "messy_members": """SELECT CASE WHEN no % 10 = 7 THEN NULL ELSE no END AS no,
+        CASE WHEN no % 11 = 5 THEN NULL WHEN no % 3 = 1 THEN '-' ELSE name END AS name,
+        CASE WHEN no % 3 = 1 THEN CASE WHEN no % 13 < 4 THEN NULL ELSE CAST(no % 40 AS VARCHAR) END ELSE birth_date END AS birth_date,
+        CASE WHEN no % 3 = 1 THEN CASE WHEN no % 5 = 0 THEN NULL ELSE CAST(no % 37 AS VARCHAR) END ELSE address END AS address,
+        delivery, hobby, no AS row_id FROM member_records""",
     "district_lookup": """SELECT DISTINCT lower(n_name) AS address, 'Kecamatan ' || r_name AS district
       FROM customer_geo WHERE n_nationkey % 6 <> 5""",
     "geocode_replies": """SELECT n_name AS address, CASE WHEN n_nationkey % 5 = 4
@@ -357,7 +377,7 @@ SQL.update({
     "money_text": """SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 7 = 0 THEN 'n/a'
         ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END AS amount_text FROM orders""",
 })
-_DEPENDS.update({"member_raw": ["customer_geo"], "district_lookup": ["customer_geo"]})
+_DEPENDS.update({"messy_members": ["member_records"], "member_raw": ["customer_geo"], "district_lookup": ["customer_geo"]})
 
 
 def with_views(*names: str) -> str:

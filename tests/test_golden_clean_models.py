@@ -96,6 +96,41 @@ def test_entity_resolution_matches_brute_force_on_test_table(spark):
     assert partition_of(got2) == partition_of(got)
 
 
+def test_entity_resolution_matches_brute_force_on_random_names(spark):
+    """Few dates and addresses, many missing: halves of both kinds meet, in every order."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(3000):
+        dates, places = 2 + k // 100 % 5, 2 + k // 500 % 4
+        bd = None if rng.random() < 0.4 else f"d{rng.integers(dates)}"
+        ad = None if rng.random() < 0.4 else f" A{rng.integers(places)}"
+        rows.append((k, None if k % 97 == 0 else f"n{k // 12}", bd, ad))
+    df = spark.createDataFrame(rows, "no long, name string, birth_date string, address string").repartition(5)
+    got = {r.no: r.person_id for r in U.resolve_persons(df, row_id="no").collect()}
+    assert partition_of(got) == partition_of(brute_force_persons(rows))
+
+
+def test_one_name_with_many_signatures(spark):
+    """A placeholder name with 100,000 signatures, halves of both kinds among them."""
+    k = F.col("id")
+    df = spark.range(100_000).select(
+        k.alias("no"), F.lit("-").alias("name"),
+        F.when(k % 3 == 0, F.lit(None)).otherwise(k.cast("string")).alias("birth_date"),
+        F.when(k % 3 == 1, F.lit(None)).otherwise(k.cast("string")).alias("address"))
+    got = U.resolve_persons(df, row_id="no").groupBy("person_id").count().groupBy("count").count().collect()
+    # 33,334 halves without a date pair off with 33,333 without an address; full ones are alone
+    assert {r[0]: r[1] for r in got} == {2: 33333, 1: 33334}
+
+
+def test_unnamed_rows_without_number_stay_apart(spark):
+    rows = [(0, None, None, "d1", "A"), (1, None, None, "d1", "A"), (2, None, "Ann", " ", None), (3, 5, "Ann", "d1", None),
+            (4, None, "Ann", "d2", None)]
+    df = spark.createDataFrame(rows, "row_id long, no long, name string, birth_date string, address string")
+    merged = U.merge_persons(U.resolve_persons(df, row_id="row_id"), row_id="row_id").collect()
+    assert sorted((r.person_id, r.no, r.name, r.birth_date, r.address) for r in merged) == [
+        (0, None, None, "d1", "A"), (1, None, None, "d1", "A"), (3, 5, "Ann", "d1", None), (4, None, "Ann", "d2", None)]
+
+
 def test_merge_persons(spark):
     rows = [(1, "Ann", None, " ", "no", "p1"), (2, "Ann", "d1", "Jl. A", "YES", None),
             (3, "Bob", None, None, None, None)]
