@@ -14,7 +14,6 @@ from clientele.functions.text import strip_ws
 # The century pivots used by the reference.
 BIRTHDATE_TEXT_PIVOT = 30      # normalize_dmy: yy > 30 -> 19yy, else 20yy
 BIRTHDATE_PARSE_PIVOT = 30     # parse_date:   yy < 30 -> 20yy, else 19yy
-TWO_DIGIT_YEAR = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{2})$"
 
 
 def _col(c) -> Column:
@@ -76,57 +75,89 @@ def parse_birth_date(c, pivot: int = BIRTHDATE_PARSE_PIVOT) -> Column:
     return F.when(ok, F.try_to_date(text, "yyyy-MM-dd"))
 
 
-ISO_RE = r"^(\d{4})-(\d{1,2})-(\d{1,2})([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?$"
-DAY_FIRST_RE = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$"
+# English month names, by their first three letters.
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+_NAME = ("(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?"
+         "|nov(?:ember)?|dec(?:ember)?)")
+# A time of day may follow; only the date as it is written counts.
+_TIME = r"(?:[t ]\s*\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:am|pm)?\s*(?:z|[+-]\d{2}:?\d{2})?)?$"
+_SEP = r"[ /.,-]+"
+#: Shapes of a date in lower case: step, pattern, and where it holds year, month and day.  Behind the
+#: last two, numbers only, the text does not tell which of the first two is the day.
+SHAPES = [
+    ("iso", r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + _TIME, "$1|$2|$3"),
+    ("compact", r"^(\d{4})(\d{2})(\d{2})" + _TIME, "$1|$2|$3"),
+    ("month_name", r"^(\d{1,2})" + _SEP + _NAME + _SEP + r"(\d{4}|\d{2})" + _TIME, "$3|$2|$1"),
+    ("month_name", "^" + _NAME + _SEP + r"(\d{1,2})" + _SEP + r"(\d{4})" + _TIME, "$3|$1|$2"),
+    ("month_name", r"^(\d{4})" + _SEP + _NAME + _SEP + r"(\d{1,2})" + _TIME, "$1|$2|$3"),
+    ("day_first", r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})" + _TIME, "$3|$2|$1"),
+    ("two_digit_year", r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{2})" + _TIME, "$3|$2|$1"),
+]
+_TRIPLES = ["day_first", "two_digit_year"]
 
 
 def _ymd(y: Column, m: Column, d: Column) -> Column:
     """DATE from numeric parts; an impossible calendar date gives null."""
-    yi, mi, di = y.try_cast("int"), m.try_cast("int"), d.try_cast("int")
-    return F.when(yi.isNotNull() & mi.isNotNull() & di.isNotNull() & (yi > 0),
-                  F.try_to_date(F.format_string("%04d-%02d-%02d", yi, mi, di), "yyyy-MM-dd"))
+    text = F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
+    return F.when((y.try_cast("int") > 0) & m.isNotNull() & d.isNotNull(), F.try_to_date(text, "yyyy-MM-dd"))
 
 
-def _iso(s: Column) -> Column:
-    return F.when(s.rlike(ISO_RE), _ymd(F.regexp_extract(s, ISO_RE, 1), F.regexp_extract(s, ISO_RE, 2),
-                                        F.regexp_extract(s, ISO_RE, 3)))
+def _by_shape(c, use) -> Column:
+    """``use(step, year, month, day)`` of a text's shape, evaluated once for each
+    text; without a shape all four are null.  The parts are texts."""
+    s = F.lower(strip_ws(_col(c).cast("string")))
+    parts = F.lit(None).cast("string")
+    for step, pattern, order in reversed(SHAPES):
+        parts = F.when(s.rlike(pattern), F.regexp_replace(s, pattern, f"{step}|{order}")).otherwise(parts)
+    return F.get(F.transform(F.array(F.split(parts, r"\|")), lambda p: use(*(F.get(p, i) for i in range(4)))), 0)
 
 
-def _day_first(s: Column) -> Column:
-    return F.when(s.rlike(DAY_FIRST_RE), _ymd(F.regexp_extract(s, DAY_FIRST_RE, 3),
-                                              F.regexp_extract(s, DAY_FIRST_RE, 2),
-                                              F.regexp_extract(s, DAY_FIRST_RE, 1)))
+def parse_date_steps(c, pivot: int = BIRTHDATE_PARSE_PIVOT, month_first: bool = False) -> Column:
+    """X17 + Q1: struct(date, step) - which rule parsed each value.
 
+    Each text has one of the ``SHAPES`` at most; a time of day behind the date
+    is dropped.  A triple of numbers with the year last is read day first (C16),
+    or month first where ``month_first`` says so, and the other way round only
+    if that is no date: the step names the order used, or 'two_digit_year' for
+    a short year, which goes through the century pivot.
+    """
+    def read(step, year, month, day):
+        year = F.when(F.length(year) == 2, century(year, pivot, False).cast("string")).otherwise(year)
+        number = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.substring(month, 1, 3)).cast("string")
+        month = F.when(month.rlike("^[a-z]"), number).otherwise(month)
+        triple = step.isin(_TRIPLES)
+        usual, turned = _ymd(year, month, day), F.when(triple, _ymd(year, day, month))
+        first, second = (F.when(triple, turned).otherwise(usual), usual) if month_first else (usual, turned)
+        names = ("month_first", "day_first") if month_first else ("day_first", "month_first")
+        named = lambda order: F.when(step == "day_first", F.lit(order)).otherwise(step)
+        return F.struct(F.coalesce(first, second).alias("date"),
+                        F.when(first.isNotNull(), named(names[0])).when(second.isNotNull(), named(names[1]))
+                        .otherwise(F.lit("failed")).alias("step"))
+
+    return _by_shape(c, read)
+
+
+def parse_any_date(c, pivot: int = BIRTHDATE_PARSE_PIVOT, month_first: bool = False) -> Column:
+    """Multi-format text date -> DATE, null when nothing matches."""
+    return parse_date_steps(c, pivot, month_first).getField("date")
 
-def two_digit_year_date(s: Column, pivot: int = BIRTHDATE_PARSE_PIVOT) -> Column:
-    y = century(F.regexp_extract(s, TWO_DIGIT_YEAR, 3), pivot, False)
-    return F.when(s.rlike(TWO_DIGIT_YEAR), _ymd(y, F.regexp_extract(s, TWO_DIGIT_YEAR, 2),
-                                                F.regexp_extract(s, TWO_DIGIT_YEAR, 1)))
 
+def day_month_votes(df, c):
+    """How many triples of numbers of a column can only be read day first
+    and how many only month first; one aggregate row (n_day_first, n_month_first)."""
+    def vote(step, year, second, first):
+        first, second = F.when(step.isin(_TRIPLES), first).cast("int"), second.try_cast("int")
+        return (F.when((first > 12) & second.between(1, 12), "d").when((second > 12) & first.between(1, 12), "m"))
 
-def parse_date_steps(c, pivot: int = BIRTHDATE_PARSE_PIVOT) -> Column:
-    """X17 + Q1: struct(date, step) — which rule parsed each value.
+    voted = df.select(_by_shape(c, vote).alias("v"))
+    return voted.agg(F.count(F.when(F.col("v") == "d", 1)).alias("n_day_first"),
+                     F.count(F.when(F.col("v") == "m", 1)).alias("n_month_first"))
 
-    Per row (C16): ISO date or timestamp (time part dropped), then day-first
-    ``d/m/yyyy`` (separators / - .), then a two-digit year through the
-    century pivot.  Parts are matched by pattern and assembled, so both the
-    accepted shapes and the calendar check are explicit.
-    """
-    s = strip_ws(_col(c).cast("string"))
-    iso = _iso(s)
-    dayfirst = _day_first(s)
-    yy = two_digit_year_date(s, pivot)
-    date = F.coalesce(iso, dayfirst, yy)
-    step = (F.when(iso.isNotNull(), F.lit("iso"))
-             .when(dayfirst.isNotNull(), F.lit("day_first"))
-             .when(yy.isNotNull(), F.lit("two_digit_year"))
-             .otherwise(F.lit("failed")))
-    return F.struct(date.alias("date"), step.alias("step"))
-
-
-def parse_any_date(c, pivot: int = BIRTHDATE_PARSE_PIVOT) -> Column:
-    """Multi-format text date -> DATE, null when nothing matches."""
-    return parse_date_steps(c, pivot).getField("date")
+
+def is_month_first(df, c) -> bool:
+    """The order of a column's triples, by majority; day first if the votes are equal."""
+    votes = day_month_votes(df, c).first()
+    return votes["n_month_first"] > votes["n_day_first"]
 
 
 def age_years(birth, as_of) -> Column:

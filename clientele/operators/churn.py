@@ -8,6 +8,9 @@ the forest is Spark ML.  Dates are parameters (C24).
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -15,13 +18,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clientele.functions.text import name_key_nan
-from clientele.operators.ranking import ordered_offsets
-from clientele.operators.value import repeat_summary
+from clientele.operators.ranking import ordered_offsets, ordered_scan
+from clientele.operators.value import Refused, repeat_summary
+from clientele.session import checkpoint_once
 
 FEATURES = ["frequency", "recency", "T", "monetary_value"]
 MIN_ROWS = 20
 TEST_FRACTION = 0.3
 SEED = 42
+#: The forest: trees, depth of a tree (Spark's largest, the reference sets none) and bins of a feature.
+TREES, MAX_DEPTH, MAX_BINS = 100, 30, 32
 
 
 def churn_labels(tx: DataFrame, obs_end: str, window_start: str, window_end: str | None = None,
@@ -88,8 +94,10 @@ def stratified_split(df: DataFrame, label: str = "churned", key: str = "cust",
              .drop("_h", "_before", "_w", "_n", "_start"))
 
 
-def train_forest(train: DataFrame, label: str = "churned", features=FEATURES, seed: int = SEED):
-    """M8: balanced random forest (class weight n / (2 n_c)) in Spark ML."""
+def train_forest(train: DataFrame, label: str = "churned", features=FEATURES, seed: int = SEED, trees: int = TREES,
+                 max_depth: int = MAX_DEPTH, max_bins: int = MAX_BINS):
+    """M8: balanced random forest (class weight n / (2 n_c)) in Spark ML.  At
+    large scale a smaller ``max_depth`` keeps the number of open nodes down."""
     counts = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     n = sum(counts.values())
     wexpr = None
@@ -99,7 +107,8 @@ def train_forest(train: DataFrame, label: str = "churned", features=FEATURES, se
     weighted = train.withColumn("_weight", wexpr.cast("double")).withColumn("_label", F.col(label).cast("double"))
     pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_features"),
                             RandomForestClassifier(featuresCol="_features", labelCol="_label",
-                                                   weightCol="_weight", seed=seed, numTrees=100)])
+                                                   weightCol="_weight", seed=seed, numTrees=trees,
+                                                   maxDepth=max_depth, maxBins=max_bins)])
     return pipe.fit(weighted)
 
 
@@ -122,14 +131,9 @@ def class_report(pred: DataFrame, label: str = "churned", score: str = "score",
     """M9: precision, recall, F1 and support per class at ``threshold``
     (0 where a ratio is undefined)."""
     p = pred.select(F.col(label).cast("int").alias("y"), (F.col(score) >= threshold).cast("int").alias("yhat"))
-    cm = p.groupBy("y", "yhat").agg(F.count(F.lit(1)).alias("n"))
-    rows = []
-    for c in (0, 1):
-        tp = F.sum(F.when((F.col("y") == c) & (F.col("yhat") == c), F.col("n")).otherwise(0))
-        fp = F.sum(F.when((F.col("y") != c) & (F.col("yhat") == c), F.col("n")).otherwise(0))
-        fn = F.sum(F.when((F.col("y") == c) & (F.col("yhat") != c), F.col("n")).otherwise(0))
-        rows.append(cm.agg(F.lit(c).alias("class"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn")))
-    t = rows[0].unionByName(rows[1])
+    cell = lambda y, yhat: F.count(F.when((F.col("y") == y) & (F.col("yhat") == yhat), 1))
+    counts = p.agg(*[cell(y, yhat).alias(f"c{y}{yhat}") for y in (0, 1) for yhat in (0, 1)])
+    t = counts.selectExpr("stack(2, 0, c00, c10, c01, 1, c11, c01, c10) AS (class, tp, fp, fn)")
     div = lambda a, b: F.when(b > 0, a.cast("double") / b).otherwise(F.lit(0.0))
     return t.select("class",
                     div(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
@@ -151,28 +155,83 @@ def auc(pred: DataFrame, label: str = "churned", score: str = "score") -> DataFr
     global order over the distinct scores."""
     sc = _score_counts(pred, label, score)
     off = ordered_offsets(sc, ["s"], "neg")  # _before = negatives with a lower score
+    wide = lambda c: F.col(c).cast("decimal(18,0)")  # noqa: E731  products of counts pass 64 bits
     return off.agg(
-        (F.sum(2 * F.col("pos") * F.col("_before") + F.col("pos") * F.col("neg")).cast("double")
+        (F.sum(wide("pos") * (2 * wide("_before") + wide("neg"))).cast("double")
          / (2.0 * F.sum("pos") * F.sum("neg"))).alias("auc"),
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
 
-def roc_points(pred: DataFrame, label: str = "churned", score: str = "score") -> DataFrame:
-    """One ROC point per distinct score threshold (score >= s):
-    fpr, tpr.  (A plotting library may drop collinear points; all are kept.)"""
-    sc = _score_counts(pred, label, score).withColumn("_neg_s", -F.col("s"))
-    pos = ordered_offsets(sc, ["_neg_s"], "pos").select("s", "pos", "neg", (F.col("_before") + F.col("_w")).alias("tp"))
-    neg = ordered_offsets(sc.select("s", "_neg_s", "neg"), ["_neg_s"], "neg").select(
-        "s", (F.col("_before") + F.col("_w")).alias("fp"))
-    totals = sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    one = F.lit(1).alias("_k")
-    j = pos.join(neg, "s").select("*", one).join(totals.select("*", one), "_k")
-    return j.select(F.col("s").alias("threshold"),
-                    F.when(F.col("N") > 0, F.col("fp") / F.col("N")).alias("fpr"),
-                    F.when(F.col("P") > 0, F.col("tp") / F.col("P")).alias("tpr"))
+def roc_points(pred: DataFrame, label: str = "churned", score: str = "score", corners_only: bool = False) -> DataFrame:
+    """One ROC point per distinct score threshold (score >= s): fpr, tpr.
+
+    ``corners_only`` gives the points of a drawn curve: those on a straight line
+    between their neighbours are left out, which are the ones whose step equals
+    the next one, and the point (0, 0) is added with an infinite threshold."""
+    counts = _score_counts(pred, label, score).withColumn("_order", -F.col("s"))
+    sc = ordered_scan(counts, ["_order"], ["pos", "neg"], ["pos", "neg"] if corners_only else [])
+    share = lambda part, whole: F.when(whole > 0, part / whole)
+    if corners_only:
+        first = (F.col("pos_upto") == F.col("pos")) & (F.col("neg_upto") == F.col("neg"))
+        kept = sc.where(first | F.col("pos_next").isNull() | (F.col("pos_next") != F.col("pos"))
+                        | (F.col("neg_next") != F.col("neg")))
+        start = F.array(*[F.struct(t.alias("s"), p.alias("pos_upto"), n.alias("neg_upto")) for t, p, n in
+                          ((F.lit(math.inf), F.lit(0).cast("long"), F.lit(0).cast("long")),
+                           (F.col("s").cast("double"), F.col("pos_upto"), F.col("neg_upto")))])
+        point = F.explode(F.when(first, start).otherwise(F.slice(start, 2, 1)))  # the first one brings (0, 0) along
+        sc = kept.select(point.alias("p"), "pos_total", "neg_total").select("p.*", "pos_total", "neg_total")
+    return sc.select(F.col("s").alias("threshold"), share(F.col("neg_upto"), F.col("neg_total")).alias("fpr"),
+                     share(F.col("pos_upto"), F.col("pos_total")).alias("tpr"))
 
 
 def churn_guard(ts: DataFrame, label: str = "churned", min_rows: int = MIN_ROWS) -> DataFrame:
     """Rows and classes available, and whether a model can be trained."""
     return (ts.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(label).alias("n_classes"))
               .withColumn("enough", (F.col("n_rows") >= min_rows) & (F.col("n_classes") >= 2)))
+
+
+@dataclass(frozen=True)
+class ChurnModel:
+    """M8: a fitted forest and its test rows with their scores."""
+    model: object
+    scored: DataFrame
+
+
+def churn_refusal(tx: DataFrame, obs_end: str, window_start: str, date_col: str = "tx_date") -> str | None:
+    """M12 before any feature is made: why the dates allow no churn model; None if they do."""
+    seen = tx.agg(F.max(date_col).cast("date").cast("string").alias("last"), F.min(date_col).cast("date").cast("string").alias("first")).first()
+    if seen["last"] is None:
+        return "no dates"
+    if seen["last"] < str(window_start)[:10]:
+        return "no dates in the churn window"
+    return "no dates in the observation period" if seen["first"] > str(obs_end)[:10] else None
+
+
+def set_refusal(rows: dict) -> str | None:
+    """M12 for a training set with this guard row."""
+    if rows["n_rows"] < MIN_ROWS:
+        return "too few customers"
+    return "only one outcome" if rows["n_classes"] < 2 else None
+
+
+def split_refusal(split: DataFrame, label: str = "churned") -> str | None:
+    """M12 after the split: both parts need both outcomes."""
+    n = split.agg(*[F.countDistinct(F.when(F.col("split") == part, F.col(label))).alias(part) for part in ("train", "test")]).first()
+    return None if min(n) >= 2 else "an outcome is missing after the split"
+
+
+def fit_churn(tx: DataFrame, obs_end: str, window_start: str, **options) -> ChurnModel | Refused:
+    """M5-M8 behind the guards (M12): dates, rows and outcomes, outcomes of both parts of the split."""
+    reason = churn_refusal(tx, obs_end, window_start)
+    if reason:
+        return Refused(reason)
+    ts = checkpoint_once(training_set(tx, obs_end, window_start))
+    reason = set_refusal(churn_guard(ts).first().asDict())
+    if reason:
+        return Refused(reason)
+    split = stratified_split(ts)
+    reason = split_refusal(split)
+    if reason:
+        return Refused(reason)
+    model = train_forest(split.where(F.col("split") == "train"), **options)
+    return ChurnModel(model, predict_scores(model, split.where(F.col("split") == "test")))

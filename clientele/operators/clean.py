@@ -48,14 +48,17 @@ def pair_rows(raw: DataFrame, line_col: str = "line_no", first_col: str = "no",
     The bottom line's birthplace overrides when present; a bottom first cell
     ``*address ...`` appends the text after its first ':' to the address
     (C9: without a ':' it adds nothing).  A trailing odd line stands alone.
-    The pairing is a 1:1 join on ``line // 2`` — no row order leaves Spark.
+    The pairing is one ``groupBy`` on ``line // 2``: the export is read once, and
+    no row order leaves Spark.
     """
-    norm = raw.withColumn(birth_date, D.normalize_dmy(birth_date))
-    top = norm.where(F.col(line_col) % 2 == 0).withColumn("_pair", (F.col(line_col) / 2).cast("long"))
-    bot = norm.where(F.col(line_col) % 2 == 1).select(
-        ((F.col(line_col) - 1) / 2).cast("long").alias("_pair"),
-        F.col(birthplace).alias("_bp"), F.col(first_col).alias("_first"))
-    j = top.join(bot, "_pair", "left")
+    line = F.col(line_col)
+    own = F.struct(*[D.normalize_dmy(c).alias(c) if c == birth_date else F.col(c) for c in raw.columns])
+    rest = F.struct(F.col(birthplace).alias("bp"), F.col(first_col).alias("first"))
+    pairs = (raw.groupBy(F.floor(line / 2).alias("_pair"))
+             .agg(F.first(F.when(line % 2 == 0, own), ignorenulls=True).alias("_top"),
+                  F.first(F.when(line % 2 == 1, rest), ignorenulls=True).alias("_bot"))
+             .where(F.col("_top").isNotNull()))
+    j = pairs.select("_top.*", F.col("_bot.bp").alias("_bp"), F.col("_bot.first").alias("_first"))
     extra = F.when(X.is_address_continuation("_first"), X.continuation_text("_first"))
     addr = F.col(address)
     new_addr = (F.when(extra.isNull(), addr)
@@ -63,7 +66,7 @@ def pair_rows(raw: DataFrame, line_col: str = "line_no", first_col: str = "no",
                  .otherwise(F.concat(addr, F.lit(", "), extra)))
     return (j.withColumn(birthplace, F.coalesce("_bp", F.col(birthplace)))
              .withColumn(address, new_addr)
-             .drop("_pair", "_bp", "_first"))
+             .drop("_bp", "_first"))
 
 
 def split_name(df: DataFrame, name: str = "name") -> DataFrame:

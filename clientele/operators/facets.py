@@ -28,8 +28,8 @@ def apply_filters(df: DataFrame, members: dict | None = None, ranges: dict | Non
 
 
 def facet_values(df: DataFrame, col: str) -> DataFrame:
-    """sorted distinct non-null values of a column."""
-    return df.select(col).where(F.col(col).isNotNull()).distinct()
+    """sorted distinct non-null values of a column (a few, for a selection list)."""
+    return df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col)
 
 
 def facet_ranges(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -70,11 +70,13 @@ def group_stats(df: DataFrame, by: list[str], spend="total_spent", key="cust_nor
 
 
 def lookup_label(df: DataFrame, label: Column, value: str, order_col: str) -> DataFrame:
-    """rows whose display label equals ``value``; when labels repeat the
-    last row (by ``order_col``) wins."""
-    hits = df.withColumn("_label", label).where(F.col("_label") == value)
-    last = hits.agg(F.max(order_col).alias("_last"))
-    return hits.join(last, hits[order_col] == last["_last"]).drop("_label", "_last")
+    """the row whose display label equals ``value``; when labels repeat the
+    last one (by ``order_col``, equal ones by a hash of the row) wins.  One
+    aggregate over one scan."""
+    row = F.struct(*df.columns)
+    last = (df.where(label == value).withColumn("_row", row)
+            .agg(F.max_by("_row", F.struct(F.col(order_col).isNotNull().alias("there"), F.col(order_col), F.xxhash64(*df.columns))).alias("r")))
+    return last.where(F.col("r").isNotNull()).select("r.*")
 
 
 def profile(df: DataFrame, cols: list[str]) -> DataFrame:

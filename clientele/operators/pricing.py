@@ -1,8 +1,7 @@
 """Price lookup and line totals.
 
 The price list is reduced to one row per service key *before* the join
-(keep-first by file order), so the join cannot fan out; in batch the service
-key of the transactions is computed per distinct item text, not per row.  The first row is
+(keep-first by file order), so the join cannot fan out.  The first row is
 found with ``min_by`` in a grouped aggregate — partial aggregation, no
 per-key sort — and the reduced list joins the transactions on the key; AQE
 broadcasts it when its measured size is under the threshold and falls back
@@ -35,17 +34,8 @@ def price_lookup(tx: DataFrame, pricelist: DataFrame, *, item: str = "item", qty
     total ``price * qty`` (price alone when there is no quantity column).
     A missing or unparseable price counts as 0."""
     prices = first_per_key(pricelist, service_key(service), row_id, [price]).withColumnRenamed("_key", "_svc")
-    if tx.isStreaming:
-        # a stream joins the static price list row by row (stream-static join)
-        j = tx.withColumn("_svc", service_key(item)).join(prices, "_svc", "left").drop("_svc")
-    else:
-        # the key is computed once per distinct item text (regexes on the
-        # catalogue, not on every row), then the priced items join back on the
-        # raw text (null-safe); AQE broadcasts that table when measured small
-        items = (tx.select(F.col(item).alias("_item")).distinct()
-                   .withColumn("_svc", service_key("_item"))
-                   .join(prices, "_svc", "left").drop("_svc"))
-        j = tx.join(items, tx[item].eqNullSafe(items["_item"]), "left").drop("_item")
+    # one scan of the transactions, batch or stream; the small side is broadcast where it is measured small
+    j = tx.withColumn("_svc", service_key(item)).join(prices, "_svc", "left").drop("_svc")
     p = F.coalesce(F.col(price).try_cast(MONEY), F.lit(0).cast(MONEY))
     j = j.withColumn("unit_price", p).drop(price)
     if qty and qty in tx.columns:

@@ -17,15 +17,34 @@ EXPECTED_MAX_DATE = "2025-05-31"
 RECENT_YEAR_THRESHOLD = 2023
 
 
-def date_parse_report(df: DataFrame, text_col: str, truth: str | None = None) -> DataFrame:
-    """Q1: how many rows each parsing rule took, and failures ('failed')."""
-    st = parse_date_steps(text_col)
-    t = df.select(st["date"].alias("parsed"), st["step"].alias("step"),
-                  *( [F.col(truth).alias("_truth")] if truth else []))
+#: Sample texts of a step at most.
+SAMPLES = 16
+
+
+def date_parse_report(df: DataFrame, text_col: str, truth: str | None = None, month_first: bool = False,
+                      samples: bool = False) -> DataFrame:
+    """Q1: how many rows each parsing rule took, and failures ('failed').
+
+    With ``samples`` each step also has up to 16 of its texts, as an array: the
+    one with the smallest md5 for each first digit of it, so the sample is the
+    same in every run.  It is gathered with the counts, in partial aggregates of
+    at most 16 rows a step."""
+    st = parse_date_steps(text_col, month_first=month_first)
+    text = F.col(text_col).cast("string")
+    hashed = F.md5(text)
+    t = df.select(st["date"].alias("parsed"), st["step"].alias("step"), F.substring(hashed, 1, 1).alias("_part"),
+                  F.struct(hashed.alias("h"), text.alias("text")).alias("_one"),
+                  *([F.col(truth).alias("_truth")] if truth else []))
     aggs = [F.count(F.lit(1)).alias("n_rows")]
     if truth:
         aggs.append(F.count(F.when(F.col("parsed") == F.col("_truth"), 1)).alias("n_correct"))
-    return t.groupBy("step").agg(*aggs)
+    if not samples:
+        return t.groupBy("step").agg(*aggs)
+    shown = F.min(F.when(F.col("_one.text").isNotNull(), F.col("_one"))).alias("_one")
+    parts = t.groupBy("step", "_part").agg(*aggs, shown)
+    sums = [F.sum(c).alias(c) for c in ("n_rows", "n_correct") if c in parts.columns]
+    return parts.groupBy("step").agg(*sums, F.transform(F.array_sort(F.collect_list("_one")), lambda x: x["text"])
+                                     .alias("samples"))
 
 
 def range_alerts(df: DataFrame, date_col: str, expected_max: str = EXPECTED_MAX_DATE,

@@ -60,6 +60,57 @@ def ordered_offsets(df: DataFrame, order_cols: list[str], weight: str | None = N
                  .drop("_pid", "_local", "_off"))
 
 
+def ordered_scan(df: DataFrame, order_cols: list[str], weights: list[str], lead: list[str] = ()) -> DataFrame:
+    """For each row of the global order of ``order_cols`` (unique per row), from
+    one range partitioning: ``<w>_upto``, the sum of each weight up to and
+    including the row, ``<w>_total``, its sum over all rows, and ``<c>_next``, the
+    value of each ``lead`` column in the next row (null in the last).
+
+    The last row of a range looks into the first row of the next range that has
+    rows; those edges and the totals are a row per range, which is broadcast."""
+    weights, lead = list(weights), list(lead)
+    ranged = (df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+                .withColumn("_pid", F.spark_partition_id()))
+    fields = [StructField(f"_{w}_local", LongType(), False) for w in weights]
+    fields += [StructField(f"{c}_next", df.schema[c].dataType, True) for c in lead] + [StructField("_place", LongType(), False)]
+    schema = StructType(ranged.schema.fields + fields)
+
+    def scan(batches):
+        import pandas as pd
+        sums, place, held = dict.fromkeys(weights, 0), 0, None  # the last row waits for the one behind it
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            pdf = pdf.copy()
+            for w in weights:
+                pdf[f"_{w}_local"] = (pdf[w].cumsum() + sums[w]).astype("int64")
+                sums[w] = int(pdf[f"_{w}_local"].iloc[-1])
+            pdf["_place"] = range(place, place + len(pdf))
+            place += len(pdf)
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            for c in lead:
+                pdf[f"{c}_next"] = pdf[c].shift(-1)
+            held = pdf.iloc[-1:].drop(columns=[f"{c}_next" for c in lead])
+            yield pdf.iloc[:-1][schema.names]
+        if held is not None:
+            yield held.assign(**{f"{c}_next": None for c in lead})[schema.names]
+
+    local = checkpoint_once(ranged.mapInPandas(scan, schema))
+    first = F.min_by(F.struct("_place", *lead), "_place").alias("_first")
+    edges = local.groupBy("_pid").agg(*[F.sum(w).cast("long").alias(f"_{w}") for w in weights], first,
+                                      F.max("_place").alias("_last"))
+    order, everything = Window.orderBy("_pid"), Window.partitionBy()  # a row per range
+    prior = order.rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select("_pid", "_last", F.lead("_first").over(order).alias("_next"),
+                         *[F.coalesce(F.sum(f"_{w}").over(prior), F.lit(0)).cast("long").alias(f"_{w}_off") for w in weights],
+                         *[F.sum(f"_{w}").over(everything).cast("long").alias(f"{w}_total") for w in weights])
+    joined = local.join(F.broadcast(edges), "_pid")  # a row per range
+    at_edge = F.col("_place") == F.col("_last")
+    return joined.select(*df.columns, *[(F.col(f"_{w}_off") + F.col(f"_{w}_local")).alias(f"{w}_upto") for w in weights],
+                         *[f"{w}_total" for w in weights],
+                         *[F.when(at_edge, F.col("_next")[c]).otherwise(F.col(f"{c}_next")).alias(f"{c}_next") for c in lead])
+
+
 def global_rank(df: DataFrame, order_cols: list[str], out: str = "rank") -> DataFrame:
     """1-based row number in the global order (ties broken by the
     trailing order columns, which must make the key unique)."""

@@ -4,6 +4,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +42,10 @@ def decompose(series: DataFrame, order_col: str, value_col: str, period: int | N
     trend: centred moving average (even period: weights ½,1,…,1,½ over
     period+1 points; odd: plain mean), null at the ends; seasonal: mean of
     the detrended values by position mod period, minus the mean of those
-    means; residual = observed - trend - seasonal.  The input is one row per
-    month (bounded by the calendar), so the unpartitioned window is small by
-    construction; the trend numerator is an exact decimal sum.
+    means; residual = observed - trend - seasonal.  Every value is an exact
+    integer of hundredths until its one division, so none depends on the order
+    of a sum.  The input is one row per month (bounded by the calendar), so the
+    unpartitioned window is small by construction.
     """
     w = Window.orderBy(order_col)
     # the series is materialised once (one row per month): counting it and
@@ -50,28 +53,32 @@ def decompose(series: DataFrame, order_col: str, value_col: str, period: int | N
     s = checkpoint_once(series.withColumn("_t", (F.row_number().over(w) - 1).cast("int")))
     n = s.count()
     p = period or decomposition_period(n)
+    cents = (F.col(value_col).cast(MONEY) * 100).cast("decimal(38,0)")
+    observed = F.col(value_col).cast("double").alias("observed")
     if not p:
-        return s.select(order_col, F.col(value_col).cast("double").alias("observed"),
+        return s.select(order_col, observed,
                         *[F.lit(None).cast("double").alias(c) for c in ("trend", "seasonal", "resid")])
     h = p // 2
-    x = F.col(value_col)
+    div = 2 * p if p % 2 == 0 else p
+    s = s.withColumn("_x", cents)
     wt = Window.orderBy("_t")
+    around = F.sum("_x").over(wt.rowsBetween(-h, h))
     if p % 2 == 0:
-        num = (F.sum(x).over(wt.rowsBetween(-h, h)) * 2
-               - F.lag(x, h).over(wt) - F.lead(x, h).over(wt))
-        div = 2 * p
-    else:
-        num, div = F.sum(x).over(wt.rowsBetween(-h, h)), p
+        around = around * 2 - F.lag("_x", h).over(wt) - F.lead("_x", h).over(wt)
     ok = (F.col("_t") >= h) & (F.col("_t") < n - h)
-    s = s.withColumn("trend", F.when(ok, num.cast("double") / div))
-    s = s.withColumn("_detr", x.cast("double") - F.col("trend"))
-    s = s.withColumn("_pos", F.col("_t") % p)
-    pavg = (s.groupBy("_pos").agg(F.avg("_detr").alias("_pavg"))
-             .withColumn("_c", F.avg("_pavg").over(Window.partitionBy())))  # p rows
-    s = (s.join(pavg, "_pos")
-          .withColumn("seasonal", F.round(F.col("_pavg") - F.col("_c"), 4)))
-    return s.select(order_col, x.cast("double").alias("observed"), "trend", "seasonal",
-                    F.round(x.cast("double") - F.col("trend") - F.col("seasonal"), 4).alias("resid"))
+    s = s.withColumn("_around", F.when(ok, around)).withColumn("_pos", F.col("_t") % p)
+    s = s.withColumn("_off", F.col("_x") * div - F.col("_around"))  # div times the detrended value
+    # phases hold k or k + 1 detrended values: with `common` the means of all of them are integers over one number
+    counts = {sum(1 for t in range(h, n - h) if t % p == q) for q in range(p)}
+    common = math.lcm(*(c for c in counts if c))
+    phase = s.groupBy("_pos").agg((F.sum("_off") * F.floor(F.lit(common) / F.count("_off"))).cast("decimal(38,0)").alias("_mean"))
+    phase = phase.withColumn("_season", F.col("_mean") * p - F.sum("_mean").over(Window.partitionBy()))  # p rows
+    s = s.join(phase.select("_pos", "_season"), "_pos")
+    whole = 100 * div * common * p
+    rest = F.col("_off") * (common * p) - F.col("_season")
+    return s.select(order_col, observed, (F.col("_around").cast("double") / (100 * div)).alias("trend"),
+                    (F.col("_season").cast("double") / whole).alias("seasonal"),
+                    (rest.cast("double") / whole).alias("resid"))
 
 
 def purchase_gaps(tx: DataFrame, customer: str = "customer", date_col: str = "tx_date") -> DataFrame:
@@ -109,6 +116,8 @@ def histogram(df: DataFrame, value: str, bins: int = 50, weight: str | None = No
     """Equal-width bins over [min, max]; the maximum lands in the last
     bin.  Integer values use exact integer arithmetic for the bin index.
     (Edges are ours; a plotting library's automatic bins may differ.)"""
+    # the edges come from the data, so its two columns are kept for the second look
+    df = checkpoint_once(df.select(value, *([] if weight is None else [weight])))
     st = df.agg(F.min(value).alias("mn"), F.max(value).alias("mx")).first()
     mn, mx = st["mn"], st["mx"]
     if mn is None:

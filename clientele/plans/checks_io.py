@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from clientele.operators import clean as C
 from clientele.operators import quality as Q
 from clientele.operators import rfm as R
+from clientele.plans.checks_clean import PAIR_SQL
 from clientele.plans.checks_rfm import rfm_sql
 from clientele.plans.checks_text import DATA_YEARS, month_label_sql, service_key_sql
 from clientele.plans.registry import register
@@ -33,6 +34,36 @@ def s02_csv_round_trip(spark, d):
     return IO.read_csv(spark, path, PRICE_SCHEMA)
 
 
+@register("s01_numbered_csv", V.with_views("pricelist") + """SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, service, price
+  FROM pricelist""")
+def s01_numbered_csv(spark, d):
+    """Rows numbered in file order at ingest, over several files."""
+    path = K.write_ordered_csv(V.pricelist(spark, d), K.output_path(spark, "ordered_csv"), "row_id")
+    schema = "place BIGINT, category STRING, service STRING, price DECIMAL(18,2)"
+    return IO.read_numbered(spark, path, schema).select("row_id", "service", "price")
+
+
+@register("a16_numbered_keep_first", V.with_views("pricelist") + f"""SELECT svc, price FROM (SELECT {service_key_sql('service')} AS svc, price,
+    row_number() OVER (PARTITION BY {service_key_sql('service')} ORDER BY row_id) AS rn FROM pricelist) WHERE rn = 1""")
+def a16_numbered_keep_first(spark, d):
+    """A16 on ingested files: the first price of a service in file order."""
+    from clientele.functions.text import service_key
+    from clientele.operators.pricing import first_per_key
+    path = K.write_ordered_csv(V.pricelist(spark, d), K.output_path(spark, "ordered_prices"), "row_id")
+    rows = IO.read_numbered(spark, path, "place BIGINT, category STRING, service STRING, price DECIMAL(18,2)")
+    return first_per_key(rows, service_key("service"), "row_id", ["price"]).withColumnRenamed("_key", "svc")
+
+
+@register("w13_numbered_pairing", PAIR_SQL + "SELECT line_no AS row_id, no, name, birthplace, birth_date, nullif(address, '') AS address FROM paired")
+def w13_numbered_pairing(spark, d):
+    """W13 on ingested files: lines paired by their place in the export (a CSV file holds no empty text but null)."""
+    raw = V.member_raw(spark, d)
+    path = K.write_ordered_csv(raw, K.output_path(spark, "member_export"), "line_no")
+    rows = IO.read_numbered(spark, path, raw.schema).drop("line_no")
+    return C.pair_rows(rows, "row_id").select("row_id", "no", "name", "birthplace", "birth_date",
+                                              F.nullif("address", F.lit("")).alias("address"))
+
+
 @register("s03_sheet_parts", V.with_views("sheets") + """SELECT sheet AS Month, count(*) AS n_rows,
     CAST(sum(total_price) AS DECIMAL(38,2)) AS total FROM sheets WHERE ends_with(trim(sheet), '98') GROUP BY 1""")
 def s03_sheet_parts(spark, d):

@@ -68,17 +68,19 @@ def a15_monthly_visits(spark, d):
 
 @register("w14_decomposition", V.with_views("tx") + """, mr AS (SELECT strftime(tx_date, '%Y-%m') AS month,
     CAST(sum(total_price) AS DECIMAL(38,2)) AS revenue FROM tx WHERE tx_date IS NOT NULL GROUP BY 1),
-s AS (SELECT month, revenue, CAST(row_number() OVER (ORDER BY month) - 1 AS INTEGER) AS t,
+s AS (SELECT month, revenue, CAST(revenue * 100 AS HUGEINT) AS x, CAST(row_number() OVER (ORDER BY month) - 1 AS INTEGER) AS t,
     count(*) OVER () AS n FROM mr),
-tr AS (SELECT *, CASE WHEN t >= 6 AND t < n - 6 THEN
-    CAST(sum(revenue) OVER (ORDER BY t ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) * 2
-         - lag(revenue, 6) OVER (ORDER BY t) - lead(revenue, 6) OVER (ORDER BY t) AS DOUBLE) / 24 END AS trend
-  FROM s),
-dt AS (SELECT *, CAST(revenue AS DOUBLE) - trend AS detr, t % 12 AS pos FROM tr),
-pa AS (SELECT pos, avg(detr) AS pavg FROM dt GROUP BY 1),
-pc AS (SELECT pos, pavg, avg(pavg) OVER () AS c FROM pa)
-SELECT month, CAST(revenue AS DOUBLE) AS observed, trend, round(pavg - c, 4) AS seasonal,
-    round(CAST(revenue AS DOUBLE) - trend - round(pavg - c, 4), 4) AS resid
+tr AS (SELECT *, t % 12 AS pos, CASE WHEN t >= 6 AND t < n - 6 THEN
+    CAST(sum(x) OVER (ORDER BY t ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) * 2
+         - lag(x, 6) OVER (ORDER BY t) - lead(x, 6) OVER (ORDER BY t) AS HUGEINT) END AS around FROM s),
+dt AS (SELECT *, x * 24 - around AS off FROM tr),
+c AS (SELECT pos, CAST(sum(off) AS HUGEINT) AS total, count(off) AS k FROM dt GROUP BY 1),
+l AS (SELECT CASE WHEN min(k) = max(k) THEN min(k) ELSE min(k) * max(k) END AS common FROM c),
+ph AS (SELECT pos, common, total * (common // k) AS mean FROM c, l),
+pc AS (SELECT pos, common, mean * 12 - CAST(sum(mean) OVER () AS HUGEINT) AS season FROM ph)
+SELECT month, CAST(revenue AS DOUBLE) AS observed, CAST(around AS DOUBLE) / 2400 AS trend,
+    CAST(season AS DOUBLE) / (CAST(100 * 24 * 12 AS BIGINT) * common) AS seasonal,
+    CAST(off * (common * 12) - season AS DOUBLE) / (CAST(100 * 24 * 12 AS BIGINT) * common) AS resid
   FROM dt JOIN pc USING (pos)""")
 def w14_decomposition(spark, d):
     """W14 on the monthly revenue series (period 12 for >= 24 months)."""

@@ -110,11 +110,10 @@ def _dmy_sql(x: str) -> str:
 @register("x14_normalize_dmy", V.with_views("member_raw") + f"""SELECT line_no, birth_date,
     {_dmy_sql('birth_date')} AS dmy,
     strftime(try_strptime({_dmy_sql('birth_date')}, '%d-%m-%Y'), '%d-%m-%Y') AS dmy_strict
-  FROM member_raw WHERE line_no % 2 = 0""")
+  FROM member_raw""")
 def x14_normalize_dmy(spark, d):
     """X14 + X15: normalised 'DD-MM-YYYY' text, then the strict reformat."""
-    r = V.member_raw(spark, d).where(F.col("line_no") % 2 == 0)
-    r = r.select("line_no", "birth_date", D.normalize_dmy("birth_date").alias("dmy"))
+    r = V.member_raw(spark, d).select("line_no", "birth_date", D.normalize_dmy("birth_date").alias("dmy"))
     return r.withColumn("dmy_strict", D.reformat_dmy("dmy"))
 
 
@@ -178,6 +177,79 @@ def x17_parse_any_date(spark, d):
     return t.select("row_id", "date_text", "true_date", st["date"].alias("parsed"), st["step"].alias("step"))
 
 
+_MON = "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+_TIME = r"(?:[t ]\s*\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:am|pm)?\s*(?:z|[+-]\d{2}:?\d{2})?)?$"
+
+
+def shape_steps_sql(x: str, month_first: bool = False) -> tuple[str, str]:
+    """SQL twin of ``dates.parse_date_steps``: (date, step)."""
+    s = f"lower({strip_sql(f'CAST({x} AS VARCHAR)')})"
+    sep = "[ /.,-]+"
+    numbers = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{%s})" + _TIME
+    orders = [("day_first", (3, 2, 1)), ("month_first", (3, 1, 2))][::-1 if month_first else 1]
+    shapes = [("iso", r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + _TIME, (1, 2, 3)),
+              ("compact", r"^(\d{4})(\d{2})(\d{2})" + _TIME, (1, 2, 3)),
+              ("month_name", rf"^(\d{{1,2}}){sep}{_MON}{sep}(\d{{4}}|\d{{2}})" + _TIME, (3, 2, 1)),
+              ("month_name", rf"^{_MON}{sep}(\d{{1,2}}){sep}(\d{{4}})" + _TIME, (3, 1, 2)),
+              ("month_name", rf"^(\d{{4}}){sep}{_MON}{sep}(\d{{1,2}})" + _TIME, (1, 2, 3))]
+    shapes += [(step, numbers % "4", g) for step, g in orders] + [("two_digit_year", numbers % "2", g) for _, g in orders]
+    dates = []
+    for step, pattern, groups in shapes:
+        y, m, d = (f"regexp_extract({s}, '{pattern}', {g})" for g in groups)
+        y = f"(CASE WHEN length({y}) = 2 THEN TRY_CAST({y} AS INTEGER) + CASE WHEN TRY_CAST({y} AS INTEGER) < 30 THEN 2000 ELSE 1900 END ELSE TRY_CAST({y} AS INTEGER) END)"
+        m = (f"coalesce(TRY_CAST({m} AS INTEGER), list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], "
+             f"substr({m}, 1, 3)))")
+        dates.append((step, f"CASE WHEN regexp_matches({s}, '{pattern}') THEN {_ymd_sql(y, m, d)} END"))
+    return ("coalesce(" + ", ".join(d for _, d in dates) + ")",
+            "CASE " + " ".join(f"WHEN ({d}) IS NOT NULL THEN '{step}'" for step, d in dates) + " ELSE 'failed' END")
+
+
+_SD, _SS = shape_steps_sql("date_text")
+
+
+@register("x17_date_shapes", V.with_views("mixed_dates") + f"""SELECT row_id, date_text, true_date, {_SD} AS parsed,
+    {_SS} AS step FROM mixed_dates""")
+def x17_date_shapes(spark, d):
+    """X17 + C16: twelve text forms, each parsed by the rule of its shape."""
+    t = V.mixed_dates(spark, d)
+    st = D.parse_date_steps("date_text")
+    return t.select("row_id", "date_text", "true_date", st["date"].alias("parsed"), st["step"].alias("step"))
+
+
+_MD, _MS = shape_steps_sql("date_text", month_first=True)
+
+
+@register("x17_voted_order", V.with_views("mixed_dates").rstrip() + f""",
+m AS (SELECT * FROM mixed_dates WHERE row_id % 12 IN (1, 6)),
+p AS (SELECT regexp_extract_all(date_text, '\\d+') AS p FROM m WHERE regexp_matches(date_text, '/')),
+v AS (SELECT count(*) FILTER (WHERE CAST(p[1] AS INTEGER) > 12 AND CAST(p[2] AS INTEGER) BETWEEN 1 AND 12) AS n_day_first,
+    count(*) FILTER (WHERE CAST(p[2] AS INTEGER) > 12 AND CAST(p[1] AS INTEGER) BETWEEN 1 AND 12) AS n_month_first FROM p)
+SELECT step, n_day_first, n_month_first, count(*) AS n_rows, count(*) FILTER (WHERE parsed = true_date) AS n_correct
+  FROM (SELECT {_MD} AS parsed, {_MS} AS step, true_date FROM m), v GROUP BY 1, 2, 3""")
+def x17_voted_order(spark, d):
+    """A column written month first is read so, by its own votes."""
+    t = V.mixed_dates(spark, d).where((F.col("row_id") % 12).isin(1, 6))
+    votes = D.day_month_votes(t, "date_text").first()
+    st = D.parse_date_steps("date_text", month_first=votes["n_month_first"] > votes["n_day_first"])
+    return (t.select(st["date"].alias("parsed"), st["step"].alias("step"), "true_date").groupBy("step")
+            .agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("parsed") == F.col("true_date"), 1)).alias("n_correct"))
+            .select("step", F.lit(votes["n_day_first"]).cast("long").alias("n_day_first"),
+                    F.lit(votes["n_month_first"]).cast("long").alias("n_month_first"), "n_rows", "n_correct"))
+
+
+@register("q01_date_failures", V.with_views("mixed_dates").rstrip() + f""",
+t AS (SELECT {_SD} AS parsed, {_SS} AS step, true_date, date_text, md5(date_text) AS h FROM mixed_dates),
+s AS (SELECT step, min((h, date_text)) AS one FROM (SELECT step, h, date_text FROM t) GROUP BY step, substr(h, 1, 1)),
+l AS (SELECT step, array_to_string(list(one[2] ORDER BY one[1]), '|') AS samples FROM s GROUP BY 1)
+SELECT step, count(*) AS n_rows, count(*) FILTER (WHERE parsed = true_date) AS n_correct, any_value(samples) AS samples
+  FROM t JOIN l USING (step) GROUP BY 1""")
+def q01_date_failures(spark, d):
+    """Q1: the report with a sample of the texts of each step, failures among them, from one scan."""
+    from clientele.operators.quality import date_parse_report
+    r = date_parse_report(V.mixed_dates(spark, d), "date_text", truth="true_date", samples=True)
+    return r.withColumn("samples", F.array_join("samples", "|"))
+
+
 @register("x19_dates_only", """SELECT CAST(ts AS DATE) AS ts, count(*) AS n_events FROM events GROUP BY 1""")
 def x19_dates_only(spark, d):
     from clientele.sources.readers import read_table

@@ -31,6 +31,38 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
     return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
 
 
+#: The table of splits is broadcast up to so many rows (about 100 bytes each).
+BROADCAST_SPLITS = 100_000
+
+
+def read_numbered(spark: SparkSession, path: str | list[str], schema: StructType | str, fmt: str = "csv",
+                  row_id: str = "row_id", **options) -> DataFrame:
+    """A text table with ``row_id``, the place of each row in the order of
+    the files (by path) and of the lines in them, from 0 without gaps.
+
+    A split is read by one task from its first row to its last, so a row is
+    known by its file, the start of its split and its place in the task.  The
+    rows are checkpointed once with these, which keeps them the same for the
+    count of each split and for the numbering.  Only the splits are put in
+    order, and a row's number is the sum of the splits before it plus its place.
+    """
+    from clientele.operators.ranking import ordered_offsets
+    from clientele.session import checkpoint_once
+    reader = spark.read.schema(schema)
+    for k, v in (({"header": True} if fmt == "csv" else {}) | options).items():
+        reader = reader.option(k, v)
+    placed = reader.format(fmt).load(path).select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_place"))
+    rows = checkpoint_once(placed)
+    splits = rows.groupBy("_file", "_start").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    splits = ordered_offsets(splits, ["_file", "_start"], "_n").select("_file", "_start", "_first", "_before")
+    few = splits.count() <= BROADCAST_SPLITS
+    return (rows.join(F.broadcast(splits) if few else splits, ["_file", "_start"])
+            .withColumn(row_id, F.col("_before") + F.col("_place") - F.col("_first"))
+            .drop("_file", "_start", "_place", "_first", "_before"))
+
+
 def read_any(spark: SparkSession, path: str, schema: StructType | str | None = None,
              json_multiline: bool = False) -> DataFrame:
     """Choose the reader by file extension; a path without one is a Parquet

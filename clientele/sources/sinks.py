@@ -27,7 +27,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w = w.option("header", True)
+        # values as they are: the writer would strip them
+        w = w.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     w.save(path)
     return path
 
@@ -37,6 +38,11 @@ def write_csv(df: DataFrame, path: str) -> str:
     return write_table(df, path, "csv")
 
 
+def write_ordered_csv(df: DataFrame, path: str, order: str, files: int = 4) -> str:
+    """K2 for a table whose line order matters: files in the order of ``order``, sorted within."""
+    return write_csv(df.repartitionByRange(files, order).sortWithinPartitions(order), path)
+
+
 def export_filtered(df: DataFrame, base: str, stem: str, fmt: str = "parquet") -> str | None:
     """K3: write ``<base>/<stem>_filtered`` unless the frame is empty
     (``isEmpty`` reads at most one row); returns the path or None."""

@@ -142,6 +142,18 @@ def text_dates(spark: SparkSession, d: str) -> DataFrame:
                     F.to_date("o_orderdate").alias("true_date"))
 
 
+def mixed_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with the date in one of twelve text forms (by key mod 12), two of them no date."""
+    o = read_table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    forms = ["yyyy/MM/dd", "yyyyMMdd", "d MMM yyyy", "yyyy-MM-dd'T'HH:mm:ss'Z'", "dd/MM/yyyy HH:mm", "MMM d, yyyy",
+             "MM/dd/yyyy", "d-MMM-yy", "MMMM d yyyy", " dd.MM.yyyy "]
+    k = F.col("o_orderkey") % 12
+    txt = F.when(k == 10, F.lit("n/a")).when(k == 11, F.lit("31/02/2024"))
+    for i, form in enumerate(forms):
+        txt = txt.when(k == i, F.date_format("o_orderdate", form))
+    return o.select(F.col("o_orderkey").alias("row_id"), txt.alias("date_text"), F.to_date("o_orderdate").alias("true_date"))
+
+
 def sheets(spark: SparkSession, d: str) -> DataFrame:
     """Monthly sheets: ``tx`` rows tagged with a sheet name such as 'jan98' /
     'Okt 99' / 'may24' style labels (month abbreviation by month number)."""
@@ -282,7 +294,7 @@ def money_text(spark: SparkSession, d: str) -> DataFrame:
 VIEWS = {
     "tx": tx, "visits": visits, "dirty_tx": dirty_tx, "events_tx": events_tx,
     "members": members, "member_profile": member_profile, "pricelist": pricelist,
-    "area_dictionary": area_dictionary, "text_dates": text_dates, "sheets": sheets,
+    "area_dictionary": area_dictionary, "text_dates": text_dates, "mixed_dates": mixed_dates, "sheets": sheets,
     "member_raw": member_raw, "bracket_names": bracket_names, "birth_text": birth_text,
     "member_records": member_records, "messy_members": messy_members, "district_lookup": district_lookup,
     "geocode_replies": geocode_replies, "money_text": money_text,
@@ -325,6 +337,14 @@ SQL = {
              WHEN 3 THEN strftime(o_orderdate, '%d/%m/%y')
              ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS date_text,
         CAST(o_orderdate AS DATE) AS true_date FROM orders""",
+    "mixed_dates": """SELECT o_orderkey AS row_id,
+        CASE o_orderkey % 12 WHEN 0 THEN strftime(o_orderdate, '%Y/%m/%d') WHEN 1 THEN strftime(o_orderdate, '%Y%m%d')
+             WHEN 2 THEN strftime(o_orderdate, '%-d %b %Y') WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ')
+             WHEN 4 THEN strftime(o_orderdate, '%d/%m/%Y %H:%M') WHEN 5 THEN strftime(o_orderdate, '%b %-d, %Y')
+             WHEN 6 THEN strftime(o_orderdate, '%m/%d/%Y') WHEN 7 THEN strftime(o_orderdate, '%-d-%b-%y')
+             WHEN 8 THEN strftime(o_orderdate, '%B %-d %Y') WHEN 9 THEN strftime(o_orderdate, ' %d.%m.%Y ')
+             WHEN 10 THEN 'n/a' ELSE '31/02/2024' END AS date_text,
+        CAST(o_orderdate AS DATE) AS true_date FROM orders""",
     "sheets": """SELECT *, CASE WHEN ticket % 2 = 0
             THEN ['jan','feb','mar','apr','may','jun','jul','agst','sept','Okt','nov','des'][month(tx_date)] || strftime(tx_date, '%y')
             ELSE ['jan','feb','mar','apr','may','jun','jul','agst','sept','Okt','nov','des'][month(tx_date)] || ' ' || strftime(tx_date, '%y') END AS sheet
