@@ -76,7 +76,7 @@ def f_rule(c, k: RuleCutoffs = DEFAULT_CUTOFFS) -> Column:
 
 def m_rule(c, k: RuleCutoffs = DEFAULT_CUTOFFS) -> Column:
     x = _col(c)
-    return F.when(x > F.lit(k.m_high), HIGH).when(x >= F.lit(k.m_medium), MEDIUM).otherwise(LOW)
+    return F.when(F.isnan(x.cast("double")), LOW).when(x > F.lit(k.m_high), HIGH).when(x >= F.lit(k.m_medium), MEDIUM).otherwise(LOW)
 
 
 def _segment_map() -> Column:

@@ -2,10 +2,9 @@
 X12, X13).
 
 Pair expansion (X27) runs on *distinct* (basket, item) rows: however many
-rows a hot basket holds, it expands to at most d·(d-1)/2 pairs for its d
-distinct items (bounded by the catalogue, not by rows), and the expansion is
-a sort-merge self-join on the basket key, so AQE's skew-join handling splits
-a large basket across tasks instead of expanding it inside one row.
+rows a hot basket holds, it has one for each of its items.  The items of a large
+basket are dealt to blocks, and each pair of blocks is a group of its own, so the
+pairs of one basket spread over many tasks and no group is unbounded.
 """
 
 from __future__ import annotations
@@ -16,15 +15,24 @@ from pyspark.sql import functions as F
 from clientele.functions.text import name_key_nan, title_case
 
 
-def baskets(tx: DataFrame, keys=("customer", "tx_date", "ticket"), item: str = "item") -> DataFrame:
-    """A20 (C5): items per basket.  Rows with a null key leave the analysis
-    (grouping drops null keys).  ``n_items`` counts rows (duplicates too),
-    ``items`` is the sorted distinct set."""
+#: Items of a block of a basket; a group of two blocks makes its pairs in one task.
+BLOCK = 256
+
+
+def _basket_rows(tx: DataFrame, keys, item: str) -> tuple[DataFrame, list[str]]:
+    """Rows with an item and all keys but the customer's, a null name as 'nan' (X2)."""
     present = [k for k in keys if k in tx.columns]
     t = tx.where(F.col(item).isNotNull())
     for k in present:
-        t = t.where(F.col(k).isNotNull())
-    t = t.withColumn("customer", name_key_nan("customer")) if "customer" in present else t
+        t = t.withColumn(k, name_key_nan(k)) if k == "customer" else t.where(F.col(k).isNotNull())
+    return t, present
+
+
+def baskets(tx: DataFrame, keys=("customer", "tx_date", "ticket"), item: str = "item") -> DataFrame:
+    """A20 (C5): items per basket.  Rows with a null date or ticket leave the
+    analysis (grouping drops null keys); a null customer is the name 'nan'.
+    ``n_items`` counts rows (duplicates too), ``items`` is the sorted distinct set."""
+    t, present = _basket_rows(tx, keys, item)
     return t.groupBy(*present).agg(F.count(F.lit(1)).alias("n_items"),
                                    F.array_sort(F.collect_set(item)).alias("items"))
 
@@ -34,26 +42,27 @@ def multi_item(b: DataFrame) -> DataFrame:
     return b.where(F.col("n_items") > 1)
 
 
-def pair_counts(tx: DataFrame, keys=("customer", "tx_date", "ticket"), item: str = "item") -> DataFrame:
+def pair_counts(tx: DataFrame, keys=("customer", "tx_date", "ticket"), item: str = "item",
+                block: int = BLOCK) -> DataFrame:
     """For every unordered pair of distinct items, the number of
-    baskets (with > 1 item row) containing both; pairs satisfy a < b.
-
-    Rows are first reduced to (basket, item) counts; the basket's row total
-    is a window partitioned by the basket over those (at most one row per
-    distinct item of a basket); the self-join then runs on that same
-    partitioning, and the pairs are counted in one final aggregate."""
-    present = [k for k in keys if k in tx.columns]
-    t = tx.where(F.col(item).isNotNull())
-    for k in present:
-        t = t.where(F.col(k).isNotNull())
-    if "customer" in present:
-        t = t.withColumn("customer", name_key_nan("customer"))
-    bi = t.groupBy(*present, F.col(item).alias("it")).agg(F.count(F.lit(1)).alias("_c"))
-    bi = (bi.withColumn("_rows", F.sum("_c").over(Window.partitionBy(*present)))
-            .where(F.col("_rows") > 1).select(*present, "it"))
-    a = bi.select(*present, F.col("it").alias("item_a"))
-    b = bi.select(*present, F.col("it").alias("item_b"))
-    pairs = a.join(b, present).where(F.col("item_a") < F.col("item_b"))
+    baskets containing both; pairs satisfy a < b.
+
+    A basket's items are dealt to blocks of about ``block``; each pair of blocks
+    is collected as one group of at most about two blocks and makes its pairs
+    there.  A basket of few items is one block, hence one group."""
+    t, present = _basket_rows(tx, keys, item)
+    bi = t.select(*present, F.col(item).alias("it")).distinct()
+    sizes = (bi.groupBy(*present).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+             .select(*present, F.ceil(F.col("_n") / block).cast("int").alias("_blocks")))
+    own = F.pmod(F.xxhash64("it"), F.col("_blocks")).cast("int")
+    dealt = (bi.join(sizes, present).withColumn("_own", own)
+             .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+             .select(*present, F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"),
+                     F.struct(F.col("it"), F.col("_own").alias("own")).alias("x")))
+    groups = dealt.groupBy(*present, "_i", "_j").agg(F.collect_list("x").alias("xs"))
+    each = groups.select((F.col("_i") == F.col("_j")).alias("same"), F.explode("xs").alias("a"), "xs")
+    partner = F.filter("xs", lambda b: (b["it"] > F.col("a.it")) & (F.col("same") | (b["own"] != F.col("a.own"))))
+    pairs = each.select(F.col("a.it").alias("item_a"), F.explode(F.transform(partner, lambda b: b["it"])).alias("item_b"))
     return pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("n_baskets"))
 
 
@@ -75,20 +84,30 @@ def top_items(tx: DataFrame, n: int = 10, item: str = "item") -> DataFrame:
 def top_items_by_segment(tx: DataFrame, scored: DataFrame, n: int = 10, item: str = "item",
                          segment: str = "rfm_class") -> DataFrame:
     """J4 + T4: transactions joined (inner) to each customer's segment, then
-    the n most sold items of *every* segment.  The ranking window runs over
-    (segment, item) counts, bounded by segments x distinct items."""
+    the n most sold items of *every* segment.  Rows are counted by (customer,
+    item) before the join, so a hot customer meets it with one row an item; the
+    ranking window runs over (segment, item) counts."""
     seg = scored.select(F.col("cust_norm").alias("_c"), F.col(segment).alias("segment"))
     t = tx.select(name_key_nan("customer").alias("_c"), F.col(item).alias("item")).where(F.col("item").isNotNull())
-    counts = t.join(seg, "_c").groupBy("segment", "item").agg(F.count(F.lit(1)).alias("times_sold"))
+    t = t.groupBy("_c", "item").agg(F.count(F.lit(1)).alias("_n"))
+    counts = t.join(seg, "_c").groupBy("segment", "item").agg(F.sum("_n").cast("long").alias("times_sold"))
     w = Window.partitionBy("segment").orderBy(F.col("times_sold").desc(), F.col("item"))
     return counts.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)
 
 
+def segment_rows(tx: DataFrame, scored: DataFrame, segment: str = "rfm_class") -> DataFrame:
+    """Transaction rows of each segment; rows are counted by customer before the join."""
+    seg = scored.select(F.col("cust_norm").alias("_c"), F.col(segment).alias("segment"))
+    t = tx.groupBy(name_key_nan("customer").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    return t.join(seg, "_c").groupBy("segment").agg(F.sum("_n").cast("long").alias("n_rows"))
+
+
 def buyer_value_by_item(tx: DataFrame, scored: DataFrame, spend: str = "total_spent",
                         item: str = "item") -> DataFrame:
     """J5 + A11: distinct (customer, item) pairs joined (inner) to the
     customer's total spend, then the mean spend of each item's buyers."""
-    pairs = tx.select(name_key_nan("customer").alias("_c"), F.col(item).alias("item")).distinct()
+    pairs = (tx.select(name_key_nan("customer").alias("_c"), F.col(item).alias("item"))
+             .where(F.col("item").isNotNull()).distinct())
     spend_df = scored.select(F.col("cust_norm").alias("_c"), F.col(spend).alias("_s")).where(F.col("_s").isNotNull())
     j = pairs.join(spend_df, "_c")
     return j.groupBy("item").agg(

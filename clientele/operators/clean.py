@@ -23,9 +23,9 @@ GEOCODE_REPLY_SCHEMA = ("status STRING, results ARRAY<STRUCT<address_components:
 
 
 # ------------------------------------------------------------ transactions
-def drop_label_only_rows(df: DataFrame, label: str = "Month") -> DataFrame:
-    """drop rows where only the label column is filled."""
-    others = [c for c in df.columns if c != label]
+def drop_label_only_rows(df: DataFrame, label: str = "Month", keep: tuple[str, ...] = ()) -> DataFrame:
+    """drop rows where only the label column is filled (and those of ``keep``, such as a row id)."""
+    others = [c for c in df.columns if c != label and c not in keep]
     if not others:
         return df
     only_label = F.col(label).isNotNull() & reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNull() for c in others])

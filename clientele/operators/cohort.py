@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from clientele.functions.dates import month_display, month_key
 from clientele.functions.text import name_key_nan
+from clientele.operators.skew import join_counted
 from clientele.session import checkpoint_once
 
 
@@ -32,8 +33,8 @@ def cohort_rows(tx: DataFrame, customer: str = "customer", date_col: str = "tx_d
     """W1 + W2: each row with its customer's cohort month and the whole
     months since it (cohort index)."""
     t = _dated(tx, customer, date_col)
-    first = t.groupBy("cust").agg(F.min("month").alias("cohort"))
-    return t.join(first, "cust").select("cust", "month", "cohort", _cohort_index())
+    first = checkpoint_once(t.groupBy("cust").agg(F.min("month").alias("cohort"), F.count(F.lit(1)).alias("n_rows")))
+    return join_counted(t, first, "cust").select("cust", "month", "cohort", _cohort_index())
 
 
 def cohort_months(tx: DataFrame, customer: str = "customer", date_col: str = "tx_date") -> DataFrame:

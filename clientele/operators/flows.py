@@ -60,6 +60,31 @@ def flow_nodes(edges: DataFrame) -> DataFrame:
                     F.when(out > 0, (inn - out) * 100.0 / out).alias("growth_pct"))
 
 
+def node_text(edges: DataFrame) -> DataFrame:
+    """The summary text of each node of the flow, one row a node: an old
+    category with its total out; a new one with its total in, the increase over
+    the old one of that name and where its customers came from (sorted by origin).
+    At most segments x segments rows are gathered."""
+    pairs = edges.groupBy("old_category", "new_category").agg(F.count(F.lit(1)).alias("n"))
+    outs = pairs.groupBy(F.col("old_category").alias("category")).agg(F.sum("n").alias("total_out"))
+    old = outs.select("category", F.lit("old").alias("side"),
+                      F.concat(F.lit("Old Category: "), "category", F.lit("<br>Total Out: "), F.col("total_out").cast("string")).alias("text"))
+    ins = pairs.groupBy(F.col("new_category").alias("category")).agg(
+        F.sum("n").alias("total_in"), F.array_sort(F.collect_list(F.struct("old_category", "n"))).alias("flows"))
+    j = ins.join(outs, "category", "left")
+    # half-up on the exact ratio, in hundredths of a percent
+    change = (F.col("total_in") - F.col("total_out")) * 10000
+    hundredths = F.floor((change * 2 + F.col("total_out")) / (F.col("total_out") * 2)).cast("long")
+    grown = F.concat(F.when(hundredths < 0, "-").otherwise(""), F.floor(F.abs(hundredths) / 100).cast("string"), F.lit("."),
+                     F.lpad((F.abs(hundredths) % 100).cast("string"), 2, "0"), F.lit("%"))
+    lines = F.array_join(F.transform("flows", lambda x: F.concat(
+        F.lit("from "), x["old_category"], F.lit(": "), pct_label(x["n"], F.col("total_in")))), "<br>")
+    new = j.select("category", F.lit("new").alias("side"), F.concat(
+        F.lit("New Category: "), "category", F.lit("<br>Total In: "), F.col("total_in").cast("string"), F.lit("<br>Increase: "),
+        F.when(F.coalesce("total_out", F.lit(0)) > 0, grown).otherwise("N/A"), F.lit("<br>Flows:<br>"), lines).alias("text"))
+    return old.unionByName(new)
+
+
 def with_stage(df: DataFrame, items: str = "total_items", cap: int = STAGE_CAP) -> DataFrame:
     """F-stage = item count top-coded at ``cap`` (null stays null;
     Spark's ``least`` alone would turn a null into the cap)."""

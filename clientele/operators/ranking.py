@@ -118,39 +118,56 @@ def global_rank(df: DataFrame, order_cols: list[str], out: str = "rank") -> Data
             .withColumn(out, F.col("_before") + 1).drop("_before", "_w"))
 
 
+def _value_order(df: DataFrame, col: str, few: bool, count) -> DataFrame:
+    """(_v, _w, _before): the distinct non-null values of ``col`` in order, each
+    with its weight ``count`` and the weight of all smaller ones.
+
+    ``few`` says that the column's kind bounds its distinct values (days, counts
+    of days): their order is then a plain window.  Otherwise it is the
+    distributed one, at every size."""
+    vals = (df.select(F.col(col).alias("_v")).where(F.col("_v").isNotNull())
+              .groupBy("_v").agg(count.cast("long").alias("_cnt")))
+    if not few:
+        return ordered_offsets(vals, ["_v"], "_cnt").drop("_cnt")
+    before = F.sum("_cnt").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1))  # a row per day at most
+    return vals.select("_v", F.col("_cnt").alias("_w"), F.coalesce(before, F.lit(0)).alias("_before"))
+
+
+def _at(order: DataFrame, positions: set[int]) -> dict[int, float]:
+    """The values at 0-based ``positions`` of the order; only their rows reach the driver."""
+    cond = F.lit(False)
+    for pos in sorted(positions):
+        cond = cond | ((F.col("_before") <= pos) & (F.col("_before") + F.col("_w") > pos))
+    hits = [(r["_before"], r["_w"], r["_v"]) for r in order.where(cond).select("_before", "_w", "_v").collect()]
+    return {pos: float(v) for pos in positions for before, w, v in hits if before <= pos < before + w}
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: list[float],
-                    n_values: int | None = None) -> list[float | None]:
+                    n_values: int | None = None, few: bool = False) -> list[float | None]:
     """Exact linear-interpolated quantiles (NumPy 'linear', DuckDB
     ``quantile_cont``).  Values are pre-aggregated to (value, count) first, so
     a heavily repeated value is one row; only the <= 2 order statistics per
     probability reach the driver.  ``n_values``: the count of non-null
-    values, where the caller has already measured it."""
-    vals = (df.select(F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-              .groupBy("_v").agg(F.count(F.lit(1)).alias("_cnt")))
-    off = ordered_offsets(vals, ["_v"], "_cnt")
-    total = n_values if n_values is not None else off.agg(F.sum("_w")).first()[0]
+    values, where the caller has already measured it; ``few`` as in
+    ``_value_order``."""
+    order = _value_order(df.withColumn(col, F.col(col).cast("double")), col, few, F.count(F.lit(1)))
+    total = n_values if n_values is not None else order.agg(F.sum("_w")).first()[0]
     if not total:
         return [None for _ in probs]
-    positions = set()
-    for p in probs:
-        h = (total - 1) * p
-        positions.update({math.floor(h), math.ceil(h)})
-    cond = None
-    for pos in sorted(positions):
-        c = (F.col("_before") <= pos) & (F.col("_before") + F.col("_w") > pos)
-        cond = c if cond is None else (cond | c)
-    hits = [(r["_before"], r["_w"], r["_v"]) for r in off.where(cond).select("_before", "_w", "_v").collect()]
-
-    def at(pos):
-        for b, w, v in hits:
-            if b <= pos < b + w:
-                return v
-        raise AssertionError("order statistic not found")
-
-    out = []
-    for p in probs:
-        h = (total - 1) * p
-        lo, hi = math.floor(h), math.ceil(h)
-        vlo, vhi = at(lo), at(hi)
-        out.append(vlo + (vhi - vlo) * (h - lo))
-    return out
+    places = [(total - 1) * p for p in probs]
+    at = _at(order, {f(h) for h in places for f in (math.floor, math.ceil)})
+    return [at[math.floor(h)] + (at[math.ceil(h)] - at[math.floor(h)]) * (h - math.floor(h)) for h in places]
+
+
+def distinct_value_edges(df: DataFrame, col: str, n_distinct: int, parts: int = 3, few: bool = False) -> list[float]:
+    """Inner edges of equal shares of the *distinct* values, by the floating-point
+    arithmetic of the usual quantile routines: shares go through percent, and a
+    value between two neighbours is taken from the nearer one.  An edge that
+    falls on a value can so come out just below it."""
+    places = [(n_distinct - 1) * (k / parts * 100 / 100) for k in range(1, parts)]
+    at = _at(_value_order(df, col, few, F.lit(1)), {p for h in places for p in (math.floor(h), min(math.floor(h) + 1, n_distinct - 1))})
+    edges = []
+    for h in places:
+        low, high, t = at[math.floor(h)], at[min(math.floor(h) + 1, n_distinct - 1)], h - math.floor(h)
+        edges.append(high - (high - low) * (1 - t) if t >= 0.5 else low + (high - low) * t)
+    return edges

@@ -36,12 +36,8 @@ def customer_table(tx: DataFrame, *, customer="customer", date_col="tx_date", mo
     global last date is then the maximum of those (a pass over the small
     customer table, not a second pass over the transactions)."""
     t = tx.where(F.col(date_col).isNotNull())
-    base = R.rfm_base(t, None, customer=customer, date_col=date_col, money=money, row_id=row_id)
-    items = R.item_summary(t, customer=customer, item=item).drop("items")
-    cust = (base.join(items, "cust_norm", "left")
-                .withColumn("total_items", F.coalesce("total_items", F.lit(0).cast("long")))
-                .withColumn("item_summary", F.coalesce("item_summary", F.lit("")))
-                .withColumnRenamed("monetary_value", "total_spent"))
+    cust = R.customer_metrics(R._parts(t, customer=customer, date_col=date_col, money=money, item=item, row_id=row_id))
+    cust = cust.withColumnRenamed("monetary_value", "total_spent")
     if materialized:
         cust = materialize(cust)
     last = cust.agg(F.max("last_date")).first()[0]
@@ -57,14 +53,16 @@ def customer_table(tx: DataFrame, *, customer="customer", date_col="tx_date", mo
 def score_report(cust: DataFrame) -> DataFrame:
     """W8 on recency (High/Medium/Low), W9 on money ranks, W10 on frequency;
     segment miss -> 'Undefined'.  The statistics all three scorers need come
-    from one aggregate over the customer table."""
+    from one aggregate over the customer table.  Recency and frequency count
+    days, so their order is that of a few distinct values; only money is put in
+    a global order."""
     row = cust.agg(*T.value_stats("recency_days", "r_"), F.count_distinct("total_spent").alias("m_nd"),
                    F.count(F.lit(1)).alias("rows"), F.count_distinct("frequency").alias("f_nd")).first()
     r_stats = {k[2:]: row[k] for k in ("r_mn", "r_mx", "r_nd", "r_n")}
-    out = T.value_tertiles(cust, "recency_days", "r_score", T.HIGH_MED_LOW, stats=r_stats)
+    out = T.value_tertiles(cust, "recency_days", "r_score", T.HIGH_MED_LOW, stats=r_stats, few=True)
     out = T.rank_tertiles(out, "total_spent", ["cust_norm"], "m_score", T.LOW_MED_HIGH,
                           stats={"nd": row["m_nd"], "rows": row["rows"]})
-    out = T.fair_tertiles(out, "frequency", "f_score", T.LOW_MED_HIGH, n_distinct=row["f_nd"])
+    out = T.fair_tertiles(out, "frequency", "f_score", T.LOW_MED_HIGH, n_distinct=row["f_nd"], few=True)
     return out.withColumn("rfm_class", S.segment("r_score", "f_score", "m_score"))
 
 

@@ -3,9 +3,10 @@
 ``rfm_base`` is one ``groupBy(cust_norm)`` with partial aggregation, so a hot
 customer is pre-aggregated map-side before the shuffle; ``countDistinct`` is
 planned by Spark as a (customer, date) expand first, which also splits a hot
-customer across tasks.  The item-level aggregate (A2/A3) is a second
-aggregate on the same key; both sides arrive hash-partitioned on
-``cust_norm`` so their join adds no shuffle of its own.
+customer across tasks.  The full report needs items as well (A2/A3): grouping sets
+bring the transactions to (customer, item) and (customer, day) rows in one scan and
+one shuffle, and one more aggregate gives the customer; a hot customer meets it with
+a row per item and day.
 """
 
 from __future__ import annotations
@@ -94,6 +95,34 @@ def item_summary(tx: DataFrame, *, customer="customer", item="item") -> DataFram
                         ", ")))
 
 
+def _parts(tx: DataFrame, *, customer: str, date_col: str, money: str, item: str, row_id: str) -> DataFrame:
+    """Rows reduced to what the metrics need: cust_norm, item_norm, day, n, money, first."""
+    m = F.coalesce(F.col(money).try_cast(MONEY), F.lit(0).cast(MONEY))
+    first = F.when(F.col(customer).isNotNull(), F.struct(F.col(row_id).alias("row"), F.col(customer).alias("customer")))
+    return tx.select(name_key(customer).alias("cust_norm"), name_key(item).alias("item_norm"), F.col(date_col).alias("day"),
+                     F.lit(1).cast("long").alias("n"), m.alias("money"), first.alias("first"))
+
+
+def customer_metrics(parts: DataFrame, keys: tuple[str, ...] = ("cust_norm",)) -> DataFrame:
+    """A1-A4 in one scan of ``parts``: keys, last_date, frequency,
+    monetary_value, customer, total_items, item_summary."""
+    keys = list(keys)
+    cells = (parts.groupingSets([[*keys, "item_norm"], [*keys, "day"]], *keys, "item_norm", "day")
+             .agg(F.grouping("item_norm").alias("is_day"), F.sum("n").alias("n"), F.sum("money").cast(MONEY).alias("money"),
+                  F.min("first").alias("first")))
+    day = F.col("is_day") == 1
+    bought = ~day & (F.col("item_norm") != "")
+    pair = F.when(bought, F.struct(F.col("item_norm").alias("item"), F.col("n")))
+    text = F.transform(F.array_sort(F.collect_list(pair)), lambda x: F.concat(x["item"], F.lit(" ("), x["n"].cast("string"), F.lit(")")))
+    return cells.groupBy(*keys).agg(
+        F.max(F.when(day, F.col("day"))).alias("last_date"),
+        F.count(F.when(day, F.col("day"))).alias("frequency"),
+        F.sum(F.when(day, F.col("money"))).cast(MONEY).alias("monetary_value"),
+        F.min(F.when(day, F.col("first")))["customer"].alias("customer"),
+        F.coalesce(F.sum(F.when(bought, F.col("n"))), F.lit(0)).cast("long").alias("total_items"),
+        F.array_join(text, ", ").alias("item_summary"))
+
+
 def member_flag(df: DataFrame, members: DataFrame | None, member_name: str = "name",
                 key: str = "cust_norm") -> DataFrame:
     """J10: 'Member' when the normalised name is in the member list.
@@ -127,11 +156,12 @@ def rfm(tx: DataFrame, snapshot, members: DataFrame | None = None, *,
     """
     cut = as_of(tx, snapshot, date_col, include_next_day)
     ref = F.date_add(_as_date(snapshot), recency_offset)
-    base = rfm_base(cut, ref, customer=customer, date_col=date_col, money=money, row_id=row_id)
-    items = item_summary(cut, customer=customer, item=item).drop("items")
-    out = (base.join(items, "cust_norm", "left")
-               .withColumn("total_items", F.coalesce("total_items", F.lit(0).cast("long")))
-               .withColumn("item_summary", F.coalesce("item_summary", F.lit(""))))
+    parts = _parts(cut, customer=customer, date_col=date_col, money=money, item=item, row_id=row_id)
+    if isinstance(tx.schema[date_col].dataType, DateType):
+        recency = F.datediff(ref, "last_date").cast("long")
+    else:
+        recency = recency_days(F.col("last_date"), F.to_timestamp_ntz(ref.cast("string")))
+    out = customer_metrics(parts).withColumn("recency_days", recency)
     out = (out.withColumn("r_score", S.r_rule("recency_days", cutoffs))
               .withColumn("f_score", S.f_rule("total_items", cutoffs))
               .withColumn("m_score", S.m_rule("monetary_value", cutoffs)))
@@ -148,38 +178,22 @@ def rfm_snapshots(tx: DataFrame, snapshots: list, members: DataFrame | None = No
                   money="total_price", item="item", row_id="row_id", member_name="name") -> DataFrame:
     """``rfm`` at several snapshot dates in one pass over the transactions.
 
-    Each row is tagged with every snapshot whose cut it falls under
-    (``explode`` over a short literal array — no join), then all metrics are
-    grouped by (snapshot, customer).  The fan-out is bounded by the number of
-    snapshots given.  Output: ``rfm``'s columns plus ``snapshot`` (DATE).
+    Rows are reduced to (customer, item, day) first; each of those is tagged with
+    every snapshot whose cut it falls under (``explode`` over a short literal
+    array — no join), then all metrics are grouped by (snapshot, customer).  The
+    fan-out is bounded by the number of snapshots given.  Output: ``rfm``'s columns plus ``snapshot`` (DATE).
     """
     if not isinstance(tx.schema[date_col].dataType, DateType):
         raise ValueError("rfm_snapshots needs a DATE column; cut timestamps with to_date first")
     snaps = F.array(*[_as_date(s) for s in snapshots])
     shift = 1 if include_next_day else 0
     d = F.col(date_col)
-    tagged = (tx.where(d.isNotNull())
-                .withColumn("snapshot", F.explode(F.filter(snaps, lambda s: d <= F.date_add(s, shift)))))
-    m = F.coalesce(F.col(money).try_cast(MONEY), F.lit(0).cast(MONEY))
-    named = F.when(F.col(customer).isNotNull(), F.col(row_id))
-    keyed = tagged.withColumn("cust_norm", name_key(customer))
-    base = keyed.groupBy("snapshot", "cust_norm").agg(
-        F.datediff(F.date_add(F.col("snapshot"), recency_offset), F.max(date_col)).cast("long").alias("recency_days"),
-        F.countDistinct(date_col).alias("frequency"),
-        F.sum(m).cast(MONEY).alias("monetary_value"),
-        F.min_by(customer, named).alias("customer"))
-    per_item = (keyed.withColumn("item_norm", name_key(item)).where(F.col("item_norm") != "")
-                     .groupBy("snapshot", "cust_norm", "item_norm").agg(F.count(F.lit(1)).alias("n")))
-    arr = F.array_sort(F.collect_list(F.struct(F.col("item_norm").alias("item"), F.col("n"))))
-    items = (per_item.groupBy("snapshot", "cust_norm")
-                     .agg(F.sum("n").cast("long").alias("total_items"), arr.alias("items"))
-                     .withColumn("item_summary", F.array_join(
-                         F.transform("items", lambda x: F.concat(x["item"], F.lit(" ("), x["n"].cast("string"),
-                                                                  F.lit(")"))), ", "))
-                     .drop("items"))
-    out = (base.join(items, ["snapshot", "cust_norm"], "left")
-               .withColumn("total_items", F.coalesce("total_items", F.lit(0).cast("long")))
-               .withColumn("item_summary", F.coalesce("item_summary", F.lit(""))))
+    parts = _parts(tx.where(d.isNotNull()), customer=customer, date_col=date_col, money=money, item=item, row_id=row_id)
+    cells = parts.groupBy("cust_norm", "item_norm", "day").agg(
+        F.sum("n").alias("n"), F.sum("money").cast(MONEY).alias("money"), F.min("first").alias("first"))
+    tagged = cells.withColumn("snapshot", F.explode(F.filter(snaps, lambda s: F.col("day") <= F.date_add(s, shift))))
+    out = customer_metrics(tagged, ("snapshot", "cust_norm")).withColumn(
+        "recency_days", F.datediff(F.date_add(F.col("snapshot"), recency_offset), "last_date").cast("long"))
     out = (out.withColumn("r_score", S.r_rule("recency_days", cutoffs))
               .withColumn("f_score", S.f_rule("total_items", cutoffs))
               .withColumn("m_score", S.m_rule("monetary_value", cutoffs)))
@@ -189,6 +203,18 @@ def rfm_snapshots(tx: DataFrame, snapshots: list, members: DataFrame | None = No
                       "frequency", "total_items", "r_score", "f_score", "m_score", "rfm_class", "item_summary")
 
 
+def fill_metrics(joined: DataFrame, recency: str = "recency_days", money: str = "monetary_value",
+                 frequency: str = "frequency", fallback: int = 0) -> DataFrame:
+    """A customer without purchases has no money and no visit, and the
+    largest recency of all others (``fallback`` if there is none).  The maximum is
+    one aggregate."""
+    most = joined.agg(F.max(recency)).first()[0]
+    most = fallback if most is None else most
+    return (joined.withColumn(money, F.coalesce(money, F.lit(0).cast(MONEY)).cast(MONEY))
+            .withColumn(frequency, F.coalesce(frequency, F.lit(0)).cast("long"))
+            .withColumn(recency, F.coalesce(recency, F.lit(most)).cast("long")))
+
+
 def segment_counts(scored: DataFrame, segment_col: str = "rfm_class") -> DataFrame:
     """A8 + P13: customers per segment and percent share of the total.
 

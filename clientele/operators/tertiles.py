@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clientele.operators.ranking import exact_quantiles, ordered_offsets
+from clientele.operators.ranking import distinct_value_edges, exact_quantiles, ordered_offsets
 
 LOW_MED_HIGH = ("Low", "Medium", "High")
 HIGH_MED_LOW = ("High", "Medium", "Low")
@@ -27,7 +27,8 @@ def equal_width_edges(mn: float, mx: float) -> tuple[float, float]:
     return 1 * step + mn, 2 * step + mn
 
 
-def value_tertiles(df: DataFrame, col: str, out: str, labels=LOW_MED_HIGH, stats: dict | None = None) -> DataFrame:
+def value_tertiles(df: DataFrame, col: str, out: str, labels=LOW_MED_HIGH, stats: dict | None = None,
+                   few: bool = False) -> DataFrame:
     """W8 (+W11 fallback): right-closed tertiles of the values.
 
     Edges are the exact 1/3 and 2/3 quantiles (C7: a value exactly on an edge
@@ -39,7 +40,7 @@ def value_tertiles(df: DataFrame, col: str, out: str, labels=LOW_MED_HIGH, stats
         stats = df.agg(*value_stats(col)).first().asDict()
     if stats["nd"] is None or stats["nd"] <= 1:
         return df.withColumn(out, F.lit(labels[1]))
-    q1, q2 = exact_quantiles(df, col, [1 / 3, 2 / 3], n_values=stats["n"])
+    q1, q2 = exact_quantiles(df, col, [1 / 3, 2 / 3], n_values=stats["n"], few=few)
     edges = [stats["mn"], q1, q2, stats["mx"]]
     if len(set(edges)) < 4:
         q1, q2 = equal_width_edges(stats["mn"], stats["mx"])
@@ -72,24 +73,21 @@ def rank_tertiles(df: DataFrame, col: str, tie_cols: list[str], out: str,
     return ranked.withColumn(out, lab).drop("_before", "_w")
 
 
-def fair_tertiles(df: DataFrame, col: str, out: str, labels=LOW_MED_HIGH, n_distinct: int | None = None) -> DataFrame:
-    """W10 (+W12): tertiles over the *distinct* values so equal values share
-    a label.  1 distinct value -> first label; 2 -> first, second; more ->
-    index i of the value among d sorted distinct values: first iff
-    3i <= d-1, second iff 3i <= 2(d-1), else third (exact edges, C7)."""
-    distinct = df.select(F.col(col).alias("_v")).where(F.col("_v").isNotNull()).distinct()
-    d = n_distinct if n_distinct is not None else distinct.count()
-    idx = ordered_offsets(distinct, ["_v"])
-    i = F.col("_before")
-    if d == 1:
+def fair_tertiles(df: DataFrame, col: str, out: str, labels=LOW_MED_HIGH, n_distinct: int | None = None,
+                  few: bool = False) -> DataFrame:
+    """Tertiles over the *distinct* values, so equal values share a label.
+    1 distinct value -> first label; 2 -> first, second; more -> right-closed
+    between the edges of thirds of the distinct values.  A null gets the second label."""
+    c = F.col(col)
+    d = n_distinct if n_distinct is not None else df.agg(F.count_distinct(col)).first()[0]
+    if d <= 1:
         lab = F.lit(labels[0])
     elif d == 2:
-        lab = F.when(i == 0, labels[0]).otherwise(labels[1])
+        low = df.agg(F.min(col)).first()[0]
+        lab = F.when(c == F.lit(low), labels[0]).otherwise(labels[1])
     else:
-        lab = F.when(3 * i <= d - 1, labels[0]).when(3 * i <= 2 * (d - 1), labels[1]).otherwise(labels[2])
-    table = idx.select(F.col("_v"), lab.alias(out))
-    joined = df.join(table, df[col] == table["_v"], "left").drop("_v")
-    return joined.withColumn(out, F.coalesce(F.col(out), F.lit(labels[1])))
+        lab = _label(c.cast("double"), *distinct_value_edges(df, col, d, few=few), labels)
+    return df.withColumn(out, F.when(c.isNull(), labels[1]).otherwise(lab))
 
 
 def index_split_labels(df: DataFrame, col: str, out: str, labels=LOW_MED_HIGH) -> DataFrame:

@@ -12,9 +12,10 @@ from clientele.sources import views as V
 
 SNAP = V.SNAPSHOT_AFTER
 
-BASKET_SQL = V.with_views("tx").rstrip() + f""",
-t AS (SELECT {name_key_nan_sql('customer')} AS customer, tx_date, ticket, item FROM tx
-  WHERE item IS NOT NULL AND customer IS NOT NULL AND tx_date IS NOT NULL AND ticket IS NOT NULL),
+def basket_sql(view: str) -> str:
+    return V.with_views(view).rstrip() + f""",
+t AS (SELECT {name_key_nan_sql('customer')} AS customer, tx_date, ticket, item FROM {view}
+  WHERE item IS NOT NULL AND tx_date IS NOT NULL AND ticket IS NOT NULL),
 b AS (SELECT customer, tx_date, ticket, count(*) AS n_items,
     array_to_string(list_sort(list(DISTINCT item)), '|') AS items FROM t GROUP BY 1, 2, 3),
 bi AS (SELECT DISTINCT t.customer, t.tx_date, t.ticket, t.item FROM t
@@ -25,6 +26,10 @@ pairs AS (SELECT x.item AS item_a, y.item AS item_b, count(*) AS n_baskets FROM
 """
 
 
+BASKET_SQL = basket_sql("tx")
+HOT_BASKET_SQL = basket_sql("hot_tx")
+
+
 def _baskets(spark, d):
     b = K.baskets(V.tx(spark, d))
     return b.withColumn("items", F.array_join("items", "|"))
@@ -48,6 +53,18 @@ def x27_item_pairs(spark, d):
     return K.pair_counts(V.tx(spark, d))
 
 
+@register("a20_hot_baskets", HOT_BASKET_SQL + "SELECT * FROM b")
+def a20_hot_baskets(spark, d):
+    """A20 with null customers, null items and a basket that holds a third of the rows."""
+    return K.baskets(V.hot_tx(spark, d)).withColumn("items", F.array_join("items", "|"))
+
+
+@register("x27_hot_basket_pairs", HOT_BASKET_SQL + "SELECT * FROM pairs")
+def x27_hot_basket_pairs(spark, d):
+    """X27 on the same baskets, the large one in blocks of 16 items."""
+    return K.pair_counts(V.hot_tx(spark, d), block=16)
+
+
 @register("t06_top_pairs", BASKET_SQL + "SELECT * FROM pairs ORDER BY n_baskets DESC, item_a, item_b LIMIT 25")
 def t06_top_pairs(spark, d):
     return K.top_pairs(K.pair_counts(V.tx(spark, d)), 25)
@@ -66,6 +83,12 @@ def a08_item_value_counts(spark, d):
 
 
 SEG_SQL = V.with_views("tx", "visits", "members").rstrip() + ",\n" + rfm_ctes("visits", SNAP)
+HOT_SEG_SQL = V.with_views("hot_tx", "members").rstrip() + ",\n" + rfm_ctes("hot_tx", SNAP)
+
+
+def _hot(spark, d):
+    t = V.hot_tx(spark, d)
+    return t, R.rfm(t, SNAP, V.members(spark, d))
 
 
 def _segments(spark, d):
@@ -86,15 +109,22 @@ def t04_top_items_by_segment(spark, d):
   FROM (SELECT {name_key_nan_sql('customer')} AS _c FROM tx) t JOIN rfm ON t._c = rfm.cust_norm GROUP BY 1""")
 def j04_segment_join(spark, d):
     """Transaction rows attached to a segment (misses dropped)."""
-    seg = _segments(spark, d).select(F.col("cust_norm").alias("_c"), F.col("rfm_class").alias("segment"))
-    from clientele.functions.text import name_key_nan
-    t = V.tx(spark, d).select(name_key_nan("customer").alias("_c"))
-    return t.join(seg, "_c").groupBy("segment").agg(F.count(F.lit(1)).alias("n_rows"))
+    return K.segment_rows(V.tx(spark, d), _segments(spark, d))
+
+
+@register("t04_hot_customer", HOT_SEG_SQL + f""", c AS (SELECT rfm_class AS segment, item, count(*) AS times_sold
+  FROM (SELECT {name_key_nan_sql('customer')} AS _c, item FROM hot_tx WHERE item IS NOT NULL) t
+  JOIN rfm ON t._c = rfm.cust_norm GROUP BY 1, 2)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY times_sold DESC, item) AS rank FROM c)
+  WHERE rank <= 10""")
+def t04_hot_customer(spark, d):
+    """J4 + T4 where one customer holds a third of the rows."""
+    return K.top_items_by_segment(*_hot(spark, d), 10)
 
 
 BUYER_SQL = SEG_SQL + f""", bv AS (SELECT item, CAST(sum(monetary_value) AS DOUBLE) / count(*) AS avg_customer_spend,
     count(*) AS n_buyers
-  FROM (SELECT DISTINCT {name_key_nan_sql('customer')} AS _c, item FROM tx) p
+  FROM (SELECT DISTINCT {name_key_nan_sql('customer')} AS _c, item FROM tx WHERE item IS NOT NULL) p
   JOIN rfm ON p._c = rfm.cust_norm WHERE monetary_value IS NOT NULL GROUP BY 1)
 """
 
@@ -105,6 +135,15 @@ def j05_buyer_value(spark, d):
     return K.buyer_value_by_item(V.tx(spark, d), _segments(spark, d), spend="monetary_value")
 
 
+@register("j05_hot_buyer_value", HOT_SEG_SQL + f"""SELECT item, CAST(sum(monetary_value) AS DOUBLE) / count(*) AS avg_customer_spend,
+    count(*) AS n_buyers
+  FROM (SELECT DISTINCT {name_key_nan_sql('customer')} AS _c, item FROM hot_tx WHERE item IS NOT NULL) p
+  JOIN rfm ON p._c = rfm.cust_norm WHERE monetary_value IS NOT NULL GROUP BY 1""")
+def j05_hot_buyer_value(spark, d):
+    """J5 where some items are null: they are no group."""
+    return K.buyer_value_by_item(*_hot(spark, d), spend="monetary_value")
+
+
 @register("t05_top_items_by_buyer_value", BUYER_SQL + """SELECT * FROM bv
   ORDER BY avg_customer_spend DESC, item LIMIT 15""")
 def t05_top_items_by_buyer_value(spark, d):

@@ -17,18 +17,23 @@ def _cont_sql(x: str) -> str:
     return (f"coalesce({strip_sql(f'CASE WHEN strpos({x}, {chr(39)}:{chr(39)}) > 0 THEN substr({x}, strpos({x}, {chr(39)}:{chr(39)}) + 1) END')}, '')")
 
 
-PAIR_SQL = V.with_views("member_raw").rstrip() + f""",
-n AS (SELECT line_no, no, name, birthplace, {_dmy_sql('birth_date')} AS birth_date, address FROM member_raw),
+def pair_sql(view: str, more: str = "") -> str:
+    """CTE ``paired``: one record of two lines of ``view``; ``more`` names columns kept from the first."""
+    return V.with_views(view).rstrip() + f""",
+n AS (SELECT line_no, no, name, birthplace, {_dmy_sql('birth_date')} AS birth_date, address{more} FROM {view}),
 top AS (SELECT *, line_no // 2 AS pair FROM n WHERE line_no % 2 = 0),
 bot AS (SELECT (line_no - 1) // 2 AS pair, birthplace AS bp, no AS first FROM n WHERE line_no % 2 = 1),
 j AS (SELECT top.*, bp, CASE WHEN coalesce(starts_with(lower({strip_sql('first')}), '*address'), false)
     THEN {_cont_sql('first')} END AS extra FROM top LEFT JOIN bot USING (pair)),
 paired AS (SELECT line_no, no, name, coalesce(bp, birthplace) AS birthplace, birth_date,
     CASE WHEN extra IS NULL THEN address WHEN address IS NULL OR address = '' THEN extra
-         ELSE address || ', ' || extra END AS address FROM j)
+         ELSE address || ', ' || extra END AS address{more} FROM j)
 """
 
 
+PAIR_SQL = pair_sql("member_raw")
+
+
 @register("w13_row_pairing", PAIR_SQL + "SELECT * FROM paired")
 def w13_row_pairing(spark, d):
     """W13 + X10 + X14: two export lines per member folded into one record."""

@@ -256,6 +256,20 @@ def p08_null_fill(spark, d):
                     F.coalesce("rfm_class", F.lit("Undefined")).alias("rfm_class"))
 
 
+@register("p08_max_fill", V.with_views("members", "visits").rstrip() + ",\n" + __import__(
+    "clientele.plans.checks_rfm", fromlist=["rfm_ctes"]).rfm_ctes("visits", "1995-06-30") + """,
+mem AS (SELECT member_no, """ + __import__("clientele.plans.registry", fromlist=["name_key_sql"]).name_key_sql("name") + """ AS cust_norm FROM members),
+j AS (SELECT member_no, monetary_value, frequency, recency_days FROM mem LEFT JOIN rfm USING (cust_norm))
+SELECT member_no, CAST(coalesce(monetary_value, 0) AS DECIMAL(38,2)) AS monetary_value, CAST(coalesce(frequency, 0) AS BIGINT) AS frequency,
+    CAST(coalesce(recency_days, (SELECT max(recency_days) FROM j), 0) AS BIGINT) AS recency_days FROM j""")
+def p08_max_fill(spark, d):
+    """Members at an early snapshot; those without purchases get the largest recency."""
+    from clientele.functions.text import name_key
+    mem = V.members(spark, d).select("member_no", name_key("name").alias("cust_norm"))
+    r = R.rfm(V.visits(spark, d), "1995-06-30").select("cust_norm", "monetary_value", "frequency", "recency_days")
+    return R.fill_metrics(mem.join(r, "cust_norm", "left").drop("cust_norm"))
+
+
 @register("j08_scores_to_profile", rfm_sql() + """, sc AS (SELECT cust_norm,
     CASE WHEN frequency > 1 THEN CAST(1 AS DOUBLE) / frequency ELSE CAST(1 AS DOUBLE) END AS score FROM rfm
     WHERE status = 'Member')
@@ -281,12 +295,13 @@ def t01_sorted_report(spark, d):
 
 
 @register("t02_restore_order", V.with_views("visits") + """SELECT row_id, customer,
-    CASE WHEN total_price > 200000 THEN 'large' ELSE 'small' END AS part FROM visits ORDER BY row_id""")
+    CASE WHEN total_price > 200000 THEN 'large' ELSE 'small' END AS part
+  FROM (SELECT row_id, customer, CASE WHEN row_id % 9 <> 0 THEN total_price END AS total_price FROM visits) ORDER BY row_id""")
 def t02_restore_order(spark, d):
     """Two enriched halves put back in input order (by row_id)."""
-    v = V.visits(spark, d)
+    v = V.visits(spark, d).withColumn("total_price", F.when(F.col("row_id") % 9 != 0, F.col("total_price")))  # some are null
     big = v.where(F.col("total_price") > 200000).withColumn("part", F.lit("large"))
-    small = v.where(~(F.col("total_price") > 200000)).withColumn("part", F.lit("small"))
+    small = v.where(~F.coalesce(F.col("total_price") > 200000, F.lit(False))).withColumn("part", F.lit("small"))  # a null price too
     return big.unionByName(small).orderBy("row_id").select("row_id", "customer", "part")
 
 

@@ -49,21 +49,33 @@ def value_tertile_sql(col: str, labels=("High", "Medium", "Low"), src: str = "cu
     return cte, case
 
 
+def fair_sql(table: str, col: str) -> str:
+    """CTEs ``fair``: the edges of thirds of the distinct values, as pd.qcut has them."""
+    at = lambda h, k: f"CAST(vs[least(CAST(floor({h}) AS BIGINT) + {k}, d)] AS DOUBLE)"
+    edge = lambda h: (f"CASE WHEN {h} - floor({h}) >= 0.5 THEN {at(h, 2)} - ({at(h, 2)} - {at(h, 1)}) * (1 - ({h} - floor({h}))) "
+                      f"ELSE {at(h, 1)} + ({at(h, 2)} - {at(h, 1)}) * ({h} - floor({h})) END")
+    return f""", fv AS (SELECT list_sort(list(DISTINCT {col})) AS vs, count(DISTINCT {col}) AS d FROM {table}),
+fh AS (SELECT vs, d, (d - 1) * (CAST(1 AS DOUBLE) / 3 * 100 / 100) AS h1, (d - 1) * (CAST(2 AS DOUBLE) / 3 * 100 / 100) AS h2 FROM fv),
+fair AS (SELECT d, vs[1] AS low, {edge('h1')} AS e1, {edge('h2')} AS e2 FROM fh)
+"""
+
+
+def fair_label(col: str) -> str:
+    return (f"CASE WHEN {col} IS NULL THEN 'Medium' WHEN d = 1 THEN 'Low' WHEN d = 2 THEN (CASE WHEN {col} = low THEN 'Low' ELSE 'Medium' END) "
+            f"WHEN {col} <= e1 THEN 'Low' WHEN {col} <= e2 THEN 'Medium' ELSE 'High' END")
+
+
 def report_sql(view: str = "visits") -> str:
     rcte, rcase = value_tertile_sql("recency_days")
-    return cust_sql(view).rstrip() + rcte + f""",
+    return cust_sql(view).rstrip() + rcte + fair_sql("cust", "frequency") + f""",
 mk AS (SELECT DISTINCT {name_key_sql('name')} AS cust_norm, TRUE AS _m FROM members),
 ranked AS (SELECT *, row_number() OVER (ORDER BY total_spent, cust_norm) - 1 AS k1,
     count(*) OVER () AS n, count(DISTINCT total_spent) OVER () AS nd_m FROM cust),
-fv AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS d
-  FROM (SELECT DISTINCT frequency AS v FROM cust)),
 scored AS (SELECT r.*, {rcase} AS r_score,
     CASE WHEN nd_m <= 1 THEN 'Medium' WHEN 3 * k1 < n - 1 THEN 'Low'
          WHEN 3 * k1 < 2 * (n - 1) THEN 'Medium' ELSE 'High' END AS m_score,
-    CASE WHEN fv.d = 1 THEN 'Low' WHEN fv.d = 2 THEN (CASE WHEN fv.i = 0 THEN 'Low' ELSE 'Medium' END)
-         WHEN 3 * fv.i <= fv.d - 1 THEN 'Low' WHEN 3 * fv.i <= 2 * (fv.d - 1) THEN 'Medium'
-         ELSE 'High' END AS f_score
-  FROM ranked r JOIN fv ON r.frequency = fv.v),
+    {fair_label('frequency')} AS f_score
+  FROM ranked r, fair),
 report AS (SELECT cust_norm, customer, total_spent,
     CASE WHEN _m THEN 'Member' ELSE 'Non-Member' END AS status, recency_days, frequency,
     total_items, r_score, f_score, m_score, {segment_case_sql()} AS rfm_class, item_summary
@@ -109,12 +121,8 @@ def w09_rank_tertiles(spark, d):
     return T.rank_tertiles(cust, "total_spent", ["cust_norm"], "m_score")
 
 
-@register("w10_fair_tertiles", cust_sql() + """, fv AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i,
-    count(*) OVER () AS d FROM (SELECT DISTINCT frequency AS v FROM cust))
-SELECT cust_norm, frequency,
-    CASE WHEN d = 1 THEN 'Low' WHEN d = 2 THEN (CASE WHEN i = 0 THEN 'Low' ELSE 'Medium' END)
-         WHEN 3 * i <= d - 1 THEN 'Low' WHEN 3 * i <= 2 * (d - 1) THEN 'Medium' ELSE 'High' END AS f_score
-  FROM cust JOIN fv ON frequency = v""")
+@register("w10_fair_tertiles", cust_sql() + fair_sql("cust", "frequency") + f"""SELECT cust_norm, frequency,
+    {fair_label('frequency')} AS f_score FROM cust, fair""")
 def w10_fair_tertiles(spark, d):
     cust = _cust(spark, d).select("cust_norm", "frequency")
     return T.fair_tertiles(cust, "frequency", "f_score")
@@ -155,12 +163,16 @@ def j03_rfm_report_lines(spark, d):
 _RULES = rules_sql()
 
 
-@register("x22_rescore_report", report_sql() + f"""SELECT cust_norm, customer, total_spent, status,
+def rescore_sql(view: str = "visits") -> str:
+    return report_sql(view) + f"""SELECT cust_norm, customer, total_spent, status,
     recency_days, frequency, total_items, r_score, f_score, m_score,
     {segment_case_sql(missing='NULL')} AS rfm_class, item_summary
   FROM (SELECT * EXCLUDE (r_score, f_score, m_score, rfm_class),
       {_RULES['r']} AS r_score, {_RULES['f']} AS f_score,
-      {_RULES['m'].replace('monetary_value', 'total_spent')} AS m_score FROM report)""")
+      {_RULES['m'].replace('monetary_value', 'total_spent')} AS m_score FROM report)"""
+
+
+@register("x22_rescore_report", rescore_sql())
 def x22_rescore_report(spark, d):
     """Rule re-score of the finished report (the manual re-classification)."""
     rep = P.rfm_report(V.visits(spark, d), V.members(spark, d))

@@ -32,6 +32,24 @@ def w01_cohort_rows(spark, d):
             .agg(F.count(F.lit(1)).alias("n_rows")))
 
 
+@register("w01_hot_customer", COHORT_SQL.replace("FROM tx", "FROM hot_tx").replace(V.with_views("tx").rstrip(), V.with_views("hot_tx").rstrip())
+          + """SELECT printf('%04d-%02d', ci // 12, ci % 12 + 1) AS cohort_month,
+    cohort_index, count(*) AS n_rows FROM r GROUP BY ALL""")
+def w01_hot_customer(spark, d):
+    """W1 + W2 where one customer holds a third of the rows: they are dealt to parts."""
+    rows = C.cohort_rows(V.hot_tx(spark, d))
+    return (rows.groupBy(F.date_format("cohort", "yyyy-MM").alias("cohort_month"), "cohort_index")
+            .agg(F.count(F.lit(1)).alias("n_rows")))
+
+
+@register("a19_cohort_matrix", COHORT_SQL + "SELECT * FROM dense")
+def a19_cohort_matrix(spark, d):
+    """A19 in its wide form, read back cell by cell."""
+    wide = C.cohort_matrix(C.cohort_counts(C.cohort_months(V.tx(spark, d)), materialized=True))
+    return (wide.unpivot("cohort_month", [c for c in wide.columns if c != "cohort_month"], "i", "n_customers")
+            .select("cohort_month", F.col("i").cast("int").alias("cohort_index"), "n_customers"))
+
+
 @register("a18_cohort_counts", COHORT_SQL + "SELECT * FROM counts")
 def a18_cohort_counts(spark, d):
     return C.cohort_counts(C.cohort_months(V.tx(spark, d)))

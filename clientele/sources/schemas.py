@@ -49,6 +49,12 @@ def fill_missing(df: DataFrame, defaults: dict[str, tuple[object, str]]) -> Data
     return out
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN of every floating-point column as null: a sheet's empty number is no value."""
+    floating = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
+    return df.select(*[F.when(~F.isnan(_q(c)), F.col(_q(c))).alias(c) if c in floating else F.col(_q(c)) for c in df.columns])
+
+
 def resolve_column(df: DataFrame, preferred: str, aliases=(), fuzzy=(), numeric_fallback=False):
     """The column to use for a logical field: the preferred name, an
     alias, the first name containing every ``fuzzy`` token, or (optionally)

@@ -74,6 +74,45 @@ def dirty_tx(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumn("customer", name).withColumn("item", F.concat(F.lit("Package "), F.col("item")))
 
 
+def hot_tx(spark: SparkSession, d: str) -> DataFrame:
+    """``tx`` with a third of the rows in one basket of one customer, some null
+    customers and some null items."""
+    t = tx(spark, d)
+    hot = F.col("ticket") % 3 == 0
+    return (t.withColumn("customer", F.when(hot, F.lit("Walk-in")).when(F.col("ticket") % 17 == 1, F.lit(None)).otherwise(F.col("customer")))
+             .withColumn("item", F.when(F.col("row_id") % 13 == 0, F.lit(None)).otherwise(F.col("item")))
+             .withColumn("tx_date", F.when(hot & (F.col("ticket") % 4 != 0), F.lit("1998-01-01").cast("date")).otherwise(F.col("tx_date")))
+             .withColumn("ticket", F.when(hot, F.lit(0).cast("long")).otherwise(F.col("ticket"))))
+
+
+def raw_sheets(spark: SparkSession, d: str) -> DataFrame:
+    """The sheets as exported: headers of the workbook, dates as text in several
+    forms, messy and missing names, NaN quantities, rows that hold a label only."""
+    s = sheets(spark, d)
+    k = F.col("row_id") % 16
+    text = (F.when(k % 4 == 0, F.date_format("tx_date", "yyyy-MM-dd")).when(k % 4 == 1, F.date_format("tx_date", "dd/MM/yyyy HH:mm"))
+             .when(k % 4 == 2, F.date_format("tx_date", "d MMM yyyy")).when(k == 3, F.lit("n/a")).otherwise(F.date_format("tx_date", "dd.MM.yyyy")))
+    name = (F.when(F.col("row_id") % 29 == 0, F.lit(None)).when(k % 3 == 0, F.upper("customer"))
+             .when(k % 3 == 1, F.concat(F.lit("  "), F.col("customer"), F.lit(" "))).otherwise(F.col("customer")))
+    qty = F.when(F.col("row_id") % 41 == 0, F.lit(float("nan"))).otherwise(F.col("qty").cast("double"))
+    held = F.col("ticket") % 50 != 0
+    return s.select("row_id", F.col("sheet").alias("Month"), F.when(held, text).alias("Date"), F.when(held, name).alias(" NAMA CUSTOMER "),
+                    F.when(held, F.concat(F.lit("Package "), F.col("item"))).alias("NAMA TREATMENT"), F.when(held, qty).alias("QTY"))
+
+
+def raw_members(spark: SparkSession, d: str) -> DataFrame:
+    """``member_raw`` with bracketed and repeated names, addresses that a lookup
+    may know, and a skin type."""
+    r = member_raw(spark, d)
+    top = F.col("line_no") % 2 == 0
+    k = F.floor(F.col("line_no") / 2)
+    name = (F.when(top & (k % 4 == 0), F.concat(F.col("name"), F.lit(" (VIP "), (k % 5).cast("string"), F.lit(")")))
+             .when(top & (k % 4 == 1), F.concat(F.lit("Walk-in (from "), F.col("birthplace"), F.lit(")"))).otherwise(F.col("name")))
+    return (r.withColumn("name", name)
+             .withColumn("address", F.when(top & (F.col("address") != ""), F.col("birthplace")).otherwise(F.col("address")))
+             .withColumn("skin_type", F.when(top & (k % 3 == 1), F.lit(" ")).when(top & (k % 3 == 2), F.lit("Oily"))))
+
+
 def events_tx(spark: SparkSession, d: str) -> DataFrame:
     """``events`` as a second transaction table with real times (tx_ts)."""
     e = read_table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
@@ -292,7 +331,7 @@ def money_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 VIEWS = {
-    "tx": tx, "visits": visits, "dirty_tx": dirty_tx, "events_tx": events_tx,
+    "tx": tx, "visits": visits, "dirty_tx": dirty_tx, "hot_tx": hot_tx, "raw_sheets": raw_sheets, "raw_members": raw_members, "events_tx": events_tx,
     "members": members, "member_profile": member_profile, "pricelist": pricelist,
     "area_dictionary": area_dictionary, "text_dates": text_dates, "mixed_dates": mixed_dates, "sheets": sheets,
     "member_raw": member_raw, "bracket_names": bracket_names, "birth_text": birth_text,
@@ -317,6 +356,18 @@ SQL = {
         CASE ticket % 3 WHEN 0 THEN upper(customer) WHEN 1 THEN '  ' || customer || ' '
              ELSE customer END AS customer,
         tx_date, 'Package ' || item AS item, qty, ticket, total_price FROM tx""",
+    "hot_tx": """SELECT row_id, CASE WHEN ticket % 3 = 0 THEN 'Walk-in' WHEN ticket % 17 = 1 THEN NULL ELSE customer END AS customer,
+        CASE WHEN ticket % 3 = 0 AND ticket % 4 <> 0 THEN DATE '1998-01-01' ELSE tx_date END AS tx_date,
+        CASE WHEN row_id % 13 = 0 THEN NULL ELSE item END AS item, qty,
+        CASE WHEN ticket % 3 = 0 THEN 0 ELSE ticket END AS ticket, total_price FROM tx""",
+    "raw_sheets": """SELECT row_id, sheet AS Month, CASE WHEN ticket % 50 <> 0 THEN
+        CASE WHEN row_id % 4 = 0 THEN strftime(tx_date, '%Y-%m-%d') WHEN row_id % 4 = 1 THEN strftime(tx_date, '%d/%m/%Y %H:%M')
+             WHEN row_id % 4 = 2 THEN strftime(tx_date, '%-d %b %Y') WHEN row_id % 16 = 3 THEN 'n/a' ELSE strftime(tx_date, '%d.%m.%Y') END END AS date_text,
+        CASE WHEN ticket % 50 <> 0 THEN CASE WHEN row_id % 29 = 0 THEN NULL WHEN row_id % 16 % 3 = 0 THEN upper(customer)
+             WHEN row_id % 16 % 3 = 1 THEN '  ' || customer || ' ' ELSE customer END END AS customer,
+        CASE WHEN ticket % 50 <> 0 THEN 'Package ' || item END AS item,
+        CASE WHEN ticket % 50 <> 0 AND row_id % 41 <> 0 THEN qty END AS qty,
+        ticket % 50 <> 0 AS held FROM sheets""",
     "events_tx": """SELECT event_id AS row_id, 'user ' || CAST(user_id AS VARCHAR) AS customer,
         ts AS tx_ts, CAST(ts AS DATE) AS tx_date, event_type AS item,
         CAST(value AS DECIMAL(18,2)) AS total_price FROM events""",
@@ -351,7 +402,7 @@ SQL = {
       FROM tx""",
 }
 # Views a view's SQL refers to, so that ``with_views`` can pull them in first.
-_DEPENDS = {"dirty_tx": ["tx"], "sheets": ["tx"]}
+_DEPENDS = {"dirty_tx": ["tx"], "hot_tx": ["tx"], "raw_sheets": ["sheets"], "raw_members": ["member_raw"], "sheets": ["tx"]}
 
 SQL.update({
     "customer_geo": """SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey
@@ -380,6 +431,11 @@ SQL.update({
         CASE o_orderstatus WHEN 'F' THEN 'YES' WHEN 'O' THEN 'no' END AS delivery,
         CASE WHEN o_orderkey % 7 = 0 THEN 'nan' ELSE o_orderpriority END AS hobby
       FROM orders JOIN customer ON o_custkey = c_custkey""",
+    "raw_members": """SELECT line_no, no, CASE WHEN line_no % 2 = 0 AND line_no // 2 % 4 = 0 THEN name || ' (VIP ' || CAST(line_no // 2 % 5 AS VARCHAR) || ')'
+             WHEN line_no % 2 = 0 AND line_no // 2 % 4 = 1 THEN 'Walk-in (from ' || birthplace || ')' ELSE name END AS name,
+        birthplace, birth_date, CASE WHEN line_no % 2 = 0 AND address <> '' THEN birthplace ELSE address END AS address,
+        CASE WHEN line_no % 2 = 0 AND line_no // 2 % 3 = 1 THEN ' ' WHEN line_no % 2 = 0 AND line_no // 2 % 3 = 2 THEN 'Oily' END AS skin_type
+      FROM member_raw""",
     "messy_members": """SELECT CASE WHEN no % 10 = 7 THEN NULL ELSE no END AS no,
         CASE WHEN no % 11 = 5 THEN NULL WHEN no % 3 = 1 THEN '-' ELSE name END AS name,
         CASE WHEN no % 3 = 1 THEN CASE WHEN no % 13 < 4 THEN NULL ELSE CAST(no % 40 AS VARCHAR) END ELSE birth_date END AS birth_date,
