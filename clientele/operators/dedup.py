@@ -45,20 +45,16 @@ def record_order(no: str, row_id: str) -> Column:
 
 
 def _signatures(named: DataFrame) -> DataFrame:
-    """(name, bd, ad, t, key): the distinct signatures, the place of the first
-    record of each, and that record's row id."""
-    return checkpoint_once(named.groupBy(F.col("_name").alias("name"), F.col("_bd").alias("bd"), F.col("_ad").alias("ad"))
-                           .agg(F.min("_ord").alias("t")).withColumn("key", F.col("t.row")))
-
-
-def _half_matches(halves: DataFrame, full: DataFrame, field: str) -> DataFrame:
-    """(key, root) for names with halves of one kind: a half and the earliest
-    full signature of its field are one person."""
-    first = full.groupBy("name", field).agg(F.min("t").alias("t"))
-    both = halves.select("name", field, F.col("t").alias("half")).join(first, ["name", field])
-    root = F.least("half", "t")["row"]
-    return (both.select(F.col("half.row").alias("key"), root.alias("root"))
-            .unionByName(both.select(F.col("t.row").alias("key"), root.alias("root"))))
+    """The distinct signatures (name, bd, ad), with t, the place of the first
+    record of each, key, that record's row id, and of its name: whether it has
+    halves with a date (``dated``) and with an address (``placed``), and the row id
+    of the first signature that holds a field."""
+    sig = (named.groupBy(F.col("_name").alias("name"), F.col("_bd").alias("bd"), F.col("_ad").alias("ad"))
+           .agg(F.min("_ord").alias("t")))
+    b, a = F.col("bd").isNotNull(), F.col("ad").isNotNull()
+    names = sig.groupBy("name").agg(F.max(b & ~a).alias("dated"), F.max(a & ~b).alias("placed"),
+                                    F.min(F.when(a | b, F.col("t")))["row"].alias("first_key"))
+    return checkpoint_once(sig.join(names, "name").withColumn("key", F.col("t.row")))
 
 
 class _Name:
@@ -105,13 +101,16 @@ def _fold(events: DataFrame) -> DataFrame:
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", met boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, state = None, _Name()
+        name, state, last = None, _Name(), None
         for batch in batches:
             keys = batch.column(3)
             out: list[tuple] = []
             for nm, bd, ad, key in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
                 if nm != name:
                     name, state = nm, _Name()
+                elif key == last:  # a full signature that is the earliest of both its fields comes twice
+                    continue
+                last = key
                 if bd is None or ad is None:
                     pairs = len(state.pair)
                     root = state.half("ad" if bd is None else "bd", ad if bd is None else bd, key)
@@ -130,27 +129,29 @@ def _fold(events: DataFrame) -> DataFrame:
 
 
 def _roots(sig: DataFrame) -> DataFrame:
-    """(key, root) of every signature with a field."""
-    full = sig.where(F.col("bd").isNotNull() & F.col("ad").isNotNull())
-    halves = {"bd": sig.where(F.col("bd").isNotNull() & F.col("ad").isNull()),
-              "ad": sig.where(F.col("bd").isNull() & F.col("ad").isNotNull())}
-    mixed = halves["bd"].select("name").distinct().join(halves["ad"].select("name").distinct(), "name")
-    mixed = checkpoint_once(mixed)
-    alone = [_half_matches(h.join(mixed, "name", "left_anti"), full, field) for field, h in halves.items()]
-
-    # full signatures that can close a half: the earliest of its field
-    closing = [full.join(h.select("name", field), ["name", field], "left_semi").groupBy("name", field)
-               .agg(F.min(F.struct("t", "bd", "ad", "key")).alias("e")).select("name", "e.bd", "e.ad", "e.key", "e.t")
-               for field, h in halves.items()]
-    cols = ["name", "bd", "ad", "key", "t"]
-    events = (closing[0].select(cols).unionByName(closing[1].select(cols)).distinct()
-              .unionByName(halves["bd"].select(cols)).unionByName(halves["ad"].select(cols)))
-    folded = checkpoint_once(_fold(events.join(mixed, "name", "left_semi")))
-    known = alone[0].unionByName(alone[1]).unionByName(folded.where("NOT met").select("key", "root"))
+    """``sig`` with the root of every signature: the key of the person's first one with a field."""
+    both = F.col("bd").isNotNull() & F.col("ad").isNotNull()
+    side = lambda name, c: F.struct(F.lit(name).alias("side"), F.col(c).alias("value"))
+    # the earliest full signature of each field, where its name has halves
+    firsts = (sig.where(both & (F.col("dated") | F.col("placed")))
+              .withColumn("f", F.explode(F.array(side("bd", "bd"), side("ad", "ad"))))
+              .groupBy("name", "f.side", "f.value").agg(F.min(F.struct("t", "bd", "ad", "key")).alias("e")))
+    halves = (sig.where(F.col("bd").isNotNull() != F.col("ad").isNotNull())
+              .withColumn("side", F.when(F.col("bd").isNotNull(), "bd").otherwise("ad")).withColumn("value", F.coalesce("bd", "ad"))
+              .withColumn("mixed", F.col("dated") & F.col("placed"))
+              .select("name", "side", "value", "mixed", F.struct("t", "bd", "ad", "key").alias("h"))
+              .join(firsts, ["name", "side", "value"], "left"))
+    # halves of one kind: one person with that full signature
+    root = F.least("h.t", "e.t")["row"]
+    alone = halves.where("NOT mixed AND e IS NOT NULL").select(F.explode(F.array("h.key", "e.key")).alias("key"), root.alias("root"))
+    events = (halves.where("mixed").select("name", F.explode(F.array("h", "e")).alias("x")).where("x IS NOT NULL")
+              .select("name", "x.bd", "x.ad", "x.key", "x.t"))
+    folded = checkpoint_once(_fold(events))
+    known = alone.unionByName(folded.where("NOT met").select("key", "root"))
     met = folded.where("met").select("name", "bd", "ad", F.col("root").alias("pair"))
-    return (sig.where(F.col("bd").isNotNull() | F.col("ad").isNotNull())
-            .join(known, "key", "left").join(met, ["name", "bd", "ad"], "left")
-            .select("key", F.coalesce("root", "pair", "key").alias("root")))
+    empty = F.col("bd").isNull() & F.col("ad").isNull()
+    return (sig.join(known, "key", "left").join(met, ["name", "bd", "ad"], "left")
+            .withColumn("root", F.when(empty, F.coalesce("first_key", "key")).otherwise(F.coalesce("root", "pair", "key"))))
 
 
 def resolve_persons(df: DataFrame, *, name: str = "name", no: str = "no", birth_date: str = "birth_date",
@@ -170,15 +171,9 @@ def resolve_persons(df: DataFrame, *, name: str = "name", no: str = "no", birth_
     recs = (recs.withColumn("_name", F.col(name).cast("string")).withColumn("_bd", bd).withColumn("_ad", ad)
                 .withColumn("_ord", record_order(no, row_id)))
     named, unnamed = recs.where(F.col("_name").isNotNull()), recs.where(F.col("_name").isNull())
-    sig = _signatures(named)
-    placed = sig.join(_roots(sig), "key", "left")  # a signature without a field has no root yet
-    has_field = F.col("bd").isNotNull() | F.col("ad").isNotNull()
-    first = sig.where(has_field).groupBy("name").agg(F.min("t").alias("first"))
-    bare = (sig.where(~has_field).join(first, "name", "left")
-            .select("key", F.coalesce("first.row", "key").alias("of_bare")))
-    persons = (placed.join(bare, "key", "left")
-               .select(F.col("name").alias("_name"), F.coalesce("bd", F.lit("")).alias("_b"),
-                       F.coalesce("ad", F.lit("")).alias("_a"), F.coalesce("root", "of_bare").alias("person_id")))
+    persons = _roots(_signatures(named)).select(
+        F.col("name").alias("_name"), F.coalesce("bd", F.lit("")).alias("_b"), F.coalesce("ad", F.lit("")).alias("_a"),
+        F.col("root").alias("person_id"))
     # blank fields are null, so '' stands for null here; a hot signature is one row on the other side
     keyed = (named.withColumn("_b", F.coalesce("_bd", F.lit(""))).withColumn("_a", F.coalesce("_ad", F.lit("")))
              .join(persons, ["_name", "_b", "_a"]))

@@ -96,29 +96,33 @@ def item_summary(tx: DataFrame, *, customer="customer", item="item") -> DataFram
 
 
 def _parts(tx: DataFrame, *, customer: str, date_col: str, money: str, item: str, row_id: str) -> DataFrame:
-    """Rows reduced to what the metrics need: cust_norm, item_norm, day, n, money, first."""
+    """Rows reduced to what the metrics need: cust_norm, item_norm, day, shown, n, money, row."""
     m = F.coalesce(F.col(money).try_cast(MONEY), F.lit(0).cast(MONEY))
-    first = F.when(F.col(customer).isNotNull(), F.struct(F.col(row_id).alias("row"), F.col(customer).alias("customer")))
     return tx.select(name_key(customer).alias("cust_norm"), name_key(item).alias("item_norm"), F.col(date_col).alias("day"),
-                     F.lit(1).cast("long").alias("n"), m.alias("money"), first.alias("first"))
+                     F.col(customer).alias("shown"), F.lit(1).cast("long").alias("n"), m.alias("money"), F.col(row_id).alias("row"))
 
 
 def customer_metrics(parts: DataFrame, keys: tuple[str, ...] = ("cust_norm",)) -> DataFrame:
     """A1-A4 in one scan of ``parts``: keys, last_date, frequency,
-    monetary_value, customer, total_items, item_summary."""
+    monetary_value, customer, total_items, item_summary.
+
+    The grouping sets are (customer, item), (customer, day) and (customer, name
+    as written); their aggregates are sums and minima of numbers, so Spark hashes
+    them and sorts nothing."""
     keys = list(keys)
-    cells = (parts.groupingSets([[*keys, "item_norm"], [*keys, "day"]], *keys, "item_norm", "day")
-             .agg(F.grouping("item_norm").alias("is_day"), F.sum("n").alias("n"), F.sum("money").cast(MONEY).alias("money"),
-                  F.min("first").alias("first")))
-    day = F.col("is_day") == 1
-    bought = ~day & (F.col("item_norm") != "")
+    sets = {"item_norm": 0, "day": 1, "shown": 2}
+    cells = (parts.groupingSets([[*keys, c] for c in sets], *keys, *sets)
+             .agg(*[F.grouping(c).alias(f"no_{c}") for c in sets], F.sum("n").alias("n"),
+                  F.sum("money").cast(MONEY).alias("money"), F.min("row").alias("row")))
+    day, shown = F.col("no_day") == 0, (F.col("no_shown") == 0) & F.col("shown").isNotNull()
+    bought = (F.col("no_item_norm") == 0) & (F.col("item_norm") != "")
     pair = F.when(bought, F.struct(F.col("item_norm").alias("item"), F.col("n")))
     text = F.transform(F.array_sort(F.collect_list(pair)), lambda x: F.concat(x["item"], F.lit(" ("), x["n"].cast("string"), F.lit(")")))
     return cells.groupBy(*keys).agg(
         F.max(F.when(day, F.col("day"))).alias("last_date"),
         F.count(F.when(day, F.col("day"))).alias("frequency"),
         F.sum(F.when(day, F.col("money"))).cast(MONEY).alias("monetary_value"),
-        F.min(F.when(day, F.col("first")))["customer"].alias("customer"),
+        F.min_by("shown", F.when(shown, F.col("row"))).alias("customer"),
         F.coalesce(F.sum(F.when(bought, F.col("n"))), F.lit(0)).cast("long").alias("total_items"),
         F.array_join(text, ", ").alias("item_summary"))
 
@@ -189,8 +193,8 @@ def rfm_snapshots(tx: DataFrame, snapshots: list, members: DataFrame | None = No
     shift = 1 if include_next_day else 0
     d = F.col(date_col)
     parts = _parts(tx.where(d.isNotNull()), customer=customer, date_col=date_col, money=money, item=item, row_id=row_id)
-    cells = parts.groupBy("cust_norm", "item_norm", "day").agg(
-        F.sum("n").alias("n"), F.sum("money").cast(MONEY).alias("money"), F.min("first").alias("first"))
+    cells = parts.groupBy("cust_norm", "item_norm", "day", "shown").agg(
+        F.sum("n").alias("n"), F.sum("money").cast(MONEY).alias("money"), F.min("row").alias("row"))
     tagged = cells.withColumn("snapshot", F.explode(F.filter(snaps, lambda s: F.col("day") <= F.date_add(s, shift))))
     out = customer_metrics(tagged, ("snapshot", "cust_norm")).withColumn(
         "recency_days", F.datediff(F.date_add(F.col("snapshot"), recency_offset), "last_date").cast("long"))
