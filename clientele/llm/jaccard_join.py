@@ -11,19 +11,27 @@ Documents link when 100 * |intersection| >= percent * |union|.
 3. Similar nodes are partitioned into groups: nodes that agree on a band of
    min-hashes are each compared with one pivot of theirs, another one for
    every band, and nodes that link form a group.  That is at most ``BANDS``
-   comparisons a node, however large a group of near copies is.
-4. The token-group matrix holds the union of each group's prefix tokens, with
-   the smallest and largest set size.  A node's prefix tokens found in the
-   matrix bound its overlap with any member: beyond them the two sets share at
-   most what lies behind a prefix.  Only groups with enough common tokens and
-   a fitting size are opened, and only those members are compared that share
-   enough tokens with the node themselves.  Pairs within a group are linked
-   already and never listed.
+   comparisons a node, however large a group of near copies is.  Copies that
+   are farther from each other than from their original rarely agree on a band;
+   so the holders of a token that many groups share are compared with the one
+   among them that has the fewest tokens of its own, one comparison a node and
+   round.
+4. The token-group matrix holds the union of each group's prefix tokens, by
+   bands of set sizes.  Sets of similar size share many prefix tokens if they
+   link, sets of very different size few; a node asks for a band only with those
+   of its tokens behind which enough others are left, and a group answers only
+   where one of its members has enough left as well.  So a token that many groups
+   hold makes rows for those only that can still reach the overlap with it as
+   their first common token.  Groups that answer are opened, and only those
+   members are compared that share enough tokens with the node.  Pairs within a
+   group are linked already and never listed.
 5. Links of both steps give the components.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,8 +47,13 @@ SHINGLE, PERCENT = 4, 85
 OVERLAP = 2
 #: Bands of min-hashes, and min-hashes in each.
 BANDS, BAND_ROWS = 8, 3
-#: A token counts as frequent in more than FREQUENT nodes; the table of frequent tokens has MOST entries (8 MB) at most.
-FREQUENT, MOST = 16, 1 << 20
+#: A token counts as frequent from FREQUENT nodes of one in SAMPLE on; the table of frequent tokens has MOST entries
+#: (8 MB) at most.  It steers the order and with it the cost, never the result.
+FREQUENT, SAMPLE, MOST = 3, 8, 1 << 20
+#: The sizes of a band differ by this factor at most.
+BAND = 1.05
+#: A token that so many groups hold gives them a pivot, in ROUNDS rounds.
+MANY, ROUNDS = 8, 2
 #: A join side is broadcast up to so many narrow rows, and shuffled beyond.
 BROADCAST_ROWS = 500_000
 #: A group of equal texts is hot with more than 1 / HOT of all rows; there are fewer than HOT such groups.
@@ -138,18 +151,23 @@ def _document_table(docs: DataFrame, id_col: str, text_col: str, shingle: int, p
         run, f"id {kind}, words long, fp_a long, fp_b long, n long, low array<bigint>, bands array<bigint>"))
 
 
-def _frequent_tokens(nodes: DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _frequent_tokens(tokens: DataFrame) -> np.ndarray:
+    """(token, df), the most frequent ones of a column ``token`` of sampled nodes."""
+    rows = (tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= FREQUENT)
+            .orderBy(F.desc("df"), "token").limit(MOST).toArrow())
+    return np.rec.fromarrays([rows.column("token").to_numpy().view(np.uint64), rows.column("df").to_numpy()], names="token,df")
+
+
+def _order(tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the frequent tokens, sorted, and the place of each in the
     order of the frequent ones (rarest first)."""
-    size = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + _common("n", percent)
-    rows = (nodes.select(F.explode(F.slice("low", F.lit(1), size.cast("int"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-            .filter(F.col("df") > FREQUENT).orderBy(F.desc("df"), "token").limit(MOST).toArrow())
-    token = rows.column("token").to_numpy().view(np.uint64)
-    df = rows.column("df").to_numpy()
+    every = np.concatenate(tables)
+    token, at = np.unique(every["token"], return_inverse=True)
+    df = np.zeros(len(token), np.int64)
+    np.maximum.at(df, at, every["df"])
     rank = np.empty(len(token), np.int64)
     rank[np.lexsort((token, df))] = np.arange(len(token))
-    order = np.argsort(token)
-    return token[order], rank[order]
+    return token, rank
 
 
 def _prefix(tokens: np.ndarray, n: int, percent: int, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray | None:
@@ -170,10 +188,13 @@ def _prefix(tokens: np.ndarray, n: int, percent: int, frequent: np.ndarray, rank
 def _prefix_rows(ids: pa.Array, sizes: list[int], prefixes: list[np.ndarray | None]) -> pa.RecordBatch:
     """A row for each prefix token; none for a set that is still to be read."""
     parts = [p if p is not None else np.zeros(0, np.uint64) for p in prefixes]
-    at = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    counts = np.array([len(p) for p in parts], np.int64)
+    at = np.repeat(np.arange(len(parts)), counts)
     token = pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64))
+    place = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
     return pa.RecordBatch.from_arrays(
-        [ids.take(pa.array(at)), pa.array(np.array(sizes, np.int64)[at]), token], names=["node", "n", "token"])
+        [ids.take(pa.array(at)), pa.array(np.array(sizes, np.int64)[at]), token, pa.array(place)],
+        names=["node", "n", "token", "place"])
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -186,26 +207,46 @@ def _texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Da
 
 def _shared_prefixes(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle: int,
                      percent: int) -> DataFrame:
-    """(token, node, n): prefix tokens that at least two nodes have, written."""
+    """(token, node, n, left, alone): prefix tokens that at least two nodes
+    have, written; ``left`` counts those of the node from this one on, in the
+    global order, ``alone`` its prefix tokens that no other node has."""
+    spark = docs.sparkSession
     kind = nodes.schema["id"].dataType.simpleString()
-    schema = f"node {kind}, n long, token long"
-    shared = docs.sparkSession.sparkContext.broadcast(_frequent_tokens(nodes, percent))  # MOST entries at most
+    schema = f"node {kind}, n long, token long, place long"
 
-    def prefixes(batch):
+    def prefixes(batch, order):
         low = batch.column(2)
         ends = np.cumsum([0, *pc.list_value_length(low).to_pylist()])
         flat = low.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
         sizes = batch.column(1).to_pylist()
-        return sizes, [_prefix(flat[a:b], n, percent, *shared.value)
+        return sizes, [_prefix(flat[a:b], n, percent, *order)
                        for a, b, n in zip(ends[:-1].tolist(), ends[1:].tolist(), sizes, strict=True)]
 
-    def from_low(batches):
+    def unread(nodes, shared):
+        """Ids of the nodes whose lowest hashes do not tell their prefix."""
+        def run(batches):
+            for batch in batches:
+                yield batch.select([0]).filter(pa.array([p is None for p in prefixes(batch, shared.value)[1]], pa.bool_()))
+        return materialize(nodes.mapInArrow(run, f"id {kind}").distinct())
+
+    def tokens(batches):
         for batch in batches:
-            yield _prefix_rows(batch.column(0), *prefixes(batch))
+            for _, data, bounds in textops.chunks(batch.column(1)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(_sets(data, bounds, shingle)[0]).view(np.int64))], names=["token"])
+
+    low = nodes.select("id", "n", "low")
+    sampled = low.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)
+    tables = [_frequent_tokens(sampled.select(F.explode("low").alias("token")))]
+    first = spark.sparkContext.broadcast(_order(tables))  # MOST entries at most
+    # nodes full of frequent tokens reach beyond their lowest hashes: what is frequent among their other tokens
+    full = unread(sampled, first)
+    tables.append(_frequent_tokens(_texts_of(docs, full, id_col, text_col).mapInArrow(tokens, "token long")))
+    shared = spark.sparkContext.broadcast(_order(tables))  # 2 * MOST entries at most
 
-    def unread(batches):
+    def from_low(batches):
         for batch in batches:
-            yield batch.select([0]).filter(pa.array([p is None for p in prefixes(batch)[1]], pa.bool_()))
+            yield _prefix_rows(batch.column(0), *prefixes(batch, shared.value))
 
     def from_text(batches):
         for batch in batches:
@@ -214,12 +255,15 @@ def _shared_prefixes(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: s
                 yield _prefix_rows(batch.column(0).slice(lo, len(sets)), [len(s) for s in sets],
                                    [_prefix(s, len(s), percent, *shared.value) for s in sets])
 
-    low = nodes.select("id", "n", "low")
-    again = materialize(low.mapInArrow(unread, f"id {kind}").distinct())
+    again = unread(low, shared)
     every = (low.mapInArrow(from_low, schema)
              .unionByName(_texts_of(docs, again, id_col, text_col).mapInArrow(from_text, schema)))
     holders = every.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token")))
-    return materialize(holders.filter("df > 1").drop("df"))
+    own = Window.partitionBy("node", "n")  # a part of one text
+    size = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + _common("n", percent)
+    return materialize(holders.filter("df > 1")
+                       .withColumn("left", F.row_number().over(own.orderBy(F.desc("place"))))
+                       .withColumn("alone", size - F.count(F.lit(1)).over(own)).drop("df", "place"))
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
@@ -281,24 +325,46 @@ def _grouped(shared: DataFrame, links: DataFrame) -> DataFrame:
     """``shared`` with the group of each node."""
     groups = connected_components(links)
     return materialize(shared.join(groups, "node", "left")
-                       .select("token", "node", "n", F.coalesce("component", "node").alias("grp")))
+                       .select("token", "node", "n", "left", "alone", F.coalesce("component", "node").alias("grp")))
+
+
+def _band(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(BAND)).cast("int")
+
+
+def _central_pairs(grouped: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each node at most one comparison, with the node of fewest own
+    tokens among those of about its size that hold one of its widely held tokens."""
+    kind = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
+    held = grouped.withColumn("kind", kind)
+    pivots = (held.groupBy("token", "kind")
+              .agg(F.min(F.struct("alone", "node", "n", "grp")).alias("p"), F.approx_count_distinct("grp").alias("groups"))
+              .filter(F.col("groups") >= MANY).select("token", "kind", "p"))
+    return (held.join(pivots, ["token", "kind"]).filter(F.col("grp") != F.col("p.grp"))
+            .filter(_fits("n", "p.n", "p.n", percent)).filter(F.col("left") >= _common_of_pair("n", F.col("p.n"), percent))
+            .groupBy(F.col("node").alias("a")).agg(F.min("p").alias("p")).select("a", F.col("p.node").alias("b")))
 
 
 def _opened_pairs(grouped: DataFrame, percent: int) -> DataFrame:
     """(a, b): a node and the members it is compared with of each group that
-    its bound opens.  A pair of groups is looked at from the larger one only."""
-    matrix = (grouped.groupBy("token", "grp").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
-              .withColumnRenamed("grp", "other"))
-    # the sizes within the group's that can link: the bound is lowest at one of their ends, but for rounding
-    lowest = F.greatest("least_n", F.floor((F.col("n") * percent + 99) / 100))
-    highest = F.least("most_n", F.floor(F.col("n") * 100 / percent))
-    bounds = (grouped.join(matrix, "token").filter("other < grp").filter(_fits("n", "least_n", "most_n", percent))
-              .groupBy("node", "n", "other")
-              .agg(F.count(F.lit(1)).alias("common"), F.min("least_n").alias("least_n"), F.max("most_n").alias("most_n"))
-              .filter(F.col("common") >= _common("n", percent))
-              .filter(F.col("common") + 1 >= F.least(_common_of_pair("n", lowest, percent),
-                                                     _common_of_pair("n", highest, percent))))
-    opened = materialize(bounds.select("node", "other"))
+    its bound opens.  Of two sizes the larger asks for the smaller; within a
+    band, the group with the larger id."""
+    smallest = F.floor((F.col("n") * percent + 99) / 100)  # that a set of n tokens links to
+    matrix = (grouped.withColumn("band", _band(F.col("n"))).groupBy("token", "band", F.col("grp").alias("other"))
+              .agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("left").alias("most_left")))
+    own = _band(F.col("n"))
+    asked = (grouped.withColumn("band", F.explode(F.sequence(_band(smallest), own)))
+             .withColumn("from_n", F.greatest(smallest, F.floor(F.pow(F.lit(BAND), F.col("band")) - 1e-6).cast("long")))
+             # a token can be the first common one only with enough of the node's left from it on; the larger
+             # the other set, the more are needed, up to the node's own size
+             .filter(F.col("left") >= _common_of_pair("n", F.col("from_n"), percent))
+             .select("token", "band", "node", "n", "left", "grp", (F.col("band") == own).alias("same")))
+    least = F.greatest(F.col("least_n"), smallest)  # of the members that can link
+    enough = F.least("left", "most_left") >= F.least(_common_of_pair("n", least, percent), _common_of_pair("n", F.col("most_n"), percent))
+    opened = materialize(asked.join(matrix, ["token", "band"])
+                         .filter((F.col("grp") > F.col("other")) | (~F.col("same") & (F.col("grp") != F.col("other"))))
+                         .filter(_fits("n", "least_n", "most_n", percent)).filter(enough)
+                         .select("node", "other").distinct())
     members = grouped.select("token", F.col("grp").alias("other"), F.col("node").alias("b"), F.col("n").alias("b_n"))
     asking = grouped.select("token", F.col("node").alias("a"), "n").join(
         opened.withColumnRenamed("node", "a"), "a")
@@ -333,7 +399,14 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                                                            "left_anti"))
     shared = _shared_prefixes(docs, nodes, id_col, text_col, shingle, percent)
     links = _verify(docs, _pivot_pairs(nodes, percent), id_col, text_col, shingle, percent)
-    more = _verify(docs, _opened_pairs(_grouped(shared, links), percent), id_col, text_col, shingle, percent)
+    grouped = _grouped(shared, links)
+    for _ in range(ROUNDS):
+        new = _verify(docs, _central_pairs(grouped, percent), id_col, text_col, shingle, percent)
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
+        grouped = _grouped(shared, links)
+    more = _verify(docs, _opened_pairs(grouped, percent), id_col, text_col, shingle, percent)
     components = connected_components(links.unionByName(more))
 
     # one row per distinct text; the hot ones, fewer than HOT, are broadcast
