@@ -355,9 +355,11 @@ def _opened_pairs(grouped: DataFrame, percent: int) -> DataFrame:
     own = _band(F.col("n"))
     asked = (grouped.withColumn("band", F.explode(F.sequence(_band(smallest), own)))
              .withColumn("from_n", F.greatest(smallest, F.floor(F.pow(F.lit(BAND), F.col("band")) - 1e-6).cast("long")))
-             # a token can be the first common one only with enough of the node's left from it on; the larger
-             # the other set, the more are needed, up to the node's own size
-             .filter(F.col("left") >= _common_of_pair("n", F.col("from_n"), percent))
+             # a token can be the first common one only with enough of the node's left from it on; the nearer the
+             # other set's size to the node's own, the more are needed, so an end of the band needs the fewest
+             .withColumn("to_n", F.when(F.col("band") < own, F.col("n")).otherwise(F.ceil(F.pow(F.lit(BAND), F.col("band") + 1))))
+             .filter(F.col("left") >= F.least(_common_of_pair("n", F.col("from_n"), percent),
+                                              _common_of_pair("n", F.col("to_n"), percent)))
              .select("token", "band", "node", "n", "left", "grp", (F.col("band") == own).alias("same")))
     least = F.greatest(F.col("least_n"), smallest)  # of the members that can link
     enough = F.least("left", "most_left") >= F.least(_common_of_pair("n", least, percent), _common_of_pair("n", F.col("most_n"), percent))
@@ -365,12 +367,17 @@ def _opened_pairs(grouped: DataFrame, percent: int) -> DataFrame:
                          .filter((F.col("grp") > F.col("other")) | (~F.col("same") & (F.col("grp") != F.col("other"))))
                          .filter(_fits("n", "least_n", "most_n", percent)).filter(enough)
                          .select("node", "other").distinct())
-    members = grouped.select("token", F.col("grp").alias("other"), F.col("node").alias("b"), F.col("n").alias("b_n"))
-    asking = grouped.select("token", F.col("node").alias("a"), "n").join(
-        opened.withColumnRenamed("node", "a"), "a")
-    return (asking.join(members, ["token", "other"]).filter(_fits("n", "b_n", "b_n", percent))
-            .groupBy("a", "b", "n", "b_n").agg(F.count(F.lit(1)).alias("common"))
-            .filter(F.col("common") >= _common_of_pair("n", F.col("b_n"), percent)).select("a", "b"))
+    # members that can reach the overlap with a common token as the first one; then all common tokens of these pairs
+    members = grouped.select("token", F.col("grp").alias("other"), F.col("node").alias("b"), F.col("n").alias("b_n"),
+                             F.col("left").alias("b_left"))
+    asking = grouped.select("token", F.col("node").alias("a"), "n", "left").join(opened.withColumnRenamed("node", "a"), "a")
+    needed = _common_of_pair("n", F.col("b_n"), percent)
+    pairs = materialize(asking.join(members, ["token", "other"]).filter(_fits("n", "b_n", "b_n", percent))
+                        .filter(F.least("left", "b_left") >= needed).select("a", "b", needed.alias("needed")).distinct())
+    held = grouped.groupBy("node", "n").agg(F.collect_list("token").alias("tokens"))  # a prefix
+    side = lambda c: held.select(F.col("node").alias(c), F.col("tokens").alias(f"{c}_tokens"))
+    return (pairs.join(side("a"), "a").join(side("b"), "b")
+            .filter(F.size(F.array_intersect("a_tokens", "b_tokens")) >= F.col("needed")).select("a", "b"))
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
