@@ -113,16 +113,19 @@ def test_value_tertiles_edges_and_fallback(spark):
     assert {r.s for r in T.value_tertiles(one, "v", "s").collect()} == {"Medium"}
 
 
-@pytest.mark.parametrize("values,expect", [
-    ([4, 4], {4: "Low"}),
-    ([1, 7, 7], {1: "Low", 7: "Medium"}),
-    ([1, 2, 3, 4], {1: "Low", 2: "Low", 3: "Medium", 4: "High"}),
-    ([1, 2, 3, 5, 8, 13, 21], {1: "Low", 2: "Low", 3: "Low", 5: "Medium", 8: "Medium", 13: "High", 21: "High"}),
-])
-def test_fair_tertiles(spark, values, expect):
-    df = spark.createDataFrame([(v,) for v in values], "v long")
-    got = {r.v: r.f for r in T.fair_tertiles(df, "v", "f").collect()}
-    assert got == expect
+@pytest.mark.parametrize("d", [1, 2, 3, 4, 5, 6, 7, 8, 10, 13, 16, 22, 31, 40, 61])
+def test_fair_tertiles(spark, d):
+    """One label per distinct value, as pd.qcut of the distinct values gives them (one and two values: the first labels)."""
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(d)
+    for values in (range(1, d + 1), sorted(rng.choice(5 * d, d, replace=False).tolist())):
+        values = list(values)
+        labels = list(pd.qcut(pd.Series(values), q=3, labels=["Low", "Medium", "High"])) if d > 2 else ["Low", "Medium"]
+        expect = dict(zip(values, labels))
+        df = spark.createDataFrame([(v,) for v in values + values[:1]], "v long")
+        for few in (False, True):
+            assert {r.v: r.f for r in T.fair_tertiles(df, "v", "f", few=few).collect()} == expect
 
 
 def test_index_split_and_equal_width(spark):
