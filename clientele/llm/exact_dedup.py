@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clientele.llm.common import SPACES, materialize, plain_text
+from clientele.llm.common import SPACES, free_name, materialize, plain_text
 
 COUNTERS = 1024
 
@@ -99,12 +99,12 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     counters: int = COUNTERS) -> DataFrame:
     """``docs`` without the rows that :func:`exact_duplicates` does not keep,
     all columns as they were.  Rows that repeat an id and a text leave one."""
+    ident, digest, key = (free_name(docs, f"__{x}") for x in ("id", "digest", "key"))
     kept = (exact_duplicates(docs, id_col, text_col, counters).filter("kept")
-            .select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__digest")))
-    keyed = docs.withColumn("__key", F.sha2(F.regexp_replace(plain_text(text_col), SPACES, " "), 256))
-    return (keyed.join(kept, keyed[id_col].eqNullSafe(kept["__id"]) & (keyed["__key"] == kept["__digest"]),
-                       "left_semi")
-            .dropDuplicates([id_col, "__key"]).select(*docs.columns))
+            .select(F.col(id_col).alias(ident), F.col("text_sha256").alias(digest)))
+    keyed = docs.withColumn(key, F.sha2(F.regexp_replace(plain_text(text_col), SPACES, " "), 256))
+    return (keyed.join(kept, keyed[id_col].eqNullSafe(kept[ident]) & (keyed[key] == kept[digest]), "left_semi")
+            .dropDuplicates([id_col, key]).select(*docs.columns))
 
 
 ORACLE = r"""

@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clientele.llm.common import SPACES, WORD, materialize, plain_text
+from clientele.llm.common import SPACES, WORD, free_name, materialize, plain_text
 
 DEPTH, MIN_DOCS, SIMILAR = 4, 8, 0.6
 #: A line of more tokens is a passage: it is no chance that it stands in two documents.
@@ -174,6 +174,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str
     repeated rows count once; null ids count as one.  An empty table stays
     empty; other columns are kept (columns named n_lines or n_dropped are
     replaced)."""
+    ident, of, drop, version = (free_name(docs, f"__{x}") for x in ("id", "of", "drop", "version"))
     lines = materialize(line_table(docs, id_col, text_col).select(
         "id", "version", "line_no", "tokens", "leaf", "general", F.xxhash64("general").alias("line")))
     recurring = materialize(recurring_lines(lines, min_docs, long_docs))
@@ -184,15 +185,16 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str
     place = lines.select("id", "version", "line_no", "leaf", "line")
     dropped = (place.join(F.broadcast(hot), ["leaf", "line"], "left_semi")
                .unionByName(place.join(recurring.join(hot, ["leaf", "line"], "left_anti"), ["leaf", "line"], "left_semi"))
-               .groupBy("id", "version").agg(F.collect_set("line_no").alias("__drop"))
-               .withColumnsRenamed({"id": "__id", "version": "__of"}))
-    keyed = docs.withColumn("__version", F.xxhash64(plain_text(text_col)))
-    joined = keyed.join(dropped, keyed[id_col].eqNullSafe(dropped["__id"]) & (keyed["__version"] == dropped["__of"]),
-                        "left")
+               .groupBy("id", "version").agg(F.collect_set("line_no").alias(drop))
+               .withColumnsRenamed({"id": ident, "version": of}))
+    keyed = docs.withColumn(version, F.xxhash64(plain_text(text_col)))
+    joined = keyed.join(dropped, keyed[id_col].eqNullSafe(dropped[ident]) & (keyed[version] == dropped[of]), "left")
     parts = F.split(F.col(text_col), "\n")
-    kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains("__drop", i)), "\n")
+    # a difference of sets of line numbers: linear in the lines, also where nearly all of them go
+    staying = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), drop)
+    kept = F.array_join(F.transform(staying, lambda i: F.get(parts, i)), "\n")
     return joined.select(
-        *[F.when(F.col("__drop").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else docs[c]
+        *[F.when(F.col(drop).isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else docs[c]
           for c in docs.columns if c not in ("n_lines", "n_dropped")],
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
-        F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop")).cast("long").alias("n_dropped"))
+        F.when(F.col(drop).isNull(), 0).otherwise(F.size(drop)).cast("long").alias("n_dropped"))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clientele.llm.common import WORD, materialize, plain_text
+from clientele.llm.common import WORD, free_name, materialize, plain_text
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -107,12 +107,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataF
     """``docs`` with every row repeated as often as the mix takes its id, all
     columns as they were; a row that the mix does not take goes.  Rows that
     repeat an id are each taken as often as the one taken most."""
-    copies = (mix_sources(docs, id_col=id_col, **options).groupBy(id_col)
-              .agg(F.max("copies").alias("__copies"))
-              .filter("__copies > 0").withColumnRenamed(id_col, "__id"))
-    return (docs.join(copies, docs[id_col].eqNullSafe(copies["__id"]))
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-            .select(*[docs[c] for c in docs.columns]))
+    ident, times, copy = (free_name(docs, f"__{x}") for x in ("id", "copies", "copy"))
+    copies = (mix_sources(docs, id_col=id_col, **options).groupBy(F.col(id_col).alias(ident))
+              .agg(F.max("copies").alias(times)).filter(F.col(times) > 0))
+    return (docs.join(copies, docs[id_col].eqNullSafe(copies[ident]))
+            .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
+            .select(*docs.columns))
 
 
 ORACLE = r"""
