@@ -4,9 +4,16 @@ The n-gram counts of the whole corpus are tables partitioned by the hash of
 the n-gram; the n-grams of the texts are joined to them, and the scores are
 summed per document.  To keep the shuffle small, n-grams travel as blocks:
 a row holds the distinct n-grams of a block of texts that fall into one hash
-partition, as sorted 64-bit hashes (their steps, in 6 bytes where they fit)
-with their counts, and the answer holds the corpus counts in the same order.
-The texts of a block travel compressed.
+partition, as sorted 64-bit hashes (their steps, in as few bytes as the largest
+needs) with their counts, and the answer holds the corpus counts in the same
+order.  The texts of a block travel compressed.
+
+Blocks and partitions both grow with the corpus, so a block never makes a row
+for every partition: it cuts its n-grams by the first ``FAN_BITS`` bits of their
+hashes.  While a partition needs more bits than that, groups of about
+``2 ** FAN_BITS`` blocks are merged within their bits and cut by the next ones,
+and the answers come back the same way.  Every level has at most
+``2 ** FAN_BITS`` rows for each block of texts.
 
     S(w_i | context) = c(context w_i) / c(context)      if c(context w_i) >= min_count
                      = ALPHA * S(w_i | shorter context)  otherwise
@@ -27,16 +34,16 @@ from pyspark.sql import functions as F
 from clientele.llm import textops
 from clientele.llm.common import materialize
 
-ORDER, MIN_COUNT, ALPHA = 2, 2, 0.4
-#: Text bytes of a block; n-grams that a hash partition should hold.
-BLOCK_BYTES, PARTITION_GRAMS = 8 << 20, 2_000_000
+ORDER, MIN_COUNT, ALPHA = 3, 2, 0.4
+#: Text bytes of a block; n-grams that a hash partition should hold; bits of the hash that one exchange deals by.
+BLOCK_BYTES, PARTITION_GRAMS, FAN_BITS = 16 << 20, 2_000_000, 8
 
 
 def _packed(values: np.ndarray, base: int) -> bytes:
-    """Ascending 64-bit values as steps from ``base``, of 6 bytes if all fit."""
+    """Ascending 64-bit values as steps from ``base``, each in as many bytes as the largest needs."""
     steps = np.diff(values, prepend=np.uint64(base)).astype("<u8")
-    raw = steps.view(np.uint8).reshape(-1, 8)
-    return raw[:, :6].tobytes() if not raw[:, 6:].any() else raw.tobytes()
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    return steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def _unpacked(data: bytes, n: int, base: int) -> np.ndarray:
@@ -47,6 +54,20 @@ def _unpacked(data: bytes, n: int, base: int) -> np.ndarray:
     return np.cumsum(raw.view("<u8").ravel(), dtype=np.uint64) + np.uint64(base)
 
 
+def _packed_counts(counts: np.ndarray) -> bytes:
+    """How many, a byte for each count, and 8 bytes more for each of at least 255."""
+    large = counts >= 255
+    return (len(counts).to_bytes(8, "little") + np.where(large, 255, counts).astype(np.uint8).tobytes()
+            + counts[large].astype("<u8").tobytes())
+
+
+def _unpacked_counts(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    counts = np.frombuffer(data, np.uint8, n, 8).astype(np.uint64)
+    counts[counts == 255] = np.frombuffer(data, "<u8", offset=8 + n)
+    return counts
+
+
 def _compressed(texts: pa.Array) -> bytes:
     """Lengths and bytes of the texts."""
     sizes = np.asarray(pc.binary_length(texts)).astype("<i8")
@@ -68,20 +89,35 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
         part, n = TaskContext.get().partitionId(), 0
+        ids, own, size = [], [], 0
+
+        def block():
+            texts = pa.concat_arrays(own)
+            words = sum(len(textops.runs(~textops.SPACE[d], b)[0]) for _, d, b in textops.chunks(texts))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([(part << 32) + n], pa.int64()),
+                 pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), pa.concat_arrays(ids)),
+                 pa.array([_compressed(texts)], pa.binary()), pa.array([words], pa.int64())],
+                names=["block", "ids", "texts", "words"])
+
         for batch in batches:
             texts = batch.column(1).cast(pa.large_string()).fill_null("")
             sizes = np.cumsum(np.asarray(pc.binary_length(texts)))
             lo = 0
             while lo < len(texts):
-                hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + BLOCK_BYTES, "right")))
-                own = texts.slice(lo, hi - lo)
-                words = sum(len(textops.runs(~textops.SPACE[d], b)[0]) for _, d, b in textops.chunks(own))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([(part << 32) + n], pa.int64()),
-                     pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), batch.column(0).slice(lo, hi - lo)),
-                     pa.array([_compressed(own)], pa.binary()), pa.array([words], pa.int64())],
-                    names=["block", "ids", "texts", "words"])
-                lo, n = hi, n + 1
+                before = int(sizes[lo - 1]) if lo else 0
+                hi = int(np.searchsorted(sizes, before + BLOCK_BYTES - size, "right"))
+                hi = max(hi, lo if own else lo + 1)
+                if hi > lo:
+                    ids.append(batch.column(0).slice(lo, hi - lo))
+                    own.append(texts.slice(lo, hi - lo))
+                    size += int(sizes[hi - 1]) - before
+                if hi < len(texts):  # the next text does not fit
+                    yield block()
+                    ids, own, size, n = [], [], 0, n + 1
+                lo = hi
+        if own:
+            yield block()
 
     return materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
         run, f"block long, ids array<{kind}>, texts binary, words long"))
@@ -116,6 +152,67 @@ def _distinct(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return every[at], np.diff(np.append(at, len(every)))
 
 
+#: A node is a block of texts or a group of nodes; prefix: the first bits of the hashes.
+_ASKED = "node long, prefix long, grams binary, counts binary"
+_FOUND = "node long, prefix long, found binary"
+
+
+def _cut(node: int, prefix: int, done: int, more: int, grams: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """A node's n-grams with the first ``done`` bits ``prefix``, a row for each value of the next ``more``."""
+    prefixes = [(prefix << more) + j for j in range(1 << more)]
+    starts = [p << (64 - done - more) for p in prefixes]
+    cut = [*np.searchsorted(grams, np.array(starts, np.uint64)).tolist(), len(grams)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([node] * len(prefixes), pa.int64()), pa.array(prefixes, pa.int64()),
+         pa.array([_packed(grams[a:b], s) for a, b, s in zip(cut[:-1], cut[1:], starts, strict=True)], pa.binary()),
+         pa.array([_packed_counts(counts[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
+        names=["node", "prefix", "grams", "counts"])
+
+
+def _summed(rows: pa.Table, done: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The n-grams of each row of a prefix, and all of them with the sums of their counts."""
+    counts = [_unpacked_counts(c.as_buffer()) for c in rows.column("counts")]
+    asked = [_unpacked(g.as_buffer(), len(c), p << (64 - done)) for g, c, p in zip(
+        rows.column("grams"), counts, rows.column("prefix").to_pylist(), strict=True)]
+    every = np.concatenate([*asked, np.zeros(0, np.uint64)])
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    new = np.ones(len(every), bool)
+    new[1:] = every[1:] != every[:-1]
+    at = np.flatnonzero(new)
+    sums = np.concatenate([*counts, np.zeros(0, np.uint64)])[order]
+    return asked, every[at], np.add.reduceat(sums, at) if len(at) else sums
+
+
+def _answers(rows: pa.Table, asked: list[np.ndarray], grams: np.ndarray, sums: np.ndarray) -> pa.Table:
+    return pa.table({"node": rows.column("node"), "prefix": rows.column("prefix"), "found": pa.array(
+        [_packed_counts(sums[np.searchsorted(grams, a)]) for a in asked], pa.binary())})
+
+
+def _counted(asked: DataFrame, nodes: int, done: int, left: int) -> DataFrame:
+    """(node, prefix, found): the corpus counts of each row's n-grams, in their order.
+
+    ``done``: bits of the prefixes; ``left``: bits by which partitions are finer."""
+    if not left:
+        return asked.groupBy("prefix").applyInArrow(lambda rows: _answers(rows, *_summed(rows, done)), _FOUND)
+    more, groups = min(left, FAN_BITS), -(-nodes // (1 << FAN_BITS))
+    asked = materialize(asked.withColumn("group", F.pmod(F.xxhash64("node"), F.lit(groups))))
+
+    def merge(rows):
+        _, grams, sums = _summed(rows, done)
+        return pa.Table.from_batches([_cut(rows["group"][0].as_py(), rows["prefix"][0].as_py(), done, more, grams, sums)])
+
+    def share(rows, found):
+        rows_of, grams, _ = _summed(rows, done)
+        found = found.sort_by("fine")
+        return _answers(rows, rows_of, grams, np.concatenate([_unpacked_counts(f.as_buffer()) for f in found["found"]]))
+
+    merged = asked.groupBy("group", "prefix").applyInArrow(merge, _ASKED)
+    found = _counted(merged, groups, done + more, left - more).select(
+        F.col("node").alias("group"), F.shiftright("prefix", more).alias("prefix"), F.col("prefix").alias("fine"), "found")
+    return (asked.groupBy("group", "prefix").cogroup(found.groupBy("group", "prefix")).applyInArrow(share, _FOUND))
+
+
 def backoff_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, alpha: float = ALPHA,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col``, n_words, log_score (sum of the
@@ -125,51 +222,21 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COU
     A null or empty text has no words, log_score 0 and mean_log_score null.
     Repeated rows count and are scored as documents of their own.  An empty
     table gives an empty result; other columns are not read."""
-    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     blocks = _blocks(docs, id_col, text_col)
-    total = blocks.agg(F.sum("words")).first()[0] or 0
+    n_blocks, total = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("words"), F.lit(0))).first()
     bits = max(0, int(np.ceil(np.log2(max(1, order * total / PARTITION_GRAMS)))))
-    bounds = (np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.uint64)
+    first = min(bits, FAN_BITS)
 
     def ask(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 grams, _ = _grams(_texts(batch.column(1)[i].as_py()), order)
-                seen, counts = _distinct(grams)
-                cut = np.append(np.searchsorted(seen, bounds), len(seen))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(bounds), dtype=np.int32)),
-                     pa.array(np.full(len(bounds), batch.column(0)[i].as_py(), np.int64)),
-                     pa.array([_packed(seen[a:b], base) for a, b, base in zip(
-                         cut[:-1], cut[1:], bounds.tolist(), strict=True)], pa.binary()),
-                     pa.array([counts[a:b].astype(np.uint32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)],
-                              pa.binary())], names=["part", "block", "grams", "counts"])
-
-    def answer(rows: pa.Table) -> pa.Table:
-        """Corpus counts of a hash partition, joined back to the blocks that asked."""
-        counts = [np.frombuffer(c.as_buffer(), np.uint32) for c in rows.column("counts")]
-        asked = [_unpacked(g.as_py(), len(c), bounds.tolist()[p]) for g, c, p in zip(
-            rows.column("grams"), counts, rows.column("part").to_pylist(), strict=True)]
-        every = np.concatenate([*asked, np.zeros(0, np.uint64)])
-        order_ = np.argsort(every, kind="stable")
-        ordered = every[order_]
-        new = np.ones(len(every), bool)
-        new[1:] = ordered[1:] != ordered[:-1]
-        at = np.flatnonzero(new)
-        sums = np.add.reduceat(np.concatenate([*counts, np.zeros(0, np.uint32)])[order_].astype(np.uint64), at) \
-            if len(at) else np.zeros(0, np.uint64)
-        table = np.empty(len(every), np.uint64)
-        table[order_] = np.repeat(sums, np.diff(np.append(at, len(every))))
-        ends = np.cumsum([0, *map(len, asked)])
-        return pa.table({"block": rows.column("block"), "part": rows.column("part"),
-                         "found": pa.array([table[a:b].astype(np.uint32).tobytes() if table[a:b].max(initial=0) < 1 << 32
-                                            else table[a:b].tobytes()
-                                            for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
-
-    asked = blocks.select("block", "texts").mapInArrow(ask, "part int, block long, grams binary, counts binary")
-    answers = asked.groupBy("part").applyInArrow(answer, "block long, part int, found binary")
-    per_block = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "found"))).alias("found"))
+                yield _cut(batch.column(0)[i].as_py(), 0, 0, first, *_distinct(grams))
+
+    asked = blocks.select("block", "texts").mapInArrow(ask, _ASKED)
+    answers = _counted(asked, n_blocks, first, bits - first).withColumnRenamed("node", "block")
+    per_block = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("prefix", "found"))).alias("found"))
 
     def score(batches):
         for batch in batches:
@@ -178,10 +245,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COU
                 grams, lengths = _grams(texts, order)
                 seen, _ = _distinct(grams)
                 parts = batch.column(2)[i].values.field("found")
-                cut = np.append(np.searchsorted(seen, bounds), len(seen))
-                found = np.concatenate([np.zeros(0, np.uint64), *(
-                    np.frombuffer(p.as_buffer(), np.uint32 if len(p.as_buffer()) == 4 * (b - a) else np.uint64)
-                    .astype(np.uint64) for p, a, b in zip(parts, cut[:-1], cut[1:], strict=True) if b > a)])
+                found = np.concatenate([_unpacked_counts(p.as_buffer()) for p in parts])
                 logs = _log_scores(grams, seen, found, total, min_count, alpha)
                 sums = np.add.reduceat(np.append(logs, 0.0), np.cumsum(lengths) - lengths) if len(lengths) else logs
                 sums = np.where(lengths > 0, sums, 0.0)

@@ -330,10 +330,12 @@ def test_nearest_neighbours_edges(spark):
         (0, 1, 5, 1.0), (0, 2, 6, 1.0), (0, 3, 20, 0.0), (20, 1, 0, 0.0), (20, 2, 5, 0.0), (20, 3, 6, 0.0)]
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_backoff_brute_force(spark, monkeypatch, order):
+@pytest.mark.parametrize("order, fan", [(1, 8), (2, 8), (3, 8), (3, 2)])
+def test_backoff_brute_force(spark, monkeypatch, order, fan):
+    """With 2 bits an exchange, the n-grams pass several levels of merged blocks."""
     monkeypatch.setattr(backoff_lm, "BLOCK_BYTES", 20_000)
-    monkeypatch.setattr(backoff_lm, "PARTITION_GRAMS", 10_000)
+    monkeypatch.setattr(backoff_lm, "PARTITION_GRAMS", 10_000 if fan == 8 else 3000)
+    monkeypatch.setattr(backoff_lm, "FAN_BITS", fan)
     df = table(spark).limit(60).unionByName(table(spark).limit(1).select(
         F.lit(-1).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "lang", "source", "n_chars"))
     source = [(i, re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) for i, t in texts(df)]
@@ -356,6 +358,36 @@ def test_backoff_brute_force(spark, monkeypatch, order):
     assert got[-1]["mean_log_score"] is None
 
 
+def test_backoff_rows_grow_linearly(spark, monkeypatch):
+    """Every exchange has at most 2 ** FAN_BITS rows for a block, whatever the number of partitions."""
+    monkeypatch.setattr(backoff_lm, "FAN_BITS", 1)
+    rng = np.random.default_rng(5)
+    sent, cut = [], backoff_lm._counted
+
+    def counted(asked, nodes, done, left):
+        sent.append((nodes, asked.count()))
+        return cut(asked, nodes, done, left)
+
+    monkeypatch.setattr(backoff_lm, "_counted", counted)
+    for blocks in (8, 32):
+        sent.clear()
+        rows = [(backoff_lm._cut(b, 0, 0, 1, *backoff_lm._distinct([rng.integers(1, 1 << 63, 200, np.uint64) * np.uint64(2)])))
+                for b in range(blocks)]
+        asked = spark.createDataFrame([r for batch in rows for r in map(tuple, (d.values() for d in batch.to_pylist()))],
+                                      backoff_lm._ASKED)
+        got = backoff_lm._counted(asked, blocks, 1, 3)
+        assert got.count() == 2 * blocks
+        assert len(sent) == 4 and all(n <= 2 * blocks for _, n in sent)
+        found = [backoff_lm._unpacked_counts(bytes(r["found"])) for r in got.collect()]
+        assert sum(map(len, found)) == 200 * blocks and all((f >= 1).all() for f in found)
+
+
+@pytest.mark.parametrize("values", [[], [0], [254, 255, 256, 1, 1 << 40], [7] * 300])
+def test_counts_in_bytes(values):
+    values = np.array(values, np.uint64)
+    assert (backoff_lm._unpacked_counts(backoff_lm._packed_counts(values)) == values).all()
+
+
 def test_line_templates(spark):
     rows = [(i, f"Error {i} at host-{i}: disk full now\nunique words alpha{'abcdefghij'[i]} only here {'klmnopqrst'[i]}\n\nend")
             for i in range(10)]
