@@ -5,8 +5,8 @@ the n-gram; the n-grams of the texts are joined to them, and the scores are
 summed per document.  To keep the shuffle small, n-grams travel as blocks:
 a row holds the distinct n-grams of a block of texts that fall into one hash
 partition, as sorted 64-bit hashes (their steps, in as few bytes as the largest
-needs) with their counts, and the answer holds the corpus counts in the same
-order.  The texts of a block travel compressed.
+needs) with their counts, and the answer holds the counts of the other
+blocks in the same order.  The texts of a block travel compressed.
 
 Blocks and partitions both grow with the corpus, so a block never makes a row
 for every partition: it cuts its n-grams by the first ``FAN_BITS`` bits of their
@@ -37,31 +37,45 @@ from clientele.llm.common import materialize
 ORDER, MIN_COUNT, ALPHA = 3, 2, 0.4
 #: Text bytes of a block; n-grams that a hash partition should hold; bits of the hash that one exchange deals by.
 BLOCK_BYTES, PARTITION_GRAMS, FAN_BITS = 16 << 20, 2_000_000, 8
+#: Zstandard level of the texts, which are written once and shuffled once.
+TEXT_LEVEL = 6
+
+
+def _zstd(data: bytes, level: int = 3) -> bytes:
+    """The length and the compressed bytes."""
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=level).compress(data, asbytes=True)
+
+
+def _plain(data: pa.Buffer) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
 
 
 def _packed(values: np.ndarray, base: int) -> bytes:
-    """Ascending 64-bit values as steps from ``base``, each in as many bytes as the largest needs."""
+    """Ascending 64-bit values as steps from ``base``, each in as many bytes as the
+    largest needs; the last bytes of the steps, which are mostly small, compressed."""
     steps = np.diff(values, prepend=np.uint64(base)).astype("<u8")
     width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
-    return steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    raw = steps.view(np.uint8).reshape(-1, 8)
+    return bytes([width]) + raw[:, :width - 1].tobytes() + _zstd(raw[:, width - 1].tobytes())
 
 
-def _unpacked(data: bytes, n: int, base: int) -> np.ndarray:
-    raw = np.zeros((n, 8), np.uint8)
-    if n:
-        width = len(data) // n
-        raw[:, :width] = np.frombuffer(data, np.uint8).reshape(n, width)
+def _unpacked(data: pa.Buffer, n: int, base: int) -> np.ndarray:
+    raw, width = np.zeros((n, 8), np.uint8), data[0]
+    end = 1 + n * (width - 1)
+    raw[:, :width - 1] = np.frombuffer(data[1:end], np.uint8).reshape(n, width - 1)
+    raw[:, width - 1] = np.frombuffer(_plain(data[end:]), np.uint8)
     return np.cumsum(raw.view("<u8").ravel(), dtype=np.uint64) + np.uint64(base)
 
 
 def _packed_counts(counts: np.ndarray) -> bytes:
-    """How many, a byte for each count, and 8 bytes more for each of at least 255."""
+    """How many, a byte for each count, and 8 bytes more for each of at least 255; compressed."""
     large = counts >= 255
-    return (len(counts).to_bytes(8, "little") + np.where(large, 255, counts).astype(np.uint8).tobytes()
-            + counts[large].astype("<u8").tobytes())
+    return _zstd(len(counts).to_bytes(8, "little") + np.where(large, 255, counts).astype(np.uint8).tobytes()
+                 + counts[large].astype("<u8").tobytes())
 
 
-def _unpacked_counts(data: bytes) -> np.ndarray:
+def _unpacked_counts(data: pa.Buffer) -> np.ndarray:
+    data = _plain(data)
     n = int.from_bytes(data[:8], "little")
     counts = np.frombuffer(data, np.uint8, n, 8).astype(np.uint64)
     counts[counts == 255] = np.frombuffer(data, "<u8", offset=8 + n)
@@ -71,13 +85,11 @@ def _unpacked_counts(data: bytes) -> np.ndarray:
 def _compressed(texts: pa.Array) -> bytes:
     """Lengths and bytes of the texts."""
     sizes = np.asarray(pc.binary_length(texts)).astype("<i8")
-    body = sizes.tobytes() + "".join(texts.to_pylist()).encode()
-    return len(body).to_bytes(8, "little") + len(sizes).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True)
+    return len(sizes).to_bytes(8, "little") + _zstd(sizes.tobytes() + "".join(texts.to_pylist()).encode(), TEXT_LEVEL)
 
 
-def _texts(data: bytes) -> pa.Array:
-    size, n = (int.from_bytes(data[i:i + 8], "little") for i in (0, 8))
-    body = pa.decompress(data[16:], size, "zstd", asbytes=True)
+def _texts(data: pa.Buffer) -> pa.Array:
+    n, body = int.from_bytes(data[:8], "little"), _plain(data[8:])
     ends = np.concatenate([[0], np.cumsum(np.frombuffer(body[:8 * n], "<i8"))]).astype(np.int64)
     return pa.LargeStringArray.from_buffers(n, pa.py_buffer(ends), pa.py_buffer(body[8 * n:]))
 
@@ -185,12 +197,14 @@ def _summed(rows: pa.Table, done: int) -> tuple[list[np.ndarray], np.ndarray, np
 
 
 def _answers(rows: pa.Table, asked: list[np.ndarray], grams: np.ndarray, sums: np.ndarray) -> pa.Table:
+    """The counts beyond a row's own, which are 0 for most of its n-grams."""
     return pa.table({"node": rows.column("node"), "prefix": rows.column("prefix"), "found": pa.array(
-        [_packed_counts(sums[np.searchsorted(grams, a)]) for a in asked], pa.binary())})
+        [_packed_counts(sums[np.searchsorted(grams, a)] - _unpacked_counts(own.as_buffer()))
+         for a, own in zip(asked, rows.column("counts"), strict=True)], pa.binary())})
 
 
 def _counted(asked: DataFrame, nodes: int, done: int, left: int) -> DataFrame:
-    """(node, prefix, found): the corpus counts of each row's n-grams, in their order.
+    """(node, prefix, found): the corpus counts of each row's n-grams without its own, in their order.
 
     ``done``: bits of the prefixes; ``left``: bits by which partitions are finer."""
     if not left:
@@ -203,9 +217,10 @@ def _counted(asked: DataFrame, nodes: int, done: int, left: int) -> DataFrame:
         return pa.Table.from_batches([_cut(rows["group"][0].as_py(), rows["prefix"][0].as_py(), done, more, grams, sums)])
 
     def share(rows, found):
-        rows_of, grams, _ = _summed(rows, done)
+        rows_of, grams, sums = _summed(rows, done)
         found = found.sort_by("fine")
-        return _answers(rows, rows_of, grams, np.concatenate([_unpacked_counts(f.as_buffer()) for f in found["found"]]))
+        others = np.concatenate([_unpacked_counts(f.as_buffer()) for f in found["found"]])
+        return _answers(rows, rows_of, grams, sums + others)
 
     merged = asked.groupBy("group", "prefix").applyInArrow(merge, _ASKED)
     found = _counted(merged, groups, done + more, left - more).select(
@@ -231,7 +246,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COU
     def ask(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                grams, _ = _grams(_texts(batch.column(1)[i].as_py()), order)
+                grams, _ = _grams(_texts(batch.column(1)[i].as_buffer()), order)
                 yield _cut(batch.column(0)[i].as_py(), 0, 0, first, *_distinct(grams))
 
     asked = blocks.select("block", "texts").mapInArrow(ask, _ASKED)
@@ -241,11 +256,11 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COU
     def score(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, texts = batch.column(0)[i].values, _texts(batch.column(1)[i].as_py())
+                ids, texts = batch.column(0)[i].values, _texts(batch.column(1)[i].as_buffer())
                 grams, lengths = _grams(texts, order)
-                seen, _ = _distinct(grams)
+                seen, own = _distinct(grams)
                 parts = batch.column(2)[i].values.field("found")
-                found = np.concatenate([_unpacked_counts(p.as_buffer()) for p in parts])
+                found = own.astype(np.uint64) + np.concatenate([_unpacked_counts(p.as_buffer()) for p in parts])
                 logs = _log_scores(grams, seen, found, total, min_count, alpha)
                 sums = np.add.reduceat(np.append(logs, 0.0), np.cumsum(lengths) - lengths) if len(lengths) else logs
                 sums = np.where(lengths > 0, sums, 0.0)
