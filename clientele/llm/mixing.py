@@ -103,15 +103,38 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
                     (F.col("size") * F.col("copies")).cast("long").alias("taken")))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with every row repeated as often as the mix takes its id, all
-    columns as they were; a row that the mix does not take goes.  Rows that
-    repeat an id are each taken as often as the one taken most."""
-    ident, times, copy = (free_name(docs, f"__{x}") for x in ("id", "copies", "copy"))
-    copies = (mix_sources(docs, id_col=id_col, **options).groupBy(F.col(id_col).alias(ident))
-              .agg(F.max("copies").alias(times)).filter(F.col(times) > 0))
-    return (docs.join(copies, docs[id_col].eqNullSafe(copies[ident]))
-            .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+                    **options) -> DataFrame:
+    """``docs`` with every row repeated as often as the mix takes it, all
+    columns as they were; a row that the mix does not take goes.
+
+    Rows of one id, source and size are taken equally often, but where a
+    source's fraction ends among them: there as many as the mix says are taken
+    once more, those first by a hash of the row.  So the words of a source are
+    those that :func:`mix_sources` takes."""
+    ident, of, size, own, times, copy, low, high, extra, place = (free_name(docs, f"__{x}") for x in (
+        "id", "source", "size", "own", "times", "copy", "low", "high", "extra", "place"))
+    shares = materialize(
+        mix_sources(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options)
+        .groupBy(F.col(id_col).alias(ident), F.col("source").alias(of), F.col("size").alias(size))
+        .agg(F.min("copies").alias(low), F.max("copies").alias(high),
+             F.sum(F.col("copies")).alias(extra), F.count(F.lit(1)).alias(times))
+        .withColumn(extra, F.col(extra) - F.col(low) * F.col(times)).drop(times).filter(F.col(high) > 0))
+    sized = docs.withColumn(own, F.regexp_count(plain_text(text_col), F.lit(WORD)).cast("long"))
+
+    def of_rows(part: DataFrame) -> DataFrame:
+        return sized.join(part, sized[id_col].eqNullSafe(part[ident]) & sized[source_col].eqNullSafe(part[of])
+                          & (sized[own] == part[size]))
+
+    even, uneven = shares.filter(F.col(high) == F.col(low)), shares.filter(F.col(high) > F.col(low))
+    taken = of_rows(even).select(*docs.columns, F.col(low).alias(times))
+    if not uneven.isEmpty():  # at most one id and size of each source
+        order = Window.partitionBy(ident, of, size).orderBy(place)
+        taken = taken.unionByName(
+            of_rows(uneven).withColumn(place, F.xxhash64(F.to_json(F.struct(*docs.columns))))
+            .withColumn(times, F.col(low) + (F.row_number().over(order) <= F.col(extra)).cast("int"))
+            .filter(F.col(times) > 0).select(*docs.columns, times))
+    return (taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
             .select(*docs.columns))
 
 

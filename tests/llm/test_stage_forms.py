@@ -30,3 +30,22 @@ def test_a_text_of_many_dropped_lines(spark):
     got = line_templates.drop_recurring_lines(docs, min_docs=8).collect()
     assert Counter((r.n_dropped, r.n_lines) for r in got) == {(40_000, 40_001): 8}
     assert all(r.text == own[r.doc_id] for r in got)
+
+
+def test_repeated_ids_meet_the_target(spark):
+    """Rows of one id and size are not all taken as often as the one taken most; null ids and sources too."""
+    rows = [(1, " ".join(["w"] * 10) + f" {k}", "b") for k in range(200)]
+    rows += [(None, f"null id {k}", None) for k in range(30)] + [(2, "a b c", "b")] * 3 + [(3, "", "a"), (3, None, "a")]
+    rows += [(10 + k, f"x{k} " * (k % 7 + 1), "ac"[k % 2]) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    want, got = Counter(), Counter()
+    for r in mixing.mix_sources(docs).collect():
+        want[(r.doc_id, r.source, r.size)] += r.copies
+    out = mixing.mixed_documents(docs).collect()
+    for r in out:
+        got[(r.doc_id, r.source, len((r.text or "").split()))] += 1
+    assert got == +want
+    times = Counter(r.text for r in out)
+    often = {times[r[1]] for r in rows[:200]}
+    assert len(often) == 2 and max(often) - min(often) == 1  # the fraction of "b" ends among these rows
+    assert sorted(map(str, out)) == sorted(map(str, mixing.mixed_documents(docs.repartition(2)).collect()))
