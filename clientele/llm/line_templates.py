@@ -33,6 +33,8 @@ LONG_TOKENS, LONG_DOCS = 20, 2
 ANY = "<*>"
 #: Leaves of at most so many lines compare each line with each template.
 FEW = 64
+#: Broadcast hash buckets that tell which rows can't be in a join; at most so many numbers are ever sent.
+BUCKETS = 2 ** 20
 #: A template is hot with more than 1 / HOT of all lines; there are fewer than HOT such.
 HOT = 1024
 
@@ -43,13 +45,20 @@ def generalised(line: Column) -> Column:
         line, r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]*[0-9])[^\x20\x09-\x0D]+", ANY)).otherwise(line)
 
 
+def token_count(line: Column) -> Column:
+    """Number of tokens; where single spaces part them, as nearly everywhere, by counting those."""
+    odd = line.rlike(r"[\x09-\x0D]") | line.contains("  ") | line.startswith(" ") | line.endswith(" ")
+    single = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    return F.when(odd, F.regexp_count(line, F.lit(WORD))).otherwise(single)
+
+
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, version, line_no, tokens, general, leaf) of the lines that hold a token."""
-    text = plain_text(text_col)
-    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("version"),
-                        F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    # the text is hashed before the lines are parted: beside them it would be hashed once a line
+    texts = docs.select(F.col(id_col).alias("id"), plain_text(text_col).alias("text")).withColumn("version", F.xxhash64("text"))
+    lines = texts.select("id", "version", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lead = F.regexp_extract("general", rf"^{SPACES[:-1]}*({WORD}(?:{SPACES}{WORD}){{0,{DEPTH - 1}}})", 1)
-    return (lines.withColumn("tokens", F.regexp_count("line", F.lit(WORD))).filter("tokens > 0")
+    return (lines.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("tokens", token_count(F.col("line")))
             .withColumn("general", generalised(F.col("line")))
             .withColumn("leaf", F.xxhash64("tokens", lead)))
 
@@ -59,8 +68,26 @@ def needed_docs(min_docs: int, long_docs: int) -> Column:
     return F.when(F.col("tokens") > LONG_TOKENS, min(min_docs, long_docs)).otherwise(min_docs)
 
 
+def reached(rows: DataFrame, keys: DataFrame, columns: list[str]) -> tuple[DataFrame, Column]:
+    """``rows`` with one more column, the bucket of ``columns`` or null, and the
+    condition that a row of ``keys`` falls into its bucket.
+
+    Rows beyond have no partner in ``keys`` and need no shuffle.  The buckets
+    that ``keys`` reaches are broadcast: at most ``BUCKETS`` integers."""
+    name = free_name(rows, "__bucket")
+    bucket = F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)).cast("int")
+    hit = keys.select(bucket.alias(name)).distinct()
+    return rows.join(F.broadcast(hit), bucket == F.col(name), "left"), F.col(name).isNotNull()
+
+
+def narrowed(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows that may have a partner in ``keys``: a superset of the semi-join, without a shuffle of ``rows``."""
+    marked, hit = reached(rows, keys, columns)
+    return marked.filter(hit).select(*rows.columns)
+
+
 def recurring_lines(lines: DataFrame, min_docs: int = MIN_DOCS, long_docs: int = LONG_DOCS) -> DataFrame:
-    """(leaf, line): hashes of the generalised lines whose template recurs.
+    """(leaf, line, n): hashes of the generalised lines whose template recurs, and the number of lines.
 
     ``lines``: id, leaf, line (hash of the generalised line), general, tokens."""
     holders = lines.groupBy("leaf", "line", "id").agg(F.count(F.lit(1)).alias("n"), F.first("tokens").alias("tokens"))
@@ -72,7 +99,8 @@ def recurring_lines(lines: DataFrame, min_docs: int = MIN_DOCS, long_docs: int =
                                          F.min("docs").alias("least"), F.first("needed").alias("needed"))
               .filter("kinds > 1 and reach >= needed and least < needed").select("leaf"))
     open_counts = materialize(counts.join(shared, "leaf"))
-    bodies = (lines.select("leaf", "line", "general").join(open_counts.select("leaf", "line"), ["leaf", "line"], "left_semi")
+    bodies = (narrowed(lines.select("leaf", "line", "general"), open_counts, ["leaf", "line"])
+              .join(open_counts.select("leaf", "line"), ["leaf", "line"], "left_semi")
               .groupBy("leaf", "line").agg(F.min("general").alias("general"))
               .select("leaf", "line", F.regexp_extract_all("general", F.lit(WORD), F.lit(0)).alias("body")))
     bodies = materialize(bodies.join(open_counts, ["leaf", "line"]))
@@ -81,15 +109,15 @@ def recurring_lines(lines: DataFrame, min_docs: int = MIN_DOCS, long_docs: int =
     sums = drawn.groupBy("leaf", "template").agg(F.max(F.col("docs") >= F.col("needed")).alias("sure"),
                                                  F.sum("docs").alias("reach"), F.first("needed").alias("needed"))
     open_templates = sums.filter("not sure and reach >= needed").select("leaf", "template")
-    together = (lines.select("leaf", "line", "id")
-                .join(drawn.join(open_templates, ["leaf", "template"]).select("leaf", "line", "template", "needed"),
-                      ["leaf", "line"])
+    open_lines = materialize(drawn.join(open_templates, ["leaf", "template"]).select("leaf", "line", "template", "needed"))
+    together = (narrowed(lines.select("leaf", "line", "id"), open_lines, ["leaf", "line"])
+                .join(open_lines, ["leaf", "line"])
                 .groupBy("leaf", "template", "id").agg(F.first("needed").alias("needed"))
                 .groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"), F.first("needed").alias("needed"))
                 .filter("docs >= needed"))
     found = sums.filter("sure").select("leaf", "template").unionByName(together.select("leaf", "template"))
-    alone = counts.filter("docs >= needed").select("leaf", "line")
-    return alone.unionByName(drawn.join(found, ["leaf", "template"], "left_semi").select("leaf", "line")).distinct()
+    alone = counts.filter("docs >= needed").select("leaf", "line", "n")
+    return alone.unionByName(drawn.join(found, ["leaf", "template"], "left_semi").select("leaf", "line", "n")).distinct()
 
 
 def leaf_templates(bodies: DataFrame) -> DataFrame:
@@ -137,7 +165,7 @@ def agreeing(kept: str) -> Column:
 
 
 def drawn_lines(bodies: DataFrame, templates: DataFrame) -> DataFrame:
-    """(leaf, line, template, docs, needed): the lines that agree with each
+    """(leaf, line, template, n, docs, needed): the lines that agree with each
     template of their leaf in at least ``SIMILAR`` of the positions.
 
     Leaves of at most ``FEW`` lines compare all.  In larger ones, a line that
@@ -160,7 +188,7 @@ def drawn_lines(bodies: DataFrame, templates: DataFrame) -> DataFrame:
     compared = (bodies.join(few, "leaf", "left_semi").join(templates, "leaf")
                 .unionByName(pairs.join(templates, ["leaf", "template"]).join(bodies, ["leaf", "line"])))
     return (compared.filter(agreeing("kept") >= F.col("tokens") * SIMILAR)
-            .select("leaf", "line", "template", "docs", "needed"))
+            .select("leaf", "line", "template", "n", "docs", "needed"))
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id",
@@ -180,21 +208,26 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str
     recurring = materialize(recurring_lines(lines, min_docs, long_docs))
     n_lines = lines.count()
     # a hot line is broadcast, so its holders don't meet in one task; there are fewer than HOT of them
-    sizes = lines.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * HOT > n_lines)
-    hot = materialize(recurring.join(sizes.select("leaf", "line"), ["leaf", "line"], "left_semi"))
+    is_hot = F.col("n") * HOT > n_lines
+    hot, others = (recurring.filter(x).select("leaf", "line") for x in (is_hot, ~is_hot))
     place = lines.select("id", "version", "line_no", "leaf", "line")
-    dropped = (place.join(F.broadcast(hot), ["leaf", "line"], "left_semi")
-               .unionByName(place.join(recurring.join(hot, ["leaf", "line"], "left_anti"), ["leaf", "line"], "left_semi"))
-               .groupBy("id", "version").agg(F.collect_set("line_no").alias(drop))
-               .withColumnsRenamed({"id": ident, "version": of}))
+    dropped = materialize(place.join(F.broadcast(hot), ["leaf", "line"], "left_semi")
+                          .unionByName(narrowed(place, others, ["leaf", "line"]).join(others, ["leaf", "line"], "left_semi"))
+                          .groupBy("id", "version").agg(F.collect_set("line_no").alias(drop))
+                          .withColumnsRenamed({"id": ident, "version": of}))
     keyed = docs.withColumn(version, F.xxhash64(plain_text(text_col)))
-    joined = keyed.join(dropped, keyed[id_col].eqNullSafe(dropped[ident]) & (keyed[version] == dropped[of]), "left")
+    # most texts of a bucket without a dropped line go through unmoved
+    marked, hit = reached(keyed, dropped.select(F.col(ident).alias(id_col), F.col(of).alias(version)), [id_col, version])
+    moved = marked.filter(hit).select(*keyed.columns)
+    joined = (moved.join(dropped, moved[id_col].eqNullSafe(dropped[ident]) & (moved[version] == dropped[of]), "left")
+              .select(*keyed.columns, drop)
+              .unionByName(marked.filter(~hit).select(*keyed.columns, F.lit(None).cast("array<int>").alias(drop))))
     parts = F.split(F.col(text_col), "\n")
     # a difference of sets of line numbers: linear in the lines, also where nearly all of them go
     staying = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), drop)
     kept = F.array_join(F.transform(staying, lambda i: F.get(parts, i)), "\n")
     return joined.select(
-        *[F.when(F.col(drop).isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else docs[c]
+        *[F.when(F.col(drop).isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c)
           for c in docs.columns if c not in ("n_lines", "n_dropped")],
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
         F.when(F.col(drop).isNull(), 0).otherwise(F.size(drop)).cast("long").alias("n_dropped"))
