@@ -68,22 +68,15 @@ def needed_docs(min_docs: int, long_docs: int) -> Column:
     return F.when(F.col("tokens") > LONG_TOKENS, min(min_docs, long_docs)).otherwise(min_docs)
 
 
-def reached(rows: DataFrame, keys: DataFrame, columns: list[str]) -> tuple[DataFrame, Column]:
-    """``rows`` with one more column, the bucket of ``columns`` or null, and the
-    condition that a row of ``keys`` falls into its bucket.
+def narrowed(rows: DataFrame, keys: DataFrame, columns: list[str], how: str = "left_semi") -> DataFrame:
+    """The rows that may have a partner in ``keys``, or with ``left_anti`` those that have none for sure.
 
-    Rows beyond have no partner in ``keys`` and need no shuffle.  The buckets
-    that ``keys`` reaches are broadcast: at most ``BUCKETS`` integers."""
+    The buckets that ``keys`` reaches are broadcast, at most ``BUCKETS``
+    integers, so rows beyond them need no shuffle.  Semi-joins, as a join that
+    follows would be moved below any other."""
     name = free_name(rows, "__bucket")
     bucket = F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)).cast("int")
-    hit = keys.select(bucket.alias(name)).distinct()
-    return rows.join(F.broadcast(hit), bucket == F.col(name), "left"), F.col(name).isNotNull()
-
-
-def narrowed(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows that may have a partner in ``keys``: a superset of the semi-join, without a shuffle of ``rows``."""
-    marked, hit = reached(rows, keys, columns)
-    return marked.filter(hit).select(*rows.columns)
+    return rows.join(F.broadcast(keys.select(bucket.alias(name)).distinct()), bucket == F.col(name), how)
 
 
 def recurring_lines(lines: DataFrame, min_docs: int = MIN_DOCS, long_docs: int = LONG_DOCS) -> DataFrame:
@@ -100,7 +93,6 @@ def recurring_lines(lines: DataFrame, min_docs: int = MIN_DOCS, long_docs: int =
               .filter("kinds > 1 and reach >= needed and least < needed").select("leaf"))
     open_counts = materialize(counts.join(shared, "leaf"))
     bodies = (narrowed(lines.select("leaf", "line", "general"), open_counts, ["leaf", "line"])
-              .join(open_counts.select("leaf", "line"), ["leaf", "line"], "left_semi")
               .groupBy("leaf", "line").agg(F.min("general").alias("general"))
               .select("leaf", "line", F.regexp_extract_all("general", F.lit(WORD), F.lit(0)).alias("body")))
     bodies = materialize(bodies.join(open_counts, ["leaf", "line"]))
@@ -202,7 +194,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str
     repeated rows count once; null ids count as one.  An empty table stays
     empty; other columns are kept (columns named n_lines or n_dropped are
     replaced)."""
-    ident, of, drop, version = (free_name(docs, f"__{x}") for x in ("id", "of", "drop", "version"))
+    ident, of, drop, version, split = (free_name(docs, f"__{x}") for x in ("id", "of", "drop", "version", "parts"))
     lines = materialize(line_table(docs, id_col, text_col).select(
         "id", "version", "line_no", "tokens", "leaf", "general", F.xxhash64("general").alias("line")))
     recurring = materialize(recurring_lines(lines, min_docs, long_docs))
@@ -216,13 +208,14 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str
                           .groupBy("id", "version").agg(F.collect_set("line_no").alias(drop))
                           .withColumnsRenamed({"id": ident, "version": of}))
     keyed = docs.withColumn(version, F.xxhash64(plain_text(text_col)))
-    # most texts of a bucket without a dropped line go through unmoved
-    marked, hit = reached(keyed, dropped.select(F.col(ident).alias(id_col), F.col(of).alias(version)), [id_col, version])
-    moved = marked.filter(hit).select(*keyed.columns)
+    # texts whose bucket has no dropped line go through unmoved
+    keys, places = [id_col, version], dropped.select(F.col(ident).alias(id_col), F.col(of).alias(version))
+    moved = narrowed(keyed, places, keys)
     joined = (moved.join(dropped, moved[id_col].eqNullSafe(dropped[ident]) & (moved[version] == dropped[of]), "left")
               .select(*keyed.columns, drop)
-              .unionByName(marked.filter(~hit).select(*keyed.columns, F.lit(None).cast("array<int>").alias(drop))))
-    parts = F.split(F.col(text_col), "\n")
+              .unionByName(narrowed(keyed, places, keys, "left_anti").withColumn(drop, F.lit(None).cast("array<int>")))
+              .withColumn(split, F.split(text_col, "\n")))
+    parts = F.col(split)  # a column, so that a text is parted once, not once a line
     # a difference of sets of line numbers: linear in the lines, also where nearly all of them go
     staying = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), drop)
     kept = F.array_join(F.transform(staying, lambda i: F.get(parts, i)), "\n")
