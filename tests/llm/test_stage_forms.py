@@ -1,5 +1,6 @@
 """The forms that keep whole rows: clashing column names, many lines in one text."""
 
+import re
 from collections import Counter
 
 from clientele.llm import exact_dedup, line_templates, mixing
@@ -49,3 +50,31 @@ def test_repeated_ids_meet_the_target(spark):
     often = {times[r[1]] for r in rows[:200]}
     assert len(often) == 2 and max(often) - min(often) == 1  # the fraction of "b" ends among these rows
     assert sorted(map(str, out)) == sorted(map(str, mixing.mixed_documents(docs.repartition(2)).collect()))
+
+
+def test_a_text_of_many_staying_lines(spark):
+    """Linear where nearly all of 100,000 lines stay."""
+    own = ["\n".join(f"{'abcd'[k]} own{'x' * (i % 5)} {chr(97 + i % 26)} {chr(97 + i // 26 % 26)}" for i in range(100_000))
+           for k in range(4)]
+    docs = spark.createDataFrame([(k, f"{own[k]}\nshared line of them all") for k in range(4)], "doc_id long, text string")
+    got = {r.doc_id: r for r in line_templates.drop_recurring_lines(docs, min_docs=4).collect()}
+    assert all(got[k].n_lines == 100_001 and "shared line" not in got[k].text for k in range(4))
+
+
+def test_tokens_of_a_line(spark):
+    lines = ["a", " a", "a ", "a b", "a  b", "a\tb", "\x0ba b\r", "äö 漢字 c", "a b c", "x" * 5000 + " y", "a b c d  e\x0cf"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    got = {r.line: r.n for r in df.select("line", line_templates.token_count(df.line).alias("n")).collect()}
+    assert got == {x: len([w for w in re.split(r"[\x20\x09-\x0D]+", x) if w]) for x in lines}
+
+
+def test_narrowed_keeps_partners_and_stands_before_a_join(spark, monkeypatch):
+    monkeypatch.setattr(line_templates, "BUCKETS", 16)
+    rows = spark.createDataFrame([(k if k % 10 else None, k % 7) for k in range(200)], "a long, __bucket long")
+    keys = spark.createDataFrame([(3, 3), (None, 2), (15, 1)], "a long, __bucket long")
+    names = ["a", "__bucket"]
+    some, none = (sorted(map(str, line_templates.narrowed(rows, keys, names, how).collect())) for how in ("left_semi", "left_anti"))
+    assert sorted([*some, *none]) == sorted(map(str, rows.collect())) and none
+    held = set(map(str, keys.collect()))
+    assert held & set(map(str, rows.collect())) == held & set(some)
+    assert line_templates.narrowed(rows, keys.limit(0), names).count() == 0
