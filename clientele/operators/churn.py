@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from clientele.functions.text import name_key_nan
 from clientele.operators.ranking import ordered_offsets, ordered_scan
 from clientele.operators.value import Refused, repeat_summary
-from clientele.session import checkpoint_once
+from clientele.session import checkpoint_once, ensure_checkpoint_dir
 
 FEATURES = ["frequency", "recency", "T", "monetary_value"]
 MIN_ROWS = 20
@@ -97,7 +97,9 @@ def stratified_split(df: DataFrame, label: str = "churned", key: str = "cust",
 def train_forest(train: DataFrame, label: str = "churned", features=FEATURES, seed: int = SEED, trees: int = TREES,
                  max_depth: int = MAX_DEPTH, max_bins: int = MAX_BINS):
     """M8: balanced random forest (class weight n / (2 n_c)) in Spark ML.  At
-    large scale a smaller ``max_depth`` keeps the number of open nodes down."""
+    large scale a smaller ``max_depth`` keeps the number of open nodes down.
+    Each row's node in each tree is kept from level to level; otherwise every
+    task would be sent all trees grown so far and walk them again."""
     counts = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     n = sum(counts.values())
     wexpr = None
@@ -105,11 +107,12 @@ def train_forest(train: DataFrame, label: str = "churned", features=FEATURES, se
         wv = n / (len(counts) * nc)
         wexpr = F.when(F.col(label) == c, wv) if wexpr is None else wexpr.when(F.col(label) == c, wv)
     weighted = train.withColumn("_weight", wexpr.cast("double")).withColumn("_label", F.col(label).cast("double"))
+    ensure_checkpoint_dir(train.sparkSession)  # Spark cuts the lineage of the kept nodes there
     pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_features"),
                             RandomForestClassifier(featuresCol="_features", labelCol="_label",
                                                    weightCol="_weight", seed=seed, numTrees=trees,
-                                                   maxDepth=max_depth, maxBins=max_bins)])
-    return pipe.fit(weighted)
+                                                   maxDepth=max_depth, maxBins=max_bins, cacheNodeIds=True)])
+    return pipe.fit(weighted).copy()  # a copy has no training summary, which would bring the session into each task
 
 
 def predict_scores(model, df: DataFrame) -> DataFrame:

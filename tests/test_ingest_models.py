@@ -202,3 +202,17 @@ def test_decomposition_is_exact(spark):
     for r, t, s, v in zip(got, trend, season, x):
         assert r.seasonal == pytest.approx(s, abs=1e-11)
         assert (r.trend is None) == bool(np.isnan(t)) and (r.trend is None or r.resid == pytest.approx(v - t - s, abs=1e-11))
+
+
+def test_forest_brings_no_session_and_keeps_node_ids(spark):
+    rows = spark.range(60).select(F.col("id").cast("string").alias("cust"), (F.col("id") % 2).cast("int").alias("churned"),
+                                  *[(F.col("id") * k % 7).cast("double").alias(f) for k, f in enumerate(C.FEATURES, 1)])
+    model = C.train_forest(rows, trees=3, max_depth=4)
+    forest = model.stages[-1]
+    assert not forest.hasSummary  # a training summary holds the session, which a task can't always be sent
+    out = spark._jvm.java.io.ByteArrayOutputStream()
+    spark._jvm.java.io.ObjectOutputStream(out).writeObject(forest._java_obj)
+    assert b"classic.SparkSession" not in bytes(out.toByteArray())
+    assert forest.getCacheNodeIds()  # else each task is sent all trees of the levels before
+    scored = C.predict_scores(model, rows)
+    assert scored.where(F.col("score").between(0, 1)).count() == 60
