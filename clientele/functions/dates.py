@@ -142,21 +142,22 @@ def parse_any_date(c, pivot: int = BIRTHDATE_PARSE_PIVOT, month_first: bool = Fa
     return parse_date_steps(c, pivot, month_first).getField("date")
 
 
-def day_month_votes(df, c):
+def day_month_votes(df, c, weight: str | None = None):
     """How many triples of numbers of a column can only be read day first
-    and how many only month first; one aggregate row (n_day_first, n_month_first)."""
+    and how many only month first; one aggregate row (n_day_first, n_month_first).
+    A row counts ``weight`` times."""
     def vote(step, year, second, first):
         first, second = F.when(step.isin(_TRIPLES), first).cast("int"), second.try_cast("int")
         return (F.when((first > 12) & second.between(1, 12), "d").when((second > 12) & first.between(1, 12), "m"))
 
-    voted = df.select(_by_shape(c, vote).alias("v"))
-    return voted.agg(F.count(F.when(F.col("v") == "d", 1)).alias("n_day_first"),
-                     F.count(F.when(F.col("v") == "m", 1)).alias("n_month_first"))
+    voted = df.select(_by_shape(c, vote).alias("v"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("n"))
+    votes = lambda v: F.coalesce(F.sum(F.when(F.col("v") == v, F.col("n"))), F.lit(0))
+    return voted.agg(votes("d").alias("n_day_first"), votes("m").alias("n_month_first"))
 
 
-def is_month_first(df, c) -> bool:
+def is_month_first(df, c, weight: str | None = None) -> bool:
     """The order of a column's triples, by majority; day first if the votes are equal."""
-    votes = day_month_votes(df, c).first()
+    votes = day_month_votes(df, c, weight).first()
     return votes["n_month_first"] > votes["n_day_first"]
 
 

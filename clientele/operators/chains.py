@@ -15,6 +15,7 @@ from clientele.operators import clean as C
 from clientele.operators import dedup as U
 from clientele.operators import pricing as P
 from clientele.operators import report as R
+from clientele.session import checkpoint_once
 from clientele.sources import schemas as S
 
 
@@ -26,20 +27,42 @@ class SalesChain:
     rescored: DataFrame
 
 
-def priced_sales(raw: DataFrame, pricelist: DataFrame, years=X.LABEL_YEARS, month_first: bool | None = None) -> DataFrame:
+#: Distinct texts of a column up to which what they mean is broadcast (some 60 bytes each).
+BROADCAST_TEXTS = 200_000
+
+
+def distinct_texts(t: DataFrame, columns: list[str]) -> DataFrame:
+    """The distinct texts of each column and how many rows have them (column, text, n), in one scan, checkpointed."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("text")) for c in columns]))
+    return checkpoint_once(t.select(each.alias("x")).groupBy("x.column", "x.text").agg(F.count(F.lit(1)).alias("n")))
+
+
+def priced_sales(raw: DataFrame, pricelist: DataFrame, years=X.LABEL_YEARS, month_first: bool | None = None,
+                 limit: int = BROADCAST_TEXTS) -> DataFrame:
     """Raw sheets (headers as exported, and ``row_id``) to priced transactions:
     rows with a label only go, month labels are expanded, NaN is null, dates are
-    read by their shape (in the order that the column votes for, one aggregate,
-    unless ``month_first`` says it), prices are looked up."""
+    read by their shape (in the order that the column votes for, unless
+    ``month_first`` says it), prices are looked up.  All of that is patterns, many a
+    text: each distinct label, date and item is read once and joined.  A column of
+    more than ``limit`` distinct texts is read row by row."""
     t = S.conform(raw, S.TRANSACTION_COLUMN_MAP | {"row_id": "row_id"})
     t = C.drop_label_only_rows(S.nan_to_null(t), "month", keep=("row_id",))
-    t = t.withColumn("month", X.clean_month_label("month", years))
+    texts = distinct_texts(t, ["month", "tx_date", "item"])
+    few = {r["column"]: r["n"] <= limit for r in texts.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    of = lambda column: texts.where(F.col("column") == column)
     if month_first is None:
-        month_first = D.is_month_first(t, "tx_date")
-    t = t.withColumn("tx_date", D.parse_any_date("tx_date", month_first=month_first))
+        month_first = D.is_month_first(of("tx_date"), "text", "n")
+    for column, read in (("month", lambda c: X.clean_month_label(c, years)),
+                         ("tx_date", lambda c: D.parse_any_date(c, month_first=month_first))):
+        if few.get(column):
+            table = of(column).select("text", read("text").alias("_read"))
+            t = t.join(F.broadcast(table), F.col(column).cast("string").eqNullSafe(F.col("text")), "left").withColumn(
+                column, F.col("_read")).drop("text", "_read")
+        else:
+            t = t.withColumn(column, read(column))
     if "qty" in t.columns:
         t = t.withColumn("qty", F.col("qty").cast("string").try_cast("decimal(18,2)"))
-    return P.price_lookup(t.drop("total_price"), pricelist)
+    return P.price_lookup(t.drop("total_price"), pricelist, items=of("item").select("text") if few.get("item") else None)
 
 
 def sales_chain(raw: DataFrame, pricelist: DataFrame, members: DataFrame, **options) -> SalesChain:

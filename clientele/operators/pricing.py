@@ -29,13 +29,21 @@ def first_per_key(df: DataFrame, key, order_col: str, cols: list[str]) -> DataFr
 
 
 def price_lookup(tx: DataFrame, pricelist: DataFrame, *, item: str = "item", qty: str | None = "qty",
-                 service: str = "service", price: str = "price", row_id: str = "row_id") -> DataFrame:
+                 service: str = "service", price: str = "price", row_id: str = "row_id",
+                 items: DataFrame | None = None) -> DataFrame:
     """J1 + P5: attach the first price of the item's service key and the line
     total ``price * qty`` (price alone when there is no quantity column).
-    A missing or unparseable price counts as 0."""
+    A missing or unparseable price counts as 0.
+
+    ``items``, few enough to be broadcast, holds the distinct item texts of ``tx``
+    (column ``text``, null too): their keys are made once a text then, not once a row."""
     prices = first_per_key(pricelist, service_key(service), row_id, [price]).withColumnRenamed("_key", "_svc")
     # one scan of the transactions, batch or stream; the small side is broadcast where it is measured small
-    j = tx.withColumn("_svc", service_key(item)).join(prices, "_svc", "left").drop("_svc")
+    if items is None:
+        j = tx.withColumn("_svc", service_key(item)).join(prices, "_svc", "left").drop("_svc")
+    else:
+        priced = items.withColumn("_svc", service_key("text")).join(prices, "_svc", "left").select("text", price)
+        j = tx.join(F.broadcast(priced), F.col(item).cast("string").eqNullSafe(F.col("text")), "left").drop("text")
     p = F.coalesce(F.col(price).try_cast(MONEY), F.lit(0).cast(MONEY))
     j = j.withColumn("unit_price", p).drop(price)
     if qty and qty in tx.columns:

@@ -216,3 +216,20 @@ def test_forest_brings_no_session_and_keeps_node_ids(spark):
     assert forest.getCacheNodeIds()  # else each task is sent all trees of the levels before
     scored = C.predict_scores(model, rows)
     assert scored.where(F.col("score").between(0, 1)).count() == 60
+
+
+def test_a_text_is_read_once_or_row_by_row(spark):
+    from clientele.operators import chains as H
+    raw = spark.createDataFrame(
+        [(1, "jan24", "13/02/2024", "a", "Package RF Arm", 2.0), (2, "Okt 25", "2024-01-05", "b", "rf  arm", float("nan")),
+         (3, "jan24", None, "c", None, 1.0), (4, None, "n/a", None, "zz", 3.0), (5, "jan24", None, None, None, None),
+         (6, "may24", "13/02/2024", "a", "RF Arm", 1.0)],
+        "row_id long, Month string, Date string, `NAMA CUSTOMER` string, `NAMA TREATMENT` string, QTY double")
+    prices = spark.createDataFrame([(1, "RF Arm", 10.0), (2, "rf arm", 99.0), (3, "package", 7.0)],
+                                   "row_id long, service string, price double").withColumn("price", F.col("price").cast("decimal(18,2)"))
+    once, by_row = (H.priced_sales(raw, prices, limit=n) for n in (100, 0))
+    key = lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
+    assert once.schema == by_row.schema and key(once) == key(by_row)
+    got = {r.row_id: r for r in once.collect()}
+    assert sorted(got) == [1, 2, 3, 4, 6] and got[1].month == "january 24" and got[1].tx_date == dt.date(2024, 2, 13)
+    assert float(got[1].total_price) == 20 and got[2].total_price is None and float(got[3].unit_price) == 7
