@@ -96,3 +96,17 @@ def test_means_skip_nulls(spark):
     row = facets.kpi_row(df).first()
     assert (row.avg_recency, row.avg_frequency, row.avg_monetary) == (1.0, 4.0, 1.0)
     assert facets.group_stats(df, ["cust_norm"]).where("cust_norm = 'b'").first().avg_spent is None
+
+
+def test_streamed_parts_grow_with_the_sheets(spark, monkeypatch, tmp_path):
+    from clientele.plans import checks_io as Q
+    rows = spark.range(0, 1200, 1, 12).select(
+        F.lit("jan98").alias("sheet"), F.lit("a").alias("customer"), F.lit("1998-01-01").cast("date").alias("tx_date"),
+        F.lit("x").alias("item"), F.lit(1).cast("decimal(18,2)").alias("qty"))
+    prices = spark.sql("SELECT 1L AS row_id, 'x' AS service, CAST(2 AS DECIMAL(18,2)) AS price")
+    monkeypatch.setattr(Q.V, "sheets", lambda s, d: rows)
+    monkeypatch.setattr(Q.V, "pricelist", lambda s, d: prices)
+    monkeypatch.setattr(Q.K, "output_path", lambda s, name: str(tmp_path / name))
+    out = Q.st01_streaming_ingest(spark, "")
+    assert out.count() == 1200 and out.where("total_price = 2").count() == 1200
+    assert len(list((tmp_path / "stream_src").glob("part-*.parquet"))) == 12  # a part a task, not four however many rows
