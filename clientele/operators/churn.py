@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clientele.functions.text import name_key_nan
@@ -28,6 +28,9 @@ TEST_FRACTION = 0.3
 SEED = 42
 #: The forest: trees, depth of a tree (Spark's largest, the reference sets none) and bins of a feature.
 TREES, MAX_DEPTH, MAX_BINS = 100, 30, 32
+#: Customers of a partition: a task of the forest holds statistics of every open node however few rows it has,
+#: so there are no more tasks than cores, unless a task would get more than MOST_ROWS.
+FEW_ROWS, MOST_ROWS = 2048, 250_000
 
 
 def churn_labels(tx: DataFrame, obs_end: str, window_start: str, window_end: str | None = None,
@@ -76,22 +79,30 @@ def standardize(df: DataFrame, features=FEATURES) -> DataFrame:
     return out
 
 
+def split_partitions(rows: int, cores: int) -> int:
+    """Partitions of so many customers."""
+    return max(1, min(cores, math.ceil(rows / FEW_ROWS)), math.ceil(rows / MOST_ROWS))
+
+
 def stratified_split(df: DataFrame, label: str = "churned", key: str = "cust",
                      test_fraction: float = TEST_FRACTION) -> DataFrame:
     """M7: deterministic stratified split.  Inside each class rows are
     ordered by md5(key); the first n_c - ceil(test_fraction * n_c) are
     train.  The in-class rank is the global rank minus the size of the
-    lower classes (a few rows, broadcast)."""
+    lower classes (a row a class).  ``df`` is read twice: give it checkpointed."""
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).orderBy(label).collect()  # a row a class
+    rows = sum(r["_n"] for r in sizes)
     keyed = df.withColumn("_h", F.md5(F.col(key).cast("string")))
-    ranked = ordered_offsets(keyed, [label, "_h", key])
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select(label, "_n", below.alias("_start"))
-    j = ranked.join(F.broadcast(sizes), label)
-    k = F.col("_before") - F.col("_start")  # 0-based rank in class
-    n_train = F.col("_n") - F.ceil(F.col("_n") * F.lit(str(test_fraction)).cast("decimal(10,6)"))  # exact
-    return (j.withColumn("split", F.when(k < n_train, "train").otherwise("test"))
-             .drop("_h", "_before", "_w", "_n", "_start"))
+    ranked = ordered_offsets(keyed, [label, "_h", key],
+                             num_partitions=split_partitions(rows, df.sparkSession.sparkContext.defaultParallelism))
+    n, start, below = F.lit(None).cast("long"), F.lit(None).cast("long"), 0
+    for r in sizes:
+        own = F.col(label) == F.lit(r[label])
+        n, start, below = F.when(own, r["_n"]).otherwise(n), F.when(own, below).otherwise(start), below + r["_n"]
+    k = F.col("_before") - start  # 0-based rank in class
+    n_train = n - F.ceil(n * F.lit(str(test_fraction)).cast("decimal(10,6)"))  # exact
+    return (ranked.where(F.col(label).isNotNull()).withColumn("split", F.when(k < n_train, "train").otherwise("test"))
+            .select(label, *[c for c in df.columns if c != label], "split"))
 
 
 def train_forest(train: DataFrame, label: str = "churned", features=FEATURES, seed: int = SEED, trees: int = TREES,

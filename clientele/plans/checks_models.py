@@ -10,6 +10,7 @@ from clientele.operators import value as M
 from clientele.operators import rfm as R
 from clientele.plans.checks_rfm import rfm_ctes
 from clientele.plans.registry import name_key_nan_sql, register
+from clientele.session import checkpoint_once
 from clientele.sources import views as V
 
 OBS_END = V.CHURN_OBSERVATION_END
@@ -67,6 +68,10 @@ def _ts(spark, d):
     return C.training_set(V.tx(spark, d), OBS_END, WIN_START)
 
 
+def _split(spark, d):
+    return C.stratified_split(checkpoint_once(_ts(spark, d)))
+
+
 def _pred(spark, d):
     ts = _ts(spark, d)
     return ts.withColumn("score", F.when(F.col("T") > 0, 1.0 - F.col("recency") / F.col("T")).otherwise(1.0))
@@ -99,7 +104,7 @@ def m06_scaler_stats(spark, d):
       count(*) OVER (PARTITION BY churned) AS n FROM ts)""")
 def m07_stratified_split(spark, d):
     """M7: deterministic 70/30 split per class (md5 order)."""
-    return C.stratified_split(_ts(spark, d)).select("cust", "churned", "split")
+    return _split(spark, d).select("cust", "churned", "split")
 
 
 @register("m09_class_report", CHURN_SQL + """, cm AS (SELECT churned AS y, CAST(score >= 0.5 AS INTEGER) AS yhat FROM pred),
@@ -307,14 +312,14 @@ def t08_top_clv(spark, d):
 def m08_forest_scores(spark, d):
     """M8: balanced random forest trained on the split's train part, churn
     probability on its test part."""
-    split = C.stratified_split(_ts(spark, d))
+    split = _split(spark, d)
     model = C.train_forest(split.where(F.col("split") == "train"))
     return C.predict_scores(model, split.where(F.col("split") == "test")).select("cust", "churned", "score")
 
 
 @register("m11_feature_importances")
 def m11_feature_importances(spark, d):
-    split = C.stratified_split(_ts(spark, d))
+    split = _split(spark, d)
     model = C.train_forest(split.where(F.col("split") == "train"))
     return C.feature_importances(model, spark)
 
@@ -332,9 +337,9 @@ def a24_clv_histogram(spark, d):
 def m10_forest_metrics(spark, d):
     """M9 + M10 on the forest's test-split probabilities: AUC with the class
     report rows (one row per class)."""
-    split = C.stratified_split(_ts(spark, d))
+    split = _split(spark, d)
     model = C.train_forest(split.where(F.col("split") == "train"))
-    pred = C.predict_scores(model, split.where(F.col("split") == "test")).select("churned", "score")
+    pred = checkpoint_once(C.predict_scores(model, split.where(F.col("split") == "test")).select("churned", "score"))
     auc = C.auc(pred).select("auc")
     one = F.lit(1).alias("_k")
     return (C.class_report(pred).select("*", one).join(auc.select("*", one), "_k").drop("_k"))
