@@ -229,6 +229,17 @@ def test_the_split_has_no_more_partitions_than_its_rows_fill(spark):
     assert C.split_partitions(10_000_000, 8) == 40
 
 
+def test_a_session_with_an_observed_query_scores_the_forest(spark):
+    from pyspark.sql import Observation
+    seen = Observation("rows")
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 3  # the session then holds what cannot be sent to a task
+    rows = spark.range(40).select((F.col("id") % 2).cast("int").alias("churned"), *[(F.col("id") % k).cast("double").alias(f) for k, f in
+                                                                                    zip((2, 3, 5, 7), C.FEATURES)])
+    model = C.train_forest(rows, trees=3, max_depth=3)
+    assert C.predict_scores(model, rows).where(F.col("score").between(0, 1)).count() == 40
+
+
 def test_a_text_is_read_once_or_row_by_row(spark):
     from clientele.operators import chains as H
     raw = spark.createDataFrame(
