@@ -59,3 +59,16 @@ def test_range_path_has_no_unpartitioned_window_over_rows(spark):
     assert "BroadcastHashJoin" in text  # per-range offsets (one row per partition) are broadcast
     assert "MapInPandas" not in text  # running sums already checkpointed
     assert ranked.agg(F.max("rank")).first()[0] == 5000
+
+
+def test_pair_counts_makes_the_basket_rows_once_in_a_given_number_of_partitions(spark):
+    from clientele.operators import basket as B
+    rows = [("a", d, d % 4, f"i{i:02d}") for d in range(3) for i in range(30) for _ in range(d + 1)]
+    t = spark.createDataFrame(rows + [("a", 9, 9, "i00"), (None, 1, 1, "i00"), (None, 1, 1, "i01"), ("a", 1, None, "i00")],
+                              "customer string, tx_date int, ticket long, item string")
+    pairs = B.pair_counts(t, block=4)
+    text = formatted(pairs, spark)
+    assert text.count("\n(") and len([x for x in text.splitlines() if x.startswith("(") and "Scan ExistingRDD" in x]) == 1
+    assert text.count("REPARTITION_BY_NUM") == 3  # else they are merged to a size when written, many times that in a task
+    got = {(r.item_a, r.item_b): r.n_baskets for r in pairs.collect()}
+    assert got == {(f"i{a:02d}", f"i{b:02d}"): 4 if (a, b) == (0, 1) else 3 for a in range(30) for b in range(a + 1, 30)}
