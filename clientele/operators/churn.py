@@ -28,9 +28,9 @@ TEST_FRACTION = 0.3
 SEED = 42
 #: The forest: trees, depth of a tree (Spark's largest, the reference sets none) and bins of a feature.
 TREES, MAX_DEPTH, MAX_BINS = 100, 30, 32
-#: Customers of a partition: a task of the forest holds statistics of every open node however few rows it has,
-#: so there are no more tasks than cores, unless a task would get more than MOST_ROWS.
-FEW_ROWS, MOST_ROWS = 2048, 250_000
+#: A task of the forest holds statistics of every open node however few rows it has, so the customers stand in no
+#: more partitions than there are cores (or FEW_TASKS), unless one would get more than MOST_ROWS.
+FEW_TASKS, MOST_ROWS = 8, 250_000
 
 
 def churn_labels(tx: DataFrame, obs_end: str, window_start: str, window_end: str | None = None,
@@ -79,9 +79,9 @@ def standardize(df: DataFrame, features=FEATURES) -> DataFrame:
     return out
 
 
-def split_partitions(rows: int, cores: int) -> int:
-    """Partitions of so many customers."""
-    return max(1, min(cores, math.ceil(rows / FEW_ROWS)), math.ceil(rows / MOST_ROWS))
+def split_partitions(rows: int, cores: int, most: int) -> int:
+    """Partitions of so many customers, where the session shuffles into ``most``."""
+    return max(min(max(cores, FEW_TASKS), most), math.ceil(rows / MOST_ROWS))
 
 
 def stratified_split(df: DataFrame, label: str = "churned", key: str = "cust",
@@ -93,8 +93,9 @@ def stratified_split(df: DataFrame, label: str = "churned", key: str = "cust",
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).orderBy(label).collect()  # a row a class
     rows = sum(r["_n"] for r in sizes)
     keyed = df.withColumn("_h", F.md5(F.col(key).cast("string")))
-    ranked = ordered_offsets(keyed, [label, "_h", key],
-                             num_partitions=split_partitions(rows, df.sparkSession.sparkContext.defaultParallelism))
+    spark = df.sparkSession
+    parts = split_partitions(rows, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranked = ordered_offsets(keyed, [label, "_h", key], num_partitions=parts)
     n, start, below = F.lit(None).cast("long"), F.lit(None).cast("long"), 0
     for r in sizes:
         own = F.col(label) == F.lit(r[label])

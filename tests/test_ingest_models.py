@@ -218,15 +218,20 @@ def test_forest_brings_no_session_and_keeps_node_ids(spark):
     assert scored.where(F.col("score").between(0, 1)).count() == 60
 
 
-def test_the_split_has_no_more_partitions_than_its_rows_fill(spark):
+def test_the_split_has_no_more_partitions_than_cores(spark):
     rows = spark.range(60).select(F.col("id").cast("string").alias("cust"), (F.col("id") % 3).cast("int").alias("churned")).repartition(6)
-    split = C.stratified_split(rows)
-    assert split.rdd.getNumPartitions() == 1  # a task of the forest holds statistics of each open node
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        split = C.stratified_split(rows)
+        assert split.rdd.getNumPartitions() <= max(spark.sparkContext.defaultParallelism, C.FEW_TASKS)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
     assert split.columns == ["churned", "cust", "split"]
     assert {(r.churned, r.split): r["count"] for r in split.groupBy("churned", "split").count().collect()} == {
         (c, part): n for c in range(3) for part, n in (("train", 14), ("test", 6))}
-    assert C.split_partitions(0, 8) == 1 and C.split_partitions(10_500, 8) == 6 and C.split_partitions(15_000, 4) == 4
-    assert C.split_partitions(10_000_000, 8) == 40
+    assert C.split_partitions(0, 4, 8) == 8 and C.split_partitions(15_000, 12, 200) == 12 and C.split_partitions(15_000, 12, 8) == 8
+    assert C.split_partitions(10_000_000, 8, 200) == 40
 
 
 def test_a_session_with_an_observed_query_scores_the_forest(spark):
