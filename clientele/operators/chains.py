@@ -33,8 +33,10 @@ BROADCAST_TEXTS = 200_000
 
 def distinct_texts(t: DataFrame, columns: list[str]) -> DataFrame:
     """The distinct texts of each column and how many rows have them (column, text, n), in one scan, checkpointed."""
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("text")) for c in columns]))
-    return checkpoint_once(t.select(each.alias("x")).groupBy("x.column", "x.text").agg(F.count(F.lit(1)).alias("n")))
+    cells = (t.select(*[F.col(c).cast("string").alias(c) for c in columns]).groupingSets([[c] for c in columns], *columns)
+             .agg(*[F.grouping(c).alias(f"no_{c}") for c in columns], F.count(F.lit(1)).alias("n")))
+    column = F.coalesce(*[F.when(F.col(f"no_{c}") == 0, F.lit(c)) for c in columns])
+    return checkpoint_once(cells.select(column.alias("column"), F.coalesce(*columns).alias("text"), "n"))
 
 
 def priced_sales(raw: DataFrame, pricelist: DataFrame, years=X.LABEL_YEARS, month_first: bool | None = None,

@@ -8,6 +8,8 @@ without it every action would re-aggregate the transactions.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType
@@ -21,6 +23,10 @@ REPORT_COLUMNS = ["cust_norm", "customer", "total_spent", "status", "recency_day
                   "total_items", "r_score", "f_score", "m_score", "rfm_class", "item_summary"]
 
 
+#: Customers of a task in the passes over the materialised customer table, where there are more than cores.
+TASK_ROWS = 250_000
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back."""
     return checkpoint_once(df)
@@ -40,7 +46,9 @@ def customer_table(tx: DataFrame, *, customer="customer", date_col="tx_date", mo
     cust = cust.withColumnRenamed("monetary_value", "total_spent")
     if materialized:
         cust = materialize(cust)
-    last = cust.agg(F.max("last_date")).first()[0]
+    last, rows = cust.agg(F.max("last_date"), F.count(F.lit(1))).first()
+    if materialized:  # a few small passes follow; tasks by the shuffle's partitions would each write as many pieces
+        cust = cust.coalesce(max(cust.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / TASK_ROWS)))
     ref_day = F.date_add(F.lit(None if last is None else str(last)[:10]).cast("date"), 1)
     if isinstance(t.schema[date_col].dataType, DateType):
         recency = F.datediff(ref_day, F.col("last_date"))

@@ -61,12 +61,24 @@ def rank_tertiles(df: DataFrame, col: str, tie_cols: list[str], out: str,
     For rank k of n: first label iff 3(k-1) < n-1, second iff 3(k-1) < 2(n-1),
     else third — the integer form of quantile edges on ranks.  One distinct
     value -> middle label.
+
+    Only the order's columns are put in order; the row at each edge is read, and
+    every row is labelled by its place before or after it.  Where rows of one key
+    stand on both sides of an edge, the rows themselves are ranked.
     """
     st = stats or df.agg(F.count_distinct(col).alias("nd"), F.count(F.lit(1)).alias("rows")).first().asDict()
     if st["nd"] is None or st["nd"] <= 1:
         return df.withColumn(out, F.lit(labels[1]))
-    total = st["rows"]
-    ranked = ordered_offsets(df, [col] + list(tie_cols))
+    total, order = st["rows"], [col] + list(tie_cols)
+    edges = [-(-(total - 1) // 3), -(-2 * (total - 1) // 3)]  # k - 1 of the first row of the second and third label
+    beside = {e - step for e in edges for step in (0, 1)}
+    at = {r["_before"]: [r[c] for c in order] for r in
+          ordered_offsets(df.select(*order), order).where(F.col("_before").isin(*beside)).collect()}  # 4 rows at most
+    if all(repr(at[e]) != repr(at[e - 1]) for e in edges):
+        before = lambda e: F.struct(*order) < F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c)
+                                                         for c, v in zip(order, at[e])])
+        return df.withColumn(out, F.when(before(edges[0]), labels[0]).when(before(edges[1]), labels[1]).otherwise(labels[2]))
+    ranked = ordered_offsets(df, order)
     k1 = F.col("_before")  # k - 1
     lab = (F.when(3 * k1 < total - 1, labels[0]).when(3 * k1 < 2 * (total - 1), labels[1])
             .otherwise(labels[2]))

@@ -72,3 +72,31 @@ def test_pair_counts_makes_the_basket_rows_once_in_a_given_number_of_partitions(
     assert text.count("REPARTITION_BY_NUM") == 3  # else they are merged to a size when written, many times that in a task
     got = {(r.item_a, r.item_b): r.n_baskets for r in pairs.collect()}
     assert got == {(f"i{a:02d}", f"i{b:02d}"): 4 if (a, b) == (0, 1) else 3 for a in range(30) for b in range(a + 1, 30)}
+
+
+def test_rank_tertiles_order_only_their_columns(spark, monkeypatch):
+    from clientele.operators import tertiles as T
+    seen, offsets = [], T.ordered_offsets
+    monkeypatch.setattr(T, "ordered_offsets", lambda df, *a: seen.append(df.columns) or offsets(df, *a))
+    df = spark.range(7).select("id", (F.col("id") % 2).alias("v"), F.lit("long text").alias("text"))
+    got = {r.id: (r.text, r.m) for r in T.rank_tertiles(df, "v", ["id"], "m").collect()}
+    assert seen == [["v", "id"]]
+    assert [got[k] for k in (0, 2, 4, 6, 1, 3, 5)] == [("long text", m) for m in ("Low", "Low", "Medium", "Medium", "High", "High", "High")]
+    again = T.rank_tertiles(df.union(df), "v", [], "m")  # keys repeat across the edges: the rows themselves are ranked
+    assert sorted(r.m for r in again.collect()) == ["High"] * 5 + ["Low"] * 5 + ["Medium"] * 4
+    nulls = spark.createDataFrame([("a", None), ("b", None), ("c", 1.0), ("d", float("nan"))], "k string, v double")
+    assert {r.k: r.m for r in T.rank_tertiles(nulls, "v", ["k"], "m", stats={"nd": 2, "rows": 4}).collect()} == {
+        "a": "Low", "b": "Medium", "c": "High", "d": "High"}
+
+
+def test_report_passes_have_few_tasks(spark):
+    from clientele.operators import report as P
+    cust = P.customer_table(V.visits(spark, SF_SMALL))
+    assert cust.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+
+
+def test_distinct_texts_counts_each_column_once(spark):
+    from clientele.operators import chains as H
+    t = spark.createDataFrame([("x", 1, None), ("x", 2, "p"), (None, 2, "p")], "a string, b int, c string")
+    got = sorted(((r.column, r.text, r.n) for r in H.distinct_texts(t, ["a", "b", "c"]).collect()), key=repr)
+    assert got == sorted([("a", "x", 2), ("a", None, 1), ("b", "1", 1), ("b", "2", 2), ("c", None, 1), ("c", "p", 2)], key=repr)
