@@ -150,7 +150,7 @@ def predict_scores(model, df: DataFrame) -> DataFrame:
 
 def feature_importances(model, spark, features=FEATURES) -> DataFrame:
     """Forest feature importances, one row per feature."""
-    imp = model.stages[-1].featureImportances.toArray().tolist()
+    imp = model.importances if isinstance(model, cells.CellForest) else model.stages[-1].featureImportances.toArray().tolist()
     return spark.createDataFrame(list(zip(features, imp)), "feature string, importance double")
 
 

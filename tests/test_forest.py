@@ -72,6 +72,8 @@ def test_a_forest_beyond_the_drivers_bound_stays_in_tasks(spark, rows):
     usual = C.train_forest(rows, **options)
     both = scored.select("cust", "score").join(C.predict_scores(usual, rows).select("cust", F.col("score").alias("usual")), "cust")
     assert both.select(F.corr("score", "usual")).first()[0] > 0.97
+    important = [[r.importance for r in C.feature_importances(m, spark).collect()] for m in (model, usual)]
+    assert sum(important[0]) == pytest.approx(1) and important[0] == pytest.approx(important[1], abs=0.08)
 
 
 def test_the_forest_does_not_depend_on_partitions(spark, rows):
