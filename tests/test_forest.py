@@ -101,3 +101,18 @@ def test_missing_features_and_one_outcome(spark, rows):
     scored = C.predict_scores(C.train_forest(flat, trees=2, driver_nodes=0), flat)  # no split at all
     assert scored.select("score").distinct().count() == 1
     assert C.predict_scores(C.train_forest(rows, trees=2, driver_nodes=0), rows.limit(0)).count() == 0
+
+
+def test_metrics_of_a_forest_grown_by_tasks(spark, rows):
+    from clientele.session import checkpoint_once
+    split = C.stratified_split(checkpoint_once(rows))
+    model = C.train_forest(split.where(F.col("split") == "train"), trees=10, driver_nodes=0)
+    pred = checkpoint_once(C.predict_scores(model, split.where(F.col("split") == "test")).select("churned", "score"))
+    y, s = (np.array(v) for v in zip(*[(r.churned, r.score) for r in pred.collect()]))
+    assert len(y) == sum(-(-3 * n // 10) for n in np.bincount([r.churned for r in rows.select("churned").collect()]).tolist())
+    pos, neg = s[y == 1][:, None], s[y == 0][None]
+    want = ((pos > neg).sum() + (pos == neg).sum() / 2) / pos.size / neg.size
+    assert C.auc(pred).first()["auc"] == pytest.approx(want, abs=1e-12) and want > 0.8
+    for r in C.class_report(pred).collect():
+        hit = (y == r["class"]) & ((s >= 0.5) == r["class"])
+        assert r.support == (y == r["class"]).sum() and r.recall == pytest.approx(hit.sum() / r.support)
