@@ -33,9 +33,9 @@ TREES, MAX_DEPTH, MAX_BINS = 100, 30, 32
 #: A task of the forest holds statistics of every open node however few rows it has, so the customers stand in no
 #: more partitions than there are cores (or FEW_TASKS), unless one would get more than MOST_ROWS.
 FEW_TASKS, MOST_ROWS = 8, 250_000
-#: Nodes that the driver may hold (2.1 million possible ones, sf0.1, take it to 1.34 GB), and cells (bins of all
+#: Nodes that the driver may hold (2.1 million possible ones, sf0.1, take it to 1.49 GB), and cells (bins of all
 #: features) of a forest whose trees are grown by tasks, at most.
-DRIVER_NODES, MOST_CELLS = 2_200_000, 1 << 21
+DRIVER_NODES, MOST_CELLS = 1_000_000, 1 << 21
 
 
 def churn_labels(tx: DataFrame, obs_end: str, window_start: str, window_end: str | None = None,
